@@ -62,7 +62,7 @@ def quality_sql(source: str = "documents") -> str:
     return rf"""
 WITH split AS (
   SELECT doc_id, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
   FROM {source}
 ), grams AS (
   SELECT doc_id, i, concat_ws(' ', w[i], w[i + 1], w[i + 2]) AS g
@@ -77,7 +77,7 @@ WITH split AS (
          CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
          length(regexp_replace(body, '[^\p{{L}}]+', '', 'g')) AS n_letters, length(regexp_replace(body, '[^!]+', '', 'g')) AS n_shouts,
          length(regexp_replace(body, '[^\p{{Lu}}]+', '', 'g')) AS n_capitals,
-         len(list_filter(w, x -> x IN ({stops}))) AS n_stop_words, len(l) AS n_lines
+         len(list_filter(w, lambda x: x IN ({stops}))) AS n_stop_words, len(l) AS n_lines
   FROM split LEFT JOIN covered USING (doc_id)
 ), judged AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts
