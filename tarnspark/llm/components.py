@@ -1,0 +1,34 @@
+"""Connected components of an edge table, by alternating star contractions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tarnspark.llm.store import stored
+
+#: Each pair of contractions at least halves the longest path, so this bounds paths of 2**40 edges.
+MAX_ROUNDS = 40
+
+
+def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """``node`` and ``root``, the least node it reaches, for every node with an edge to another node.
+
+    Self-loops and rows with a null end are ignored; an empty table gives an empty result. Every round is
+    written to the shared folder. Large nodes cost rows, not tasks: their neighbours are only aggregated.
+    """
+    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
+    now, before = stored(now, "edges"), None
+    for _ in range(MAX_ROUNDS):
+        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == before or not state[0]:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        before = state
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        near = large.join(lowest, "u")
+        small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
+        now = stored(small.where("u > v").distinct(), "edges")
+    raise RuntimeError("components did not settle")

@@ -7,15 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnspark.llm.decontaminate import contamination
+from tarnspark.llm.jaccard_join import jaccard_components
 from tarnspark.llm.line_dedup import dedup_lines
+from tarnspark.llm.packing import pack_documents
+from tarnspark.llm.quality_classifier import score_documents
 from tarnspark.llm.quality_rules import BASE, RULES, STOP_WORDS, score_quality
 from tarnspark.llm.sharding import shard_documents
+from tarnspark.llm.store import scratch_path
+from tarnspark.llm.substring_dedup import dedup_substrings
+from tarnspark.llm.token_counts import document_token_counts
+from tarnspark.llm.token_store import read_token_store, write_token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -26,14 +42,51 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs).select("doc_id", *BASE, "base_failed", "kept")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return document_token_counts(docs, scratch_path(spark, "token-files"), vocabulary())
+
+
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-store")
+    write_token_store(table(spark, sf_dir, "documents").select("doc_id", "text"), path, vocabulary())
+    return read_token_store(spark, path)
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_substrings(docs).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return shard_documents(docs, 24).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_line_dedup": op3_line_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_packing": op6_packing,
+    "op7_token_counts": op7_token_counts,
+    "op9_token_store": op9_token_store,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_sharding": op10_sharding,
 }
 
