@@ -68,7 +68,7 @@ def relaxed(sizes: np.ndarray, demand: np.ndarray, capacity: int, max_columns: i
     return basis, used
 
 
-def plan_patterns(histogram: dict[int, int], capacity: int, max_columns: int = 3000, gap: float = 1e-4) -> list[tuple[dict[int, int], int]]:
+def plan_patterns(histogram: dict[int, int], capacity: int, max_columns: int = 6000, gap: float = 1e-4) -> list[tuple[dict[int, int], int]]:
     """Patterns ``{size: items}`` with their numbers of copies; together they hold the histogram exactly."""
     if not histogram:
         return []
@@ -143,7 +143,7 @@ def _assign(plans, grain: int):
     return assign, base
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, size: int = 1024, end: int = 0, grain: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, size: int = 1024, end: int = 0, grain: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: ``key``, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its token ids and the ``end`` id; a null or empty text is the ``end`` id alone. Each id lies in one
