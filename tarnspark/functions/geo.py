@@ -15,7 +15,7 @@ def haversine_m(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Colum
     h = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(
         F.sin(F.radians(lng2 - lng1) / 2), 2
     )
-    return F.lit(2 * EARTH_M) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return F.lit(2 * EARTH_M) * F.asin(F.when(h > 1, 1.0).otherwise(F.sqrt(h)))  # not least(): that would skip nulls
 
 
 def planar_dist2(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Column:
