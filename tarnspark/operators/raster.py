@@ -149,7 +149,7 @@ def contour_segments(dem: DataFrame, interval: int) -> DataFrame:
     a, b, c, d = F.col("n0_0"), F.col("n0_1"), F.col("n1_1"), F.col("n1_0")  # clockwise
     low, high = F.least(a, b, c, d), F.greatest(a, b, c, d)
     first, last = F.ceil(low / interval), F.floor(high / interval)
-    sq = s.where(first <= last).withColumn("level", F.explode(F.sequence(first, last)) * interval)
+    sq = s.where(first <= last).withColumn("level", F.explode(F.sequence(first, last))).withColumn("level", F.col("level") * interval)
     t = F.col("level")
     cross = lambda p, q: (t - p) / (q - p)
     point = lambda x, y: F.struct((F.col("col") + x).alias("x"), (F.col("row") + y).alias("y"))
