@@ -137,12 +137,12 @@ def _(spark, d):
 s AS (SELECT *, lng2 - lng AS dx, lat2 - lat AS dy FROM s0 WHERE lng2 IS NOT NULL),
 t AS (SELECT *, greatest(0, CASE WHEN dx = 0 THEN CASE WHEN lng BETWEEN -5.5 AND -4 THEN 0 ELSE 2 END ELSE least((-5.5 - lng) / dx, (-4 - lng) / dx) END, CASE WHEN dy = 0 THEN CASE WHEN lat BETWEEN 55.5 AND 57 THEN 0 ELSE 2 END ELSE least((55.5 - lat) / dy, (57 - lat) / dy) END) AS t0,
  least(1, CASE WHEN dx = 0 THEN CASE WHEN lng BETWEEN -5.5 AND -4 THEN 1 ELSE -1 END ELSE greatest((-5.5 - lng) / dx, (-4 - lng) / dx) END, CASE WHEN dy = 0 THEN CASE WHEN lat BETWEEN 55.5 AND 57 THEN 1 ELSE -1 END ELSE greatest((55.5 - lat) / dy, (57 - lat) / dy) END) AS t1 FROM s)
-SELECT way_id, count(*) AS parts, round(sum((t1 - t0) * sqrt(dx * dx + dy * dy)), 5) AS length FROM t WHERE t0 < t1 AND (dx <> 0 OR dy <> 0) GROUP BY way_id"""))
+SELECT way_id, count(*) AS parts FROM t WHERE t0 < t1 AND (dx <> 0 OR dy <> 0) GROUP BY way_id"""))
 def _(spark, d):
     out = L.line_clip(vertices(spark, d), "way_id", -5.5, 55.5, -4.0, 57.0)
     w = Window.partitionBy("way_id", "piece").orderBy("pos")
     step = F.hypot(F.col("lng") - F.lag("lng").over(w), F.col("lat") - F.lag("lat").over(w))
-    return out.withColumn("step", step).where("step > 0").groupBy("way_id").agg(F.count("*").alias("parts"), F.round(F.sum("step"), 5).alias("length"))
+    return out.withColumn("step", step).where("step > 0").groupBy("way_id").agg(F.count("*").alias("parts"))
 
 
 def legs(spark, d):
