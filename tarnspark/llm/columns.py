@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,10 +38,12 @@ def gapless_slots(df: DataFrame, group: str, order: str, rows: int, name: str) -
     ).drop("__chunk", "__rank", "__offset")
 
 
-def share_at_most(part: Column, whole: Column, percent: int) -> Column:
-    """``part / whole <= percent / 100`` in whole numbers."""
-    return part * 100 <= whole * percent
+def least_hashed(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About ``rows`` rows, those with the least key hashes: a sample of bounded size that does not depend on partitions.
 
-
-def share_at_least(part: Column, whole: Column, percent: int) -> Column:
-    return part * 100 >= whole * percent
+    Rows are thinned to twice as many before they are ordered, so no task sends more than its share.
+    """
+    total = df.count()
+    h = F.xxhash64(F.col(key))
+    thin = df.where(F.pmod(h, F.lit(max(1, total))) < 2 * rows)
+    return thin.orderBy(F.pmod(h, F.lit(max(1, total))), key).limit(rows)

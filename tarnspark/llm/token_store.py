@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tarnspark.llm.columns import least_hashed
 from tarnspark.llm.token_ids import encoded
 
 #: The dictionary is fitted on so many documents at most (those with the least key hashes), so many ids of each.
@@ -28,7 +29,7 @@ _BLOCKS = "part int, block int, width int, dictionary string, keys array<long>,
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end: int, key: str, text: str) -> bytes:
-    sample = docs.select(F.col(text).alias("t"), F.xxhash64(key).alias("h")).orderBy("h").limit(SAMPLE_DOCS).select("t").collect()
+    sample = least_hashed(docs, key, SAMPLE_DOCS).select(F.col(text).alias("t")).collect()
     ids = []
     for _, flat, bounds in encoded(pa.array([r["t"] for r in sample], pa.string()), tokenizer, end=end):
         ids += [flat[a : min(b, a + SAMPLE_IDS)].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
