@@ -74,11 +74,12 @@ class Seeds:
         return self
 
     def rare(self, held: dict[int, int]) -> Seeds:
-        """Each part keeps the seeds that are held by no more documents than its median seed."""
+        """Each part keeps the seeds that are held by no more documents than the median of its seeds that any holds."""
         of = np.repeat(np.arange(len(self.hashes)), np.diff(self.bounds))
         counts = np.array([held.get(int(s), 0) for s in range(len(self.hashes))], dtype=np.int64)[of]
-        median = pd.Series(counts).groupby(self.posts[:, 0]).transform("median").to_numpy() if len(counts) else counts
-        stay = np.flatnonzero(counts <= median)
+        met = pd.Series(counts, dtype="float64").where(counts > 0)
+        median = met.groupby(self.posts[:, 0]).transform("median").to_numpy()
+        stay = np.flatnonzero((counts > 0) & (counts <= median))
         kept = Seeds(self.gram, self.items, self.parts, self.part_item)
         return kept.index([(int(self.hashes[of[k]]), *self.posts[k].tolist()) for k in stay])
 
@@ -220,7 +221,7 @@ def contamination(
 
     The score is the best local alignment of the item's words in the document, as a share of the item's full score;
     pairs from ``least`` on are returned. Words are runs of letters and digits, A-Z folded. Seeds are the item's
-    ``gram``-word pieces that no more documents hold than hold its median piece; an item with fewer words has none and
+    ``gram``-word pieces that no more documents hold than hold the median of those that any holds; an item with fewer words has none and
     matches nothing. Items of over 256 words are compared in parts and score as their best part. Null texts match
     nothing; null keys are carried. Repeated rows give repeated results. Empty tables give an empty result.
     """
