@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnspark.llm.columns import least_hashed
 from tarnspark.llm.kernels import IS_SPACE, Run, runs
 
 SLOTS, WIDTH, NONZERO, REACH = 1 << 13, 32, 4, 2
@@ -202,7 +203,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality",
     vectors = word_vectors(docs, text)
     sent = spark.sparkContext.broadcast(vectors)
     open_ = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key))
-    sample = open_.select(F.col(key).alias("__key"), F.col(label).cast("double").alias("__y")).orderBy(F.xxhash64("__key"), "__y").limit(SAMPLE_ROWS)
+    sample = least_hashed(open_.select(F.col(key).alias("__key"), F.col(label).cast("double").alias("__y")), "__key", SAMPLE_ROWS)
     known = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(sample), F.col("__id") == F.col("__key"))
     rows = known.select("__y", "__text").mapInArrow(_pool(sent), "y double, x array<double>").toPandas()
     x = np.array(rows["x"].tolist()).reshape(len(rows), WIDTH + 1)
