@@ -107,7 +107,10 @@ def score_quality(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame
         F.col("__capitals").cast("long").alias("n_capitals"),
         F.col("__stops").cast("long").alias("n_stop_words"),
         F.col("__n_lines").cast("long").alias("n_lines"),
+        # Not deterministic, so that a filter on the verdict is not pushed below the counts and does not repeat them.
+        F.monotonically_increasing_id().alias("__row"),
     )
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     table = {c: F.col(c) for c in counts.columns}
-    return counts.withColumn("base_failed", failed).withColumn("kept", ~failed & compiled(rules, table))
+    kept = ~failed & compiled(rules, table) & (F.col("__row") >= 0)
+    return counts.withColumn("base_failed", failed).withColumn("kept", kept).drop("__row")
