@@ -34,7 +34,9 @@ from tarnspark.llm.store import stored
 #: Share of the hash range in the first private-shingle bound, in 1/1000.
 SLICE = 400
 #: Hashes that one bucket of the bound, and one cell of the join, may hold in a task, about.
-BUCKET_HASHES, CELL_HASHES = 1_500_000, 2_000_000
+BUCKET_HASHES, CELL_HASHES = 250_000, 2_000_000
+#: Hashes that a task gathers before it deals them out by bucket, and holders whose counts are summed in one task.
+DEAL_HASHES, PART_HOLDERS = 500_000, 20_000
 
 
 def shingle_sets(run: Run, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,18 +110,24 @@ _DEALT_ARROW = pa.schema(
 
 def _deal_texts(size: int, slice_: int, buckets: int):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, keys = [], []
+
+        def dealt() -> Iterator[pa.RecordBatch]:
+            if sum(map(len, hashes)):
+                rows = list(_dealt(np.concatenate(hashes), np.concatenate(keys), slice_, buckets))
+                hashes.clear(), keys.clear()
+                yield pa.RecordBatch.from_pylist(rows, schema=_DEALT_ARROW)
+
         for batch in batches:
-            hashes, keys = [], []
             for _, run in runs(batch.column(0)):
                 flat, bounds = shingle_sets(run, size)
                 held = np.repeat(signed(_sums(mix(flat), bounds)), np.diff(bounds))
                 low = flat <= _limit(slice_)
                 hashes.append(flat[low])
                 keys.append(held[low])
-            if sum(map(len, hashes)):
-                yield pa.RecordBatch.from_pylist(
-                    list(_dealt(np.concatenate(hashes), np.concatenate(keys), slice_, buckets)), schema=_DEALT_ARROW
-                )
+                if sum(map(len, hashes)) >= DEAL_HASHES:
+                    yield from dealt()
+        yield from dealt()
 
     return deal
 
@@ -135,30 +143,51 @@ def _deal_sets(buckets: int):
     return deal
 
 
-def _count_shared(dealt: pa.Table) -> pa.Table:
-    """How many of a bucket's hashes each holder shares with another holder."""
-    join = lambda c, t: np.frombuffer(b"".join(dealt.column(c).to_pylist()), t)
-    flat, keys = join("__hashes", np.uint64), join("__keys", np.int64)
-    order = np.argsort(flat, kind="stable")
-    flat, keys = flat[order], keys[order]
-    heads = np.flatnonzero(np.diff(flat, prepend=~flat[:1]))
-    shared = np.minimum.reduceat(keys, heads) != np.maximum.reduceat(keys, heads)
-    pick = np.repeat(shared, np.diff(np.append(heads, len(flat))))
-    flat, keys = flat[pick], keys[pick]
-    order = np.lexsort((flat, keys))
-    flat, keys = flat[order], keys[order]
-    new = np.ones(len(flat), dtype=bool)
-    new[1:] = (flat[1:] != flat[:-1]) | (keys[1:] != keys[:-1])
-    held, counts = np.unique(keys[new], return_counts=True)
-    return pa.table(
-        {"__key": np.concatenate((held, join("__done", np.int64))), "__shared": np.concatenate((counts.astype(np.int64), join("__times", np.int64)))}
-    )
-
-
-def _shared_counts(dealt: DataFrame) -> DataFrame:
+def _count_shared(parts: int):
+    """How many of a bucket's hashes each holder shares with another holder, packed by a part of the holders."""
+
+    def count(dealt: pa.Table) -> pa.Table:
+        join = lambda c, t: np.frombuffer(b"".join(dealt.column(c).to_pylist()), t)
+        flat, keys = join("__hashes", np.uint64), join("__keys", np.int64)
+        order = np.argsort(flat, kind="stable")
+        flat, keys = flat[order], keys[order]
+        heads = np.flatnonzero(np.diff(flat, prepend=~flat[:1]))
+        shared = np.minimum.reduceat(keys, heads) != np.maximum.reduceat(keys, heads)
+        pick = np.repeat(shared, np.diff(np.append(heads, len(flat))))
+        flat, keys = flat[pick], keys[pick]
+        order = np.lexsort((flat, keys))
+        flat, keys = flat[order], keys[order]
+        new = np.ones(len(flat), dtype=bool)
+        new[1:] = (flat[1:] != flat[:-1]) | (keys[1:] != keys[:-1])
+        held, counts = np.unique(keys[new], return_counts=True)
+        held, counts = np.concatenate((held, join("__done", np.int64))), np.concatenate((counts.astype(np.int64), join("__times", np.int64)))
+        part = (mix(held.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        part, held, counts = part[order], held[order], counts[order]
+        cuts = np.flatnonzero(np.diff(part, prepend=-1))
+        ends = np.append(cuts[1:], len(part))
+        return pa.table(
+            {
+                "__part": pa.array(part[cuts]), "__keys": pa.array([held[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
+                "__counts": pa.array([counts[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
+            }
+        )
+
+    return count
+
+
+def _sum_shared(packed: pa.Table) -> pa.Table:
+    join = lambda c: np.frombuffer(b"".join(packed.column(c).to_pylist()), np.int64)
+    held, back = np.unique(join("__keys"), return_inverse=True)
+    return pa.table({"__key": held, "__shared": np.bincount(back, weights=join("__counts"), minlength=len(held)).astype(np.int64)})
+
+
+def _shared_counts(dealt: DataFrame, rows: int) -> DataFrame:
+    """Shared hashes per holder; ``rows`` holders at most, which sets the number of parts they are summed in."""
+    parts = max(1, -(-rows // PART_HOLDERS))
     return (
-        dealt.groupBy("__bucket").applyInArrow(_count_shared, "__key long, __shared long")
-        .groupBy("__key").agg(F.sum("__shared").alias("__shared"))
+        dealt.groupBy("__bucket").applyInArrow(_count_shared(parts), "__part long, __keys binary, __counts binary")
+        .groupBy("__part").applyInArrow(_sum_shared, "__key long, __shared long")
     )
 
 
@@ -272,10 +301,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, key: s
     rows = docs.select(F.col(key).cast("long").alias("__id"), F.col(text).alias("__text"))
     profile = stored(rows.mapInArrow(_profile(size), "__id long, __n long, __in_slice long, __k1 long, __k2 long"), "profile")
     known = profile.where("__id is not null and __n > 0")
-    firsts = known.groupBy("__k1", "__k2", "__n", "__in_slice").agg(F.min("__id").alias("__first"))
-    total = known.agg(F.sum("__n")).first()[0] or 0
+    firsts = stored(known.groupBy("__k1", "__k2", "__n", "__in_slice").agg(F.min("__id").alias("__first")), "firsts")
+    total, holders = known.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.count(F.lit(1))).first()
     buckets = max(1, total * SLICE // 1000 // BUCKET_HASHES)
-    shared = _shared_counts(rows.where("__id is not null").select("__text").mapInArrow(_deal_texts(size, SLICE, buckets), _DEALT))
+    shared = _shared_counts(rows.where("__id is not null").select("__text").mapInArrow(_deal_texts(size, SLICE, buckets), _DEALT), holders)
     private = F.col("__in_slice") - F.coalesce("__shared", F.lit(0))
     maybe = (
         firsts.join(shared, firsts["__k1"] == shared["__key"], "left")
@@ -286,8 +315,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, key: s
         .dropDuplicates(["__id"]),
         "sets", codec="uncompressed",
     )
-    held = sets.agg(F.sum("__n")).first()[0] or 0
-    shared = _shared_counts(sets.select("__id", "__set").mapInArrow(_deal_sets(max(1, held // BUCKET_HASHES)), _DEALT))
+    held, holders = sets.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.count(F.lit(1))).first()
+    shared = _shared_counts(sets.select("__id", "__set").mapInArrow(_deal_sets(max(1, held // BUCKET_HASHES)), _DEALT), holders)
     private = F.col("__n") - F.coalesce("__shared", F.lit(0))
     close = (
         sets.select("__id", "__n").join(shared, F.col("__id") == F.col("__key"), "left")
