@@ -6,13 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnspark.llm.columns import without
 from tarnspark.llm.kernels import IS_SPACE, runs, signed
+from tarnspark.llm.store import stored
 
 _LINES = "__id long, __text_key long, __pos int, __k1 long, __k2 long"
 
@@ -94,6 +94,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, key: st
         per_doc = lines.groupBy("__k1", "__k2", "__id").agg(F.lit(1).alias("__one"))
         seen = per_doc.groupBy("__k1", "__k2").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__docs"))
         shared = seen.where(F.col("__docs") >= min_docs).drop("__docs")
+    shared = stored(shared, "shared")  # so that both sides of the join are plain shuffles and a hot line can be split
     dropped = (
         lines.join(shared, ["__k1", "__k2"]).where("__id > __first")
         .groupBy(F.col("__id").alias("__gone_id"), F.col("__text_key").alias("__gone_key"))
