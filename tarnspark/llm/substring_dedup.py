@@ -156,9 +156,11 @@ def dedup_substrings(docs: DataFrame, window: int = 50, gram: int = 25, key: str
     firsts = sketches.groupBy("__s1", "__s2").agg(F.min("__id").alias("__first"))
     seeds = sketches.select("__id", "__tk", "__s1", F.explode(F.arrays_zip("__anchors", "__places")).alias("__a"))
     seeds = seeds.select("__id", "__tk", "__s1", F.col("__a.__anchors").alias("__anchor"), F.col("__a.__places").alias("__place"))
-    shared = (
+    # Stored, so that both sides of the join are plain shuffles and a hot anchor's rows can be split over tasks.
+    shared = stored(
         seeds.groupBy("__anchor").agg(F.min("__s1").alias("__lo"), F.max("__s1").alias("__hi"))
-        .where("__lo < __hi").select("__anchor")
+        .where("__lo < __hi").select("__anchor"),
+        "shared",
     )
     hits = seeds.join(shared, "__anchor", "left_semi").groupBy("__id", "__tk").agg(F.collect_set("__place").alias("__shared"))
     plan = (
@@ -173,7 +175,9 @@ def dedup_substrings(docs: DataFrame, window: int = 50, gram: int = 25, key: str
         .mapInArrow(_extend(window, gram), "__window long, __id long, __tk int, __start int"),
         "windows",
     )
-    least = found.groupBy("__window").agg(F.min("__id").alias("__lo"), F.max("__id").alias("__hi")).where("__lo < __hi")
+    least = stored(
+        found.groupBy("__window").agg(F.min("__id").alias("__lo"), F.max("__id").alias("__hi")).where("__lo < __hi"), "least"
+    )
     gone = (
         found.join(least.select("__window", "__lo"), "__window").where("__id > __lo")
         .groupBy("__id", "__tk").agg(F.collect_set("__start").alias("__starts"))
