@@ -1,7 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman scores the pairs.
+"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman scores the pairs.
 
-The benchmark is taken in blocks of a bounded size, each broadcast and held against all documents: first to count
-how many documents hold each seed, then, with each item's rarer seeds, to align the passages around their hits.
+The benchmark is taken in blocks of a bounded size, each broadcast and held against all documents to align the
+passages around the hits of any of an item's n-grams. Frequent seeds are kept: a passage is ruled out before its
+alignment only by the words that it shares with the item, which bound the score.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,16 +73,6 @@ class Seeds:
         self.sift[(self.hashes & np.uint64(_SIFT - 1)).astype(np.int64)] = True
         return self
 
-    def rare(self, held: dict[int, int]) -> Seeds:
-        """Each part keeps the seeds that are held by no more documents than the median of its seeds that any holds."""
-        of = np.repeat(np.arange(len(self.hashes)), np.diff(self.bounds))
-        counts = np.array([held.get(int(s), 0) for s in range(len(self.hashes))], dtype=np.int64)[of]
-        met = pd.Series(counts, dtype="float64").where(counts > 0)
-        median = met.groupby(self.posts[:, 0]).transform("median").to_numpy()
-        stay = np.flatnonzero((counts > 0) & (counts <= median))
-        kept = Seeds(self.gram, self.items, self.parts, self.part_item)
-        return kept.index([(int(self.hashes[of[k]]), *self.posts[k].tolist()) for k in stay])
-
     def hits(self, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Texts, word positions and seed numbers of all seeds in a run."""
         starts, of = windows(bounds, self.gram)
@@ -117,6 +107,20 @@ def smith_waterman(part: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray,
     return best, end
 
 
+def reach(size: int, least: float) -> int:
+    """Words by which an alignment that scores ``least`` can leave the diagonal of a seed in it: it affords no more gaps."""
+    return max(0, int((1 - least) * MATCH * size / GAP))
+
+
+def shared_words(part: np.ndarray, passages: np.ndarray) -> np.ndarray:
+    """How many words of ``part`` each row of ``passages`` holds, with multiplicity: no alignment matches more."""
+    vocabulary, needed = np.unique(part, return_counts=True)
+    at = np.minimum(np.searchsorted(vocabulary, passages), len(vocabulary) - 1)
+    row, col = np.nonzero(vocabulary[at] == passages)
+    held = np.bincount(row * len(vocabulary) + at[row, col], minlength=len(passages) * len(vocabulary))
+    return np.minimum(held.reshape(len(passages), -1), needed).sum(axis=1)
+
+
 def scored(run: Run, seeds: Seeds, least: float) -> list[tuple[int, int, float, int]]:
     """(text, item, score, word where the passage ends) for each pair that reaches ``least``, at its best passage."""
     words, bounds = plain_words(run)
@@ -130,40 +134,28 @@ def scored(run: Run, seeds: Seeds, least: float) -> list[tuple[int, int, float,
     for part, tries in wanted.items():
         words_of = seeds.parts[part]
         size, step = len(words_of), max(4, len(words_of) // 2)
+        beyond = reach(size, least)
         tried = sorted(tries)
         for a in range(0, len(tried), 256):
             some = tried[a : a + 256]
-            width = size + 3 * step
+            width = size + step + 2 * beyond
             grid = np.zeros((len(some), width), dtype=np.uint64)
             begin = []
             for r, (text, cell) in enumerate(some):
-                lo = max(int(bounds[text]), int(bounds[text]) + cell * step - step)
+                lo = max(int(bounds[text]), int(bounds[text]) + cell * step - beyond)
                 piece = words[lo : min(lo + width, int(bounds[text + 1]))]
                 grid[r, : len(piece)] = piece
                 begin.append(lo - int(bounds[text]))
-            points, end = smith_waterman(words_of, grid)
-            for r in np.flatnonzero(points >= least * MATCH * size):
+            able = np.flatnonzero(shared_words(words_of, grid) >= least * size)
+            points, end = smith_waterman(words_of, grid[able])
+            for k in np.flatnonzero(points >= least * MATCH * size):
+                r = able[k]
                 pair = (some[r][0], seeds.part_item[part])
-                found = (float(points[r] / (MATCH * size)), begin[r] + int(end[r]))
+                found = (float(points[k] / (MATCH * size)), begin[r] + int(end[k]))
                 best[pair] = max(best.get(pair, (0.0, 0)), found)
     return [(t, i, *found) for (t, i), found in sorted(best.items())]
 
 
-def _count(seeds):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = seeds.value
-        total = np.zeros(len(table.hashes), dtype=np.int64)
-        for batch in batches:
-            for _, run in runs(batch.column(0)):
-                texts, _, numbers = table.hits(*plain_words(run))
-                once = np.unique(texts * len(table.hashes) + numbers)
-                np.add.at(total, once % max(1, len(table.hashes)), 1)
-        some = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(some), pa.array(total[some])], names=["seed", "held"])
-
-    return count
-
-
 def _score(seeds, least: float):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = seeds.value
@@ -197,8 +189,8 @@ def _drop(seeds, text: str, least: float):
     return drop
 
 
-def _blocks(docs: DataFrame, bench: DataFrame, gram: int, item_key: str, item_text: str, text: str) -> Iterator:
-    """Each block's rare seeds, broadcast."""
+def _blocks(docs: DataFrame, bench: DataFrame, gram: int, item_key: str, item_text: str) -> Iterator:
+    """Each block's seeds, broadcast."""
     spark = docs.sparkSession
     items = bench.where(F.col(item_text).isNotNull()).select(F.col(item_key).cast("long").alias("k"), F.col(item_text).alias("t"))
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
@@ -206,11 +198,8 @@ def _blocks(docs: DataFrame, bench: DataFrame, gram: int, item_key: str, item_te
     for b in range(count):
         block = items.where(F.pmod(F.xxhash64("t"), F.lit(count)) == b).orderBy("k", "t").collect()
         seeds = Seeds.of([(r["k"], r["t"]) for r in block], gram)
-        if not seeds.parts:
-            continue
-        sent = spark.sparkContext.broadcast(seeds)
-        held = docs.select(text).mapInArrow(_count(sent), "seed long, held long").groupBy("seed").agg(F.sum("held").alias("held"))
-        yield spark.sparkContext.broadcast(seeds.rare({r["seed"]: r["held"] for r in held.collect()}))
+        if seeds.parts:
+            yield spark.sparkContext.broadcast(seeds)
 
 
 def contamination(
@@ -220,14 +209,14 @@ def contamination(
     """One row per document and test item that a passage matches: ``key``, ``item_key``, score, end_word.
 
     The score is the best local alignment of the item's words in the document, as a share of the item's full score;
-    pairs from ``least`` on are returned. Words are runs of letters and digits, A-Z folded. Seeds are the item's
-    ``gram``-word pieces that no more documents hold than hold the median of those that any holds; an item with fewer words has none and
-    matches nothing. Items of over 256 words are compared in parts and score as their best part. Null texts match
+    pairs from ``least`` on are returned. Words are runs of letters and digits, A-Z folded. Seeds are all of
+    the item's ``gram``-word pieces, however many documents hold them; a pair without a common one is not aligned, and an item with
+    fewer words matches nothing. Items of over 256 words are compared in parts and score as their best part. Null texts match
     nothing; null keys are carried. Repeated rows give repeated results. Empty tables give an empty result.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("body"))
     found = docs.sparkSession.createDataFrame([], "doc long, item long, score double, end_word long")
-    for sent in _blocks(docs, bench, gram, item_key, item_text, text):
+    for sent in _blocks(docs, bench, gram, item_key, item_text):
         found = found.unionByName(rows.mapInArrow(_score(sent, least), found.schema))
     return found.select(F.col("doc").alias(key), F.col("item").alias(item_key), "score", "end_word")
 
@@ -237,6 +226,6 @@ def decontaminate(
 ) -> DataFrame:
     """The rows of ``docs`` that match no test item (see ``contamination``), with all their columns."""
     kept = docs
-    for sent in _blocks(docs, bench, gram, item_key, item_text, text):
+    for sent in _blocks(docs, bench, gram, item_key, item_text):
         kept = kept.mapInArrow(_drop(sent, text, least), docs.schema)
     return kept

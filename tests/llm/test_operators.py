@@ -159,6 +159,22 @@ def test_decontamination(spark, none):
     assert decontaminate(df, bench.limit(0)).count() == len(docs)
 
 
+def test_decontamination_finds_edited_copies_beside_exact_ones(spark):
+    items = [[f"i{n}w{k}" for k in range(40)] for n in range(3)]
+    text = " ".join
+    every4th = [w if k % 4 else f"x{k}" for k, w in enumerate(items[0])]
+    half = items[0][:21]
+    spread = items[2][:10] + [f"y{k}" for k in range(36)] + items[2][10:]
+    bodies = [items[0], every4th, half] * 2 + [items[1], [w if k % 4 else f"z{k}" for k, w in enumerate(items[1])], spread]
+    df = spark.createDataFrame([(i, text(b)) for i, b in enumerate(bodies)], "doc_id long, text string")
+    bench = spark.createDataFrame([(n, text(w)) for n, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in contamination(df, bench).collect()}
+    ids = lambda b: np.array([hash(w) for w in b]).astype(np.uint64)
+    whole = {(i, n): smith_waterman(ids(w), ids(b)[None])[0][0] / 80 for i, b in enumerate(bodies) for n, w in enumerate(items)}
+    assert got == {pair: score for pair, score in whole.items() if score >= 0.5} and len(got) == len(bodies)
+    assert decontaminate(df, bench).count() == 0
+
+
 def test_smith_waterman_equals_the_textbook():
     rng = np.random.default_rng(1)
     for _ in range(20):
