@@ -180,3 +180,11 @@ def _(spark, d):
     asked_ = v.where("way_id % 7 = 0").select("way_id", (F.col("seq") - 1).alias("pos"), "lng", "lat")
     graded = v.where("way_id % 11 = 0").select("way_id", "seq", "lng", "lat", (F.col("way_id") % 6 + 1).alias("grade"))
     return L.grade_match(asked_, "way_id", graded, 60, 40)
+
+
+@query("grade_match_all")
+def _(spark, d):
+    """All vertices against all ways; ``grade_match`` asks and grades some ways only, as its SQL does."""
+    v = vertices(spark, d)
+    asked_ = v.select("way_id", (F.col("seq") - 1).alias("pos"), "lng", "lat")
+    return L.grade_match(asked_, "way_id", v.select("way_id", "seq", "lng", "lat", (F.col("way_id") % 6 + 1).alias("grade")), 60, 40)

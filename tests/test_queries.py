@@ -1,13 +1,17 @@
 """Every query of the reference's operators that has SQL, against DuckDB on the smallest tables."""
 
 import decimal
+import math
 import os
+import random
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tarnspark.plans import ORACLES, QUERIES
+from tarnspark.plans.views import view
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no tables")
@@ -40,3 +44,34 @@ def test_query_equals_sql(spark, db, name):
 
 def test_every_query_is_named_once():
     assert set(ORACLES) <= set(QUERIES) and len(QUERIES) > 100
+
+
+def graded(ways, key, k, tol_m, max_deg):
+    """The grade at vertex ``k`` of a way: all segments of all ways, one by one."""
+    (lng, lat), at = ways[key][k], math.radians(1) * 6371008.8
+    flat = lambda q: ((q[0] - lng) * math.cos(math.radians(lat)) * at, (q[1] - lat) * at)
+    (bx, by), (fx, fy) = flat(ways[key][max(k - 1, 0)]), flat(ways[key][min(k + 1, len(ways[key]) - 1)])
+    heading = None if (bx, by) == (fx, fy) else math.atan2(fy - by, fx - bx)
+    met = []
+    for way, points in ways.items():
+        for (ax, ay), (cx, cy) in zip(map(flat, points), map(flat, points[1:])):
+            dx, dy = cx - ax, cy - ay
+            t = 0 if dx == dy == 0 else min(max(-(ax * dx + ay * dy) / (dx * dx + dy * dy), 0), 1)
+            turn = 0 if heading is None else abs(heading - math.atan2(dy, dx)) % math.pi
+            if math.hypot(ax + dx * t, ay + dy * t) <= tol_m and min(turn, math.pi - turn) <= math.radians(max_deg):
+                met.append((math.hypot(ax + dx * t, ay + dy * t), -(way % 6 + 1)))
+    return -min(met)[1] if met else None
+
+
+def test_grade_match_all_asks_all_vertices_of_all_ways(spark, tmp_path):
+    rng = random.Random(4)
+    day = pd.Timestamp("2020-01-01")
+    rows = [(k, n, rng.randrange(1, 12), rng.randrange(1, 12), float(n), day) for base in (1, 3601) for k in range(base, base + 14) for n in range(1, 5)]
+    names = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
+    pd.DataFrame(rows, columns=names).to_parquet(tmp_path / "lineitem.parquet", coerce_timestamps="us")
+    ways = {}
+    for r in view(spark, str(tmp_path), "way_vertices").orderBy("way_id", "seq").collect():
+        ways.setdefault(r["way_id"], []).append((r["lng"], r["lat"]))
+    got = {(r["way_id"], r["pos"]): r["grade"] for r in QUERIES["grade_match_all"](spark, str(tmp_path)).collect()}
+    assert got == {(way, k): graded(ways, way, k, 60, 40) for way in ways for k in range(len(ways[way]))}
+    assert len(got) == 28 * 4 and len(set(got.values())) > 3
