@@ -272,6 +272,13 @@ def _(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", naming.fold_text(F.substring("text", 1, 40)).alias("folded"))
 
 
+@query("fold_text_all", "SELECT doc_id, md5(folded) AS folded_md5, CAST(length(folded) AS BIGINT) AS n FROM (SELECT doc_id, trim(translate(lower(text), 'áàâäãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')) AS folded FROM documents)")
+def _(spark, d):
+    """Whole texts; ``fold_text`` folds their first 40 characters, as its SQL does."""
+    folded = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", naming.fold_text(F.col("text")).alias("folded"))
+    return folded.select("doc_id", F.md5("folded").alias("folded_md5"), F.length("folded").cast("bigint").alias("n"))
+
+
 @query("parse_latlng", P("SELECT src_ord, CASE WHEN src_ord % 3 <> 2 THEN round(lat, 4) END AS lat FROM osm_points"))
 def _(spark, d):
     pair = F.concat(F.round("lat", 4).cast("string"), F.when(F.col("src_ord") % 3 == 0, ", ").when(F.col("src_ord") % 3 == 1, " ").otherwise(" x "), F.round("lon", 4).cast("string"))

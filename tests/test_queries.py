@@ -1,6 +1,7 @@
 """Every query of the reference's operators that has SQL, against DuckDB on the smallest tables."""
 
 import decimal
+import hashlib
 import math
 import os
 import random
@@ -75,3 +76,11 @@ def test_grade_match_all_asks_all_vertices_of_all_ways(spark, tmp_path):
     got = {(r["way_id"], r["pos"]): r["grade"] for r in QUERIES["grade_match_all"](spark, str(tmp_path)).collect()}
     assert got == {(way, k): graded(ways, way, k, 60, 40) for way in ways for k in range(len(ways[way]))}
     assert len(got) == 28 * 4 and len(set(got.values())) > 3
+
+
+def test_fold_text_all_folds_whole_texts(spark, tmp_path):
+    texts = {1: "x" * 39 + "ÉÀ end ÿ ", 2: "Ä" * 5000, 3: "", 4: None, 5: " short "}
+    pd.DataFrame({"doc_id": list(texts), "text": list(texts.values())}).to_parquet(tmp_path / "documents.parquet")
+    plain_texts = {1: "x" * 39 + "ea end y", 2: "a" * 5000, 3: "", 4: None, 5: "short"}
+    want = {i: (t if t is None else hashlib.md5(t.encode()).hexdigest(), t if t is None else len(t)) for i, t in plain_texts.items()}
+    assert {r["doc_id"]: (r["folded_md5"], r["n"]) for r in QUERIES["fold_text_all"](spark, str(tmp_path)).collect()} == want
