@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tarnspark.functions import numbers
 from tarnspark.operators import aggregates, catalog, classify, lines, network, prominence, tiles
+from tarnspark.operators.ranks import positions
 from tarnspark.sources.artifacts import artifact_audit
 from tarnspark.sources.features import scan_features
 from tarnspark.sources.routes import scan_route_geojson, scan_route_xml
@@ -176,3 +177,15 @@ def test_artifact_audit(spark, tmp_path):
     (tmp_path / "a" / "b-paths.pmtiles").write_bytes(bytes(header))
     with pytest.raises(Exception, match="runs past the end"):
         artifact_audit(spark, f"file://{tmp_path}/a").collect()
+
+
+def test_positions_rank_all_rows_in_many_tasks(spark):
+    rng = random.Random(9)
+    rows = [(n, rng.choice([None, 0.5, 0.5, 0.5, rng.random()])) for n in range(6000)]
+    df = spark.createDataFrame(rows, "id long, v double").repartition(7)
+    got = [r["id"] for r in positions(df, [F.col("v"), F.col("id")]).orderBy("pos").collect()]
+    assert got == [n for n, v in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0.0, r[0]))]
+    ranked = positions(df, [F.col("v"), F.col("id")])
+    assert ranked.select("pos").distinct().count() == 6000 and "SinglePartition" not in ranked._jdf.queryExecution().executedPlan().toString()
+    for few in (0, 1, 21):
+        assert sorted(r["pos"] for r in positions(df.where(F.col("id") < few), [F.col("id")]).collect()) == list(range(1, few + 1))

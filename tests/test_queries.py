@@ -84,3 +84,10 @@ def test_fold_text_all_folds_whole_texts(spark, tmp_path):
     plain_texts = {1: "x" * 39 + "ea end y", 2: "a" * 5000, 3: "", 4: None, 5: "short"}
     want = {i: (t if t is None else hashlib.md5(t.encode()).hexdigest(), t if t is None else len(t)) for i, t in plain_texts.items()}
     assert {r["doc_id"]: (r["folded_md5"], r["n"]) for r in QUERIES["fold_text_all"](spark, str(tmp_path)).collect()} == want
+
+
+def test_parking_order_all_numbers_every_lot(spark, tmp_path):
+    pd.DataFrame({"c_custkey": range(1, 1201), "c_name": [f"Customer#{k:09}" for k in range(1, 1201)]}).to_parquet(tmp_path / "customer.parquet")
+    key = lambda k: ((2 if k % 5 == 0 else 0) + (1 if k % 6 == 1 else 0) - (k % 900) / (k % 900 + 500), k)
+    got = [r["src_ord"] for r in QUERIES["parking_order_all"](spark, str(tmp_path)).orderBy("pos").collect()]
+    assert got == sorted(range(1, 1201), key=key)
