@@ -91,3 +91,15 @@ def test_parking_order_all_numbers_every_lot(spark, tmp_path):
     key = lambda k: ((2 if k % 5 == 0 else 0) + (1 if k % 6 == 1 else 0) - (k % 900) / (k % 900 + 500), k)
     got = [r["src_ord"] for r in QUERIES["parking_order_all"](spark, str(tmp_path)).orderBy("pos").collect()]
     assert got == sorted(range(1, 1201), key=key)
+
+
+def test_place_queries_take_all_rows(spark):
+    con = duckdb.connect()
+    n = con.execute(f"SELECT count(*), count(*) FILTER (c_custkey % 50 = 0) FROM '{FOLDER}/customer.parquet'").fetchone()
+    snapped = QUERIES["line_snap_all"](spark, FOLDER).where("pos = 1").collect()
+    assert len(snapped) == n[0] and all(r["src_ord"] == r["node_id"] for r in snapped)
+    asked = {name: QUERIES[name](spark, FOLDER).select("query_id").distinct().count() for name in ("place_search_all", "search_merge_all")}
+    assert asked == {"place_search_all": n[1], "search_merge_all": n[1]}
+    built = con.execute(f"SELECT count(DISTINCT p_partkey % 25) FROM '{FOLDER}/part.parquet' WHERE p_partkey % 4 = 0").fetchone()[0]
+    left = QUERIES["remaining_bytes_all"](spark, FOLDER).first()["gb"]
+    assert (left == 0) == (built == 25) and left < QUERIES["remaining_bytes"](spark, FOLDER).first()["gb"]
