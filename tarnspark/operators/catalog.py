@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnspark.functions.naming import artifact_kind, region_id_of
+from tarnspark.operators.ranks import positions
 
 EARLIER = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
 
@@ -236,7 +237,7 @@ def region_ids(boxes: DataFrame, area: str, suffix: Column) -> DataFrame:
 
 def catalog_report(regions: DataFrame) -> DataFrame:
     """Regions, projected bytes, the median (element n/2 of the sorted sizes) and the ten largest: metric, key, value."""
-    ranked = regions.withColumn("__r", F.row_number().over(Window.orderBy("bytes", "region_id")))
+    ranked = positions(regions, [F.col("bytes"), F.col("region_id")], "__r")
     total = regions.agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b"))
     stats = total.select(F.explode(F.array(F.struct(F.lit("regions").alias("metric"), F.lit("").alias("key"), F.col("n").alias("value")), F.struct(F.lit("total").alias("metric"), F.lit("").alias("key"), F.col("b").alias("value")))).alias("r")).select("r.*")
     middle = ranked.join(F.broadcast(total), F.col("__r") == F.floor(F.col("n") / 2) + 1).select(F.lit("median").alias("metric"), F.lit("").alias("key"), F.col("bytes").alias("value"))

@@ -11,9 +11,9 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tarnspark.operators.network import connected_components
+from tarnspark.operators.ranks import positions
 from tarnspark.scratch import stored
 
 NO_DATA = -1000
@@ -84,7 +84,7 @@ def prominence(snapped: DataFrame, dem: DataFrame, step: float = 20.0, floor: fl
 def prominence_report(scores: DataFrame) -> DataFrame:
     """Scored peaks, the highest, and the elements n/2 and n/10 of the descending list."""
     total = scores.agg(F.count(F.lit(1)).alias("n"), F.max("prom").alias("max"))
-    ranked = scores.withColumn("r", F.row_number().over(Window.orderBy(F.desc("prom"), "peak_id")) - 1)
+    ranked = positions(scores, [F.col("prom").isNull(), -F.col("prom"), F.col("peak_id")], "r").withColumn("r", F.col("r") - 1)
     picked = ranked.crossJoin(F.broadcast(total)).groupBy("n", "max").agg(
         F.max(F.when(F.col("r") == F.floor(F.col("n") / 2), F.col("prom"))).alias("median"), F.max(F.when(F.col("r") == F.floor(F.col("n") / 10), F.col("prom"))).alias("p90")
     )

@@ -189,3 +189,15 @@ def test_positions_rank_all_rows_in_many_tasks(spark):
     assert ranked.select("pos").distinct().count() == 6000 and "SinglePartition" not in ranked._jdf.queryExecution().executedPlan().toString()
     for few in (0, 1, 21):
         assert sorted(r["pos"] for r in positions(df.where(F.col("id") < few), [F.col("id")]).collect()) == list(range(1, few + 1))
+
+
+def test_reports_rank_in_many_tasks(spark):
+    scores = spark.createDataFrame([(n, float(n * 37 % 90)) for n in range(3000)], "peak_id long, prom double")
+    regions = spark.createDataFrame([(f"r{n}", n * 37 % 90) for n in range(3000)], "region_id string, bytes long")
+    out = prominence.prominence_report(scores), catalog.catalog_report(regions)
+    for df in out:
+        ranks = [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Window [row_number" in line]
+        assert ranks and all("windowspecdefinition(__range" in line for line in ranks)
+    want = sorted((float(n * 37 % 90) for n in range(3000)), reverse=True)
+    assert tuple(out[0].select("n", "max", "median", "p90").first()) == (3000, 89.0, want[1500], want[300])
+    assert {r["metric"]: r["value"] for r in out[1].collect()}["median"] == want[::-1][1500]
