@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnspark.functions.geo import haversine_m
-from tarnspark.operators.classify import lookup
+from tarnspark.operators.components import least_roots
 from tarnspark.operators.spatial import line_snap
 from tarnspark.scratch import stored
 
@@ -15,7 +15,6 @@ from tarnspark.scratch import stored
 WALKING_COST = {
     "path": 1.0, "footway": 1.0, "track": 1.0, "bridleway": 1.0, "cycleway": 1.05, "steps": 1.35, "minor_road": 1.2, "medium_road": 1.6, "major_road": 2.2,
 }
-MAX_ROUNDS = 60
 
 
 def edge_build(vertices: DataFrame) -> DataFrame:
@@ -30,23 +29,9 @@ def edge_build(vertices: DataFrame) -> DataFrame:
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``node_id`` and component, the least node it reaches; nodes without edges are their own.
-
-    Labels spread to neighbours and then jump to their label's label, so long chains settle in few rounds. Each round is
-    written to the shared folder.
-    """
-    links = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
-    now = stored(nodes.select("node_id", F.col("node_id").alias("component")).distinct(), "labels")
-    for _ in range(MAX_ROUNDS):
-        heard = links.join(now.select(F.col("node_id").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("node_id")).agg(F.min("c").alias("c"))
-        spread = now.join(heard, "node_id", "left").select("node_id", F.col("component").alias("old"), F.least("component", F.coalesce("c", "component")).alias("component"))
-        spread = stored(spread, "labels")
-        jump = spread.select(F.col("node_id").alias("component"), F.col("component").alias("j"))
-        after = stored(spread.join(jump, "component").select("node_id", "old", F.col("j").alias("component")), "labels")
-        if not after.where("old <> component").limit(1).count():
-            return after.select("node_id", "component")
-        now = after.select("node_id", "component")
-    raise RuntimeError("components did not settle")
+    """``node_id`` and component, the least node it reaches; nodes without edges are their own."""
+    roots = least_roots(edges, "a", "b")
+    return nodes.select("node_id").distinct().join(roots, F.col("node_id") == F.col("node"), "left").select("node_id", F.coalesce("root", "node_id").alias("component"))
 
 
 def node_merge(vertices: DataFrame, tol: int = 2) -> DataFrame:
@@ -66,62 +51,39 @@ def node_merge(vertices: DataFrame, tol: int = 2) -> DataFrame:
     return vertices.join(named, ["gx", "gy"])
 
 
-def gap_bridge(nodes: DataFrame, edges: DataFrame, max_m: float = 20.0, k: int = 6, max_rounds: int = 12) -> DataFrame:
+def gap_bridge(nodes: DataFrame, edges: DataFrame, max_m: float = 20.0, k: int = 6) -> DataFrame:
     """Edges and bridges of kind ``gap``: each dead end to its nearest node, of the ``k`` nearest, in another component.
 
-    Proposals are made together, and each component accepts the one of its lowest dead end; then components are taken anew,
-    until nothing is proposed.
-    """
-    found = edges
-    for _ in range(max_rounds):
-        parts = connected_components(nodes, found)
-        ends = found.select(F.explode(F.array("a", "b")).alias("node_id")).groupBy("node_id").count().where("count = 1").select("node_id")
-        loose = ends.join(nodes, "node_id").select(F.col("node_id").alias("end_id"), "lng", "lat")
-        near = line_snap(loose, "end_id", nodes, max_m, k)
-        mine = parts.select(F.col("node_id").alias("end_id"), F.col("component").alias("ce"))
-        apart = near.join(parts, "node_id").join(mine, "end_id").where("component <> ce")
-        wish = apart.groupBy("end_id").agg(F.min_by(F.struct("node_id", "distance_m", "component", "ce"), "pos").alias("r")).select("end_id", "r.*")
-        sides = wish.select("end_id", "node_id", "distance_m", F.explode(F.array("component", "ce")).alias("c"))
-        first = sides.groupBy("c").agg(F.min("end_id").alias("end_id"))
-        taken = sides.join(first, ["c", "end_id"]).groupBy("end_id", "node_id").agg(F.count(F.lit(1)).alias("n"), F.first("distance_m").alias("length_m")).where("n = 2")
-        taken = stored(taken.select(F.least("end_id", "node_id").alias("a"), F.greatest("end_id", "node_id").alias("b"), "length_m", F.lit("gap").alias("kind")), "gaps")
-        if not taken.limit(1).count():
-            return found
-        found = stored(found.select("a", "b", "length_m", "kind").unionByName(taken), "edges")
-    raise RuntimeError("gaps did not close")
-
-
-def least_cost_path(legs: DataFrame, nodes: DataFrame, edges: DataFrame, snap_m: float = 250.0, snaps: int = 8, max_rounds: int = 400) -> DataFrame:
-    """For each leg (leg_id, from_lng, from_lat, to_lng, to_lat): cost, length in metres, and the nodes in order; null if none.
-
-    Both ends snap to their nearest nodes; starts without an end in their component are dropped. Cost is snap, weighted
-    edges, snap. All legs advance together: one round relaxes every leg's frontier by a join with the edges.
+    Ends propose together. Each component takes the proposal of its lowest end among those that touch it, so that what is
+    taken is a forest; then the components join, ends that have a bridge are done, and the others propose anew to what is
+    still apart. An end at which a lower one aims waits. Bridges thus follow the order of the ends within a component and
+    its neighbours. Taking all ends one by one in their order differs only where an end moves on to a farther candidate
+    whose component has meanwhile, by a higher end, been joined to its own.
     """
-    weight = F.coalesce(lookup(F.col("kind"), WALKING_COST), F.lit(1.5))
-    arcs = edges.select("a", "b", "length_m", (F.col("length_m") * weight).alias("w"))
-    arcs = stored(arcs.unionByName(arcs.select(F.col("b").alias("a"), F.col("a").alias("b"), "length_m", "w")), "arcs")
+    found = edges.select("a", "b", "length_m", "kind")
+    ends = found.select(F.explode(F.array("a", "b")).alias("node_id")).groupBy("node_id").count().where("count = 1").select("node_id")
+    loose = ends.join(nodes, "node_id").select(F.col("node_id").alias("end_id"), "lng", "lat")
     parts = connected_components(nodes, edges)
-    end = lambda p: line_snap(legs.select("leg_id", F.col(f"{p}_lng").alias("lng"), F.col(f"{p}_lat").alias("lat")), "leg_id", nodes, snap_m, snaps).join(parts, "node_id")
-    goals = stored(end("to").select("leg_id", "component", F.col("node_id").alias("goal"), F.col("distance_m").alias("last")), "goals")
-    start = end("from").join(goals.select("leg_id", "component").distinct(), ["leg_id", "component"])
-    reached = stored(start.select("leg_id", "node_id", F.col("distance_m").alias("cost"), F.lit(0.0).alias("length"), F.array("node_id").alias("way")), "reached")
-    frontier = reached
-    for _ in range(max_rounds):
-        bound = goals.join(reached, (goals["leg_id"] == reached["leg_id"]) & (F.col("goal") == F.col("node_id"))).groupBy(goals["leg_id"]).agg(F.min(F.col("cost") + F.col("last")).alias("bound"))
-        step = frontier.join(arcs, F.col("node_id") == F.col("a")).select("leg_id", F.col("b").alias("node_id"), (F.col("cost") + F.col("w")).alias("cost"), (F.col("length") + F.col("length_m")).alias("length"), F.array_append("way", F.col("b")).alias("way"))
-        step = step.join(bound, "leg_id", "left").where("bound is null or cost < bound").drop("bound")
-        best = step.groupBy("leg_id", "node_id").agg(F.min_by(F.struct("cost", "length", "way"), F.struct("cost", "length", "way")).alias("r")).select("leg_id", "node_id", "r.*")
-        known = reached.select("leg_id", "node_id", F.col("cost").alias("had"))
-        frontier = stored(best.join(known, ["leg_id", "node_id"], "left").where("had is null or cost < had - 1e-9").drop("had"), "frontier")
-        if not frontier.limit(1).count():
-            break
-        kept = reached.join(frontier.select("leg_id", "node_id"), ["leg_id", "node_id"], "left_anti")
-        reached = stored(kept.unionByName(frontier), "reached")
-    else:
-        raise RuntimeError("a leg did not settle")
-    done = goals.join(reached, (goals["leg_id"] == reached["leg_id"]) & (F.col("goal") == F.col("node_id"))).select(goals["leg_id"], (F.col("cost") + F.col("last")).alias("cost"), "length", "way")
-    found = done.groupBy("leg_id").agg(F.min_by(F.struct("cost", "length", "way"), F.struct("cost", "way")).alias("r")).select("leg_id", "r.*")
-    return legs.select("leg_id").join(found, "leg_id", "left")
+    near = line_snap(loose, "end_id", nodes, max_m, k).join(parts.select("node_id", F.col("component").alias("cn")), "node_id")
+    near = near.join(parts.select(F.col("node_id").alias("end_id"), F.col("component").alias("ce")), "end_id")
+    open_ = stored(near.where("cn <> ce").select("end_id", "node_id", "distance_m", "pos", "ce", "cn"), "open")
+    taken = []
+    while open_.limit(1).count():
+        first = open_.groupBy("end_id").agg(F.min_by(F.struct("node_id", "distance_m", "ce", "cn"), "pos").alias("r")).select("end_id", "r.*")
+        aimed = first.groupBy(F.col("node_id").alias("end_id")).agg(F.min("end_id").alias("by"))
+        free = first.join(aimed, "end_id", "left").where("by is null or by > end_id").drop("by")
+        chosen = free.select("end_id", F.explode(F.array("ce", "cn")).alias("c")).groupBy("c").agg(F.min("end_id").alias("end_id")).select("end_id").distinct()
+        bridges = stored(free.join(chosen, "end_id", "left_semi"), "bridges")
+        taken.append(bridges)
+        joined = least_roots(bridges, "ce", "cn")
+        root = lambda c: joined.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+        done = bridges.select(F.explode(F.array("end_id", "node_id")).alias("end_id")).distinct()
+        rest = open_.join(done, "end_id", "left_anti").join(root("ce"), "ce", "left").join(root("cn"), "cn", "left")
+        rest = rest.select("end_id", "node_id", "distance_m", "pos", F.coalesce("rce", "ce").alias("ce"), F.coalesce("rcn", "cn").alias("cn")).where("cn <> ce")
+        open_ = stored(rest, "open", after=(open_,))
+    for bridges in taken:
+        found = found.unionByName(bridges.select(F.least("end_id", "node_id").alias("a"), F.greatest("end_id", "node_id").alias("b"), F.col("distance_m").alias("length_m"), F.lit("gap").alias("kind")))
+    return found
 
 
 def leg_fallback(legs: DataFrame, paths: DataFrame, covered: DataFrame, max_tiles: int = 1024) -> DataFrame:

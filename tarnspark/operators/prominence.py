@@ -1,8 +1,11 @@
 """Prominence of summits from a raster.
 
 A peak's key saddle is the best of all ways to any better-ranked peak, a way counting by its lowest cell. Cells join in
-steps of a threshold grid, so only the first threshold at or below the saddle matters. Thresholds are walked from the top:
-at each, the cells at or above it form components, and a peak in a component with a better one has its answer.
+steps of a threshold grid, so only the first threshold at or below the saddle matters. The saddles come from a forest of
+best links: areas start as single cells, and each looks at its best link to another area. An area without a peak joins that
+neighbour. An area whose best link leads to a higher peak than its own has found its peak's saddle, for all its other
+links are no better, and joins too. Areas whose best link leads to a lower peak wait until that peak has joined. So the
+rounds do not follow the number of thresholds but how deep areas wait for each other.
 """
 
 from __future__ import annotations
@@ -12,9 +15,9 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnspark.operators.network import connected_components
+from tarnspark.operators.components import tree_roots
 from tarnspark.operators.ranks import positions
-from tarnspark.scratch import stored
+from tarnspark.scratch import forget, stored
 
 NO_DATA = -1000
 
@@ -25,60 +28,62 @@ def threshold_grid(low: float, high: float, step: float, floor: float) -> list[f
     return [start - k * step for k in range(max(0, math.ceil((start - stop) / step)))]
 
 
+def _links(grid: DataFrame, width: int, least: float) -> DataFrame:
+    """Neighbouring cells u < v and the threshold t, above ``least``, at which both are in."""
+    beside = lambda step: grid.select((F.col("cell") + step).alias("v"), F.col("cell").alias("u"), F.col("band").alias("ub"), "col")
+    steps = beside(1).where(F.col("col") < width - 1).unionByName(beside(width))
+    t = F.least("ub", "vb")
+    return steps.join(grid.select(F.col("cell").alias("v"), F.col("band").alias("vb")), "v").select("u", "v", t.alias("t")).where(F.col("t") > least)
+
+
 def prominence(snapped: DataFrame, dem: DataFrame, step: float = 20.0, floor: float = 0.0) -> DataFrame:
     """peak_id and prom for peaks (peak_id, row, col, ele) on a raster (row, col, z); the rank is height, then peak_id.
 
-    At each threshold only new cells and the components they join are worked on: a component is a node that keeps its best
-    peak, and the new cells' links are contracted into it. A peak that never meets a better one has its height over the
-    lowest cell.
+    A peak that never meets a better one has its height over the lowest cell; so has a peak outside the raster. Of peaks on
+    one cell all but the best meet it at the cell's own threshold. A raster without heights gives nulls.
     """
     cells = dem.where(F.col("z") > NO_DATA)
-    low, high = cells.agg(F.min("z"), F.max("z")).first()
+    low, width = cells.agg(F.min("z"), F.max("col") + 1).first()
     if low is None:
         return snapped.select("peak_id", F.lit(None).cast("double").alias("prom"))
-    band = F.floor(F.col("z") / step) * step
-    width = dem.agg(F.max("col")).first()[0] + 1
-    ident = lambda r, c: (r.cast("bigint") * width + c)
-    grid = stored(cells.select(ident(F.col("row"), F.col("col")).alias("cell"), band.alias("band"), "row", "col"), "grid")
-    # A link between neighbours opens at the lower one's band.
-    here = grid.select("cell", "band")
-    right = grid.select(ident(F.col("row"), F.col("col") + 1).alias("cell"), F.col("cell").alias("u"), F.col("band").alias("ub"))
-    down = grid.where(f"col < {width}").select(ident(F.col("row") + 1, F.col("col")).alias("cell"), F.col("cell").alias("u"), F.col("band").alias("ub"))
-    edge = grid.where(f"col < {width - 1}").select("cell")
-    links = right.join(edge.select(F.col("cell").alias("u")), "u", "left_semi").unionByName(down.select(*right.columns)).join(here, "cell")
-    links = stored(links.select("u", F.col("cell").alias("v"), F.least("ub", "band").alias("t")), "links")
+    ident = F.col("row").cast("bigint") * width + F.col("col")
+    grid = stored(cells.select(ident.alias("cell"), "col", (F.floor(F.col("z") / step) * step).cast("double").alias("band")), "grid")
+    least = max(floor, float(low)) - step
     rank = F.struct(F.col("ele").alias("ele"), (-F.col("peak_id")).alias("tie"))
-    # Of peaks on one cell all but the best meet it at the cell's own threshold.
-    peaks = stored(snapped.select("peak_id", F.col("ele").cast("double").alias("ele"), ident(F.col("row"), F.col("col")).alias("cell"), rank.alias("rank")), "peaks")
-    label, done = None, None
-    for t in threshold_grid(float(low), float(high), step, floor):
-        fresh = links.where(F.col("t") == t)
-        if label is None:
-            a, b = F.col("u"), F.col("v")
-            new = fresh.select(a.alias("a"), b.alias("b"))
-            old = None
-        else:
-            name = lambda c: label.select(F.col("cell").alias(c), F.col("root").alias(f"r{c}"))
-            new = fresh.join(name("u"), "u", "left").join(name("v"), "v", "left").select(F.coalesce("ru", "u").alias("a"), F.coalesce("rv", "v").alias("b")).where("a <> b").distinct()
-            old = label
-        nodes = new.select(F.explode(F.array("a", "b")).alias("node_id")).distinct()
-        roots = connected_components(nodes, new).select(F.col("node_id").alias("n"), F.col("component"))
-        opened = grid.where(F.col("band") == t)
-        current = opened.select("cell", F.col("cell").alias("root"))
-        if old is not None:
-            current = old.unionByName(current)
-        label = stored(current.join(roots, current["root"] == roots["n"], "left").select("cell", F.coalesce("component", "root").alias("root")), "label")
-        placed = peaks.join(label, "cell")
-        tops = placed.groupBy("root").agg(F.max("rank").alias("top"))
-        beaten = placed.join(tops, "root").where(F.col("rank") < F.col("top")).select("peak_id", F.round(F.greatest(F.lit(0.0), F.col("ele") - t), 1).alias("prom"))
-        if done is not None:
-            beaten = beaten.join(done.select("peak_id"), "peak_id", "left_anti")
-            done = done.unionByName(beaten)
-        else:
-            done = beaten
-        done = stored(done, "done")
-    never = peaks.join(done.select("peak_id"), "peak_id", "left_anti").select("peak_id", F.round(F.col("ele") - float(low), 1).alias("prom"))
-    return done.unionByName(never)
+    inside = F.col("row").isNotNull() & F.col("col").between(0, width - 1)
+    peaks = snapped.select("peak_id", F.col("ele").cast("double").alias("ele"), F.when(inside, ident).alias("cell")).withColumn("rank", rank)
+    peaks = stored(peaks.join(grid.select("cell", "band"), "cell", "left"), "peaks")
+    tops = stored(peaks.where("band is not null").groupBy(F.col("cell").alias("area")).agg(F.max("rank").alias("top")), "tops")
+    beside = peaks.join(tops, F.col("cell") == F.col("area")).where("rank < top").select("peak_id", F.col("band").alias("saddle"))
+    saddles = [stored(beside.where(F.col("saddle") > least), "beside")]
+    links = stored(_links(grid, width, least), "links")
+    while links.limit(1).count():
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"), "t"))
+        top = lambda c: tops.select(F.col("area").alias(c), F.col("top").alias(f"{c}_top"))
+        both = both.join(top("u"), "u", "left").join(top("v"), "v", "left")
+        best = both.groupBy("u").agg(
+            F.first("u_top").alias("top"), F.max("t").alias("t"),
+            F.max_by("v", F.struct("t", -F.least("u", "v"), -F.greatest("u", "v"))).alias("any"),
+            F.max_by(F.struct("v", F.col("v_top").alias("top")), F.struct("t", "v_top")).alias("high"),
+        )
+        onward = F.when(F.col("top").isNull(), F.col("any")).when(F.col("high.top") > F.col("top"), F.col("high.v"))
+        joins = stored(best.select(F.col("u").alias("node"), onward.alias("parent"), "top", "t").where("parent is not null"), "joins")
+        saddles.append(joins.where("top is not null").select((-F.col("top.tie")).alias("peak_id"), F.col("t").alias("saddle")))
+        # Two areas without a peak may choose each other: the lesser one stays.
+        mutual = joins.select(F.col("node").alias("parent"), F.col("parent").alias("back"))
+        tree = joins.join(mutual, "parent", "left").where("back is null or back <> node or node > parent").select("node", "parent")
+        roots = tree_roots(tree)
+        tops = stored(tops.join(joins.select(F.col("node").alias("area")), "area", "left_anti"), "tops", after=(tops,))
+        name = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+        moved = links.join(name("u"), "u", "left").join(name("v"), "v", "left").select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v"), "t").where("u <> v")
+        merged = moved.groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.max("t").alias("t")).select(F.col("a").alias("u"), F.col("b").alias("v"), "t")
+        links = stored(merged, "links", after=(links,))
+    forget(tops, links)
+    known = saddles[0]
+    for more in saddles[1:]:
+        known = known.unionByName(more)
+    height = F.when(F.col("saddle").isNull(), F.col("ele") - float(low)).otherwise(F.greatest(F.lit(0.0), F.col("ele") - F.col("saddle")))
+    return peaks.join(known, "peak_id", "left").select("peak_id", F.round(height, 1).alias("prom"))
 
 
 def prominence_report(scores: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnspark.operators import network as N
+from tarnspark.operators import paths
 from tarnspark.operators import prominence as P
 from tarnspark.operators import raster as R
 from tarnspark.operators.lines import segments
@@ -58,8 +59,8 @@ def tapped(spark, d):
 @query("least_cost_path")
 def _(spark, d):
     nodes, edges = network(spark, d)
-    out = N.least_cost_path(tapped(spark, d), nodes, edges, 1.0, 1)
-    return out.select("leg_id", F.round("cost", 3).alias("cost"), F.round("length", 3).alias("length_m"), F.size("way").cast("bigint").alias("n"))
+    out = paths.least_cost_path(tapped(spark, d), nodes, edges)
+    return out.select("leg_id", F.round("cost", 3).alias("cost"), F.round("length", 3).alias("length_m"), F.size("way").cast("bigint").alias("n"), "reason")
 
 
 @query("leg_fallback", V("SELECT DISTINCT way_id AS leg_id, CASE WHEN way_id % 5 = 0 OR way_id % 7 = 0 OR way_id % 11 = 0 OR way_id % 13 = 0 THEN 'straight' ELSE 'path' END AS kind, CASE WHEN way_id % 5 = 0 THEN 'freehand' WHEN way_id % 7 = 0 THEN 'no_region' WHEN way_id % 11 = 0 THEN 'too_long' WHEN way_id % 13 = 0 THEN 'no_path' END AS reason FROM way_vertices"))

@@ -1,5 +1,7 @@
 """Operators that SQL cannot express, and edge cases, against plain Python."""
 
+import heapq
+import math
 import random
 import struct
 
@@ -7,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnspark.functions import numbers
-from tarnspark.operators import aggregates, catalog, classify, lines, network, prominence, tiles
+from tarnspark.operators import aggregates, catalog, classify, lines, network, paths, prominence, tiles
+from tarnspark.operators.components import least_roots
 from tarnspark.operators.ranks import positions
 from tarnspark.sources.artifacts import artifact_audit
 from tarnspark.sources.features import scan_features
@@ -81,12 +84,139 @@ def test_network(spark):
     joined = network.gap_bridge(nodes, edges, 20.0)
     assert [(r["a"], r["b"]) for r in joined.where("kind = 'gap'").collect()] == [(3, 4)]
     legs = spark.createDataFrame([(1, 0.0, 0.0, 0.003, 0.0), (2, 0.0, 0.0, 9.0, 9.0)], "leg_id long, from_lng double, from_lat double, to_lng double, to_lat double")
-    got = {r["leg_id"]: r["way"] for r in network.least_cost_path(legs, nodes, joined, 5.0, 1).collect()}
+    got = {r["leg_id"]: r["way"] for r in paths.least_cost_path(legs, nodes, joined, 5.0, 1).collect()}
     assert got == {1: [1, 2, 6, 3, 4, 5], 2: None}
-    split = {r["leg_id"]: r["way"] for r in network.least_cost_path(legs, nodes, edges, 5.0, 1).collect()}
+    split = {r["leg_id"]: r["way"] for r in paths.least_cost_path(legs, nodes, edges, 5.0, 1).collect()}
     assert split == {1: None, 2: None}
 
 
+def test_a_long_chain_settles_in_few_rounds(spark, monkeypatch):
+    from tarnspark.operators import components
+
+    rounds = []
+    kept = components.stored
+    monkeypatch.setattr(components, "stored", lambda *a, **k: rounds.append(1) or kept(*a, **k))
+    ids = [0, *range(10_000, 0, -1)]
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")
+    roots = least_roots(edges, "a", "b")
+    assert roots.count() == 10_000 and {r["root"] for r in roots.select("root").distinct().collect()} == {0} and len(rounds) <= 21
+
+
+def one_by_one(nodes, edges, max_m, k):
+    """Dead ends in order, each to the first of its nearest nodes that is still apart."""
+    part, links = {n: n for n in nodes}, {n: 0 for n in nodes}
+
+    def root(n):
+        while part[n] != n:
+            n = part[n]
+        return n
+
+    for a, b in edges:
+        part[root(a)] = root(b)
+        links[a] += 1
+        links[b] += 1
+    away = lambda a, b: 6371008.8 * math.hypot(math.radians(nodes[a][0] - nodes[b][0]), math.radians(nodes[a][1] - nodes[b][1]))
+    found = []
+    for end in sorted(n for n in nodes if links[n] == 1):
+        near = sorted((away(end, n), n) for n in nodes if away(end, n) <= max_m)[:k]
+        to = next((n for _, n in near if root(n) != root(end)), None)
+        if links[end] == 1 and to is not None:
+            part[root(end)] = root(to)
+            links[end] += 1
+            links[to] += 1
+            found.append((min(end, to), max(end, to)))
+    return sorted(found)
+
+
+def test_gap_bridge_takes_a_thousand_stubs_at_once(spark):
+    nodes, edges = {}, []
+    for k in range(1000):  # a line along the equator, and a stub of two nodes ten metres beside each vertex
+        nodes[k] = (k * 1e-3, 0.0)
+        nodes[5000 + 2 * k], nodes[5001 + 2 * k] = (k * 1e-3, 9e-5), (k * 1e-3, 9e-4)
+        edges += [(5000 + 2 * k, 5001 + 2 * k)] + ([(k - 1, k)] if k else [])
+    for k in range(4):  # dashes in a row, each a gap from the next
+        nodes[9000 + 2 * k], nodes[9001 + 2 * k] = (k * 1e-3, 1.0), (k * 1e-3 + 9e-4, 1.0)
+        edges.append((9000 + 2 * k, 9001 + 2 * k))
+    n = spark.createDataFrame([(k, *v) for k, v in nodes.items()], "node_id long, lng double, lat double")
+    e = spark.createDataFrame([(a, b, 1.0, "path") for a, b in edges], "a long, b long, length_m double, kind string")
+    got = sorted((r["a"], r["b"]) for r in network.gap_bridge(n, e).where("kind = 'gap'").collect())
+    assert got == one_by_one(nodes, edges, 20.0, 6) and len(got) == 1003
+
+
+def test_gap_bridge_closes_what_the_sequential_way_closes(spark):
+    rng = random.Random(12)
+    nodes = {n: (rng.randrange(60) * 1e-4, rng.randrange(60) * 1e-4) for n in range(120)}
+    edges = [(n, n + 1) for n in range(0, 120, 2) if nodes[n] != nodes[n + 1]]
+    n = spark.createDataFrame([(k, *v) for k, v in nodes.items()], "node_id long, lng double, lat double")
+    e = spark.createDataFrame([(a, b, 1.0, "path") for a, b in edges], "a long, b long, length_m double, kind string")
+    got = sorted((r["a"], r["b"]) for r in network.gap_bridge(n, e, 40.0).where("kind = 'gap'").collect())
+    want = one_by_one(nodes, edges, 40.0, 6)
+    assert len(set(got) & set(want)) >= 0.8 * len(want) and abs(len(got) - len(want)) <= 0.1 * len(want)
+
+
+def cheapest(nodes, edges, start, goal):
+    """Dijkstra over (a, b, metres, weight) with the cost of the snaps at both ends."""
+    best, heap = {}, [(d, n, 0.0, (n,)) for n, d in start.items()]
+    heapq.heapify(heap)
+    ends = []
+    while heap:
+        cost, n, metres, way = heapq.heappop(heap)
+        if n in best:
+            continue
+        best[n] = cost
+        if n in goal:
+            ends.append((cost + goal[n], metres, way))
+        for a, b, m, w in edges.get(n, ()):
+            heapq.heappush(heap, (cost + w, b, metres + m, (*way, b)))
+    return min(ends, default=None)
+
+
+def test_least_cost_paths_equal_dijkstra(spark):
+    rng = random.Random(21)
+    nodes = {n: (rng.random() * 0.2, rng.random() * 0.2) for n in range(250)}
+    metres = lambda a, b: 6371008.8 * 2 * math.asin(math.sqrt(math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[0] - a[0]) / 2) ** 2))
+    rows, out_of = [], {}
+    for a in nodes:
+        for b in sorted(nodes, key=lambda b: math.dist(nodes[a], nodes[b]))[1:4]:
+            kind = rng.choice(["path", "steps", "medium_road", "other"])
+            if a < b and a % 17:
+                m = metres(nodes[a], nodes[b])
+                rows.append((a, b, m, kind))
+                w = m * network.WALKING_COST.get(kind, 1.5)
+                out_of.setdefault(a, []).append((a, b, m, w))
+                out_of.setdefault(b, []).append((b, a, m, w))
+    places = [(rng.random() * 0.2, rng.random() * 0.2) for _ in range(24)] + [(50.0, 50.0), (0.1, 0.1)]
+    legs = [(i, *places[i], *places[i + 1]) for i in range(len(places) - 1)]
+    got = paths.least_cost_path(
+        spark.createDataFrame(legs, "leg_id long, from_lng double, from_lat double, to_lng double, to_lat double"),
+        spark.createDataFrame([(k, *v) for k, v in nodes.items()], "node_id long, lng double, lat double"),
+        spark.createDataFrame(rows, "a long, b long, length_m double, kind string"), 2500.0, 3, pad_share=100.0,
+    ).collect()
+    seen = set()
+    for r in got:
+        _, *ends = legs[r["leg_id"]]
+        snap = lambda p: dict(sorted(((n, metres(p, nodes[n])) for n in nodes if metres(p, nodes[n]) <= 2500), key=lambda x: x[1])[:3])
+        start, goal = snap(ends[:2]), snap(ends[2:])
+        want = cheapest(nodes, out_of, start, goal) if start and goal else None
+        if want is None:
+            assert (r["cost"], r["way"], r["reason"]) == (None, None, "no_path" if start and goal else "no_snap")
+        else:
+            assert (r["cost"], r["length"]) == (pytest.approx(want[0]), pytest.approx(want[1])) and r["way"] == list(want[2]) and r["reason"] is None
+        seen.add(r["reason"])
+    assert seen == {None, "no_path", "no_snap"} and len(got) == len(legs)
+
+
+def test_a_leg_of_two_thousand_hops(spark):
+    nodes = [(k, k * 2e-4, 0.0) for k in range(2001)]
+    legs = [(1, 0.0, 0.0, 0.4, 0.0), (2, 0.4, 0.0, 0.399, 0.0)]
+    got = {r["leg_id"]: r["way"] for r in paths.least_cost_path(
+        spark.createDataFrame(legs, "leg_id long, from_lng double, from_lat double, to_lng double, to_lat double"),
+        spark.createDataFrame(nodes, "node_id long, lng double, lat double"),
+        spark.createDataFrame([(k, k + 1, 22.24, "path") for k in range(2000)], "a long, b long, length_m double, kind string"), 1.0, 1,
+    ).collect()}
+    assert got == {1: list(range(2001)), 2: list(range(2000, 1994, -1))}
+
+
 def naive_prominence(peaks, z, step, floor):
     out, low, high = {}, min(z.values()), max(z.values())
     better = lambda p, q: (peaks[q][2], -q) > (peaks[p][2], -p)
@@ -108,14 +238,18 @@ def naive_prominence(peaks, z, step, floor):
     return out
 
 
-def test_prominence_equals_the_naive_flood(spark):
-    rng = random.Random(6)
-    z = {(r, c): rng.randrange(0, 90, 3) for r in range(7) for c in range(8)}
-    spots = rng.sample(sorted(z), 7)
-    peaks = {i: (*spots[i], float(z[spots[i]])) for i in range(7)}
-    dem = spark.createDataFrame([(r, c, v) for (r, c), v in z.items()], "row int, col int, z int")
-    snapped = spark.createDataFrame([(i, r, c, e) for i, (r, c, e) in peaks.items()], "peak_id long, row int, col int, ele double")
-    assert {r["peak_id"]: r["prom"] for r in prominence.prominence(snapped, dem, 30.0, 0.0).collect()} == naive_prominence(peaks, z, 30.0, 0.0)
+def test_prominence_of_a_long_ridge_and_of_random_terrain(spark):
+    z = {(r, c): 40 if c in (0, 20) or r == 79 else 0 for r in range(80) for c in range(21)}  # a U
+    z[0, 0], z[0, 20] = 100, 90
+    peaks = {1: (0, 0, 100.0), 2: (0, 20, 90.0)}
+    rng = random.Random(5)
+    rough = {(r, c): rng.randrange(0, 60) for r in range(12) for c in range(13) if rng.random() < 0.9}
+    spots = rng.choices(sorted(rough), k=14)
+    many = {i: (*p, float(rough[p])) for i, p in enumerate(spots)}
+    for heights, tops, step, floor in ((z, peaks, 20.0, 0.0), (rough, many, 7.0, 20.0)):
+        dem = spark.createDataFrame([(r, c, v) for (r, c), v in heights.items()], "row int, col int, z int")
+        snapped = spark.createDataFrame([(i, r, c, e) for i, (r, c, e) in tops.items()], "peak_id long, row int, col int, ele double")
+        assert {r["peak_id"]: r["prom"] for r in prominence.prominence(snapped, dem, step, floor).collect()} == naive_prominence(tops, heights, step, floor)
 
 
 def test_tile_untie_moves_ties_only(spark):
