@@ -14,7 +14,7 @@ from tarnspark.llm.packing import pack_documents
 from tarnspark.llm.quality_classifier import score_documents
 from tarnspark.llm.quality_rules import BASE, RULES, STOP_WORDS, score_quality
 from tarnspark.llm.sharding import shard_documents
-from tarnspark.llm.store import scratch_path
+from tarnspark.scratch import scratch_path
 from tarnspark.llm.substring_dedup import dedup_substrings
 from tarnspark.llm.token_counts import document_token_counts
 from tarnspark.llm.token_store import read_token_store, write_token_store

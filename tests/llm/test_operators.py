@@ -9,7 +9,6 @@ import pyarrow as pa
 import pytest
 
 from tarnspark.llm import kernels, packing
-from tarnspark.llm.components import connected_components
 from tarnspark.llm.decontaminate import contamination, decontaminate, smith_waterman
 from tarnspark.llm.jaccard_join import jaccard_components, keep_one_of_each, link_cell
 from tarnspark.llm.line_dedup import dedup_lines
@@ -109,11 +108,36 @@ def test_link_cell_equals_all_pairs():
         assert same(parent) == same(true)
 
 
-def test_components(spark):
-    edges = [(1, 2), (2, 3), (7, 6), (6, 5), (5, 4), (4, 9), (8, 8), (None, 3)]
-    got = {(r["node"], r["root"]) for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
-    assert got == {(2, 1), (3, 1), (5, 4), (6, 4), (7, 4), (9, 4)}
-    assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+def test_jaccard_join_cuts_large_cells(spark, monkeypatch):
+    from tarnspark.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "CELL_HASHES", 2500)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 3)
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    texts = []
+    for _ in range(2):  # chains of near copies that drift apart, and a crowd around each origin
+        w = [word() for _ in range(90)]
+        origin = list(w)
+        for _ in range(60):
+            w[rng.randrange(90)] = word()
+            near = list(origin)
+            near[rng.randrange(90)] = word()
+            texts += [" ".join(w), " ".join(near)]
+    docs = list(enumerate(texts))
+    rng.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(jaccard_components(df), "n_shingles", "component_id") == brute.jaccard_components(sorted(docs))
+
+
+def test_jaccard_key_with_several_texts(spark):
+    one, two = [f"a{k}" for k in range(60)], [f"b{k}" for k in range(60)]
+    near = lambda w: " ".join([*w[:-1], "end"])
+    table = [(5, " ".join(one)), (5, " ".join(two)), (7, near(one)), (9, near(two)), (5, " "), (3, "some other text of some words")]
+    for part in (table, table[::-1]):
+        df = spark.createDataFrame(part, "doc_id long, text string").repartition(3)
+        got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_components(df).collect())
+        assert got == [(3, 2, 3), (5, 0, 5), (5, 56, 5), (5, 56, 5), (7, 56, 5), (9, 56, 5)]
 
 
 def test_line_dedup(docs, none):
