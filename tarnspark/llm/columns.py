@@ -1,13 +1,16 @@
-"""Small helpers shared by the operators: column hygiene and distributed ranks."""
+"""Small helpers shared by the operators: column hygiene, distributed ranks, sieves."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Rows that one group of a distributed rank may hold, about.
 RANK_CHUNK_ROWS = 20_000
+#: Bits of a sieve, per value and at most.
+SIEVE_BITS, SIEVE_MOST = 32, 1 << 27
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
@@ -47,3 +50,15 @@ def least_hashed(df: DataFrame, key: str, rows: int) -> DataFrame:
     h = F.xxhash64(F.col(key))
     thin = df.where(F.pmod(h, F.lit(max(1, total))) < 2 * rows)
     return thin.orderBy(F.pmod(h, F.lit(max(1, total))), key).limit(rows)
+
+
+def sieve(df: DataFrame, column: str) -> np.ndarray:
+    """A bit table in which the places of all values of a long column are set: of bounded size, whatever their number."""
+    bits = 1 << 16
+    while bits < min(SIEVE_MOST, SIEVE_BITS * df.count()):
+        bits <<= 1
+    at, bit = F.shiftright(F.pmod(F.col(column), F.lit(bits)), 5), F.pmod(F.col(column), F.lit(32)).cast("int")
+    words = df.select(at.alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("mask")).toArrow()
+    table = np.zeros(bits // 32, dtype=np.uint32)
+    table[words.column("at").to_numpy()] = words.column("mask").to_numpy().astype(np.uint32)
+    return table

@@ -1,29 +1,31 @@
 """Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman scores the pairs.
 
-The benchmark is taken in blocks of a bounded size, each broadcast and held against all documents to align the
-passages around the hits of any of an item's n-grams. Frequent seeds are kept: a passage is ruled out before its
-alignment only by the words that it shares with the item, which bound the score.
+Items are cut into parts, and every ``gram``-word piece of a part is a row of the seed table. Documents are read once for
+their pieces that may be seeds, which join the seed table, however large it is; what meets names a part and a stretch of
+the document. A second reading aligns those stretches. Frequent seeds are kept, for a choice by rareness would lose edited
+copies beside exact ones: a stretch is ruled out before its alignment only by the words that it shares with the part,
+which bound the score.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnspark.llm.kernels import Run, gram_hashes, runs, windows
+from tarnspark.llm.columns import sieve
+from tarnspark.llm.kernels import Run, gram_hashes, in_sieve, runs, signed, windows
+from tarnspark.scratch import stored
 
-#: Bytes of benchmark text in one broadcast block, about.
-BLOCK_BYTES = 4 << 20
-#: Words of an item that are aligned at once; longer items are compared in parts.
+#: Items over so many words are compared in parts of this length, each beginning half a part after the one before.
 PART_WORDS = 256
+#: Parts that one row of the second reading may carry, and stretches that are aligned at once (in words).
+PARTS_A_ROW, GRID_WORDS = 256, 1 << 20
 MATCH, MISMATCH, GAP = 2, -1, 1
-_SIFT = 1 << 20
 
 IS_BREAK = np.ones(256, dtype=bool)
 IS_BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -35,56 +37,67 @@ def plain_words(run: Run) -> tuple[np.ndarray, np.ndarray]:
     return run.hashes(starts, ends, lower=True), bounds
 
 
-@dataclass
-class Seeds:
-    """Parts of items, and their n-grams as a sorted table of seed hashes with (part, place) postings."""
-
-    gram: int
-    items: list = field(default_factory=list)
-    parts: list[np.ndarray] = field(default_factory=list)
-    part_item: list[int] = field(default_factory=list)
-    hashes: np.ndarray = None
-    posts: np.ndarray = None
-    bounds: np.ndarray = None
-
-    @classmethod
-    def of(cls, items: list[tuple[int, str]], gram: int) -> Seeds:
-        made, rows = cls(gram), []
-        for item, text in items:
-            made.items.append(item)
-            for _, run in runs(pa.array([text], pa.string())):
-                words, _ = plain_words(run)
-                for a in range(0, len(words), PART_WORDS):
-                    part = words[a : a + PART_WORDS]
-                    if len(part) >= gram:
-                        grams = gram_hashes(part, np.arange(len(part) - gram + 1), gram)
-                        rows += [(h, len(made.parts), i) for i, h in enumerate(grams.tolist())]
-                        made.parts.append(part)
-                        made.part_item.append(len(made.items) - 1)
-        return made.index(rows)
-
-    def index(self, rows: list[tuple[int, int, int]]) -> Seeds:
-        rows.sort()
-        table = np.array([r[0] for r in rows], dtype=np.uint64)
-        self.hashes, first = np.unique(table, return_index=True)
-        self.bounds = np.append(first, len(rows))
-        self.posts = np.array([r[1:] for r in rows], dtype=np.int64).reshape(-1, 2)
-        self.sift = np.zeros(_SIFT, dtype=bool)
-        self.sift[(self.hashes & np.uint64(_SIFT - 1)).astype(np.int64)] = True
-        return self
-
-    def hits(self, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Texts, word positions and seed numbers of all seeds in a run."""
-        starts, of = windows(bounds, self.gram)
-        none = np.zeros(0, np.int64)
-        if not len(starts) or not len(self.hashes):
-            return none, none, none
-        grams = gram_hashes(words, starts, self.gram)
-        maybe = np.flatnonzero(self.sift[(grams & np.uint64(_SIFT - 1)).astype(np.int64)])
-        seed = np.minimum(np.searchsorted(self.hashes, grams[maybe]), len(self.hashes) - 1)
-        true = self.hashes[seed] == grams[maybe]
-        maybe, seed = maybe[true], seed[true]
-        return np.searchsorted(of, maybe, side="right") - 1, starts[maybe], seed
+def part_bounds(words: int) -> list[tuple[int, int]]:
+    """Where an item's parts lie: any run of up to half a part's words is whole in one of them, wherever it begins."""
+    if words <= PART_WORDS:
+        return [(0, words)]
+    step = PART_WORDS // 2
+    starts = [*range(0, words - PART_WORDS, step), words - PART_WORDS]
+    return [(a, a + PART_WORDS) for a in starts]
+
+
+def _parts(gram: int):
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, run in runs(batch.column(1)):
+                words, bounds = plain_words(run)
+                found = [
+                    (i, words[a:b])
+                    for i, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+                    for a, b in ((lo + x, lo + y) for x, y in part_bounds(hi - lo))
+                    if b - a >= gram
+                ]
+                yield pa.record_batch(
+                    [batch.column(0).take(pa.array([at + i for i, _ in found], pa.int64())), pa.array([w.tobytes() for _, w in found], pa.binary())], names=["item", "words"]
+                )
+
+    return parts
+
+
+def _seeds(gram: int):
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = np.frombuffer(raw, np.uint64)
+                n = len(words) - gram + 1
+                grams = gram_hashes(words, np.arange(n), gram)
+                yield pa.record_batch(
+                    [pa.array(signed(grams)), pa.array(np.full(n, part)), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, len(words), dtype=np.int32))],
+                    names=["seed", "part", "offset", "size"],
+                )
+
+    return seeds
+
+
+def _hits(sent, gram: int):
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value
+        for batch in batches:
+            for at, run in runs(batch.column(2)):
+                words, bounds = plain_words(run)
+                starts, of = windows(bounds, gram)
+                if not len(starts):
+                    continue
+                grams = gram_hashes(words, starts, gram)
+                maybe = np.flatnonzero(in_sieve(table, grams))
+                text = np.searchsorted(of, maybe, side="right") - 1
+                rows = pa.array(at + text)
+                yield pa.record_batch(
+                    [pa.array(signed(grams[maybe])), batch.column(0).take(rows), batch.column(1).take(rows), pa.array((starts[maybe] - bounds[text]).astype(np.int32))],
+                    names=["seed", "doc", "tk", "place"],
+                )
+
+    return hits
 
 
 def smith_waterman(part: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,85 +134,78 @@ def shared_words(part: np.ndarray, passages: np.ndarray) -> np.ndarray:
     return np.minimum(held.reshape(len(passages), -1), needed).sum(axis=1)
 
 
-def scored(run: Run, seeds: Seeds, least: float) -> list[tuple[int, int, float, int]]:
-    """(text, item, score, word where the passage ends) for each pair that reaches ``least``, at its best passage."""
-    words, bounds = plain_words(run)
-    texts, places, numbers = seeds.hits(words, bounds)
-    wanted: dict[int, set[tuple[int, int]]] = defaultdict(set)
-    for text, place, number in zip(texts.tolist(), places.tolist(), numbers.tolist()):
-        for part, offset in seeds.posts[seeds.bounds[number] : seeds.bounds[number + 1]].tolist():
-            step = max(4, len(seeds.parts[part]) // 2)
-            wanted[part].add((text, (place - offset - int(bounds[text])) // step))
-    best: dict[tuple[int, int], tuple[float, int]] = {}
-    for part, tries in wanted.items():
-        words_of = seeds.parts[part]
-        size, step = len(words_of), max(4, len(words_of) // 2)
-        beyond = reach(size, least)
-        tried = sorted(tries)
-        for a in range(0, len(tried), 256):
-            some = tried[a : a + 256]
-            width = size + step + 2 * beyond
-            grid = np.zeros((len(some), width), dtype=np.uint64)
-            begin = []
-            for r, (text, cell) in enumerate(some):
-                lo = max(int(bounds[text]), int(bounds[text]) + cell * step - beyond)
-                piece = words[lo : min(lo + width, int(bounds[text + 1]))]
-                grid[r, : len(piece)] = piece
-                begin.append(lo - int(bounds[text]))
-            able = np.flatnonzero(shared_words(words_of, grid) >= least * size)
-            points, end = smith_waterman(words_of, grid[able])
-            for k in np.flatnonzero(points >= least * MATCH * size):
-                r = able[k]
-                pair = (some[r][0], seeds.part_item[part])
-                found = (float(points[k] / (MATCH * size)), begin[r] + int(end[k]))
-                best[pair] = max(best.get(pair, (0.0, 0)), found)
-    return [(t, i, *found) for (t, i), found in sorted(best.items())]
-
-
-def _score(seeds, least: float):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = seeds.value
+def aligned(words: np.ndarray, bounds: np.ndarray, part: np.ndarray, tries: list[tuple[int, int]], least: float) -> Iterator[tuple[int, float, int]]:
+    """(text, score, word where the passage ends) for each stretch (text, cell) in which ``part`` reaches ``least``."""
+    size, step = len(part), max(4, len(part) // 2)
+    beyond = reach(size, least)
+    width = size + step + 2 * beyond
+    at_once = max(1, GRID_WORDS // width)
+    for a in range(0, len(tries), at_once):
+        some = tries[a : a + at_once]
+        grid = np.zeros((len(some), width), dtype=np.uint64)
+        begin = []
+        for r, (text, cell) in enumerate(some):
+            lo = max(int(bounds[text]), int(bounds[text]) + cell * step - beyond)
+            piece = words[lo : min(lo + width, int(bounds[text + 1]))]
+            grid[r, : len(piece)] = piece
+            begin.append(lo - int(bounds[text]))
+        able = np.flatnonzero(shared_words(part, grid) >= least * size)
+        points, end = smith_waterman(part, grid[able])
+        for k in np.flatnonzero(points >= least * MATCH * size):
+            r = able[k]
+            yield some[r][0], float(points[k] / (MATCH * size)), begin[r] + int(end[k])
+
+
+def _align(least: float):
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for at, run in runs(batch.column(1)):
-                found = scored(run, table, least)
+            asked = batch.column(3).to_pylist()
+            for at, run in runs(batch.column(2)):
+                words, bounds = plain_words(run)
+                wanted: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+                items: dict[bytes, set] = defaultdict(set)
+                for text in range(run.n):
+                    for one in asked[at + text]:
+                        wanted[one["words"]] += [(text, c) for c in one["cells"]]
+                        items[one["words"]].add((text, one["item"]))
+                best: dict[tuple, tuple[float, int]] = {}
+                for raw, tries in wanted.items():
+                    owners = defaultdict(list)
+                    for text, item in items[raw]:
+                        owners[text].append(item)
+                    for text, score, end in aligned(words, bounds, np.frombuffer(raw, np.uint64), sorted(set(tries)), least):
+                        for item in owners[text]:
+                            best[text, item] = max(best.get((text, item), (0.0, 0)), (score, end))
+                found = [(t, i, *b) for (t, i), b in best.items()]
+                rows = pa.array([at + t for t, *_ in found], pa.int64())
                 yield pa.record_batch(
                     [
-                        ids.take(pa.array([at + t for t, *_ in found], pa.int64())),
-                        pa.array([table.items[i] for _, i, *_ in found], pa.int64()),
-                        pa.array([s for *_, s, _ in found], pa.float64()),
-                        pa.array([e for *_, e in found], pa.int64()),
+                        batch.column(0).take(rows), batch.column(1).take(rows), pa.array([i for _, i, *_ in found], pa.int64()),
+                        pa.array([s for *_, s, _ in found], pa.float64()), pa.array([e for *_, e in found], pa.int64()),
                     ],
-                    names=["doc", "item", "score", "end_word"],
+                    names=["doc", "tk", "item", "score", "end_word"],
                 )
 
-    return score
-
-
-def _drop(seeds, text: str, least: float):
-    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = seeds.value
-        for batch in batches:
-            stays = np.ones(batch.num_rows, dtype=bool)
-            for at, run in runs(batch.column(batch.schema.get_field_index(text))):
-                for found in scored(run, table, least):
-                    stays[at + found[0]] = False
-            yield batch.filter(pa.array(stays))
-
-    return drop
+    return align
 
 
-def _blocks(docs: DataFrame, bench: DataFrame, gram: int, item_key: str, item_text: str) -> Iterator:
-    """Each block's seeds, broadcast."""
+def _matches(docs: DataFrame, bench: DataFrame, gram: int, least: float, key: str, text: str, item_key: str, item_text: str) -> DataFrame:
+    """doc, tk (the text's hash), item, score, end_word for every row of ``docs`` and item that it matches."""
     spark = docs.sparkSession
-    items = bench.where(F.col(item_text).isNotNull()).select(F.col(item_key).cast("long").alias("k"), F.col(item_text).alias("t"))
-    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    count = -(-size // BLOCK_BYTES)
-    for b in range(count):
-        block = items.where(F.pmod(F.xxhash64("t"), F.lit(count)) == b).orderBy("k", "t").collect()
-        seeds = Seeds.of([(r["k"], r["t"]) for r in block], gram)
-        if seeds.parts:
-            yield spark.sparkContext.broadcast(seeds)
+    items = bench.where(F.col(item_text).isNotNull()).select(F.col(item_key).cast("long").alias("item"), F.col(item_text).alias("body")).distinct()
+    parts = stored(items.mapInArrow(_parts(gram), "item long, words binary").withColumn("part", F.xxhash64("item", "words")), "parts")
+    seeds = stored(parts.select("part", "words").distinct().mapInArrow(_seeds(gram), "seed long, part long, offset int, size int"), "seeds")
+    sent = spark.sparkContext.broadcast(sieve(seeds, "seed"))
+    rows = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("tk"), F.col(text).alias("body"))
+    hits = rows.mapInArrow(_hits(sent, gram), "seed long, doc long, tk long, place int").join(seeds, "seed")
+    step = F.greatest(F.lit(4), F.floor(F.col("size") / 2))
+    cells = hits.select("doc", "tk", "part", F.floor((F.col("place") - F.col("offset")) / step).cast("int").alias("cell"))
+    pairs = stored(cells.groupBy("doc", "tk", "part").agg(F.collect_set("cell").alias("cells")), "pairs")
+    shelves = max(1, -(-parts.count() // PARTS_A_ROW))
+    asked = pairs.join(parts, "part").groupBy("doc", "tk", F.pmod("part", F.lit(shelves)).alias("shelf")).agg(F.collect_list(F.struct("item", "words", "cells")).alias("asked"))
+    asked = asked.select(F.col("doc").alias("a_doc"), F.col("tk").alias("a_tk"), "asked")
+    met = rows.join(asked, F.col("doc").eqNullSafe(F.col("a_doc")) & (F.col("tk") == F.col("a_tk"))).select("doc", "tk", "body", "asked")
+    return met.mapInArrow(_align(least), "doc long, tk long, item long, score double, end_word long")
 
 
 def contamination(
@@ -211,21 +217,23 @@ def contamination(
     The score is the best local alignment of the item's words in the document, as a share of the item's full score;
     pairs from ``least`` on are returned. Words are runs of letters and digits, A-Z folded. Seeds are all of
     the item's ``gram``-word pieces, however many documents hold them; a pair without a common one is not aligned, and an item with
-    fewer words matches nothing. Items of over 256 words are compared in parts and score as their best part. Null texts match
-    nothing; null keys are carried. Repeated rows give repeated results. Empty tables give an empty result.
+    fewer words matches nothing. An item of over ``PART_WORDS`` words is compared in parts that overlap by half and scores as
+    its best part, so 128 of its words in a row are found wherever they begin. Null texts match nothing; null keys are
+    carried. Repeated documents give repeated results, repeated items one. Empty tables give an empty result.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("body"))
-    found = docs.sparkSession.createDataFrame([], "doc long, item long, score double, end_word long")
-    for sent in _blocks(docs, bench, gram, item_key, item_text):
-        found = found.unionByName(rows.mapInArrow(_score(sent, least), found.schema))
-    return found.select(F.col("doc").alias(key), F.col("item").alias(item_key), "score", "end_word")
+    found = _matches(docs, bench, gram, least, key, text, item_key, item_text)
+    best = found.groupBy("doc", "tk", "item").agg(F.max(F.struct("score", "end_word")).alias("b"))
+    # Shelves of parts give a pair several rows, and repeated documents as many rows each.
+    rows = docs.select(F.col(key).cast("long").alias("__doc"), F.xxhash64(text).alias("__tk")).groupBy("__doc", "__tk").agg(F.count(F.lit(1)).alias("__times"))
+    out = best.join(rows, F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("tk") == F.col("__tk")))
+    out = out.withColumn("__again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))))
+    return out.select(F.col("doc").alias(key), F.col("item").alias(item_key), F.col("b.score").alias("score"), F.col("b.end_word").alias("end_word"))
 
 
 def decontaminate(
-    docs: DataFrame, bench: DataFrame, gram: int = 3, least: float = 0.5, text: str = "text", item_key: str = "item_id", item_text: str = "text",
+    docs: DataFrame, bench: DataFrame, gram: int = 3, least: float = 0.5, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """The rows of ``docs`` that match no test item (see ``contamination``), with all their columns."""
-    kept = docs
-    for sent in _blocks(docs, bench, gram, item_key, item_text):
-        kept = kept.mapInArrow(_drop(sent, text, least), docs.schema)
-    return kept
+    found = _matches(docs, bench, gram, least, key, text, item_key, item_text)
+    gone = stored(found.select(F.col("doc").alias("__doc"), F.col("tk").alias("__tk")).distinct(), "gone")
+    return docs.join(gone, F.col(key).cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(text) == F.col("__tk")), "left_anti")

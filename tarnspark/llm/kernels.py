@@ -132,3 +132,9 @@ def range_hashes(items: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
 def signed(x: np.ndarray) -> np.ndarray:
     """The same 64 bits as Spark's long."""
     return x.view(np.int64)
+
+
+def in_sieve(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether a sieve's bit is set for each unsigned value."""
+    place = values & np.uint64(32 * len(table) - 1)
+    return ((table[(place >> np.uint64(5)).astype(np.int64)] >> (place & np.uint64(31)).astype(np.uint32)) & np.uint32(1)).astype(bool)

@@ -9,6 +9,7 @@ The driver sees the histogram only, which has ``size / grain`` numbers at any co
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -65,6 +66,8 @@ def relaxed(sizes: np.ndarray, demand: np.ndarray, capacity: int, max_columns: i
         inverse[rest] -= np.outer(step[rest], inverse[out])
         basis[:, out] = column
         used = np.maximum(inverse @ demand, 0)
+    else:
+        warnings.warn(f"column generation stopped after {max_columns} columns; the packing is whole but may hold more padding", stacklevel=3)
     return basis, used
 
 
@@ -148,8 +151,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 1024, end: int =
 
     A document is its token ids and the ``end`` id; a null or empty text is the ``end`` id alone. Each id lies in one
     piece and each sequence holds at most ``size`` ids, gapless from offset 0. Repeated rows are packed each for itself; a
-    null key is carried. An empty table gives an empty result.
+    null key is carried. An empty table gives an empty result. ``grain`` is the width of a length class, from 1 to ``size``.
     """
+    if not 1 <= grain <= size:
+        raise ValueError(f"grain has to lie between 1 and size, not at {grain}")
     rows = docs.select(F.col(key).cast("long").alias("__key"), F.col(text).alias("__text"))
     sized = stored(rows.mapInArrow(_measure(tokenizer, size, end), "__key long, doc_tokens long, __sums array<long>"), "measured")
     pieces = sized.select("__key", "doc_tokens", F.posexplode("__sums").alias("__pos", "ids_crc32")).select(
@@ -159,7 +164,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 1024, end: int =
     pieces = pieces.withColumn("__class", F.ceil(F.col("length") / F.lit(grain)).cast("long")).withColumn("__order", F.xxhash64("__key", "start"))
     counts = {r[0]: r[1] for r in pieces.groupBy("__class").count().collect()}
     capacity = size // grain
-    whole = {capacity: counts.pop(capacity)} if capacity in counts else {}
+    whole = {s: counts.pop(s) for s in sorted(counts) if s >= capacity}  # these fill a sequence by themselves
     plans = plan_patterns(counts, capacity) + [({s: 1}, n) for s, n in whole.items()]
     assign, _ = _assign(plans, grain)
     ranked = gapless_slots(pieces, "__class", "__order", sum(counts.values()) + sum(whole.values()), "__rank_in_class")

@@ -122,7 +122,7 @@ def _loss(logits: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(x: np.ndarray, y: np.ndarray, seed: int = 11) -> Network:
-    """Adam on the log loss, with the weights that do best on a fifth of the rows; their temperature comes from it too.
+    """Adam on the log loss, with the weights that do best on a tenth of the rows; their temperature is set on another tenth.
 
     With fewer than two classes the network is constant at the share of ones (one half without rows).
     """
@@ -133,7 +133,8 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 11) -> Network:
     if len(np.unique(y)) < 2 or len(y) < 10:
         return net
     order = rng.permutation(len(y))
-    check, train = order[: len(y) // 5], order[len(y) // 5 :]
+    tenth = max(1, len(y) // 10)
+    check, unseen, train = order[:tenth], order[tenth : 2 * tenth], order[2 * tenth :]
     net.center, net.scale = x[train].mean(axis=0), x[train].std(axis=0) + 1e-6
     z = (x - net.center) / net.scale
     net.w1 = rng.normal(0, np.sqrt(2 / width), (width, HIDDEN))
@@ -158,9 +159,9 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 11) -> Network:
         if loss < best:
             best, kept = loss, [w.copy() for w in weights]
     net.w1, net.b1, net.w2, net.b2 = kept[0], kept[1], kept[2], float(kept[3][0])
-    logits = net.logits(x[check])
+    logits = net.logits(x[unseen])
     grid = np.exp(np.linspace(np.log(0.25), np.log(8), 60))
-    net.temperature = float(grid[np.argmin([_loss(logits / t, y[check]) for t in grid])])
+    net.temperature = float(grid[np.argmin([_loss(logits / t, y[unseen]) for t in grid])])
     return net
 
 
@@ -197,14 +198,16 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality",
 
     Rows whose crc32 of the key modulo 3 is 1 are held out: their labels are never read. Word vectors count all texts;
     the network is fitted on at most ``SAMPLE_ROWS`` labelled rows. A null or empty text scores as a text without words.
-    Rows with a null key are scored and never used for fitting; repeated rows score alike. An empty table stays empty.
+    Rows with a null key are scored and never used for fitting; repeated rows score alike. A key counts once in the fit, with
+    one of its texts and its greatest label. An empty table stays empty.
     """
     spark = docs.sparkSession
     vectors = word_vectors(docs, text)
     sent = spark.sparkContext.broadcast(vectors)
     open_ = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key))
-    sample = least_hashed(open_.select(F.col(key).alias("__key"), F.col(label).cast("double").alias("__y")), "__key", SAMPLE_ROWS)
+    sample = least_hashed(open_.groupBy(F.col(key).alias("__key")).agg(F.max(F.col(label).cast("double")).alias("__y")), "__key", SAMPLE_ROWS)
     known = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(sample), F.col("__id") == F.col("__key"))
+    known = known.groupBy("__key").agg(F.min(F.struct(F.xxhash64("__text"), "__text")).alias("__t"), F.max("__y").alias("__y")).select("__y", "__t.__text")
     rows = known.select("__y", "__text").mapInArrow(_pool(sent), "y double, x array<double>").toPandas()
     x = np.array(rows["x"].tolist()).reshape(len(rows), WIDTH + 1)
     order = np.lexsort((*x.T, rows["y"].to_numpy()))  # the fit must not depend on the order of arrival

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,19 +54,31 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = 502
 
 
 def read_flat_files(spark: SparkSession, files: str, width: int = 2, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Blocks of plain binary token files (little-endian ids of ``width`` bytes), in the table form of this module."""
+    """Blocks of plain binary token files (little-endian ids of ``width`` bytes), in the table form of this module.
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = block_ids * width
+    Spark lists the files; each block is a range of bytes that its own task opens and reads, from any store that
+    ``pyarrow.fs`` knows, so a file may be larger than a task's memory. A file that ends within an id raises.
+    """
+    step = block_ids * width
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for k in range(0, len(content), step):
-                    yield pa.record_batch(
-                        [pa.array([name]), pa.array([k // step], pa.int32()), pa.array([width], pa.int32()), pa.array([content[k : k + step]], pa.binary())],
-                        names=["file", "block", "width", "ids"],
-                    )
-
-    return spark.read.format("binaryFile").load(files).select("path", "content").mapInArrow(cut, "file string, block int, width int, ids binary")
+            for name, block, size in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if size % width:
+                    raise ValueError(f"{name} has {size} bytes, which are no whole ids of {width}")
+                store, path = FileSystem.from_uri(name)
+                with store.open_input_file(path) as opened:
+                    content = opened.read_at(min(step, size - block * step), block * step)
+                yield pa.record_batch(
+                    [pa.array([name]), pa.array([block], pa.int32()), pa.array([width], pa.int32()), pa.array([content], pa.binary())],
+                    names=["file", "block", "width", "ids"],
+                )
+
+    listed = spark.read.format("binaryFile").load(files).select("path", "length").where("length > 0")
+    last = F.floor((F.col("length") - 1) / step)
+    ranges = listed.select("path", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"), "length")
+    dealt = ranges.withColumn("block", F.col("block").cast("int")).repartition("path", "block")
+    return dealt.mapInArrow(read, "file string, block int, width int, ids binary")
 
 
 def _scan(end: int):

@@ -28,11 +28,20 @@ LEVEL = 3
 _BLOCKS = "part int, block int, width int, dictionary string, keys array<long>, tokens array<long>, offsets array<long>, frames binary"
 
 
+def _first_ids(tokenizer: str, end: int):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, flat, bounds in encoded(batch.column(1), tokenizer, end=end):
+                ids = [flat[a : min(b, a + SAMPLE_IDS)].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+                yield pa.record_batch([batch.column(0)[at : at + len(ids)], pa.array(ids, pa.binary())], names=["key", "ids"])
+
+    return cut
+
+
 def train_dictionary(docs: DataFrame, tokenizer: str, end: int, key: str, text: str) -> bytes:
-    sample = least_hashed(docs, key, SAMPLE_DOCS).select(F.col(text).alias("t")).collect()
-    ids = []
-    for _, flat, bounds in encoded(pa.array([r["t"] for r in sample], pa.string()), tokenizer, end=end):
-        ids += [flat[a : min(b, a + SAMPLE_IDS)].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+    """The dictionary from a sample whose ids are cut where they are made: at most ``SAMPLE_DOCS`` times ``SAMPLE_IDS`` reach the driver."""
+    sample = least_hashed(docs.select(key, text), key, SAMPLE_DOCS)
+    ids = [bytes(r["ids"]) for r in sample.mapInArrow(_first_ids(tokenizer, end), f"key {docs.schema[key].dataType.simpleString()}, ids binary").orderBy("key", "ids").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, ids).as_bytes()
     except zstandard.ZstdError:  # too little to train on: the sample itself is the dictionary

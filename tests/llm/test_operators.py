@@ -1,12 +1,15 @@
 """Every operator against its plain version, on texts with nulls, blanks, ties, copies, long texts and clashing names."""
 
+import math
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from tarnspark.llm import kernels, packing
 from tarnspark.llm.decontaminate import contamination, decontaminate, smith_waterman
@@ -199,6 +202,52 @@ def test_decontamination_finds_edited_copies_beside_exact_ones(spark):
     assert decontaminate(df, bench).count() == 0
 
 
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(17)
+    vocab = [f"w{k}" for k in range(60)]  # few words, so that many documents hold the same seeds
+    say = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [say(rng.randint(1, 30)) for _ in range(14)]
+    bodies = []
+    for _ in range(40):
+        w = say(rng.randint(0, 60))
+        item = list(rng.choice(items))
+        for _ in range(rng.randint(0, len(item) // 2)):
+            item[rng.randrange(len(item))] = rng.choice(vocab)
+        bodies.append(w[:20] + item + w[20:])
+    keys = [None if k % 13 == 5 else k for k in range(40)]
+    docs = [(k, " ".join(b), "x") for k, b in zip(keys, bodies)] + [(0, " ".join(bodies[0]), "x"), (77, None, "x"), (78, "", "x")]
+    bench = [(n % 12, " ".join(w)) for n, w in enumerate(items)] + [(3, " ".join(items[3])), (None, " ".join(items[5])), (50, None)]
+    ids = lambda w: np.array([int(x[1:]) for x in w], dtype=np.uint64)
+    want = []
+    for key, body, _ in docs:
+        w = (body or "").split()
+        grams = {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+        best = {}
+        for item, t in {(i, t) for i, t in bench if t}:
+            v = t.split()
+            if any(tuple(v[i : i + 3]) in grams for i in range(len(v) - 2)):
+                best[item] = max(best.get(item, 0), smith_waterman(ids(v), ids(w)[None])[0][0] / (2 * len(v)))
+        want += [(key, item, round(float(s), 9)) for item, s in best.items() if s >= 0.5]
+    df = spark.createDataFrame(docs, "doc_id long, text string, item string").repartition(3)
+    items_df = spark.createDataFrame(bench, "item_id long, text string")
+    out = contamination(df, items_df)
+    order = lambda rows: sorted(rows, key=str)
+    assert order((r["doc_id"], r["item_id"], round(r["score"], 9)) for r in out.collect()) == order(want) and len(want) > 20
+    hit = {(k, t) for k, t, _ in docs if any(k == w[0] for w in want if w[0] is not None)}
+    left = decontaminate(df, items_df).collect()
+    assert {(r["doc_id"], r["text"]) for r in left if r["doc_id"] is not None} == {(k, t) for k, t, _ in docs if k is not None} - hit
+
+
+def test_decontamination_finds_passages_of_long_items_anywhere(spark):
+    long = [f"q{k}" for k in range(600)]
+    starts = [0, 60, 128, 200, 230, 255, 300, 460]
+    docs = [(a, " ".join([f"x{a}_{k}" for k in range(40)] + long[a : a + 130] + [f"y{a}_{k}" for k in range(40)])) for a in starts]
+    docs.append((999, " ".join(long[100:160])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = contamination(df, spark.createDataFrame([(1, " ".join(long))], "item_id long, text string"))
+    assert sorted(r["doc_id"] for r in found.collect()) == starts
+
+
 def test_smith_waterman_equals_the_textbook():
     rng = np.random.default_rng(1)
     for _ in range(20):
@@ -223,6 +272,26 @@ def test_sharding(docs, none):
     assert shard_documents(none, 5).count() == 0
 
 
+def jump(key, shards):
+    """Jump consistent hashing, one jump after another, on Spark's hash of (key, jump)."""
+    at, beyond, i = -1, 0, 0
+    while beyond < shards:
+        at, i = beyond, i + 1
+        seed = 42 if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), seed=42)
+        draw = xxhash.xxh64_intdigest(struct.pack("<i", i), seed=seed) >> 33
+        beyond = math.floor((at + 1) / ((draw + 1) / 2**31))
+    return at
+
+
+def test_sharding_equals_plain_jumps(spark):
+    df = spark.createDataFrame([(k,  str(k)) for k in range(3000)] + [(None, "x"), (7, "again"), (7, "7")], "doc_id long, text string")
+    got = shard_documents(df, 24).collect()
+    assert all(r["shard"] == jump(r["doc_id"], 24) and r["grown_shard"] == jump(r["doc_id"], 25) for r in got) and len(got) == 3003
+    moved = sum(r["shard"] != r["grown_shard"] for r in got) / len(got)
+    assert 0.02 < moved < 0.065  # one in 25
+    assert sorted(r["slot"] for r in got if r["shard"] == jump(7, 24)) == list(range(sum(r["shard"] == jump(7, 24) for r in got)))
+
+
 def token_ids(text, plain=False):
     from tokenizers import Tokenizer
 
@@ -266,6 +335,24 @@ def test_packing(docs, none):
     assert packing.pack_documents(none, VOCAB).count() == 0
 
 
+@pytest.mark.parametrize(("size", "grain"), [(100, 16), (7, 7), (5, 1)])
+def test_packing_takes_any_size_and_grain(spark, size, grain):
+    texts = [(None, "x y z"), (1, None), (1, "a b"), (1, "a b"), (2, ""), (3, "word " * 211)]
+    got = packing.pack_documents(spark.createDataFrame(texts, "doc_id long, text string"), VOCAB, size=size, grain=grain).collect()
+    assert sum(r["length"] for r in got) == sum(len(token_ids(t)) + 1 for _, t in texts)
+    by_seq = {}
+    for r in got:
+        by_seq.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces in by_seq.values():
+        pieces.sort()
+        assert [o for o, _ in pieces] == [sum(n for _, n in pieces[:k]) for k in range(len(pieces))] and sum(n for _, n in pieces) <= size
+
+
+def test_packing_refuses_a_grain_over_the_size(docs):
+    with pytest.raises(ValueError, match="grain"):
+        packing.pack_documents(docs, VOCAB, size=8, grain=9)
+
+
 def test_patterns_hold_the_histogram_and_waste_little():
     rng = np.random.default_rng(4)
     demand = {int(s): int(n) for s, n in enumerate(rng.integers(1, 400, 64), start=1)}
@@ -304,6 +391,9 @@ def test_token_counts(spark, docs, none, tmp_path):
     for block in (1, 2, 3, 100):
         found = count_tokens(read_flat_files(spark, f"file://{tmp_path}/flat.bin", 2, block), 9).orderBy("ordinal").collect()
         assert [(r["ordinal"], r["start"], r["n_tokens"]) for r in found] == [(0, 0, 2), (1, 3, 0), (2, 4, 5)]
+    (tmp_path / "odd.bin").write_bytes(b"abc")
+    with pytest.raises(Exception, match="no whole ids"):
+        read_flat_files(spark, f"file://{tmp_path}/odd.bin").collect()
 
 
 def test_quality_classifier(spark, none):
@@ -332,3 +422,21 @@ def test_words_split_on_ascii_space_only():
     text = "a b\x0bc\x0c d e"
     for _, run in kernels.runs(pa.array([text])):
         assert len(run.words(lower=False)[3]) == len(re.findall(r"[^\x20\x09-\x0D]+", text))
+
+
+def test_null_and_repeated_keys_everywhere(spark, tmp_path):
+    say = " ".join(f"w{k}" for k in range(60))
+    texts = [(None, say), (1, say), (1, say), (2, say), (1, "A line that repeats.\n" + say), (2, "a LINE that repeats."), (None, None), (3, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    pairs = lambda out, name: sorted((str(r["doc_id"]), r[name]) for r in out.collect())
+    assert pairs(dedup_lines(df), "n_dropped") == [("1", 0), ("1", 0), ("1", 0), ("2", 1), ("2", 1), ("3", 0), ("None", 0), ("None", 0)]
+    assert pairs(dedup_substrings(df), "n_removed") == [("1", 0), ("1", 0), ("1", 0), ("2", 0), ("2", 60), ("3", 0), ("None", 0), ("None", 0)]
+    assert pairs(score_quality(df), "n_words") == [("1", 60), ("1", 60), ("1", 64), ("2", 4), ("2", 60), ("3", 0), ("None", 0), ("None", 60)]
+    lengths = sorted((str(k), len(token_ids(t, True))) for k, t in texts)
+    assert pairs(document_token_counts(df, f"file://{tmp_path}/a", VOCAB), "n_tokens") == lengths
+    write_token_store(df, f"file://{tmp_path}/b", VOCAB)
+    got = sorted((r["start"], str(r["doc_id"]), r["n_tokens"]) for r in read_token_store(spark, f"file://{tmp_path}/b").collect())
+    assert [k for _, k, _ in got] == ["None", "None", "1", "1", "1", "2", "2", "3"]
+    assert [a for a, *_ in got] == [sum(n for *_, n in got[:i]) for i in range(len(got))]
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1)], "doc_id long, quality int")
+    assert len(score_documents(df, labels).collect()) == len(texts)
