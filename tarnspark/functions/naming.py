@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,18 +55,25 @@ def clean_name(name: Column, ident: Column) -> Column:
     return F.when((tidy == ident) | tidy.contains("/"), tail).otherwise(tidy)
 
 
+def _unmarked() -> tuple[str, str]:
+    """Letters that canonical decomposition turns into a letter and combining marks, and those letters."""
+    marked, plain = [], []
+    for code in range(0xC0, 0x2000):
+        parts = unicodedata.normalize("NFD", chr(code))
+        if len(parts) > 1 and all(0x300 <= ord(c) <= 0x36F for c in parts[1:]):
+            marked.append(chr(code))
+            plain.append(parts[0])
+    return "".join(marked), "".join(plain)
+
+
 def fold_text(text: Column) -> Column:
-    """Case and accents away (Latin letters), trimmed: the stored form of search keys.
+    """Case and accents away, trimmed: the stored form of search keys.
 
-    Comparisons that need not be stored use the collation UNICODE_CI_AI instead.
+    Marks go as canonical decomposition finds them, so letters like ł and ø, which it does not take apart, stay. Comparisons
+    that need not be stored use the collation UNICODE_CI_AI instead.
     """
-    plain = (
-        "aaaaaa" "c" "eeee" "iiii" "n" "ooooo" "uuuu" "yy"
-    )
-    marked = (
-        "áàâäãå" "ç" "éèêë" "íìîï" "ñ" "óòôöõ" "úùûü" "ýÿ"
-    )
-    return F.trim(F.translate(F.lower(text), marked, plain))
+    bare = F.regexp_replace(F.translate(text, *_unmarked()), "[\u0300-\u036f]+", "")
+    return F.trim(F.lower(bare))
 
 
 def list_membership(lists: Column, name: str) -> Column:

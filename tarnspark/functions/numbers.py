@@ -71,6 +71,7 @@ GRADE_NAMES = (
     ("alpine_hiking", 4),
     ("hiking", 1),
 )
+# Fixed value: what separates the grades of a range.
 _SEPARATORS = r"(?U)[;,/|]|\s+-\s+|-|–|—|\bto\b|\bor\b"
 
 

@@ -6,16 +6,21 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tarnspark.functions.geo import EARTH_M
 
 
 def mark_first(df: DataFrame, keys: list[str], order: str, when: Column | None = None) -> DataFrame:
-    """``is_first`` is true for the first row of each key by ``order``, and wherever ``when`` is false."""
-    open_ = F.lit(True) if when is None else when
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    return df.withColumn("is_first", ~open_ | (rank == 1))
+    """``is_first`` is true for the first row of each key by ``order``, and for rows with a null key or where ``when`` is false.
+
+    Firsts are an aggregate that is joined back, so a key that many rows share is not gathered. ``order`` tells rows apart.
+    """
+    test = F.coalesce(F.lit(True) if when is None else when, F.lit(False))
+    for k in keys:
+        test = test & F.col(k).isNotNull()
+    firsts = df.where(test).groupBy(*keys).agg(F.min(order).alias("__first"))
+    open_ = df.where(test).join(firsts, keys).withColumn("is_first", F.col(order) == F.col("__first"))
+    return open_.select(*df.columns, "is_first").unionByName(df.where(~test).select(*df.columns, F.lit(True).alias("is_first")))
 
 
 def first_by_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -12,11 +12,26 @@ from tarnspark.operators.ranks import positions
 EARLIER = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
 
 
-def manifest_merge(built: DataFrame, base: DataFrame, keys: tuple[str, ...] = ("region_id", "kind")) -> DataFrame:
-    """This run's artifacts win; others are carried over with all their fields."""
-    rest = [c for c in built.columns if c not in keys]
-    pack = lambda df, n: df.select(*keys, F.struct(*rest).alias(n))
-    return pack(built, "__new").join(pack(base, "__old"), list(keys), "full_outer").select(*keys, F.coalesce("__new", "__old").alias("__r")).select(*keys, "__r.*")
+def manifest_merge(built: DataFrame, base: DataFrame, keys: tuple[str, ...] = ("region_id", "kind"), catalogue: DataFrame | None = None) -> DataFrame:
+    """This run's artifacts win; others are carried over with all their fields, also those that this run does not know.
+
+    A field of one side only is null on the other's rows. With ``catalogue`` (region_id and more), its fields, such as name,
+    group and box, replace those of the rows of regions that this run built; others keep what they had.
+    """
+    rest = [*[c for c in built.columns if c not in keys], *[c for c in base.columns if c not in keys and c not in built.columns]]
+    whole = lambda df: F.struct(*[F.col(c) if c in df.columns else F.lit(None).alias(c) for c in rest])
+    kinds = dict(base.dtypes) | dict(built.dtypes)
+    form = f"struct<{','.join(f'`{c}`:{kinds[c]}' for c in rest)}>"
+    pack = lambda df, n: df.select(*keys, whole(df).cast(form).alias(n))
+    out = pack(built, "__new").join(pack(base, "__old"), list(keys), "full_outer").select(*keys, F.coalesce("__new", "__old").alias("__r")).select(*keys, "__r.*")
+    if catalogue is None:
+        return out
+    fields = [c for c in catalogue.columns if c != "region_id"]
+    fresh = built.select("region_id").distinct().join(catalogue, "region_id").select("region_id", F.struct(*fields).alias("__now"))
+    now = lambda c: F.when(F.col("__now").isNotNull(), F.col(f"__now.{c}"))
+    joined = out.join(fresh, "region_id", "left")
+    had = [c for c in out.columns if c not in fields]
+    return joined.select(*had, *[(F.when(F.col("__now").isNotNull(), now(c)).otherwise(F.col(c)) if c in out.columns else now(c)).alias(c) for c in fields])
 
 
 def manifest_prune(manifest: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -236,13 +251,32 @@ def region_ids(boxes: DataFrame, area: str, suffix: Column) -> DataFrame:
 
 
 def catalog_report(regions: DataFrame) -> DataFrame:
-    """Regions, projected bytes, the median (element n/2 of the sorted sizes) and the ten largest: metric, key, value."""
+    """Regions, projected bytes, the median (element n/2 of the sorted sizes) and the ten largest: metric, key, value.
+
+    With a column ``source`` and a flag ``cell``: how many cells the ten most divided sources were cut into, and their bytes.
+    With ``max_zoom`` (null where a region has the full zoom): how many regions are ``degraded``, and the ten largest.
+    """
     ranked = positions(regions, [F.col("bytes"), F.col("region_id")], "__r")
     total = regions.agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b"))
     stats = total.select(F.explode(F.array(F.struct(F.lit("regions").alias("metric"), F.lit("").alias("key"), F.col("n").alias("value")), F.struct(F.lit("total").alias("metric"), F.lit("").alias("key"), F.col("b").alias("value")))).alias("r")).select("r.*")
     middle = ranked.join(F.broadcast(total), F.col("__r") == F.floor(F.col("n") / 2) + 1).select(F.lit("median").alias("metric"), F.lit("").alias("key"), F.col("bytes").alias("value"))
     top = regions.orderBy(F.desc("bytes"), "region_id").limit(10).select(F.lit("largest").alias("metric"), F.col("region_id").alias("key"), F.col("bytes").alias("value"))
-    return stats.unionByName(middle).unionByName(top)
+    out = stats.unionByName(middle).unionByName(top)
+    row = lambda metric, key, value: F.struct(F.lit(metric).alias("metric"), key.alias("key"), value.cast("bigint").alias("value"))
+    if {"source", "cell"} <= set(regions.columns):
+        cut = regions.where("cell").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b")).orderBy(F.desc("n"), "source").limit(10)
+        out = out.unionByName(cut.select(F.explode(F.array(row("cells", F.col("source"), F.col("n")), row("cell_bytes", F.col("source"), F.col("b")))).alias("r")).select("r.*"))
+    if "max_zoom" in regions.columns:
+        low = regions.where("max_zoom is not null")
+        out = out.unionByName(low.agg(F.count(F.lit(1)).alias("n")).select(row("degraded", F.lit(""), F.col("n")).alias("r")).select("r.*"))
+        out = out.unionByName(low.orderBy(F.desc("bytes"), "region_id").limit(10).select(row("degraded_zoom", F.col("region_id"), F.col("max_zoom")).alias("r")).select("r.*"))
+    return out
+
+
+def forecast_service(regions: DataFrame, services: DataFrame) -> DataFrame:
+    """Regions with their ``service`` from ``services`` (region_id, service), null where none is known; of several the first by name."""
+    known = services.groupBy("region_id").agg(F.min("service").alias("service"))
+    return regions.join(known, "region_id", "left")
 
 
 def artifact_rows(files: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tarnspark.functions.geo import MAX_LATITUDE
 from tarnspark.functions.naming import list_membership
-from tarnspark.functions.numbers import parse_elevation, parse_grade, parse_population
+from tarnspark.functions.numbers import parse_elevation, parse_grade, parse_grade_number, parse_number_strict, parse_population, round_exact
 from tarnspark.operators.aggregates import mark_first
 
 # The tag vocabularies of the published datasets.
@@ -54,6 +54,20 @@ def tag_expression(text: str) -> Column:
     return F.col("osm_type").isin(*kinds) & F.coalesce(match, F.lit(False))
 
 
+def feature_tags(features: DataFrame, keys: list[str]) -> DataFrame:
+    """``features`` with a column for each tag of its ``props`` (VARIANT), and with osm_type and osm_id from ``@type`` and ``@id``.
+
+    ``tag_<key>`` holds a JSON string and nothing else: 4 is not ``"4"``. ``num_<key>`` holds a JSON number, and ``ids`` of
+    either type are read as text. Colons in keys become underscores. These are the flat columns that the classifiers take.
+    """
+    value = lambda k: F.try_variant_get("props", f"$['{k}']", "variant")
+    text = lambda k: F.when(F.schema_of_variant(value(k)) == "STRING", F.try_variant_get("props", f"$['{k}']", "string"))
+    plain = lambda k: F.try_variant_get("props", f"$['{k}']", "string")
+    name = lambda k: k.replace(":", "_")
+    tags = [c for k in keys for c in (text(k).alias(f"tag_{name(k)}"), parse_number_strict(value(k)).alias(f"num_{name(k)}"))]
+    return features.select("*", plain("@type").alias("osm_type"), plain("@id").alias("osm_id"), text("name").alias("name"), *tags)
+
+
 def tag_filter(features: DataFrame, expressions: list[str]) -> DataFrame:
     """Features that any of the expressions keeps; no expression keeps nothing."""
     return features.where(reduce(lambda a, b: a | b, map(tag_expression, expressions), F.lit(False)))
@@ -68,9 +82,12 @@ def shared_subset(features: DataFrame, union: list[str], stages: dict[str, list[
 
 
 def peaks_normalize(features: DataFrame) -> DataFrame:
-    """``ele`` parsed or null, ``lists`` set where ``tag_munro`` is yes (if there is such a column)."""
+    """``ele`` parsed or null, ``lists`` set where ``tag_munro`` is yes; a number in ``num_ele`` counts like its text."""
     munro = F.col("tag_munro") == "yes" if "tag_munro" in features.columns else F.lit(False)
-    return features.withColumn("ele", parse_elevation(F.col("tag_ele"))).withColumn("lists", F.when(munro, "munro"))
+    ele = parse_elevation(F.col("tag_ele"))
+    if "num_ele" in features.columns:
+        ele = F.coalesce(ele, F.when(F.col("num_ele").between(-500, 9000), round_exact(F.col("num_ele"), 1)))
+    return features.withColumn("ele", ele).withColumn("lists", F.when(munro, "munro"))
 
 
 def landmarks_classify(features: DataFrame) -> DataFrame:
@@ -120,11 +137,13 @@ def terrain_features_classify(features: DataFrame) -> DataFrame:
 def trail_grade(lines: DataFrame, key: str = "osm_id", order: str = "src_ord") -> DataFrame:
     """The first line of each key, with grade ``t`` or the reason it has none: untagged, duplicate, unreadable.
 
-    Duplicates are found before any grade is read; a line without a key is never one.
+    Duplicates are found before any grade is read; a line without a key is never one. A number in ``num_grade`` is a tag too,
+    and its whole part the grade.
     """
-    tagged = lines.withColumn("__tagged", F.col("tag_grade").isNotNull())
-    marked = mark_first(tagged, ["__tagged", key], order, when=F.col("__tagged") & F.col(key).isNotNull())
-    grade = parse_grade(F.col("tag_grade"))
+    number = F.col("num_grade") if "num_grade" in lines.columns else F.lit(None).cast("double")
+    tagged = lines.withColumn("__tagged", F.col("tag_grade").isNotNull() | number.isNotNull())
+    marked = mark_first(tagged, [key], order, when=F.col("__tagged"))
+    grade = F.coalesce(parse_grade(F.col("tag_grade")), parse_grade_number(number))
     reason = F.when(~F.col("__tagged"), "untagged").when(~F.col("is_first"), "duplicate").when(grade.isNull(), "unreadable")
     return marked.withColumn("reason", reason).withColumn("t", F.when(F.col("reason").isNull(), grade)).drop("__tagged", "is_first")
 

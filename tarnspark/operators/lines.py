@@ -233,10 +233,13 @@ def grade_match(samples: DataFrame, key: str, ways: DataFrame, tol_m: float = 12
     grades = ways.groupBy("way_id").agg(F.max("grade").alias("grade"))
     s = segments(ways.select("way_id", "seq", "lng", "lat"), "way_id").join(grades, "way_id")
     pad_lng = F.lit(pad_lat) / F.greatest(F.cos(F.radians(F.greatest(F.abs("lat"), F.abs("lat2")) + pad_lat)), F.lit(0.01))
-    cells = s.withColumn("cx", F.explode(F.sequence(F.floor((F.least("lng", "lng2") - pad_lng) / step), F.floor((F.greatest("lng", "lng2") + pad_lng) / step)))).withColumn(
-        "cy", F.explode(F.sequence(F.floor((F.least("lat", "lat2") - pad_lat) / step), F.floor((F.greatest("lat", "lat2") + pad_lat) / step)))
-    )
-    cells = cells.select("cx", "cy", "grade", F.col("lng").alias("lng1"), F.col("lat").alias("lat1"), "lng2", "lat2")
+    # Cells are those around pieces of the segment no longer than a cell, so their number follows its length.
+    longer = F.greatest(F.abs(F.col("lng2") - F.col("lng")), F.abs(F.col("lat2") - F.col("lat")))
+    s = s.withColumn("pad", pad_lng).withColumn("pieces", F.greatest(F.ceil(longer / step), F.lit(1))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)))
+    at = lambda c, k: F.col(c) + (F.col(c + "2") - F.col(c)) * (F.col("i") + k) / F.col("pieces")
+    span = lambda c, pad: F.explode(F.sequence(F.floor((F.least(at(c, 0), at(c, 1)) - pad) / step), F.floor((F.greatest(at(c, 0), at(c, 1)) + pad) / step)))
+    cells = s.withColumn("cx", span("lng", F.col("pad"))).withColumn("cy", span("lat", pad_lat))
+    cells = cells.select("cx", "cy", "grade", F.col("lng").alias("lng1"), F.col("lat").alias("lat1"), "lng2", "lat2").distinct()
     j = asked.withColumn("cx", F.floor(F.col("lng") / step)).withColumn("cy", F.floor(F.col("lat") / step)).join(cells, ["cx", "cy"])
     (ax, ay), (bx, by) = _project(F.col("lng1"), F.col("lat1"), F.col("lng"), F.col("lat")), _project(F.col("lng2"), F.col("lat2"), F.col("lng"), F.col("lat"))
     j = j.select(key, "pos", "heading", "grade", ax.alias("ax"), ay.alias("ay"), (bx - ax).alias("dx"), (by - ay).alias("dy"))

@@ -21,7 +21,7 @@ from tarnspark.operators.spatial import line_snap
 from tarnspark.scratch import forget, stored
 
 #: Side of a block in degrees, and legs that are searched in one block by one task.
-BLOCK_DEGREES, LEGS_A_TASK = 0.02, 64
+BLOCK_DEGREES, LEGS_A_TASK = 0.1, 256
 _REACHED = "leg_id {leg}, node_id {node}, block long, cost double, length double, prev {node}, came boolean"
 
 

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnspark.functions.geo import planar_dist2
 from tarnspark.functions.naming import fold_text
+from tarnspark.scratch import stored
 
 #: Prefixes of tokens are joined on at most so many characters, the rest is compared.
 PREFIX = 3
+#: A word that more places hold is asked for in rings of growing reach (in degrees; the last one holds the world).
+COMMON, RINGS = 2_000, (0.25, 2.0, 16.0, 400.0)
 
 
 def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -21,28 +24,57 @@ def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.posexplode(parts).alias("pos", "token"))
 
 
+def _heads(word: Column) -> Column:
+    """The first characters of a word, one to ``PREFIX`` of them."""
+    return F.array_distinct(F.array(*[F.substring(word, 1, i) for i in range(1, PREFIX + 1)]))
+
+
 def place_search(queries: DataFrame, places: DataFrame, k: int = 20) -> DataFrame:
     """The k best places for each query: all its words occur, the last as a prefix; near ones first, then by rank.
 
     ``queries`` has query_id, text, lon, lat; ``places`` has place_id, name, kind, lat, lon, rank. A query without words
-    finds nothing. The token join is on whole words, and for the last word on its first characters.
+    finds nothing. Only the places that hold the rarest of a query's words meet the query; its other words are looked up in
+    their names. A query whose rarest word over ``COMMON`` places hold asks for it in rings around itself, so it meets only
+    places near it.
     """
-    asked = tokens(queries, "query_id", "text").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
-    asked = asked.withColumn("last", F.col("pos") == F.col("n") - 1)
-    index = tokens(places, "place_id", "name").select("place_id", F.col("token").alias("word")).distinct()
-    whole = asked.where("not last").join(index, F.col("token") == F.col("word"))
-    head = lambda c: F.substring(c, 1, PREFIX)
-    short = asked.where("last and length(token) < " + str(PREFIX)).withColumn("h", F.col("token"))
-    cut = index.select("place_id", "word", F.explode(F.array_distinct(F.array(*[F.substring("word", 1, i) for i in range(1, PREFIX)]))).alias("h"))
-    prefix = asked.where("last and length(token) >= " + str(PREFIX)).withColumn("h", head("token")).join(index.withColumn("h", head("word")), "h").where(F.col("word").startswith(F.col("token")))
-    prefix = prefix.unionByName(short.join(cut, "h").select(*prefix.columns))
-    columns = ["query_id", "place_id", "pos", "n"]
-    hits = whole.select(*columns).unionByName(prefix.select(*columns)).distinct()
-    full = hits.groupBy("query_id", "place_id", "n").agg(F.count(F.lit(1)).alias("m")).where("m = n").select("query_id", "place_id")
+    asked = tokens(queries, "query_id", "text").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("words"))
+    last, rest = F.element_at("words", -1), F.slice("words", 1, F.size("words") - 1)
+    asked = asked.select("query_id", last.alias("last"), rest.alias("rest"))
+    named = tokens(places, "place_id", "name").groupBy("place_id").agg(F.collect_set("token").alias("words"))
+    # Whole words are marked with "=", first characters with "^".
+    keyed = named.withColumn("key", F.explode(F.array_distinct(F.concat(F.transform("words", lambda w: F.concat(F.lit("="), w)), F.flatten(F.transform("words", lambda w: F.transform(_heads(w), lambda h: F.concat(F.lit("^"), h))))))))
+    keyed = keyed.join(places.select("place_id", "lat", "lon"), "place_id")
+    keys = F.array_append(F.transform("rest", lambda w: F.concat(F.lit("="), w)), F.concat(F.lit("^"), F.substring("last", 1, PREFIX)))
+    wanted = asked.select("query_id", F.explode(keys).alias("key"))
+    held = keyed.join(wanted.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    rarest = wanted.join(held, "key", "left").groupBy("query_id").agg(F.min_by("key", F.struct(F.coalesce("n", F.lit(0)), "key")).alias("key"), F.min(F.coalesce("n", F.lit(0))).alias("n"))
     at = queries.select("query_id", F.col("lon").alias("qlon"), F.col("lat").alias("qlat"))
-    found = full.join(places, "place_id").join(at, "query_id").withColumn("distance2", planar_dist2(F.col("qlon"), F.col("qlat"), F.col("lon"), F.col("lat")))
+    asked = stored(asked.join(rarest, "query_id").join(at, "query_id").where("n > 0"), "asked")
+    holds = F.size(F.array_except("rest", "words")) == 0
+    begins = F.exists("words", lambda w: w.startswith(F.col("last")))
+    distance2 = planar_dist2(F.col("qlon"), F.col("qlat"), F.col("lon"), F.col("lat"))
+    match = lambda met: met.where(holds & begins).select("query_id", "place_id", distance2.alias("distance2"))
+    few = match(asked.where(F.col("n") <= COMMON).join(keyed, "key"))
+    left, found = asked.where(F.col("n") > COMMON), few
+    near = Window.partitionBy("query_id").orderBy("distance2")
+    for reach in RINGS:
+        if not left.limit(1).count():
+            break
+        # A ring's cells are as wide in scaled degrees as they are high; the poles have one cell all around.
+        scale = F.greatest(F.cos(F.radians(F.least(F.abs("qlat") + reach, F.lit(89.0)))), F.lit(0.02))
+        span = lambda v, r, step: F.explode(F.sequence(F.floor((F.col(v) - r) / step), F.floor((F.col(v) + r) / step)))
+        wide = left.withColumn("cy", span("qlat", F.lit(reach), reach)).withColumn("cx", span("qlon", F.lit(reach) / scale, reach))
+        placed = keyed.withColumn("cy", F.floor(F.col("lat") / reach)).withColumn("cx", F.floor(F.col("lon") / reach))
+        met = stored(match(wide.join(placed, ["key", "cx", "cy"])), "ring")
+        sure = met.where(F.col("distance2") <= reach * reach)
+        ranked = sure.withColumn("r", F.row_number().over(near))
+        full = ranked.where((F.col("r") == k)).select("query_id")
+        done = left.select("query_id") if reach == RINGS[-1] else full
+        found = found.unionByName(met.join(done, "query_id", "left_semi"))
+        left = stored(left.join(done, "query_id", "left_anti"), "left")
     order = Window.partitionBy("query_id").orderBy("distance2", F.desc("rank"), "place_id")
-    return found.withColumn("pos", F.row_number().over(order).cast("bigint")).where(F.col("pos") <= k).drop("qlon", "qlat")
+    full = found.join(places, "place_id")
+    return full.withColumn("pos", F.row_number().over(order).cast("bigint")).where(F.col("pos") <= k)
 
 
 def search_merge(results: list[DataFrame], k: int) -> DataFrame:
@@ -64,11 +96,17 @@ def fallback_cut(places: DataFrame, n_places: int = 30_000, n_summits: int = 20_
 def region_search(queries: DataFrame, regions: DataFrame, k: int) -> DataFrame:
     """Regions whose name starts with the text, then contains it, then whose group does; then by name.
 
-    ``total`` counts all matches. Case and accents do not matter. The texts are few: they are sent to the regions.
+    ``total`` counts all matches. Case and accents do not matter. Regions meet the texts whose first characters lie somewhere
+    in their name or group; an empty text finds nothing.
     """
-    name, group, text = (F.collate(F.col(c), "UNICODE_CI_AI") for c in ("name", "group", "text"))
+    pieces = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.array(*[F.substring(c, i, n) for n in range(1, PREFIX + 1)]))
+    folded = regions.withColumn("__name", fold_text(F.col("name"))).withColumn("__group", fold_text(F.coalesce("group", F.lit(""))))
+    index = folded.select("region_id", "__name", "__group", F.explode(F.array_distinct(F.flatten(F.concat(pieces(F.col("__name")), pieces(F.col("__group")))))).alias("__head"))
+    asked = queries.select("query_id", fold_text(F.col("text")).alias("__text")).where("__text <> ''").withColumn("__head", F.substring("__text", 1, PREFIX))
+    name, group, text = F.col("__name"), F.col("__group"), F.col("__text")
     score = F.when(name.startswith(text), 0).when(name.contains(text), 1).when(group.contains(text), 2)
-    met = regions.join(F.broadcast(queries), score.isNotNull()).withColumn("score", score)
+    met = index.join(asked, "__head").withColumn("score", score).where("score is not null").select("query_id", "region_id", "score")
+    met = met.join(queries.select("query_id", "text"), "query_id").join(regions, "region_id")
     order = Window.partitionBy("query_id").orderBy("score", "name", "region_id")
     ranked = met.withColumn("pos", F.row_number().over(order).cast("bigint")).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
     return ranked.where(F.col("pos") <= k)

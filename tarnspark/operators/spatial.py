@@ -22,20 +22,26 @@ def cell_degrees(boxes: DataFrame, pad: float = 0.0) -> float:
     return max((row["mid"] or 1.0) + 2 * pad, ((row["top"] or 1.0) + 2 * pad) / MAX_CELLS_A_SIDE, 1e-6)
 
 
-def _span(lo: Column, hi: Column, step: float) -> Column:
+def _span(lo: Column, hi: Column, step: Column | float) -> Column:
     return F.explode(F.sequence(F.floor(lo / step), F.floor(hi / step)))
 
 
 def bbox_join(points: DataFrame, boxes: DataFrame, lng: str = "lng", lat: str = "lat", pad: float = 0.0) -> DataFrame:
     """Every point with every box (grown by ``pad`` degrees) that holds it, borders included. Null places match nothing.
 
-    Boxes are cut into grid cells and a point lies in exactly one cell, so this is an equi-join without duplicates.
+    Boxes are cut into the cells of their own size class, whose step is the power of two at or above their longer side, so
+    a box covers four cells at most, however large others are. A point lies in one cell of each class that occurs, of which
+    there are a few dozen at most: this is an equi-join without duplicates.
     """
-    step = cell_degrees(boxes, pad)
-    cells = boxes.withColumn("__cx", _span(F.col("w") - pad, F.col("e") + pad, step)).withColumn("__cy", _span(F.col("s") - pad, F.col("n") + pad, step))
-    placed = points.where(F.col(lng).isNotNull() & F.col(lat).isNotNull()).withColumn("__cx", F.floor(F.col(lng) / step)).withColumn("__cy", F.floor(F.col(lat) / step))
+    side = F.greatest(F.col("e") - F.col("w"), F.col("n") - F.col("s")) + 2 * pad
+    classed = boxes.withColumn("__level", F.ceil(F.log2(F.least(F.greatest(side, F.lit(2.0**-20)), F.lit(512.0)))).cast("int"))
+    levels = [r[0] for r in classed.select("__level").where("__level is not null").distinct().orderBy("__level").collect()]
+    step = F.pow(F.lit(2.0), F.col("__level"))
+    cells = classed.withColumn("__cx", _span(F.col("w") - pad, F.col("e") + pad, step)).withColumn("__cy", _span(F.col("s") - pad, F.col("n") + pad, step))
+    placed = points.where(F.col(lng).isNotNull() & F.col(lat).isNotNull()).withColumn("__level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    placed = placed.withColumn("__cx", F.floor(F.col(lng) / step)).withColumn("__cy", F.floor(F.col(lat) / step))
     inside = box_contains(F.col("w") - pad, F.col("s") - pad, F.col("e") + pad, F.col("n") + pad, F.col(lng), F.col(lat))
-    return placed.join(cells, ["__cx", "__cy"]).where(inside).drop("__cx", "__cy")
+    return placed.join(cells, ["__level", "__cx", "__cy"]).where(inside).drop("__level", "__cx", "__cy")
 
 
 def region_cut(points: DataFrame, regions: DataFrame, lng: str = "lon", lat: str = "lat") -> DataFrame:
@@ -110,13 +116,27 @@ def overlap_pairs(a: DataFrame, b: DataFrame, min_fraction: float) -> DataFrame:
     return met.withColumn("fraction", share).where(F.col("fraction") > min_fraction).select(F.col("a_region_id").alias("id_a"), F.col("b_region_id").alias("id_b"), "fraction")
 
 
-def tile_region_cut(tiles: DataFrame, regions: DataFrame, max_zoom: int) -> DataFrame:
-    """Tiles (z, x, y, w, s, e, n) that overlap each region's box, up to a zoom."""
+def same_ground(a: DataFrame, b: DataFrame, fraction: float = 0.95) -> DataFrame:
+    """Pairs of boxes that cover each other by more than the fraction, both ways."""
+    there, back = overlap_pairs(a, b, fraction), overlap_pairs(b, a, fraction)
+    return there.select("id_a", "id_b").join(back.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")), ["id_a", "id_b"], "left_semi")
+
+
+def swallowed(boxes: DataFrame, fraction: float = 0.9, least: int = 3) -> DataFrame:
+    """Boxes that hold more than the fraction of ``least`` others or more: region_id, n and the sorted ids ``inside``."""
+    met = overlap_pairs(boxes, boxes, fraction).groupBy(F.col("id_b").alias("region_id")).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("id_a")).alias("inside"))
+    return met.where(F.col("n") >= least)
+
+
+def tile_region_cut(tiles: DataFrame, regions: DataFrame, max_zoom: int, min_zoom: int = 0) -> DataFrame:
+    """Tiles (z, x, y, w, s, e, n and any payload) that overlap each region's box, between two zooms; all but the box stays."""
     step = cell_degrees(regions)
     cut = lambda df: df.withColumn("cx", _span(F.col("w"), F.col("e"), step)).withColumn("cy", _span(F.col("s"), F.col("n"), step))
     boxes = cut(regions.select("region_id", *BOX)).select("region_id", "cx", "cy", *[F.col(c).alias("r" + c) for c in BOX])
-    met = cut(tiles.where(F.col("z") <= max_zoom)).join(boxes, ["cx", "cy"])
-    return met.where("w < re and e > rw and s < rn and n > rs").select("region_id", "z", "x", "y").distinct()
+    met = cut(tiles.where(F.col("z").between(min_zoom, max_zoom))).join(boxes, ["cx", "cy"]).where("w < re and e > rw and s < rn and n > rs")
+    keys = met.select("region_id", "z", "x", "y").distinct()  # a pair may share several cells; the payload is joined once
+    payload = [c for c in tiles.columns if c not in ("z", "x", "y", *BOX)]
+    return keys.join(tiles.select("z", "x", "y", *payload), ["z", "x", "y"]).select("region_id", "z", "x", "y", *payload) if payload else keys
 
 
 def line_snap(points: DataFrame, key: str, nodes: DataFrame, radius_m: float, k: int) -> DataFrame:

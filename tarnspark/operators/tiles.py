@@ -18,6 +18,13 @@ def tile_assign(features: DataFrame, key: str, max_zoom: int) -> DataFrame:
     return zooms.select(key, "z", tile_x(F.col("lng"), F.col("z")).alias("x"), tile_y(F.col("lat"), F.col("z")).alias("y"))
 
 
+def tiles_for_bbox(boxes: DataFrame, zoom: int) -> DataFrame:
+    """Every tile that covers a box (w, s, e, n), column by column: the columns of ``boxes``, z, x and y."""
+    z = F.lit(zoom)
+    wide = boxes.withColumn("z", z.cast("bigint")).withColumn("x", F.explode(F.sequence(tile_x(F.col("w"), z), tile_x(F.col("e"), z))))
+    return wide.withColumn("y", F.explode(F.sequence(tile_y(F.col("n"), z), tile_y(F.col("s"), z))))
+
+
 def _tied(lng, lat):
     """True if, in 32-bit world coordinates, the point lies exactly half a pixel of 4096 short of a tile edge at z 0-14."""
     world = float(1 << WORLD_BITS)
@@ -48,12 +55,13 @@ def tile_coverage_count(source: DataFrame, tiled: DataFrame, max_zoom: int) -> D
     return both.withColumn("ok", F.col("n") == F.col("expected"))
 
 
-def tile_coverage_match(source: DataFrame, tiled: DataFrame, zoom: int, extent: int = 4096, reach: int = 4, max_rounds: int = 50) -> DataFrame:
+def tile_coverage_match(source: DataFrame, tiled: DataFrame, zoom: int, extent: int = 4096, reach: int = 4) -> DataFrame:
     """Source points (src_ord, name, lng, lat) without a partner of their name within ``reach`` pixels in ``tiled``.
 
     One partner each, sources in ``src_ord`` order taking the nearest (``tile_id`` breaks ties): worked out by deferred
     acceptance, where free sources ask their next candidate and a candidate keeps its first source. Names that are null
-    match each other; distances are Chebyshev and wrap at the antimeridian.
+    match each other; distances are Chebyshev and wrap at the antimeridian. Rounds go on until no source has anyone left to
+    ask; a chain of sources that push each other on needs one for each.
     """
     world = extent << zoom
     at = lambda df, k: df.select(k, F.coalesce("name", F.lit("\0")).alias("name"), F.pmod(global_units(mercator_x(F.col("lng")), F.lit(zoom), extent), F.lit(world)).alias("gx"), global_units(mercator_y(F.col("lat")), F.lit(zoom), extent).alias("gy"))
@@ -69,7 +77,7 @@ def tile_coverage_match(source: DataFrame, tiled: DataFrame, zoom: int, extent:
     pairs = stored(pairs.select("src_ord", "tile_id", "d").distinct().withColumn("wish", wish), "pairs")
     asking = pairs.groupBy("src_ord").agg(F.lit(1).alias("wish"))
     held = None
-    for _ in range(max_rounds):
+    while True:
         offers = pairs.join(asking, ["src_ord", "wish"]).select("src_ord", "tile_id", "wish")
         best = offers.groupBy("tile_id").agg(F.min("src_ord").alias("src_ord"))
         held = stored(best.join(offers, ["tile_id", "src_ord"]), "held")
@@ -78,4 +86,3 @@ def tile_coverage_match(source: DataFrame, tiled: DataFrame, zoom: int, extent:
         if not still.limit(1).count():
             return source.join(held.select("src_ord"), "src_ord", "left_anti")
         asking = stored(still.unionByName(held.select("src_ord", "wish")), "asking")
-    raise RuntimeError("the matching did not settle")

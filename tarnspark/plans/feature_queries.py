@@ -8,9 +8,10 @@ from pyspark.sql.window import Window
 from tarnspark.functions import geo, naming, numbers, terrain
 from tarnspark.operators import aggregates as A
 from tarnspark.operators import classify as C
+from tarnspark.operators.catalog import forecast_service
 from tarnspark.operators.ranks import positions
 from tarnspark.plans.registry import query
-from tarnspark.plans.views import view, with_views
+from tarnspark.plans.views import table, view, with_views
 
 P = lambda sql, *more: with_views(sql, "osm_points", *more)
 ELE = r"CASE WHEN v BETWEEN -500 AND 9000 THEN round(v, 1) END"
@@ -268,14 +269,14 @@ def _(spark, d):
     return view(spark, d, "osm_points").select("src_ord", naming.clean_name(name, F.lit("x")).alias("clean"))
 
 
-@query("fold_text", "SELECT doc_id, trim(translate(lower(substr(text, 1, 40)), 'áàâäãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')) AS folded FROM documents")
+@query("fold_text", "SELECT doc_id, trim(lower(strip_accents(text))) AS folded FROM documents")
 def _(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", naming.fold_text(F.substring("text", 1, 40)).alias("folded"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", naming.fold_text(F.col("text")).alias("folded"))
 
 
 @query("fold_text_all", "SELECT doc_id, md5(folded) AS folded_md5, CAST(length(folded) AS BIGINT) AS n FROM (SELECT doc_id, trim(translate(lower(text), 'áàâäãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')) AS folded FROM documents)")
 def _(spark, d):
-    """Whole texts; ``fold_text`` folds their first 40 characters, as its SQL does."""
+    """The folded texts' digests and lengths."""
     folded = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", naming.fold_text(F.col("text")).alias("folded"))
     return folded.select("doc_id", F.md5("folded").alias("folded_md5"), F.length("folded").cast("bigint").alias("n"))
 
@@ -304,10 +305,11 @@ def _(spark, d):
     return view(spark, d, "fixes").select("event_id", out.alias("h"))
 
 
-@query("forecast_service", with_views("SELECT region_id, CASE group_id WHEN 0 THEN 'north service' WHEN 1 THEN 'south service' END AS service FROM map_regions", "map_regions"))
+@query("forecast_service", with_views("SELECT region_id, CASE WHEN r_name <> 'ASIA' THEN concat('service of ', r_name) END AS service FROM map_regions JOIN region ON group_id = r_regionkey", "map_regions"))
 def _(spark, d):
-    services = spark.createDataFrame([(0, "north service"), (1, "south service")], "group_id int, service string")
-    return view(spark, d, "map_regions").join(F.broadcast(services), "group_id", "left").select("region_id", "service")
+    r = view(spark, d, "map_regions")
+    services = r.join(table(spark, d, "region"), F.col("group_id") == F.col("r_regionkey")).where("r_name <> 'ASIA'").select("region_id", F.concat(F.lit("service of "), "r_name").alias("service"))
+    return forecast_service(r, services).select("region_id", "service")
 
 
 @query("parking_order", P("SELECT src_ord, pos FROM (SELECT src_ord, row_number() OVER (ORDER BY CASE WHEN name IS NULL THEN 2 ELSE 0 END + CASE WHEN tag_access = 'customers' THEN 1 ELSE 0 END - size / (size + 500), src_ord) AS pos FROM (SELECT *, CAST(src_ord % 900 AS DOUBLE) AS size FROM osm_points)) WHERE pos <= 500"))

@@ -10,6 +10,7 @@ from tarnspark.operators import paths
 from tarnspark.operators import prominence as P
 from tarnspark.operators import raster as R
 from tarnspark.operators.lines import segments
+from tarnspark.plans.line_queries import NEAR
 from tarnspark.plans.raster_queries import CELLS, cells, dem, pixel_points
 from tarnspark.plans.registry import query
 from tarnspark.plans.views import view, with_views
@@ -34,7 +35,9 @@ def _(spark, d):
 
 @query("node_merge", V("SELECT way_id, seq, min(way_id * 100 + seq) OVER (PARTITION BY gx, gy) AS node_id FROM way_vertices"))
 def _(spark, d):
-    v = view(spark, d, "way_vertices").select("way_id", "seq", "gx", "gy", (F.col("way_id") * 100 + F.col("seq")).alias("src_ord"))
+    # Places are 20 units apart; ways and vertices of odd numbers lie a unit beside them, within the tolerance.
+    beside = lambda c, k: (F.col(c) + F.col(k) % 2).alias(c)
+    v = view(spark, d, "way_vertices").select("way_id", "seq", beside("gx", "way_id"), beside("gy", "seq"), (F.col("way_id") * 100 + F.col("seq")).alias("src_ord"))
     return N.node_merge(v).select("way_id", "seq", "node_id")
 
 
@@ -92,7 +95,7 @@ def _(spark, d):
 
 
 def summits(spark, d):
-    """The highest cell around each tenth of the pixel grid, as peaks."""
+    """The highest cell around each point of the pixel grid, as peaks."""
     at = pixel_points(spark, d).groupBy(F.floor("px").alias("x"), F.floor("py").alias("y")).agg(F.min("event_id").alias("peak_id"), F.first("px").alias("px"), F.first("py").alias("py"))
     return R.peak_snap(at.select("peak_id", "px", "py"), "peak_id", dem(spark, d))
 
@@ -125,18 +128,37 @@ def _(spark, d):
 X = lambda sql, *more: with_views(sql, "fixes", *more)
 
 
-@query("follow_route")
+FOLLOW = NEAR.replace("1 + event_id % 5000 AS way_id", "device, epoch_us(CAST(ts AS TIMESTAMP)) + event_id AS us, 1 + device % 60 AS way_id").replace(" OR n = 1", "")
+
+
+@query("follow_route", X(FOLLOW + """, n AS (SELECT * FROM (SELECT device, way_id, us, dist, row_number() OVER (PARTITION BY event_id ORDER BY dist, segment) AS rn FROM s) WHERE rn = 1),
+t AS (SELECT *, last_value(CASE WHEN dist > 60000 THEN TRUE WHEN dist <= 30000 THEN FALSE END IGNORE NULLS) OVER (PARTITION BY device, way_id ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS is_off FROM n)
+SELECT device, way_id AS route_id, count(*) AS n, CAST(count(*) FILTER (is_off) AS BIGINT) AS off, round(max(dist), 1) AS farthest_m FROM t GROUP BY 1, 2""", "way_vertices"))
 def _(spark, d):
     pts = F.transform(F.array_sort(F.collect_list(F.struct("seq", F.struct("lng", "lat").alias("p")))), lambda x: x["p"])
     routes = view(spark, d, "way_vertices").groupBy(F.col("way_id").alias("route_id")).agg(pts.alias("coords"))
-    fixes = view(spark, d, "fixes").select("device", "ts", "lng", "lat", (1 + F.col("device") % 60).alias("route_id"))
-    out = S.follow_route(fixes, routes, 60_000, 30_000)
+    # Times repeat in this feed, so the event number goes into the time.
+    ts = (F.unix_micros(F.col("ts").cast("timestamp")) + F.col("event_id")).alias("ts")
+    fixes = view(spark, d, "fixes").select("device", ts, "lng", "lat", (1 + F.col("device") % 60).alias("route_id"))
+    out = S.follow_route(fixes, routes.where(F.size("coords") > 1), 60_000, 30_000)
     return out.groupBy("device", "route_id").agg(F.count("*").alias("n"), F.sum(F.col("is_off").cast("int")).alias("off"), F.round(F.max("off_m"), 1).alias("farthest_m"))
 
 
-@query("transfer_rate")
+FOLD = """list_reduce(rows, lambda a, x: struct_pack(us := x.us, b := x.b,
+  rate := CASE WHEN x.us - a.us >= 100000 AND x.b > a.b THEN CASE WHEN a.rate IS NULL THEN (x.b - a.b) / ((x.us - a.us) / 1e6) ELSE 0.3e0 * ((x.b - a.b) / ((x.us - a.us) / 1e6)) + 0.7e0 * a.rate END ELSE a.rate END,
+  n := a.n + CASE WHEN x.us - a.us >= 100000 AND x.b > a.b THEN 1 ELSE 0 END,
+  told := a.told + CASE WHEN a.n + CASE WHEN x.us - a.us >= 100000 AND x.b > a.b THEN 1 ELSE 0 END >= 3 THEN 1 ELSE 0 END,
+  top := CASE WHEN a.n + CASE WHEN x.us - a.us >= 100000 AND x.b > a.b THEN 1 ELSE 0 END < 3 THEN a.top ELSE greatest(coalesce(a.top, 0e0),
+    CASE WHEN x.us - a.us >= 100000 AND x.b > a.b THEN CASE WHEN a.rate IS NULL THEN (x.b - a.b) / ((x.us - a.us) / 1e6) ELSE 0.3e0 * ((x.b - a.b) / ((x.us - a.us) / 1e6)) + 0.7e0 * a.rate END ELSE a.rate END) END))"""
+
+
+@query("transfer_rate", X(f"""WITH f AS (SELECT device, epoch_us(CAST(ts AS TIMESTAMP)) + event_id AS us, bytes_gained FROM fixes),
+g AS (SELECT device, us, CAST(sum(bytes_gained) OVER (PARTITION BY device ORDER BY us) AS BIGINT) AS b FROM f),
+l AS (SELECT device, list(struct_pack(us := us, b := b, rate := CAST(NULL AS DOUBLE), n := 0, told := CAST(0 AS BIGINT), top := CAST(NULL AS DOUBLE)) ORDER BY us) AS rows FROM g GROUP BY device),
+r AS (SELECT device, {FOLD} AS r FROM l)
+SELECT device AS "key", r.told AS n, round(r.top, 3) AS top FROM r"""))
 def _(spark, d):
-    v = view(spark, d, "fixes")
+    v = view(spark, d, "fixes").withColumn("ts", F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.col("event_id")))
     so_far = F.sum("bytes_gained").over(Window.partitionBy("device").orderBy("ts", "event_id"))
     out = S.transfer_rate(v.select(F.col("device").alias("key"), "ts", so_far.alias("bytes"), F.lit(10_000_000).cast("bigint").alias("total")))
     return out.groupBy("key").agg(F.count("rate").alias("n"), F.round(F.max("rate"), 3).alias("top"))

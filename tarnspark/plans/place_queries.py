@@ -151,11 +151,13 @@ def newest(spark, d):
     return a.groupBy("region_id", "kind").agg(F.max_by(whole, "ord").alias("r")).select("region_id", "kind", "r.*")
 
 
-@query("manifest_merge", RA(f"WITH {NEWEST} SELECT region_id, kind, CASE WHEN ord % 3 = 0 THEN bytes + 1 ELSE bytes END AS bytes FROM newest"))
+@query("manifest_merge", RA(f"WITH {NEWEST}, b AS (SELECT * FROM newest WHERE ord % 5 <> 0), u AS (SELECT region_id, kind, bytes + 1 AS bytes, maxzoom FROM newest WHERE ord % 3 = 0), m AS (SELECT coalesce(u.region_id, b.region_id) AS region_id, coalesce(u.kind, b.kind) AS kind, CASE WHEN u.kind IS NULL THEN b.bytes ELSE u.bytes END AS bytes, u.maxzoom, CASE WHEN u.kind IS NULL THEN b.filename END AS filename, CASE WHEN u.kind IS NULL THEN concat('old ', b.region_id) END AS was FROM u FULL JOIN b ON u.region_id = b.region_id AND u.kind = b.kind) SELECT region_id, kind, bytes, maxzoom, filename, CASE WHEN region_id IN (SELECT region_id FROM u) THEN concat('now ', region_id) ELSE was END AS name FROM m"))
 def _(spark, d):
-    base = newest(spark, d).select("region_id", "kind", "bytes", "ord")
-    built = base.where("ord % 3 = 0").withColumn("bytes", F.col("bytes") + 1)
-    return K.manifest_merge(built, base.where("ord % 3 <> 1 or ord % 3 = 1")).select("region_id", "kind", "bytes")
+    every = newest(spark, d)
+    base = every.where("ord % 5 <> 0").select("region_id", "kind", "bytes", "filename", F.concat(F.lit("old "), "region_id").alias("name"))
+    built = every.where("ord % 3 = 0").select("region_id", "kind", (F.col("bytes") + 1).alias("bytes"), "maxzoom")
+    named = every.select("region_id", F.concat(F.lit("now "), "region_id").alias("name")).distinct()
+    return K.manifest_merge(built, base, catalogue=named)
 
 
 @query("manifest_prune", RA("SELECT ord FROM map_artifacts WHERE region_id IN (SELECT region_id FROM map_regions WHERE region_ord < 10)"))
@@ -286,10 +288,10 @@ def _(spark, d):
     return K.admin_walk(tree(spark, d), 60)
 
 
-@query("region_boxes", with_views("WITH g AS (SELECT group_id, w, s, e, n FROM map_regions), c AS (SELECT group_id, round(min(w), 4) AS w, round(min(s), 4) AS s, round(max(e), 4) AS e, round(max(n), 4) AS n FROM g GROUP BY group_id) SELECT group_id, CAST(1 AS BIGINT) AS ord, w, s, e, n FROM c", "map_regions"))
+@query("region_boxes", with_views("WITH a AS (SELECT *, CASE WHEN w - max(e) OVER (PARTITION BY group_id ORDER BY w, region_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0.3 THEN 1 ELSE 0 END AS nx FROM map_regions), b AS (SELECT *, sum(nx) OVER (PARTITION BY group_id ORDER BY w, region_ord) AS cx FROM a), c AS (SELECT *, CASE WHEN s - max(n) OVER (PARTITION BY group_id, cx ORDER BY s, region_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0.3 THEN 1 ELSE 0 END AS ny FROM b), d AS (SELECT *, sum(ny) OVER (PARTITION BY group_id, cx ORDER BY s, region_ord) AS cy FROM c), g AS (SELECT group_id, round(min(w), 4) AS w, round(min(s), 4) AS s, round(max(e), 4) AS e, round(max(n), 4) AS n FROM d GROUP BY group_id, cx, cy) SELECT group_id, row_number() OVER (PARTITION BY group_id ORDER BY (e - w) * (n - s) DESC, w, s) AS ord, w, s, e, n FROM g", "map_regions"))
 def _(spark, d):
     parts = regions(spark, d).select(F.col("group_id").alias("id"), F.col("region_ord").alias("ord"), "w", "s", "e", "n")
-    return K.region_boxes(parts).select(F.col("id").alias("group_id"), "ord", "w", "s", "e", "n")
+    return K.region_boxes(parts, 0.3).select(F.col("id").alias("group_id"), "ord", "w", "s", "e", "n")
 
 
 @query("size_estimate", with_views("SELECT region_id AS box_id, zoom, round((e - w) * (n - s) * 40e6 / pow(4, 15 - zoom), 3) AS bytes FROM map_regions, (VALUES (15), (14), (13)) t(zoom)", "map_regions"))
@@ -353,3 +355,23 @@ def _(spark, d):
     share = overlap_share([F.col("a" + c) for c in X.BOX], [F.col("b" + c) for c in X.BOX])
     return a.join(b, "group_id").groupBy("region_id").agg(F.round(F.sum(share), 9).alias("covered"))
 
+
+
+@query("same_ground", with_views("WITH o AS (SELECT a.region_id AS id_a, b.region_id AS id_b, (least(a.e, b.e) - greatest(a.w, b.w)) * (least(a.n, b.n) - greatest(a.s, b.s)) / ((a.e - a.w) * (a.n - a.s)) AS f FROM map_regions a JOIN map_regions b ON a.region_id <> b.region_id AND least(a.e, b.e) > greatest(a.w, b.w) AND least(a.n, b.n) > greatest(a.s, b.s)) SELECT x.id_a, x.id_b FROM o x JOIN o y ON x.id_a = y.id_b AND x.id_b = y.id_a WHERE x.f > 0.02 AND y.f > 0.02", "map_regions"))
+def _(spark, d):
+    r = regions(spark, d)
+    return X.same_ground(r, r, 0.02)
+
+
+@query("swallowed", with_views("WITH g AS (SELECT region_id, w, s, e, n FROM map_regions UNION ALL SELECT concat('all ', group_id), min(w), min(s), max(e), max(n) FROM map_regions GROUP BY group_id), o AS (SELECT a.region_id AS inside, b.region_id FROM g a JOIN g b ON a.region_id <> b.region_id AND least(a.e, b.e) > greatest(a.w, b.w) AND least(a.n, b.n) > greatest(a.s, b.s) WHERE (least(a.e, b.e) - greatest(a.w, b.w)) * (least(a.n, b.n) - greatest(a.s, b.s)) / ((a.e - a.w) * (a.n - a.s)) > 0.9) SELECT region_id, count(*) AS n, min(inside) AS first FROM o GROUP BY region_id HAVING count(*) >= 3", "map_regions"))
+def _(spark, d):
+    r = regions(spark, d)
+    whole = r.groupBy(F.concat(F.lit("all "), F.col("group_id").cast("string")).alias("region_id")).agg(F.min("w").alias("w"), F.min("s").alias("s"), F.max("e").alias("e"), F.max("n").alias("n"))
+    return X.swallowed(r.select("region_id", *X.BOX).unionByName(whole)).select("region_id", "n", F.get("inside", F.lit(0)).alias("first"))
+
+
+@query("tiles_for_bbox", with_views("WITH b AS (SELECT region_id, unnest(range(CAST(floor((w + 180) / 360 * 4096) AS BIGINT), CAST(floor((e + 180) / 360 * 4096) AS BIGINT) + 1)) AS x, s, n FROM map_regions), m AS (SELECT region_id, x, CAST(floor((1 - ln(tan(radians(n)) + 1 / cos(radians(n))) / pi()) / 2 * 4096) AS BIGINT) AS lo, CAST(floor((1 - ln(tan(radians(s)) + 1 / cos(radians(s))) / pi()) / 2 * 4096) AS BIGINT) AS hi FROM b) SELECT region_id, CAST(12 AS BIGINT) AS z, x, unnest(range(lo, hi + 1)) AS y FROM m", "map_regions"))
+def _(spark, d):
+    from tarnspark.operators.tiles import tiles_for_bbox
+
+    return tiles_for_bbox(regions(spark, d), 12).select("region_id", "z", "x", "y")

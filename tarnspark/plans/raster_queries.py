@@ -61,12 +61,15 @@ def _(spark, d):
     return out.select("row", "col", F.round("slope", 4).alias("slope"), F.when(F.col("slope") == 0, 0.0).otherwise(F.pmod(F.round("aspect", 3), F.lit(360.0))).alias("aspect"))
 
 
-POINTS = "pts AS (SELECT event_id, (event_id * 13 % 1280) / 1e1 AS px, (event_id * 29 % 900) / 1e1 AS py FROM fixes)"
+HIGH = "high AS (SELECT max(r) + 1 AS h FROM dem_cells)"
+POINTS = f"{HIGH}, pts AS (SELECT event_id, (event_id * 13 % 1280) / 1e1 AS px, (event_id * 29 % (h * 10)) / 1e1 AS py FROM fixes, high)"
 
 
 def pixel_points(spark, d):
+    """One point for each fix, all over the raster."""
     e = F.col("event_id")
-    return view(spark, d, "fixes").select("event_id", ((e * 13 % 1280) / 10.0).alias("px"), ((e * 29 % 900) / 10.0).alias("py"))
+    high = dem(spark, d).agg((F.max("row") + 1).alias("h"))
+    return view(spark, d, "fixes").crossJoin(F.broadcast(high)).select("event_id", ((e * 13 % 1280) / 10.0).alias("px"), ((e * 29 % (F.col("h") * 10)) / 10.0).alias("py"))
 
 
 @query("raster_sample_nearest", D(f'WITH {CELLS}, {POINTS} SELECT event_id, slope, CASE WHEN octant BETWEEN 1 AND 8 THEN octant END AS octant FROM pts LEFT JOIN cells ON "row" = CAST(floor(py) AS INTEGER) AND col = CAST(floor(px) AS INTEGER)', "fixes"))
@@ -75,10 +78,11 @@ def _(spark, d):
 
 
 @query("raster_sample_bilinear", D(f"""WITH {POINTS}, b AS (SELECT event_id, floor(px - 0.5) AS x0, floor(py - 0.5) AS y0, px - 0.5 - floor(px - 0.5) AS fx, py - 0.5 - floor(py - 0.5) AS fy FROM pts),
-f AS (SELECT event_id, least(greatest(y0 + dy, 0), 99) AS r, least(greatest(x0 + dx, 0), 127) AS c, CASE WHEN dx = 1 THEN fx ELSE 1 - fx END * CASE WHEN dy = 1 THEN fy ELSE 1 - fy END AS w FROM b, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(dx, dy))
+f AS (SELECT event_id, least(greatest(y0 + dy, 0), h - 1) AS r, least(greatest(x0 + dx, 0), 127) AS c, CASE WHEN dx = 1 THEN fx ELSE 1 - fx END * CASE WHEN dy = 1 THEN fy ELSE 1 - fy END AS w FROM b, high, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(dx, dy))
 SELECT event_id, round(CASE WHEN count(z) = 4 THEN sum(z * w) END, 4) AS ele FROM f LEFT JOIN dem_cells d ON d.r = f.r AND d.c = f.c GROUP BY event_id""", "fixes"))
 def _(spark, d):
-    return R.raster_sample_bilinear(pixel_points(spark, d), "event_id", dem(spark, d), 100, 128).withColumn("ele", F.round("ele", 4))
+    rows = dem(spark, d).agg(F.max("row") + 1).first()[0]
+    return R.raster_sample_bilinear(pixel_points(spark, d), "event_id", dem(spark, d), rows, 128).withColumn("ele", F.round("ele", 4))
 
 
 @query("raster_tile_pack", D(f'WITH {CELLS} SELECT z, CAST(col // 32 AS BIGINT) AS x, CAST("row" // 32 AS BIGINT) AS y, count(*) AS n, CAST(sum(slope) AS BIGINT) AS total FROM cells GROUP BY 1, 2, 3'))
@@ -87,7 +91,7 @@ def _(spark, d):
     return packed.select("z", "x", "y", F.size("slope").cast("bigint").alias("n"), F.aggregate("slope", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("total"))
 
 
-@query("peak_snap", D("WITH p AS (SELECT event_id, CAST(trunc((event_id * 13 % 1280) / 1e1) AS INTEGER) AS c, CAST(trunc((event_id * 29 % 900) / 1e1) AS INTEGER) AS r FROM fixes) SELECT event_id, r AS \"row\", c AS col, z AS ele FROM (SELECT event_id, d.r, d.c, d.z, row_number() OVER (PARTITION BY event_id ORDER BY d.z DESC, d.r, d.c) AS rn FROM p JOIN dem_cells d ON d.r BETWEEN p.r - 2 AND p.r + 2 AND d.c BETWEEN p.c - 2 AND p.c + 2) WHERE rn = 1", "fixes"))
+@query("peak_snap", D("WITH high AS (SELECT max(r) + 1 AS h FROM dem_cells), p AS (SELECT event_id, CAST(trunc((event_id * 13 % 1280) / 1e1) AS INTEGER) AS c, CAST(trunc((event_id * 29 % (h * 10)) / 1e1) AS INTEGER) AS r FROM fixes, high) SELECT event_id, r AS \"row\", c AS col, z AS ele FROM (SELECT event_id, d.r, d.c, d.z, row_number() OVER (PARTITION BY event_id ORDER BY d.z DESC, d.r, d.c) AS rn FROM p JOIN dem_cells d ON d.r BETWEEN p.r - 2 AND p.r + 2 AND d.c BETWEEN p.c - 2 AND p.c + 2) WHERE rn = 1", "fixes"))
 def _(spark, d):
     return R.peak_snap(pixel_points(spark, d), "event_id", dem(spark, d))
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnspark.functions.naming import artifact_kind, region_id_of
+from tarnspark.scratch import stored
 
-HEADER_BYTES = 127
+HEADER_BYTES, CHUNK_BYTES = 127, 8 << 20
 # Where the header keeps each section's offset; its length is the next 8 bytes.
 SECTIONS = {"root directory": 8, "metadata": 24, "leaf directories": 40, "tile data": 56}
 
@@ -21,14 +27,40 @@ def _reversed(header: Column, at: int) -> Column:
     return F.concat(*[F.substring(header, at + 8 - k, 1) for k in range(8)])
 
 
+def _open(path: str):
+    store, inside = FileSystem.from_uri(path)
+    return store.open_input_file(inside)
+
+
+def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        for path in batch.column(0).to_pylist():
+            with _open(path) as opened:
+                found.append(opened.read(HEADER_BYTES))
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["path", "bytes", "h"])
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            digest = hashlib.sha256()
+            with _open(path) as opened:
+                while piece := opened.read(CHUNK_BYTES):
+                    digest.update(piece)
+            yield pa.record_batch([pa.array([path]), pa.array([digest.hexdigest()])], names=["path", "sha256"])
+
+
 def artifact_audit(spark: SparkSession, path: str) -> DataFrame:
     """filename, kind, region_id, bytes, minzoom, maxzoom, sha256 of the tile archives under ``path``; other files go.
 
-    A file whose header lacks the magic number, has another version, or points beyond the file raises.
+    A file whose header lacks the magic number, has another version, or points beyond the file raises, before any digest is
+    begun. Spark lists the files; headers and digests are read in tasks, a file in pieces of ``CHUNK_BYTES``.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    named = files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("filename"), F.col("length").alias("bytes"), "content", F.substring("content", 1, HEADER_BYTES).alias("h"))
-    named = named.withColumn("kind", artifact_kind(F.col("filename"))).where("kind is not null and filename like '%.pmtiles'")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("bytes"))
+    filename = F.regexp_extract("path", "([^/]+)$", 1)
+    listed = files.where(artifact_kind(filename).isNotNull() & filename.like("%.pmtiles")).repartition("path")
+    named = listed.mapInArrow(_headers, "path string, bytes long, h binary").withColumn("filename", filename)
     size = F.col("bytes").cast("decimal(20,0)")
     wrong = F.when((F.length("h") < HEADER_BYTES) | (F.substring("h", 1, 7) != F.lit("PMTiles").cast("binary")), "no magic number").when(
         F.hex(F.substring("h", 8, 1)) != "03", "another version"
@@ -38,4 +70,8 @@ def artifact_audit(spark: SparkSession, path: str) -> DataFrame:
     fail = F.raise_error(F.concat("filename", F.lit(": "), F.col("wrong")))
     checked = named.withColumn("wrong", wrong).withColumn("filename", F.when(F.col("wrong").isNotNull(), fail).otherwise(F.col("filename")))
     byte = lambda at: F.conv(F.hex(F.substring("h", at + 1, 1)), 16, 10).cast("int")
-    return checked.select("filename", "kind", region_id_of(F.col("filename")).alias("region_id"), "bytes", byte(100).alias("minzoom"), byte(101).alias("maxzoom"), F.sha2("content", 256).alias("sha256"))
+    passed = stored(
+        checked.select("path", "filename", artifact_kind(F.col("filename")).alias("kind"), region_id_of(F.col("filename")).alias("region_id"), "bytes", byte(100).alias("minzoom"), byte(101).alias("maxzoom")), "headers"
+    )
+    digests = passed.select("path").repartition("path").mapInArrow(_digests, "path string, sha256 string")
+    return passed.join(digests, "path").drop("path")

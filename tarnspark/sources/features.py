@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,11 +30,48 @@ def concat_sources(sources: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), [df.withColumn("source_ord", F.lit(i)) for i, df in enumerate(sources)])
 
 
-def sink_features(df: DataFrame, path: str, properties: list[str], lng: str = "lng", lat: str = "lat") -> None:
-    """Write points, one feature a line, with the listed properties only; null properties are left out."""
-    shape = F.struct(F.lit("Point").alias("type"), F.array(F.round(lng, 7), F.round(lat, 7)).alias("coordinates"))
-    feature = F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), F.struct(*properties).alias("properties"))
-    df.select(F.to_json(feature).alias("value")).write.text(path)
+def tile_union(tilesets: dict[str, DataFrame], expected: DataFrame) -> DataFrame:
+    """All rows of the tilesets by source, each with its ``source``; a source of ``expected`` that is missing or empty raises."""
+    rows = reduce(lambda a, b: a.unionByName(b), [df.withColumn("source", F.lit(name)) for name, df in tilesets.items()])
+    held = rows.groupBy(F.col("source").alias("__held")).agg(F.lit(True).alias("__any"))
+    lost = [r[0] for r in expected.select("source").distinct().join(held, F.col("source") == F.col("__held"), "left_anti").orderBy("source").limit(5).collect()]
+    if lost:
+        raise ValueError(f"no tiles of {', '.join(lost)}")
+    return rows
+
+
+def _position(p: Column) -> Column:
+    return F.array(F.round(p["lng"], 7), F.round(p["lat"], 7))
+
+
+def _geometry(kind: str, coordinates: Column) -> Column:
+    return F.to_json(F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")))
+
+
+def point_geometry(lng: Column, lat: Column) -> Column:
+    """GeoJSON text of a point at 7 decimals."""
+    return _geometry("Point", F.array(F.round(lng, 7), F.round(lat, 7)))
+
+
+def line_geometry(coords: Column) -> Column:
+    """GeoJSON text of an array of <lng, lat>."""
+    return _geometry("LineString", F.transform(coords, _position))
+
+
+def polygon_geometry(rings: Column) -> Column:
+    """GeoJSON text of an array of rings, each an array of <lng, lat>."""
+    return _geometry("Polygon", F.transform(rings, lambda ring: F.transform(ring, _position)))
+
+
+def sink_features(df: DataFrame, path: str, properties: list[str], lng: str = "lng", lat: str = "lat", geometry: Column | None = None) -> None:
+    """Write one feature a line, with the listed properties only; null properties are left out.
+
+    Features are the points (``lng``, ``lat``), or have the GeoJSON text ``geometry``, which may differ in kind from row to
+    row; a null one is written as null.
+    """
+    shape = point_geometry(F.col(lng), F.col(lat)) if geometry is None else F.coalesce(geometry, F.lit("null"))
+    held = F.to_json(F.struct(*properties)) if properties else F.lit("{}")
+    df.select(F.concat(F.lit('{"type":"Feature","geometry":'), shape, F.lit(',"properties":'), held, F.lit("}")).alias("value")).write.text(path)
 
 
 def sink_region_partitions(df: DataFrame, path: str) -> None:
@@ -51,7 +88,23 @@ def scan_regions(spark: SparkSession, path: str) -> DataFrame:
     return r.select("region_ord", F.col("r.id").alias("region_id"), "r.name", *box, flag("terrain", True), flag("contours", False), flag("avalanche", False), F.col("r.maxBytes").alias("max_bytes"))
 
 
-def scan_admin_index(spark: SparkSession, path: str, dropped: list[str]) -> DataFrame:
-    """id, parent and name of the index's areas without the dropped ids."""
-    raw = spark.read.json(path, multiLine=True, schema="features array<struct<properties struct<id string, parent string, name string>>>")
-    return raw.select(F.explode("features.properties").alias("p")).select("p.*").where(~F.col("id").isin(*dropped) if dropped else F.lit(True))
+def scan_admin_index(spark: SparkSession, path: str, dropped: list[str], aggregates: list[str] = ()) -> DataFrame:
+    """id, parent, name and polygons of the index's areas, without the dropped ids and the aggregates.
+
+    ``polygons`` is an array of polygons, each an array of rings of <lng, lat>; null without a geometry. Of several features
+    of one id the last stands. An aggregate that is the parent of areas raises: they would hang in the air.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.try_variant_get(F.parse_json("value"), "$.features", "array<variant>")).alias("f"))
+    get = lambda p, kind: F.try_variant_get("f", p, kind)
+    kind = get("$.geometry.type", "string")
+    flat = F.when(kind == "Polygon", F.array(get("$.geometry.coordinates", "array<array<array<double>>>"))).when(kind == "MultiPolygon", get("$.geometry.coordinates", "array<array<array<array<double>>>>"))
+    place = lambda p: F.struct(F.get(p, F.lit(0)).alias("lng"), F.get(p, F.lit(1)).alias("lat"))
+    polygons = F.transform(flat, lambda polygon: F.transform(polygon, lambda ring: F.transform(ring, place)))
+    rows = whole.select(F.monotonically_increasing_id().alias("ord"), get("$.properties.id", "string").alias("id"), get("$.properties.parent", "string").alias("parent"), get("$.properties.name", "string").alias("name"), polygons.alias("polygons"))
+    last = rows.groupBy("id").agg(F.max_by(F.struct("parent", "name", "polygons"), "ord").alias("r")).select("id", "r.*")
+    gone = [*dropped, *aggregates]
+    kept = last.where(~F.col("id").isin(*gone)) if gone else last
+    if not aggregates:
+        return kept
+    broken = F.col("parent").isin(*aggregates)
+    return kept.withColumn("parent", F.when(broken, F.raise_error(F.concat("id", F.lit(" lies in an aggregate")))).otherwise(F.col("parent")))

@@ -70,19 +70,52 @@ def _escaped(text: Column) -> Column:
     return out
 
 
+def _optional(df: DataFrame, name: str, kind: str) -> Column:
+    return F.coalesce(F.col(name), F.array().cast(kind)) if name in df.columns else F.array().cast(kind)
+
+
+_WAYPOINTS = "array<struct<lng double, lat double, ele double, name string>>"
+_SPANS = "array<struct<kind string, start bigint, end bigint>>"
+
+
 def sink_route_gpx(routes: DataFrame, path: str) -> None:
-    """One GPX text a row: route_id (as a folder), coordinates at 7 decimals, heights at 1."""
+    """One GPX text a row: route_id (as a folder), coordinates at 7 decimals, heights at 1.
+
+    ``waypoints`` <lng, lat, ele, name> and ``spans`` <kind, start, end> (where each leg lies in ``coords``) are written if
+    there are such columns: waypoints before the track, spans in the track's extensions.
+    """
+    waypoint = lambda p: F.concat(
+        F.format_string('<wpt lat="%.7f" lon="%.7f">', p["lat"], p["lng"]), F.when(p["ele"].isNotNull(), F.format_string("<ele>%.1f</ele>", p["ele"])).otherwise(""),
+        F.when(p["name"].isNotNull(), F.concat(F.lit("<name>"), _escaped(p["name"]), F.lit("</name>"))).otherwise(""), F.lit("</wpt>"),
+    )
+    leg = lambda s: F.format_string('<legs:leg kind="%s" start="%d" end="%d"/>', s["kind"], s["start"], s["end"])
+    spans = _optional(routes, "spans", _SPANS)
+    legs = F.when(F.size(spans) > 0, F.concat(F.lit("<extensions><legs:legs>"), F.array_join(F.transform(spans, leg), ""), F.lit("</legs:legs></extensions>"))).otherwise("")
     pt = lambda p: F.concat(F.format_string('<trkpt lat="%.7f" lon="%.7f">', p["lat"], p["lng"]), F.when(p["ele"].isNotNull(), F.format_string("<ele>%.1f</ele>", p["ele"])).otherwise(""), F.lit("</trkpt>"))
     body = F.concat(
-        F.lit('<?xml version="1.0"?><gpx version="1.1" xmlns="http://www.topografix.com/GPX/1/1"><trk><name>'), _escaped(F.col("name")), F.lit("</name><trkseg>"),
+        F.lit('<?xml version="1.0"?><gpx version="1.1" xmlns="http://www.topografix.com/GPX/1/1" xmlns:legs="urn:tarnspark:legs">'),
+        F.array_join(F.transform(_optional(routes, "waypoints", _WAYPOINTS), waypoint), ""), F.lit("<trk><name>"), _escaped(F.col("name")), F.lit("</name>"), legs, F.lit("<trkseg>"),
         F.array_join(F.transform("coords", pt), ""), F.lit("</trkseg></trk></gpx>"),
     )
     routes.select("route_id", body.alias("value")).write.partitionBy("route_id").text(path)
 
 
 def sink_route_geojson(routes: DataFrame, path: str) -> None:
-    """One GeoJSON feature a row; heights are the third ordinate, to 0.1 m."""
+    """One GeoJSON feature collection a row: the line, with its ``spans`` if there are any, and ``waypoints``.
+
+    Heights are the third ordinate, to 0.1 m. A waypoint without a name is numbered.
+    """
     pt = lambda p: F.when(p["ele"].isNull(), F.array(F.round(p["lng"], 7), F.round(p["lat"], 7))).otherwise(F.array(F.round(p["lng"], 7), F.round(p["lat"], 7), F.round(p["ele"], 1)))
     shape = F.struct(F.lit("LineString").alias("type"), F.transform("coords", pt).alias("coordinates"))
-    feature = F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), F.struct("name").alias("properties"))
-    routes.select("route_id", F.to_json(feature).alias("value")).write.partitionBy("route_id").text(path)
+    spans = _optional(routes, "spans", _SPANS)
+    held = F.struct(F.col("name"), F.lit("route").alias("kind"), F.when(F.size(spans) > 0, spans).alias("legs"))
+    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), held.alias("properties")))
+    point = lambda p, i: F.to_json(
+        F.struct(
+            F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), F.array(F.round(p["lng"], 7), F.round(p["lat"], 7)).alias("coordinates")).alias("geometry"),
+            F.struct(F.coalesce(p["name"], F.format_string("Waypoint %d", i + 1)).alias("name"), F.lit("waypoint").alias("kind"), p["ele"].alias("ele")).alias("properties"),
+        )
+    )
+    features = F.array_join(F.concat(F.array(feature), F.transform(_optional(routes, "waypoints", _WAYPOINTS), point)), ",")
+    text = F.concat(F.lit('{"type":"FeatureCollection","features":['), features, F.lit("]}"))
+    routes.select("route_id", text.alias("value")).write.partitionBy("route_id").text(path)

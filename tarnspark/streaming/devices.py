@@ -1,7 +1,8 @@
-"""Per-device state over feeds of fixes, transfers and headings, on streams (state store) and on tables (groups) alike.
+"""Per-device state over feeds of fixes, transfers and headings, on streams (state store) and on tables alike.
 
-Rows of one device are taken in event-time order within a micro-batch. State is a few numbers per device; on a stream it
-expires ``TTL`` after the watermark passes the device's last row, if the stream has one.
+Rows of one device are taken in event-time order within a micro-batch. State is a few numbers per device; on a stream it is
+given up ``TTL_MS`` after the device's last row, by the clock. On tables routes and headings are windows over the device's
+rows; only the transfer rate, whose every value builds on the one before, folds them in Python.
 """
 
 from __future__ import annotations
@@ -12,10 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 from tarnspark.functions.geo import haversine_m
 from tarnspark.operators.lines import DEGREE_M
 
+TTL_MS = 24 * 3600 * 1000
 Core = Callable[[tuple | None, pd.DataFrame], tuple[tuple | None, pd.DataFrame]]
 
 
@@ -25,13 +28,17 @@ def stateful(df: DataFrame, keys: list[str], core: Core, out: str, state: str, t
         return df.groupBy(*keys).applyInPandas(lambda pdf: core(None, pdf.sort_values(ts, kind="stable"))[1], out)
 
     def step(_: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         rows = pd.concat(list(batches), ignore_index=True).sort_values(ts, kind="stable")
         after, found = core(held.get if held.exists else None, rows)
         if after is not None:
             held.update(after)
+            held.setTimeoutDuration(TTL_MS)
         yield found
 
-    return df.groupBy(*keys).applyInPandasWithState(step, out, state, "append", GroupStateTimeout.NoTimeout)
+    return df.groupBy(*keys).applyInPandasWithState(step, out, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def nearest_expr(coords: Column, lng: Column, lat: Column) -> Column:
@@ -78,6 +85,14 @@ def follow_route(fixes: DataFrame, routes: DataFrame, off_m: float = 60.0, rejoi
     met = fixes.join(lines, "route_id").withColumn("n", nearest_expr(F.col("coords"), F.col("lng"), F.col("lat"))).where("n is not null")
     flat = met.select("device", "route_id", "ts", F.col("n.distance_m").alias("off_m"), F.least("n.along_m", "total").alias("along_m"), "total")
 
+    left, share = F.greatest(F.col("total") - F.col("along_m"), F.lit(0.0)), F.when(F.col("total") > 0, F.col("along_m") / F.col("total")).otherwise(0.0)
+    if not flat.isStreaming:
+        # The last fix that decides: beyond off_m, or back within the rejoin distance.
+        told = F.when(F.col("off_m") > off_m, True).when(F.col("off_m") <= back, False)
+        w = Window.partitionBy("device", "route_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        is_off = F.coalesce(F.last(told, ignorenulls=True).over(w), F.lit(False))
+        return flat.select("device", "route_id", "ts", "off_m", is_off.alias("is_off"), "along_m", left.alias("remaining_m"), share.alias("fraction"))
+
     def core(state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
         off, flags = bool(state[0]) if state else False, []
         for d in rows["off_m"]:
@@ -119,6 +134,10 @@ def transfer_rate(progress: DataFrame, alpha: float = 0.3, settle: int = 3, min_
 
 def heading_changes(readings: DataFrame) -> DataFrame:
     """Readings (device, ts, heading) whose whole degree differs from the last one told, or that appear or vanish."""
+    if not readings.isStreaming:
+        w = Window.partitionBy("device").orderBy("ts")
+        now = F.when(~F.isnan(F.col("heading").cast("double")), F.floor(F.col("heading").cast("double") + 0.5))
+        return readings.withColumn("__now", now).withColumn("__was", F.lag("__now").over(w)).where(~F.col("__now").eqNullSafe(F.col("__was"))).select("device", "ts", F.col("heading").cast("double").alias("heading"))
 
     def core(state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
         last, keep = state[0] if state else None, []
