@@ -11,7 +11,7 @@ from tarnspark.operators import prominence as P
 from tarnspark.operators import raster as R
 from tarnspark.operators.lines import segments
 from tarnspark.plans.line_queries import NEAR
-from tarnspark.plans.raster_queries import CELLS, cells, dem, pixel_points
+from tarnspark.plans.raster_queries import CELLS, POINTS, cells, dem, pixel_points
 from tarnspark.plans.registry import query
 from tarnspark.plans.views import view, with_views
 from tarnspark.streaming import devices as S
@@ -59,11 +59,31 @@ def tapped(spark, d):
     )
 
 
-@query("least_cost_path")
+M = "2 * 6371008.8 * asin(least(1, sqrt(pow(sin(radians({1} - {3}) / 2), 2) + cos(radians({3})) * cos(radians({1})) * pow(sin(radians({0} - {2}) / 2), 2))))"
+WEIGHT = "CASE kind WHEN 'path' THEN 1e0 WHEN 'minor_road' THEN 1.2e0 WHEN 'medium_road' THEN 1.6e0 ELSE 1.5e0 END"
+#: Every leg's search as a table keyed by (leg, node), relaxed until nothing gets cheaper.
+CHEAPEST = f"""{EDGES}, nodes AS (SELECT DISTINCT node_id, gx, gy, lng, lat FROM nv),
+arcs AS (SELECT a, b, {WEIGHT} * length_m AS w FROM ed UNION ALL SELECT b, a, {WEIGHT} * length_m FROM ed),
+ends AS (SELECT way_id, min_by(struct_pack(gx := gx, gy := gy, lng := lng, lat := lat), seq) AS f, max_by(struct_pack(gx := gx, gy := gy, lng := lng, lat := lat), seq) AS t FROM nv GROUP BY way_id HAVING count(*) > 1),
+legs AS (SELECT *, degrees(greatest(1200, 0.35 * {M.format('f.lng', 'f.lat', 't.lng', 't.lat')}) / 6371008.8) AS up FROM ends),
+boxes AS (SELECT way_id AS leg, least(f.lng, t.lng) - up / cos(radians(greatest(f.lat, t.lat))) AS west, greatest(f.lng, t.lng) + up / cos(radians(greatest(f.lat, t.lat))) AS east, least(f.lat, t.lat) - up AS south, greatest(f.lat, t.lat) + up AS north FROM legs),
+tips AS (SELECT way_id AS leg, 0 AS side, f AS p FROM legs UNION ALL SELECT way_id, 1, t FROM legs),
+around AS (SELECT x * 20 AS dx, y * 20 AS dy FROM range(-2, 3) i(x), range(-2, 3) j(y)),
+near AS (SELECT leg, side, node_id, {M.format('n.lng', 'n.lat', 'p.lng', 'p.lat')} AS m FROM tips, around JOIN nodes n ON n.gx = p.gx + dx AND n.gy = p.gy + dy),
+snaps AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY leg, side ORDER BY m, node_id) AS rn FROM near WHERE m <= 250) WHERE rn <= 8),
+reached(leg, node_id, cost) USING KEY (leg, node_id) AS (
+  SELECT leg, node_id, m FROM snaps WHERE side = 0
+  UNION
+  SELECT r.leg, c.b, min(r.cost + c.w) FROM reached r JOIN arcs c ON c.a = r.node_id JOIN nodes n ON n.node_id = c.b JOIN boxes x ON x.leg = r.leg AND n.lng BETWEEN west AND east AND n.lat BETWEEN south AND north
+  LEFT JOIN recurring.reached o ON o.leg = r.leg AND o.node_id = c.b WHERE o.cost IS NULL OR r.cost + c.w < o.cost GROUP BY r.leg, c.b
+)"""
+
+
+@query("least_cost_path", V(f"WITH {CHEAPEST}, done AS (SELECT r.leg, min(r.cost + s.m) AS cost FROM reached r JOIN snaps s ON s.leg = r.leg AND s.node_id = r.node_id AND side = 1 GROUP BY r.leg) SELECT way_id AS leg_id, round(cost, 3) AS cost, CASE WHEN cost IS NULL THEN 'no_path' END AS reason FROM ends LEFT JOIN done ON leg = way_id"))
 def _(spark, d):
     nodes, edges = network(spark, d)
     out = paths.least_cost_path(tapped(spark, d), nodes, edges)
-    return out.select("leg_id", F.round("cost", 3).alias("cost"), F.round("length", 3).alias("length_m"), F.size("way").cast("bigint").alias("n"), "reason")
+    return out.select("leg_id", F.round("cost", 3).alias("cost"), "reason")
 
 
 @query("leg_fallback", V("SELECT DISTINCT way_id AS leg_id, CASE WHEN way_id % 5 = 0 OR way_id % 7 = 0 OR way_id % 11 = 0 OR way_id % 13 = 0 THEN 'straight' ELSE 'path' END AS kind, CASE WHEN way_id % 5 = 0 THEN 'freehand' WHEN way_id % 7 = 0 THEN 'no_region' WHEN way_id % 11 = 0 THEN 'too_long' WHEN way_id % 13 = 0 THEN 'no_path' END AS reason FROM way_vertices"))
@@ -100,7 +120,23 @@ def summits(spark, d):
     return R.peak_snap(at.select("peak_id", "px", "py"), "peak_id", dem(spark, d))
 
 
-@query("prominence")
+#: Labels of the cells at or above each threshold fall to the least cell that they reach.
+FLOOD = f"""{POINTS}, p AS (SELECT min(event_id) AS peak_id, CAST(floor(px) AS INTEGER) AS c, CAST(floor(py) AS INTEGER) AS r FROM pts GROUP BY floor(px), floor(py)),
+tops AS (SELECT peak_id, d.r * 128 + d.c AS cell, d.z AS ele FROM p JOIN dem_cells d ON d.r BETWEEN p.r - 2 AND p.r + 2 AND d.c BETWEEN p.c - 2 AND p.c + 2 QUALIFY row_number() OVER (PARTITION BY peak_id ORDER BY d.z DESC, d.r, d.c) = 1),
+lim AS (SELECT floor(max(z) / 600e0) * 600 AS top, min(z) AS low FROM dem_cells),
+th AS (SELECT top - k * 600 AS t FROM lim, range(100) g(k) WHERE top - k * 600 > greatest(0, low) - 600),
+open_ AS (SELECT t, r * 128 + c AS cell, r, c FROM th JOIN dem_cells ON z >= t),
+beside AS (SELECT o.t, o.cell AS a, q.cell AS b FROM open_ o, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) s(dr, dc) JOIN open_ q ON q.t = o.t AND q.r = o.r + dr AND q.c = o.c + dc),
+label(t, cell, root) USING KEY (t, cell) AS (
+  SELECT t, cell, cell FROM open_
+  UNION
+  SELECT l.t, n.b, min(l.root) FROM label l JOIN beside n ON n.t = l.t AND n.a = l.cell JOIN recurring.label o ON o.t = l.t AND o.cell = n.b WHERE l.root < o.root GROUP BY l.t, n.b
+),
+met AS (SELECT peak_id, l.t, row_number() OVER (PARTITION BY l.t, root ORDER BY ele DESC, peak_id) AS rn FROM tops JOIN label l USING (cell)),
+saddles AS (SELECT peak_id, max(t) AS t FROM met WHERE rn > 1 GROUP BY peak_id)"""
+
+
+@query("prominence", with_views(f"WITH {FLOOD} SELECT peak_id, CASE WHEN t IS NULL THEN ele - (SELECT low FROM lim) * 1e0 ELSE greatest(0e0, ele - t) END AS prom FROM tops LEFT JOIN saddles USING (peak_id)", "dem_cells", "fixes"))
 def _(spark, d):
     return P.prominence(summits(spark, d), dem(spark, d), 600.0, 0.0)
 
