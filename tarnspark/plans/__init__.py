@@ -1,6 +1,6 @@
 """Queries over the given tables, one for each operator."""
 
 from tarnspark.plans import feature_queries, line_queries, network_queries, place_queries, raster_queries, source_queries  # noqa: F401
-from tarnspark.plans.registry import ORACLES, QUERIES
+from tarnspark.plans.registry import ORACLES, QUERIES, SLOW_SQL
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "SLOW_SQL"]

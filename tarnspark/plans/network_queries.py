@@ -79,7 +79,7 @@ reached(leg, node_id, cost) USING KEY (leg, node_id) AS (
 )"""
 
 
-@query("least_cost_path", V(f"WITH {CHEAPEST}, done AS (SELECT r.leg, min(r.cost + s.m) AS cost FROM reached r JOIN snaps s ON s.leg = r.leg AND s.node_id = r.node_id AND side = 1 GROUP BY r.leg) SELECT way_id AS leg_id, round(cost, 3) AS cost, CASE WHEN cost IS NULL THEN 'no_path' END AS reason FROM ends LEFT JOIN done ON leg = way_id"))
+@query("least_cost_path", slow=V(f"WITH {CHEAPEST}, done AS (SELECT r.leg, min(r.cost + s.m) AS cost FROM reached r JOIN snaps s ON s.leg = r.leg AND s.node_id = r.node_id AND side = 1 GROUP BY r.leg) SELECT way_id AS leg_id, round(cost, 3) AS cost, CASE WHEN cost IS NULL THEN 'no_path' END AS reason FROM ends LEFT JOIN done ON leg = way_id"))
 def _(spark, d):
     nodes, edges = network(spark, d)
     out = paths.least_cost_path(tapped(spark, d), nodes, edges)
@@ -136,7 +136,7 @@ met AS (SELECT peak_id, l.t, row_number() OVER (PARTITION BY l.t, root ORDER BY
 saddles AS (SELECT peak_id, max(t) AS t FROM met WHERE rn > 1 GROUP BY peak_id)"""
 
 
-@query("prominence", with_views(f"WITH {FLOOD} SELECT peak_id, CASE WHEN t IS NULL THEN ele - (SELECT low FROM lim) * 1e0 ELSE greatest(0e0, ele - t) END AS prom FROM tops LEFT JOIN saddles USING (peak_id)", "dem_cells", "fixes"))
+@query("prominence", slow=with_views(f"WITH {FLOOD} SELECT peak_id, CASE WHEN t IS NULL THEN ele - (SELECT low FROM lim) * 1e0 ELSE greatest(0e0, ele - t) END AS prom FROM tops LEFT JOIN saddles USING (peak_id)", "dem_cells", "fixes"))
 def _(spark, d):
     return P.prominence(summits(spark, d), dem(spark, d), 600.0, 0.0)
 

@@ -11,7 +11,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tarnspark.plans import ORACLES, QUERIES
+from tarnspark.plans import ORACLES, QUERIES, SLOW_SQL
 from tarnspark.plans.views import view
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -32,12 +32,12 @@ def plain(v):
     return f"{v + 0.0:.6f}" if isinstance(v, float) else repr(v)
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+@pytest.mark.parametrize("name", sorted(ORACLES | SLOW_SQL))
 def test_query_equals_sql(spark, db, name):
     df = QUERIES[name](spark, FOLDER)
     names = sorted(df.columns)
     got = sorted(tuple(plain(r[n]) for n in names) for r in df.collect())
-    found = db.execute(ORACLES[name])
+    found = db.execute((ORACLES | SLOW_SQL)[name])
     columns = [c[0] for c in found.description]
     assert sorted(columns) == names
     assert got == sorted(tuple(plain(r[columns.index(n)]) for n in names) for r in found.fetchall())
