@@ -5,7 +5,8 @@ Jaccard distance is a metric, and a link is a distance of at most r = 1 - thresh
 1. Equal sets collapse to one representative.
 2. A shingle that no other set holds lies in the difference to every other set, so a set whose private share
    exceeds r has no partner. This bound is taken first over a fixed slice of the hash range, then over whole sets.
-3. Sets that share one of their lowest floor(r * n) + 1 shingles in hash order meet in a cell: a linked pair always does.
+3. Shingles are ranked by hash, but those that many sets hold come last. Sets that share one of their lowest
+   floor(r * n) + 1 shingles meet in a cell: a linked pair always does.
 4. A cell that is too large for one task is cut by pivots, documents drawn from it. Every member goes to the region of its
    nearest pivot, and also to the region of each pivot that is farther by 2r at most: by the triangle inequality no other
    region can hold a partner of it at home there. Members within r of a pivot are linked to it and so to each other. What
@@ -29,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarnspark.llm.columns import without
-from tarnspark.llm.kernels import Run, gram_hashes, mix, range_hashes, runs, signed, windows
+from tarnspark.llm.columns import sieve, without
+from tarnspark.llm.kernels import Run, gram_hashes, in_sieve, mix, range_hashes, runs, signed, windows
 from tarnspark.operators.components import least_roots
 from tarnspark.scratch import forget, stored
 
@@ -40,6 +41,8 @@ SLICE = 400
 BUCKET_HASHES, CELL_HASHES = 250_000, 200_000
 #: Pivots that cut a large cell, and the share of it that its largest part may keep; beyond that, blocks are taken instead.
 PIVOTS, SHRINKS_TO = 16, 0.8
+#: Sets beyond which a shingle counts as held by many.
+MANY = 200
 #: Hashes that a task gathers before it deals them out by bucket, and holders whose counts are summed in one task.
 DEAL_HASHES, PART_HOLDERS = 500_000, 20_000
 
@@ -83,8 +86,8 @@ def _profile(size: int):
     return profile
 
 
-def _dealt(flat: np.ndarray, keys: np.ndarray, slice_: int, buckets: int) -> Iterator[dict]:
-    """Hashes with their holders, at most two holders a hash, by bucket; further holders are counted here."""
+def _dealt(flat: np.ndarray, keys: np.ndarray, slice_: int, buckets: int, count: bool = False) -> Iterator[dict]:
+    """Hashes with their holders, at most two holders a hash, by bucket; further holders are counted here, all with ``count``."""
     order = np.lexsort((keys, flat))
     flat, keys = flat[order], keys[order]
     new = np.ones(len(flat), dtype=bool)
@@ -95,21 +98,24 @@ def _dealt(flat: np.ndarray, keys: np.ndarray, slice_: int, buckets: int) -> Ite
     tail = np.append(head[1:], True)
     done, times = np.unique(keys[~(head | tail)], return_counts=True)
     edge = head | tail
-    flat, keys = flat[edge], keys[edge]
+    first = np.flatnonzero(head)
+    holders = np.zeros(len(flat), np.int32)
+    holders[first] = np.diff(np.append(first, len(flat)))
+    flat, keys, holders = flat[edge], keys[edge], holders[edge]
     step = int(_limit(slice_) >> np.uint64(20)) // buckets + 1
     bucket = (flat >> np.uint64(20)) // np.uint64(step)
     cuts = np.flatnonzero(np.diff(bucket, prepend=np.uint64(1 << 63)))
     for k, (a, b) in enumerate(zip(cuts, np.append(cuts[1:], len(flat)))):
         first = k == 0
         yield {
-            "__bucket": int(bucket[a]), "__hashes": flat[a:b].tobytes(), "__keys": keys[a:b].tobytes(),
+            "__bucket": int(bucket[a]), "__hashes": flat[a:b].tobytes(), "__keys": keys[a:b].tobytes(), "__holders": holders[a:b].tobytes() if count else b"",
             "__done": done.tobytes() if first else b"", "__times": times.astype(np.int64).tobytes() if first else b"",
         }
 
 
-_DEALT = "__bucket long, __hashes binary, __keys binary, __done binary, __times binary"
+_DEALT = "__bucket long, __hashes binary, __keys binary, __holders binary, __done binary, __times binary"
 _DEALT_ARROW = pa.schema(
-    [("__bucket", pa.int64()), ("__hashes", pa.binary()), ("__keys", pa.binary()), ("__done", pa.binary()), ("__times", pa.binary())]
+    [("__bucket", pa.int64()), ("__hashes", pa.binary()), ("__keys", pa.binary()), ("__holders", pa.binary()), ("__done", pa.binary()), ("__times", pa.binary())]
 )
 
 
@@ -143,7 +149,7 @@ def _deal_sets(buckets: int):
             if batch.num_rows:
                 sets = [np.frombuffer(s, np.uint64) for s in batch.column(1).to_pylist()]
                 keys = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(s) for s in sets])
-                yield pa.RecordBatch.from_pylist(list(_dealt(np.concatenate(sets), keys, 1000, buckets)), schema=_DEALT_ARROW)
+                yield pa.RecordBatch.from_pylist(list(_dealt(np.concatenate(sets), keys, 1000, buckets, count=True)), schema=_DEALT_ARROW)
 
     return deal
 
@@ -157,6 +163,8 @@ def _count_shared(parts: int):
         order = np.argsort(flat, kind="stable")
         flat, keys = flat[order], keys[order]
         heads = np.flatnonzero(np.diff(flat, prepend=~flat[:1]))
+        holders = join("__holders", np.int32)
+        many = flat[heads][np.add.reduceat(holders[order], heads) > MANY] if len(holders) else flat[:0]
         shared = np.minimum.reduceat(keys, heads) != np.maximum.reduceat(keys, heads)
         pick = np.repeat(shared, np.diff(np.append(heads, len(flat))))
         flat, keys = flat[pick], keys[pick]
@@ -175,6 +183,7 @@ def _count_shared(parts: int):
             {
                 "__part": pa.array(part[cuts]), "__keys": pa.array([held[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
                 "__counts": pa.array([counts[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
+                "__many": pa.array([signed(many).tolist() if i == 0 else [] for i in range(len(cuts))], pa.list_(pa.int64())),
             }
         )
 
@@ -187,13 +196,12 @@ def _sum_shared(packed: pa.Table) -> pa.Table:
     return pa.table({"__key": held, "__shared": np.bincount(back, weights=join("__counts"), minlength=len(held)).astype(np.int64)})
 
 
-def _shared_counts(dealt: DataFrame, rows: int) -> DataFrame:
-    """Shared hashes per holder; ``rows`` holders at most, which sets the number of parts they are summed in."""
+def _shared_counts(dealt: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Shared hashes per holder, and the hashes that many hold; ``rows`` holders at most, which sets the number of parts they are summed in."""
     parts = max(1, -(-rows // PART_HOLDERS))
-    return (
-        dealt.groupBy("__bucket").applyInArrow(_count_shared(parts), "__part long, __keys binary, __counts binary")
-        .groupBy("__part").applyInArrow(_sum_shared, "__key long, __shared long")
-    )
+    counted = stored(dealt.groupBy("__bucket").applyInArrow(_count_shared(parts), "__part long, __keys binary, __counts binary, __many array<long>"), "counted")
+    summed = counted.select("__part", "__keys", "__counts").groupBy("__part").applyInArrow(_sum_shared, "__key long, __shared long")
+    return summed, counted.select(F.explode("__many").alias("__hash"))
 
 
 def _pack_sets(size: int):
@@ -211,11 +219,15 @@ def _pack_sets(size: int):
     return pack
 
 
-def _window_rows(percent: int):
+def _window_rows(percent: int, many):
+    def lowest(s: np.ndarray) -> np.ndarray:
+        late = in_sieve(many.value, s)
+        return np.concatenate((s[~late], s[late]))[: len(s) - (percent * len(s) + 99) // 100 + 1]
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.frombuffer(s, np.uint64) for s in batch.column(1).to_pylist()]
-            lows = [s[: len(s) - (percent * len(s) + 99) // 100 + 1] for s in sets]
+            lows = [lowest(s) for s in sets]
             names = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(s) for s in lows])
             flat = np.concatenate(lows) if lows else np.zeros(0, np.uint64)
             yield pa.record_batch([pa.array(signed(flat)), pa.array(names)], names=["__shingle", "__s"])
@@ -342,13 +354,20 @@ def _cut(members: DataFrame, sets: DataFrame, loads: DataFrame, percent: int, le
     return dealt.groupBy("__cell", "__part").cogroup(pivots.groupBy("__of__cell", "__of__part")).applyInArrow(_place(percent), _PLACED)
 
 
-def _links(sets: DataFrame, percent: int) -> DataFrame:
-    """Edges between sets; ``sets`` has ``__s`` (a name), ``__n`` and ``__set``, all distinct."""
-    window = stored(sets.select("__s", "__set").mapInArrow(_window_rows(percent), "__shingle long, __s long"), "window")
+def _links(sets: DataFrame, percent: int, many: DataFrame) -> DataFrame:
+    """Edges between sets; ``sets`` has ``__s`` (a name), ``__n`` and ``__set``, all distinct, and ``many`` the hashes that many hold.
+
+    The sieve of those has a bounded size; what falls into it by chance is late for all sets alike, so no pair is lost.
+    """
+    late = sets.sparkSession.sparkContext.broadcast(sieve(many, "__hash"))
+    window = stored(sets.select("__s", "__set").mapInArrow(_window_rows(percent, late), "__shingle long, __s long"), "window")
     least = window.groupBy("__shingle").agg(F.min("__s").alias("__least"), F.max("__s").alias("__most")).where("__least < __most").drop("__most")
+    least = stored(least, "least")
     shared = stored(window.join(least, "__shingle"), "regions", after=(window,))
-    home = shared.groupBy("__s").agg(F.min("__least").alias("__home"))
-    cell_of = shared.join(home, "__s").groupBy("__shingle").agg(F.min("__home").alias("__cell"))
+    # A shingle's sets meet in the cell of its least set: the set that is the least for most of that one's shingles.
+    votes = shared.groupBy("__s", "__least").agg(F.count(F.lit(1)).alias("__votes"))
+    home = votes.groupBy("__s").agg(F.max_by("__least", F.struct("__votes", -F.col("__least"))).alias("__cell"))
+    cell_of = least.join(home.withColumnRenamed("__s", "__least"), "__least").select("__shingle", "__cell")
     members = stored(shared.select("__shingle", "__s").join(cell_of, "__shingle").select("__cell", "__s").distinct(), "members", after=(shared,))
     sizes, radius = sets.select("__s", "__n"), 1 - percent / 100 + 1e-9
     found, level = [], 0
@@ -392,7 +411,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, key: s
     firsts = stored(firsts.select("__k1", "__k2", "__n", "__in_slice", F.col("__f.__id").alias("__first"), F.col("__f.__tk").alias("__tk")), "firsts")
     total, holders = known.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.count(F.lit(1))).first()
     buckets = max(1, total * SLICE // 1000 // BUCKET_HASHES)
-    shared = _shared_counts(rows.where("__id is not null").select("__text").mapInArrow(_deal_texts(size, SLICE, buckets), _DEALT), holders)
+    shared, _ = _shared_counts(rows.where("__id is not null").select("__text").mapInArrow(_deal_texts(size, SLICE, buckets), _DEALT), holders)
     private = F.col("__in_slice") - F.coalesce("__shared", F.lit(0))
     maybe = (
         firsts.join(shared, firsts["__k1"] == shared["__key"], "left")
@@ -404,14 +423,14 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, key: s
         "sets", codec="uncompressed",
     )
     held, holders = sets.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.count(F.lit(1))).first()
-    shared = _shared_counts(sets.select("__s", "__set").mapInArrow(_deal_sets(max(1, held // BUCKET_HASHES)), _DEALT), holders)
+    shared, many = _shared_counts(sets.select("__s", "__set").mapInArrow(_deal_sets(max(1, held // BUCKET_HASHES)), _DEALT), holders)
     private = F.col("__n") - F.coalesce("__shared", F.lit(0))
     close = (
         sets.select("__s", "__n").join(shared, F.col("__s") == F.col("__key"), "left")
         .where(private * 100 <= F.col("__n") * (100 - percent)).select("__s")
     )
     near = stored(sets.join(close, "__s", "left_semi"), "near", codec="uncompressed", after=(sets,))
-    links = _links(near, percent)
+    links = _links(near, percent, many)
     named = lambda c, to: firsts.select(F.col("__k1").alias(c), F.col("__first").alias(to))
     edges = links.join(named("a", "u"), "a").join(named("b", "v"), "b").select("u", "v")
     # A key with several texts joins what each of them belongs to.
