@@ -10,9 +10,11 @@ from __future__ import annotations
 import heapq
 import math
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tarnspark.functions.geo import EARTH_M, haversine_m
 from tarnspark.operators.classify import lookup
@@ -29,43 +31,63 @@ def _block(lng, lat):
     return (F.floor(F.col(lng) / BLOCK_DEGREES) * 100_000 + F.floor(F.col(lat) / BLOCK_DEGREES)).cast("bigint")
 
 
-def _search(reached: pd.DataFrame, arcs: pd.DataFrame) -> pd.DataFrame:
+def _rows(table: pa.Table, *names: str):
+    return zip(*(table.column(n).to_pylist() for n in names))
+
+
+def _search(schema: pa.Schema):
     """All improvements that a block's arrivals lead to: nodes of the block, and their neighbours outside."""
-    ways: dict = {}
-    for a, b, home, w, m, lng, lat in arcs[["a", "b", "b_block", "w", "length_m", "b_lng", "b_lat"]].itertuples(index=False):
-        ways.setdefault(a, []).append((b, home, w, m, lng, lat))
-    out = []
-    for leg, rows in reached.groupby("leg_id", sort=False):
-        west, south, east, north, block = rows.iloc[0][["west", "south", "east", "north", "block"]]
-        best = {n: (c, m, None) for n, c, m in rows[["node_id", "cost", "length"]].itertuples(index=False)}
-        heap = [(best[n][0], n) for n in rows.loc[rows["came"], "node_id"]]
-        heapq.heapify(heap)
-        found = {}
-        while heap:
-            cost, node = heapq.heappop(heap)
-            if cost > best[node][0]:
-                continue
-            for b, home, w, m, lng, lat in ways.get(node, ()):
-                if west <= lng <= east and south <= lat <= north and (b not in best or cost + w < best[b][0]):
-                    best[b] = (cost + w, best[node][1] + m, node)
-                    found[b] = home
-                    if home == block:
-                        heapq.heappush(heap, (cost + w, b))
-        out += [(leg, n, home, *best[n], home != block) for n, home in found.items()]
-    return pd.DataFrame(out, columns=["leg_id", "node_id", "block", "cost", "length", "prev", "came"])
-
-
-def _walk(rows: pd.DataFrame) -> pd.DataFrame:
+
+    def search(reached: pa.Table, arcs: pa.Table) -> pa.Table:
+        ways: dict = {}
+        for a, *arc in _rows(arcs, "a", "b", "b_block", "w", "length_m", "b_lng", "b_lat"):
+            ways.setdefault(a, []).append(arc)
+        best, fresh, boxes = {}, {}, {}
+        for leg, node, cost, metres, came, *box in _rows(reached, "leg_id", "node_id", "cost", "length", "came", "west", "south", "east", "north", "block"):
+            best.setdefault(leg, {})[node] = (cost, metres, None)
+            boxes[leg] = box
+            if came:
+                fresh.setdefault(leg, []).append((cost, node))
+        out = []
+        for leg, heap in fresh.items():
+            (west, south, east, north, block), known, found = boxes[leg], best[leg], {}
+            heapq.heapify(heap)
+            while heap:
+                cost, node = heapq.heappop(heap)
+                if cost > known[node][0]:
+                    continue
+                for b, home, w, m, lng, lat in ways.get(node, ()):
+                    if west <= lng <= east and south <= lat <= north and (b not in known or cost + w < known[b][0]):
+                        known[b] = (cost + w, known[node][1] + m, node)
+                        found[b] = home
+                        if home == block:
+                            heapq.heappush(heap, (cost + w, b))
+            out += [(leg, n, home, *known[n], home != block) for n, home in found.items()]
+        columns = zip(*out) if out else [[] for _ in schema]
+        return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return search
+
+
+def _walk(schema: pa.Schema):
     """From each leg's place in a block back to where it entered the block: those nodes, and the next place if any."""
-    out = []
-    for leg, part in rows.groupby("leg_id", sort=False):
-        prev = dict(zip(part["node_id"], part["prev"]))
-        node, way = part["at"].iloc[0], []
-        while node is not None and not pd.isna(node) and node in prev:
-            way.append(node)
-            node = prev[node]
-        out.append((leg, way, None if node is None or pd.isna(node) else node))
-    return pd.DataFrame(out, columns=["leg_id", "way", "at"])
+
+    def walk(rows: pa.Table) -> pa.Table:
+        before, places = {}, {}
+        for leg, at, node, prev in _rows(rows, "leg_id", "at", "node_id", "prev"):
+            before.setdefault(leg, {})[node] = prev
+            places[leg] = at
+        out = []
+        for leg, node in places.items():
+            way = []
+            while node is not None and node in before[leg]:
+                way.append(node)
+                node = before[leg][node]
+            out.append((leg, way, node))
+        columns = zip(*out) if out else [[] for _ in schema]
+        return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return walk
 
 
 def least_cost_path(legs: DataFrame, nodes: DataFrame, edges: DataFrame, snap_m: float = 250.0, snaps: int = 8, pad_m: float = 1200.0, pad_share: float = 0.35) -> DataFrame:
@@ -77,6 +99,7 @@ def least_cost_path(legs: DataFrame, nodes: DataFrame, edges: DataFrame, snap_m:
     """
     kinds = dict(legs.dtypes)["leg_id"], dict(nodes.dtypes)["node_id"]
     schema = _REACHED.format(leg=kinds[0], node=kinds[1])
+    form = T.StructType.fromDDL(schema)
     here = nodes.select("node_id", "lng", "lat", _block("lng", "lat").alias("block"))
     weight = F.coalesce(lookup(F.col("kind"), WALKING_COST), F.lit(1.5))
     arcs = edges.select("a", "b", "length_m", (F.col("length_m") * weight).alias("w"))
@@ -102,7 +125,8 @@ def least_cost_path(legs: DataFrame, nodes: DataFrame, edges: DataFrame, snap_m:
         parts = at.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / LEGS_A_TASK).cast("int").alias("parts"))
         asked = reached.join(at, ["leg_id", "block"], "left_semi").join(boxes, "leg_id").join(parts, "block").withColumn("part", F.pmod(F.xxhash64("leg_id"), F.col("parts")).cast("int")).drop("parts")
         dealt = arcs.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        found = asked.groupBy("block", "part").cogroup(dealt.groupBy("block", "part")).applyInPandas(_search, schema)
+        dealt = dealt.select(F.col("block").alias("of_block"), F.col("part").alias("of_part"), "a", "b", "b_block", "w", "length_m", "b_lng", "b_lat")
+        found = asked.groupBy("block", "part").cogroup(dealt.groupBy("of_block", "of_part")).applyInArrow(_search(to_arrow_schema(form)), schema)
         both = reached.withColumn("came", F.lit(False)).unionByName(found)
         best = both.groupBy("leg_id", "node_id").agg(F.min_by(F.struct("block", "cost", "length", "prev", "came"), F.struct("cost", "came", "prev")).alias("r")).select("leg_id", "node_id", "r.*")
         bound = best.join(goals, ["leg_id", "node_id"]).groupBy("leg_id").agg(F.min(F.col("cost") + F.col("last")).alias("bound"))
@@ -112,11 +136,12 @@ def least_cost_path(legs: DataFrame, nodes: DataFrame, edges: DataFrame, snap_m:
         F.min_by(F.struct((F.col("cost") + F.col("last")).alias("cost"), "length", "node_id"), F.struct(F.col("cost") + F.col("last"), "node_id")).alias("r")
     ).select("leg_id", "r.*")
     done = stored(done, "done")
+    walked, shelves = f"leg_id {kinds[0]}, way array<{kinds[1]}>, at {kinds[1]}", max(1, -(-done.count() // LEGS_A_TASK))
     ways, walking = [], stored(done.select("leg_id", F.col("node_id").alias("at")), "walking")
     while walking.limit(1).count():
         block = reached.select("leg_id", F.col("node_id").alias("at"), "block")
         rows = walking.join(block, ["leg_id", "at"]).join(reached.select("leg_id", "block", "node_id", "prev"), ["leg_id", "block"])
-        step = rows.groupBy("leg_id", "block").applyInPandas(_walk, f"leg_id {kinds[0]}, way array<{kinds[1]}>, at {kinds[1]}")
+        step = rows.groupBy(F.pmod(F.xxhash64("leg_id"), F.lit(shelves)).alias("shelf")).applyInArrow(_walk(to_arrow_schema(T.StructType.fromDDL(walked))), walked)
         step = stored(step.withColumn("turn", F.lit(len(ways))), "step")
         forget(walking)
         ways.append(step)
