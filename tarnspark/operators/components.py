@@ -33,18 +33,19 @@ def least_roots(edges: DataFrame, a: str, b: str) -> DataFrame:
     while rounds:  # from the last round to the first, so that each is joined with what its roots became
         trees = rounds.pop()
         later = found.select(F.col("node").alias("root"), F.col("root").alias("last"))
-        found = stored(trees.join(later, "root", "left").select("node", F.coalesce("last", "root").alias("root")).unionByName(found), "roots", after=(trees, found))
-    return found
+        became = trees.join(later, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
+        found = stored(became.unionByName(found.select("node", "root")), "roots", after=(trees, found))
+    return found.select("node", "root")
 
 
 def tree_roots(parents: DataFrame) -> DataFrame:
     """``node`` and ``root`` for every row (node, parent) of a forest in which no pointer leads back; roots have no row.
 
-    Pointers jump to their parent's parent until all have arrived.
+    Pointers jump to their parent's parent until a round moves none.
     """
-    now = stored(parents.select("node", F.col("parent").alias("root")), "pointers")
-    while True:
+    now = stored(parents.select("node", F.col("parent").alias("root"), F.lit(True).alias("moved")), "pointers")
+    while now.where("moved").limit(1).count():
         up = now.select(F.col("node").alias("root"), F.col("root").alias("higher"))
-        if not now.join(up, "root", "left_semi").limit(1).count():
-            return now
-        now = stored(now.join(up, "root", "left").select("node", F.coalesce("higher", "root").alias("root")), "pointers", after=(now,))
+        jumped = now.join(up, "root", "left").select("node", F.coalesce("higher", "root").alias("root"), F.col("higher").isNotNull().alias("moved"))
+        now = stored(jumped, "pointers", after=(now,))
+    return now

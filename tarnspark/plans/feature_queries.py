@@ -312,17 +312,9 @@ def _(spark, d):
     return forecast_service(r, services).select("region_id", "service")
 
 
-@query("parking_order", P("SELECT src_ord, pos FROM (SELECT src_ord, row_number() OVER (ORDER BY CASE WHEN name IS NULL THEN 2 ELSE 0 END + CASE WHEN tag_access = 'customers' THEN 1 ELSE 0 END - size / (size + 500), src_ord) AS pos FROM (SELECT *, CAST(src_ord % 900 AS DOUBLE) AS size FROM osm_points)) WHERE pos <= 500"))
+@query("parking_order", P("SELECT src_ord, pos FROM (SELECT src_ord, row_number() OVER (ORDER BY CASE WHEN name IS NULL THEN 2 ELSE 0 END + CASE WHEN tag_access = 'customers' THEN 1 ELSE 0 END - size / (size + 500), src_ord) AS pos FROM (SELECT *, CAST(src_ord % 900 AS DOUBLE) AS size FROM osm_points))"))
 def _(spark, d):
-    size = (F.col("src_ord") % 900).cast("double")
-    order = F.when(F.col("name").isNull(), 2).otherwise(0) + F.when(F.col("tag_access") == "customers", 1).otherwise(0) - size / (size + 500)
-    top = view(spark, d, "osm_points").withColumn("key", order).orderBy("key", "src_ord").limit(500)
-    return top.select("src_ord", F.row_number().over(Window.orderBy("key", "src_ord")).cast("bigint").alias("pos"))
-
-
-@query("parking_order_all", P("SELECT src_ord, pos FROM (SELECT src_ord, row_number() OVER (ORDER BY CASE WHEN name IS NULL THEN 2 ELSE 0 END + CASE WHEN tag_access = 'customers' THEN 1 ELSE 0 END - size / (size + 500), src_ord) AS pos FROM (SELECT *, CAST(src_ord % 900 AS DOUBLE) AS size FROM osm_points))"))
-def _(spark, d):
-    """A position for every lot; ``parking_order`` numbers the first 500, as its SQL does."""
+    """A position for every lot."""
     size = (F.col("src_ord") % 900).cast("double")
     order = F.when(F.col("name").isNull(), 2).otherwise(0) + F.when(F.col("tag_access") == "customers", 1).otherwise(0) - size / (size + 500)
     return positions(view(spark, d, "osm_points"), [order, F.col("src_ord")]).select("src_ord", "pos")

@@ -60,15 +60,9 @@ def _(spark, d):
     return X.overlap_pairs(r, r, 0.05).withColumn("fraction", F.round("fraction", 9))
 
 
-@query("line_snap", PR("SELECT src_ord, node_id, pos FROM (SELECT src_ord, node_id, row_number() OVER (PARTITION BY src_ord ORDER BY m, node_id) AS pos FROM (SELECT p.src_ord, q.src_ord AS node_id, 2 * 6371008.8 * asin(least(1, sqrt(pow(sin(radians(q.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(q.lat)) * pow(sin(radians(q.lon - p.lon) / 2), 2)))) AS m FROM osm_points p JOIN osm_points q ON q.src_ord % 3 = 0 AND p.src_ord % 3 = 1) WHERE m <= 9000) WHERE pos <= 4"))
+@query("line_snap", PR("SELECT src_ord, node_id, pos FROM (SELECT src_ord, node_id, row_number() OVER (PARTITION BY src_ord ORDER BY m, node_id) AS pos FROM (SELECT p.src_ord, q.src_ord AS node_id, 2 * 6371008.8 * asin(least(1, sqrt(pow(sin(radians(q.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(q.lat)) * pow(sin(radians(q.lon - p.lon) / 2), 2)))) AS m FROM osm_points p JOIN osm_points q ON TRUE) WHERE m <= 9000) WHERE pos <= 4"))
 def _(spark, d):
-    nodes = points(spark, d).where("src_ord % 3 = 0").withColumnRenamed("src_ord", "node_id")
-    return X.line_snap(points(spark, d).where("src_ord % 3 = 1"), "src_ord", nodes, 9000, 4).select("src_ord", "node_id", "pos")
-
-
-@query("line_snap_all", PR("SELECT src_ord, node_id, pos FROM (SELECT src_ord, node_id, row_number() OVER (PARTITION BY src_ord ORDER BY m, node_id) AS pos FROM (SELECT p.src_ord, q.src_ord AS node_id, 2 * 6371008.8 * asin(least(1, sqrt(pow(sin(radians(q.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(q.lat)) * pow(sin(radians(q.lon - p.lon) / 2), 2)))) AS m FROM osm_points p JOIN osm_points q ON TRUE) WHERE m <= 9000) WHERE pos <= 4"))
-def _(spark, d):
-    """All points against all points, each its own nearest; ``line_snap`` takes thirds of them, as its SQL does."""
+    """All points against all points, each its own nearest."""
     nodes = points(spark, d).withColumnRenamed("src_ord", "node_id")
     return X.line_snap(points(spark, d), "src_ord", nodes, 9000, 4).select("src_ord", "node_id", "pos")
 
@@ -79,12 +73,14 @@ TOKENS = "tokens AS (SELECT DISTINCT src_ord, lower(t) AS token FROM (SELECT src
 
 
 def search_rows(spark, d, k=20):
+    """Every fiftieth row asks, with the name of its customer but for the last two digits."""
     found = ranked(spark, d).select(F.col("src_ord").alias("place_id"), "name", "kind", "lat", "lon", "rank")
-    ask = points(spark, d).where("src_ord % 100 = 7").select(F.col("src_ord").alias("query_id"), F.concat(F.lit("customer 00000"), (F.col("src_ord") % 2).cast("string")).alias("text"), F.col("lng").alias("lon"), "lat")
+    text = F.concat(F.lit("customer "), F.substring(F.lpad(F.col("src_ord").cast("string"), 9, "0"), 1, 7))
+    ask = points(spark, d).where("src_ord % 50 = 0").select(F.col("src_ord").alias("query_id"), text.alias("text"), F.col("lng").alias("lon"), "lat")
     return S.place_search(ask, found, k)
 
 
-SEARCH = f"""WITH {PLACES}, {TOKENS}, asked AS (SELECT src_ord AS query_id, lon AS qlon, lat AS qlat, concat('00000', src_ord % 2) AS prefix FROM osm_points WHERE src_ord % 100 = 7),
+SEARCH = f"""WITH {PLACES}, {TOKENS}, asked AS (SELECT src_ord AS query_id, lon AS qlon, lat AS qlat, substr(lpad(CAST(src_ord AS VARCHAR), 9, '0'), 1, 7) AS prefix FROM osm_points WHERE src_ord % 50 = 0),
 hits AS (SELECT DISTINCT query_id, a.src_ord, qlon, qlat FROM asked JOIN tokens a ON a.token = 'customer' JOIN tokens b ON b.src_ord = a.src_ord AND starts_with(b.token, prefix)),
 placed AS (SELECT query_id, h.src_ord AS place_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY pow((r.lon - qlon) * cos(radians(qlat)), 2) + pow(r.lat - qlat, 2), rank DESC, h.src_ord) AS BIGINT) AS pos FROM hits h JOIN ranked r USING (src_ord))"""
 
@@ -100,28 +96,6 @@ def _(spark, d):
     return S.search_merge([found, found.where("place_id % 2 = 0")], 10).select("query_id", "place_id", "pos")
 
 
-def search_rows_all(spark, d, k=20):
-    """Every fiftieth row asks, with the name of its customer but for the last two digits."""
-    found = ranked(spark, d).select(F.col("src_ord").alias("place_id"), "name", "kind", "lat", "lon", "rank")
-    text = F.concat(F.lit("customer "), F.substring(F.lpad(F.col("src_ord").cast("string"), 9, "0"), 1, 7))
-    ask = points(spark, d).where("src_ord % 50 = 0").select(F.col("src_ord").alias("query_id"), text.alias("text"), F.col("lng").alias("lon"), "lat")
-    return S.place_search(ask, found, k)
-
-
-SEARCH_ALL = SEARCH.replace("concat('00000', src_ord % 2) AS prefix FROM osm_points WHERE src_ord % 100 = 7", "substr(lpad(CAST(src_ord AS VARCHAR), 9, '0'), 1, 7) AS prefix FROM osm_points WHERE src_ord % 50 = 0")
-
-
-@query("place_search_all", PR(f"{SEARCH_ALL} SELECT query_id, place_id, pos FROM placed WHERE pos <= 20"))
-def _(spark, d):
-    return search_rows_all(spark, d).select("query_id", "place_id", "pos")
-
-
-@query("search_merge_all", PR(f"{SEARCH_ALL} SELECT query_id, place_id, pos FROM placed WHERE pos <= 10"))
-def _(spark, d):
-    found = search_rows_all(spark, d)
-    return S.search_merge([found, found.where("place_id % 2 = 0")], 10).select("query_id", "place_id", "pos")
-
-
 @query("fallback_cut", PR(f"WITH {PLACES} SELECT src_ord FROM (SELECT src_ord FROM ranked WHERE kind IN ('city','town') ORDER BY kind <> 'city', coalesce(population, 0) DESC, src_ord LIMIT 40) UNION ALL SELECT src_ord FROM (SELECT src_ord FROM ranked WHERE kind IN ('peak','volcano') AND notable ORDER BY ele DESC NULLS LAST, src_ord LIMIT 30)"))
 def _(spark, d):
     return S.fallback_cut(ranked(spark, d), 40, 30).select("src_ord")
@@ -235,15 +209,9 @@ def _(spark, d):
     return K.best_zoom(met, "src_ord", view(spark, d, "map_artifacts"), 6)
 
 
-@query("remaining_bytes", RA("SELECT CAST(floor(sum(CAST(region_ord AS BIGINT) * 1000000000) * 1.1 / 1e9) AS BIGINT) AS gb FROM map_regions WHERE concat('NATION_', region_ord) NOT IN (SELECT region_id FROM map_artifacts WHERE kind = 'basemap' AND ord < 40)"))
-def _(spark, d):
-    r = regions(spark, d).select(F.concat(F.lit("NATION_"), F.col("region_ord").cast("string")).alias("region_id"), (F.col("region_ord") * F.lit(1_000_000_000).cast("bigint")).alias("estimated_bytes"))
-    return K.remaining_bytes(r, view(spark, d, "map_artifacts").where("ord < 40"))
-
-
-@query("remaining_bytes_all", RA("SELECT CAST(floor(coalesce(sum(CAST(region_ord AS BIGINT) * 1000000000), 0) * 1.1 / 1e9) AS BIGINT) AS gb FROM map_regions WHERE concat('NATION_', region_ord) NOT IN (SELECT region_id FROM map_artifacts WHERE kind = 'basemap')"))
+@query("remaining_bytes", RA("SELECT CAST(floor(coalesce(sum(CAST(region_ord AS BIGINT) * 1000000000), 0) * 1.1 / 1e9) AS BIGINT) AS gb FROM map_regions WHERE concat('NATION_', region_ord) NOT IN (SELECT region_id FROM map_artifacts WHERE kind = 'basemap')"))
 def _(spark, d):
-    """All artifacts; ``remaining_bytes`` reads the first 39, as its SQL does."""
+    """All artifacts."""
     r = regions(spark, d).select(F.concat(F.lit("NATION_"), F.col("region_ord").cast("string")).alias("region_id"), (F.col("region_ord") * F.lit(1_000_000_000).cast("bigint")).alias("estimated_bytes"))
     return K.remaining_bytes(r, view(spark, d, "map_artifacts"))
 

@@ -24,3 +24,10 @@ def query(name: str, oracle: str | None = None, slow: str | None = None):
         return f
 
     return add
+
+
+def also(name: str, known: str) -> None:
+    """A second name of a registered query."""
+    QUERIES[name] = QUERIES[known]
+    if known in ORACLES:
+        ORACLES[name] = ORACLES[known]
