@@ -1,7 +1,8 @@
 """Per-device state over feeds of fixes, transfers and headings, on streams (state store) and on tables alike.
 
-Rows of one device are taken in event-time order within a micro-batch. State is a few numbers per device; on a stream it is
-given up ``TTL_MS`` after the device's last row, by the clock. On tables routes and headings are windows over the device's
+Rows of one device are taken in event-time order within a micro-batch. State is a few numbers per device. On a stream with a
+watermark on the time column it is given up when the watermark has passed the device's last row by ``TTL_MS``; without a
+watermark it stays. On tables routes and headings are windows over the device's
 rows; only the transfer rate, whose every value builds on the one before, folds them in Python.
 """
 
@@ -27,6 +28,9 @@ def stateful(df: DataFrame, keys: list[str], core: Core, out: str, state: str, t
     if not df.isStreaming:
         return df.groupBy(*keys).applyInPandas(lambda pdf: core(None, pdf.sort_values(ts, kind="stable"))[1], out)
 
+    field = df.schema[ts]
+    expires = "spark.watermarkDelayMs" in (field.metadata or {})
+
     def step(_: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         if held.hasTimedOut:
             held.remove()
@@ -35,10 +39,12 @@ def stateful(df: DataFrame, keys: list[str], core: Core, out: str, state: str, t
         after, found = core(held.get if held.exists else None, rows)
         if after is not None:
             held.update(after)
-            held.setTimeoutDuration(TTL_MS)
+            if expires:
+                last = int(pd.Timestamp(rows[ts].iloc[-1]).timestamp() * 1000)
+                held.setTimeoutTimestamp(max(last, held.getCurrentWatermarkMs()) + TTL_MS)
         yield found
 
-    return df.groupBy(*keys).applyInPandasWithState(step, out, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return df.groupBy(*keys).applyInPandasWithState(step, out, state, "append", GroupStateTimeout.EventTimeTimeout if expires else GroupStateTimeout.NoTimeout)
 
 
 def nearest_expr(coords: Column, lng: Column, lat: Column) -> Column:

@@ -8,13 +8,13 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from tarnspark.functions import numbers
-from tarnspark.operators import aggregates, catalog, classify, lines, network, paths, prominence, tiles
+from tarnspark.functions import naming, numbers
+from tarnspark.operators import aggregates, catalog, classify, lines, network, paths, prominence, search, spatial, tiles
 from tarnspark.operators.components import least_roots
 from tarnspark.operators.ranks import positions
 from tarnspark.sources.artifacts import artifact_audit
-from tarnspark.sources.features import scan_features
-from tarnspark.sources.routes import scan_route_geojson, scan_route_xml
+from tarnspark.sources.features import scan_features, tile_union
+from tarnspark.sources.routes import scan_route_geojson, scan_route_xml, sink_route_geojson, sink_route_gpx
 from tarnspark.streaming import devices
 
 
@@ -334,3 +334,97 @@ def test_reports_rank_in_many_tasks(spark):
     want = sorted((float(n * 37 % 90) for n in range(3000)), reverse=True)
     assert tuple(out[0].select("n", "max", "median", "p90").first()) == (3000, 89.0, want[1500], want[300])
     assert {r["metric"]: r["value"] for r in out[1].collect()}["median"] == want[::-1][1500]
+
+
+def test_common_words_are_asked_for_in_rings(spark, monkeypatch):
+    rng = random.Random(3)
+    places = [(n, rng.choice(["Peak", "Peak of Ash", "Ashes"]) + rng.choice(["", " North"]), "peak", rng.uniform(40, 60), rng.uniform(-5, 5), n % 4) for n in range(300)]
+    places += [(900, "Peak far", "peak", -70.0, 170.0, 1)]
+    asks = [(1, "peak", 0.0, 50.0), (2, "peak ash", 1.0, 45.0), (3, "north pe", -2.0, 55.0), (4, "ashes", 0.0, 50.0), (5, "none", 0.0, 0.0), (6, "", 0.0, 0.0), (7, "peak far", 0.0, 50.0), (8, "p", 179.0, -75.0)]
+    monkeypatch.setattr(search, "COMMON", 5)
+    q = spark.createDataFrame(asks, "query_id long, text string, lon double, lat double")
+    p = spark.createDataFrame(places, "place_id long, name string, kind string, lat double, lon double, rank long")
+    got = sorted((r["query_id"], r["pos"], r["place_id"]) for r in search.place_search(q, p, 7).collect())
+    want = []
+    for qid, text, lon, lat in asks:
+        words = text.lower().split()
+        d2 = lambda r: ((r[4] - lon) * math.cos(math.radians(lat))) ** 2 + (r[3] - lat) ** 2
+        hits = [r for r in places if words and set(words[:-1]) <= set(r[1].lower().split()) and any(w.startswith(words[-1]) for w in r[1].lower().split())]
+        want += [(qid, i + 1, r[0]) for i, r in enumerate(sorted(hits, key=lambda r: (d2(r), -r[5], r[0]))[:7])]
+    assert got == sorted(want)
+
+
+def test_boxes_of_all_sizes(spark):
+    rng = random.Random(2)
+    boxes = [(f"b{n}", x, y, x + w, y + h) for n in range(60) for x, y, w, h in [(rng.uniform(-9, 9), rng.uniform(-9, 9), 10 ** rng.uniform(-6, 1), 10 ** rng.uniform(-6, 1))]]
+    boxes += [("world", -180.0, -90.0, 180.0, 90.0), ("point", 1.0, 1.0, 1.0, 1.0)]
+    points = [(n, rng.uniform(-10, 10), rng.uniform(-10, 10)) for n in range(300)] + [(900, 1.0, 1.0), (901, None, 2.0), (902, 180.0, 90.0)] + [(1000 + n, b[1], b[2]) for n, b in enumerate(boxes)]
+    p, b = spark.createDataFrame(points, "k long, lng double, lat double"), spark.createDataFrame(boxes, "region_id string, w double, s double, e double, n double")
+    for pad in (0.0, 0.5):
+        got = sorted((r["k"], r["region_id"]) for r in spatial.bbox_join(p, b, pad=pad).collect())
+        assert got == sorted((k, i) for k, x, y in points if x is not None for i, w, s, e, n in boxes if w - pad <= x <= e + pad and s - pad <= y <= n + pad)
+
+
+def test_a_missing_source_fails_the_union(spark):
+    one = spark.range(2)
+    expected = spark.createDataFrame([("a",), ("b",)], "source string")
+    with pytest.raises(ValueError, match="no tiles of b"):
+        tile_union({"a": one, "b": one.limit(0)}, expected)
+    assert sorted((r["source"], r["id"]) for r in tile_union({"a": one, "b": one}, expected).collect()) == [("a", 0), ("a", 1), ("b", 0), ("b", 1)]
+
+
+def test_routes_keep_waypoints_and_legs(spark, tmp_path):
+    row = (1, "A & B", [(1.0, 2.0, 3.04), (1.5, 2.5, None)], [(5.0, 6.0, 7.06, "W <1>"), (8.0, 9.0, None, None)], [("straight", 0, 1)])
+    df = spark.createDataFrame([row], "route_id int, name string, coords array<struct<lng double, lat double, ele double>>, waypoints array<struct<lng double, lat double, ele double, name string>>, spans array<struct<kind string, start bigint, end bigint>>")
+    sink_route_gpx(df, str(tmp_path / "gpx"))
+    text = spark.read.text(str(tmp_path / "gpx"), wholetext=True).select(F.lit("f").alias("file"), F.col("value").alias("text"))
+    got = scan_route_xml(text).first()
+    assert [(p["lng"], p["lat"], p["ele"]) for p in got["waypoints"]] == [(5.0, 6.0, 7.1), (8.0, 9.0, None)] and len(got["coords"]) == 2
+    assert '<legs:leg kind="straight" start="0" end="1"/>' in text.first()["text"] and "W &lt;1&gt;" in text.first()["text"]
+    sink_route_geojson(df, str(tmp_path / "json"))
+    text = spark.read.text(str(tmp_path / "json"), wholetext=True).select(F.lit("f").alias("file"), F.col("value").alias("text"))
+    got = scan_route_geojson(text).first()
+    assert (got["name"], [p["lng"] for p in got["waypoints"]], got["coords"][0]["ele"]) == ("A & B", [5.0, 8.0], 3.0)
+    assert '"legs":[{"kind":"straight","start":0,"end":1}]' in text.first()["text"] and "Waypoint 2" in text.first()["text"]
+
+
+def test_fold_text_takes_marks_off(spark):
+    texts = {"Štrbské Pleso": "strbske pleso", "Łódź": "łodz", "Ångström ": "angstrom", "e\u0301": "e", "İzmir": "izmir", "Ệ": "e", None: None}
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", naming.fold_text(F.col("t")).alias("f")).collect()
+    assert {r["t"]: r["f"] for r in got} == texts
+
+
+def test_catalogue_report_tells_cells_and_degraded_regions(spark):
+    rows = [("a", 10, "x", True, None), ("b", 30, "x", True, 11), ("c", 20, "y", True, None), ("d", 5, "y", False, 9)]
+    out = catalog.catalog_report(spark.createDataFrame(rows, "region_id string, bytes long, source string, cell boolean, max_zoom int"))
+    got = {(r["metric"], r["key"]): r["value"] for r in out.collect()}
+    assert got["cells", "x"] == 2 and got["cell_bytes", "x"] == 40 and got["cells", "y"] == 1 and got["degraded", ""] == 2 and got["degraded_zoom", "b"] == 11
+
+
+def test_state_expires_behind_the_watermark(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(devices, "TTL_MS", 1000)
+    schema = "device string, ts timestamp, heading double"
+    for n, (t, device, heading) in enumerate([(0, "a", 5.0), (1, "a", 5.2), (500, "b", 1.0), (1000, "b", 1.2), (1001, "a", 5.1)]):
+        one = spark.createDataFrame([(device, t, heading)], "device string, t long, heading double")
+        one.select("device", F.timestamp_seconds("t").alias("ts"), "heading").coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/{n}"))
+    feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in")).withWatermark("ts", "1 second")
+    assert "spark.watermarkDelayMs" in feed.schema["ts"].metadata
+    q = devices.heading_changes(feed).writeStream.format("memory").queryName("expiring").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    told = sorted((r["device"], r["ts"].timestamp()) for r in spark.table("expiring").collect())
+    assert [d for d, _ in told] == ["a", "a", "b"]  # the second "a" tells its old heading again, for its state was gone
+
+
+def test_follow_route_is_the_same_on_a_stream(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(d, 1, t, 0.0005 * t, rng.uniform(0, 0.001)) for d in ("a", "b") for t in range(15)]
+    schema = "device string, route_id long, ts long, lng double, lat double"
+    routes = spark.createDataFrame([(1, [(0.0, 0.0), (0.01, 0.0)])], "route_id long, coords array<struct<lng double, lat double>>")
+    table = spark.createDataFrame(rows, schema)
+    table.write.parquet(str(tmp_path / "in"))
+    q = devices.follow_route(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), routes).writeStream.format("memory").queryName("follows").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    key = lambda df: sorted((r["device"], r["ts"], r["is_off"], r["remaining_m"], r["fraction"]) for r in df.collect())
+    assert key(spark.table("follows")) == key(devices.follow_route(table, routes)) and {r["is_off"] for r in spark.table("follows").collect()} == {True, False}
