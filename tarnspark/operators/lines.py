@@ -222,7 +222,7 @@ def grade_match(samples: DataFrame, key: str, ways: DataFrame, tol_m: float = 12
     """The grade of the nearest graded segment within ``tol_m`` of each sample that runs its way; the harder of equals.
 
     ``samples`` has key, pos, lng, lat and ``ways`` way_id, seq, lng, lat, grade. Distances are in the plane at the sample; a
-    sample without direction takes any segment. Segments are cut into grid cells of a few tolerances.
+    sample without direction takes any segment. Distances are equal if they agree to a thousandth of a millimetre. Segments are cut into grid cells of a few tolerances.
     """
     w = Window.partitionBy(key).orderBy("pos")
     edge = lambda c, f: F.coalesce(f(c).over(w), F.col(c))
@@ -249,7 +249,7 @@ def grade_match(samples: DataFrame, key: str, ways: DataFrame, tol_m: float = 12
     turn = F.pmod(F.abs(F.col("heading") - F.atan2("dy", "dx")), F.lit(math.pi))
     agrees = F.col("heading").isNull() | (F.least(turn, F.lit(math.pi) - turn) <= math.radians(max_deg))
     met = j.withColumn("away", away).where((F.col("away") <= tol_m) & agrees)
-    best = met.groupBy(key, "pos").agg(F.max_by("grade", F.struct(-F.col("away"), "grade")).alias("grade"))
+    best = met.groupBy(key, "pos").agg(F.max_by("grade", F.struct(-F.round("away", 6), "grade")).alias("grade"))
     return samples.select(key, "pos").join(best, [key, "pos"], "left")
 
 

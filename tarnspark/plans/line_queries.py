@@ -174,7 +174,7 @@ gx AS (SELECT *, unnest(range(CAST(floor((least(x1, x2) - 0.01) / 0.1e0) AS BIGI
 j AS (SELECT p.way_id, pos, grade, CASE WHEN fx = bx AND fy = by_ THEN NULL ELSE atan2(fy - by_, (fx - bx) * cos(radians(lat))) END AS heading, (x1 - lng) * cos(radians(lat)) * 6371008.8 * pi() / 180 AS ax, (y1 - lat) * 6371008.8 * pi() / 180 AS ay, (x2 - x1) * cos(radians(lat)) * 6371008.8 * pi() / 180 AS dx, (y2 - y1) * 6371008.8 * pi() / 180 AS dy FROM p JOIN gc ON cx = CAST(floor(lng / 0.1e0) AS BIGINT) AND cy = CAST(floor(lat / 0.1e0) AS BIGINT) AND lng BETWEEN least(x1, x2) - 0.01 AND greatest(x1, x2) + 0.01 AND lat BETWEEN least(y1, y2) - 0.005 AND greatest(y1, y2) + 0.005),
 k AS (SELECT *, CASE WHEN dx = 0 AND dy = 0 THEN 0 ELSE least(greatest(-(ax * dx + ay * dy) / (dx * dx + dy * dy), 0), 1) END AS t, abs(heading - atan2(dy, dx)) % pi() AS turn FROM j),
 m AS (SELECT *, sqrt(pow(ax + dx * t, 2) + pow(ay + dy * t, 2)) AS away FROM k WHERE heading IS NULL OR least(turn, pi() - turn) <= radians(40)),
-b AS (SELECT way_id, pos, grade, row_number() OVER (PARTITION BY way_id, pos ORDER BY away, grade DESC) AS rn FROM m WHERE away <= 60)
+b AS (SELECT way_id, pos, grade, row_number() OVER (PARTITION BY way_id, pos ORDER BY round(away, 6), grade DESC) AS rn FROM m WHERE away <= 60)
 SELECT p.way_id, p.pos, grade FROM p LEFT JOIN (SELECT * FROM b WHERE rn = 1) b USING (way_id, pos)""")
 
 

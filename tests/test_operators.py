@@ -98,7 +98,7 @@ def test_a_long_chain_settles_in_few_rounds(spark, monkeypatch):
     ids = [0, *range(10_000, 0, -1)]
     edges = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")
     roots = least_roots(edges, "a", "b")
-    assert roots.count() == 10_000 and {r["root"] for r in roots.select("root").distinct().collect()} == {0} and len(rounds) <= 21
+    assert roots.count() == 10_000 and {r["root"] for r in roots.select("root").distinct().collect()} == {0} and len(rounds) <= 24  # all writes: two rounds and their jumps
 
 
 def one_by_one(nodes, edges, max_m, k):

@@ -60,7 +60,7 @@ def graded(ways, key, k, tol_m, max_deg):
             t = 0 if dx == dy == 0 else min(max(-(ax * dx + ay * dy) / (dx * dx + dy * dy), 0), 1)
             turn = 0 if heading is None else abs(heading - math.atan2(dy, dx)) % math.pi
             if math.hypot(ax + dx * t, ay + dy * t) <= tol_m and min(turn, math.pi - turn) <= math.radians(max_deg):
-                met.append((math.hypot(ax + dx * t, ay + dy * t), -(way % 6 + 1)))
+                met.append((round(math.hypot(ax + dx * t, ay + dy * t), 6), -(way % 6 + 1)))
     return -min(met)[1] if met else None
 
 
