@@ -228,7 +228,7 @@ def grade_match(samples: DataFrame, key: str, ways: DataFrame, tol_m: float = 12
     edge = lambda c, f: F.coalesce(f(c).over(w), F.col(c))
     hx, hy = (edge("lng", F.lead) - edge("lng", F.lag)) * F.cos(F.radians("lat")), edge("lat", F.lead) - edge("lat", F.lag)
     asked = samples.select(key, "pos", "lng", "lat", F.when((hx != 0) | (hy != 0), F.atan2(hy, hx)).alias("heading"))
-    step = math.degrees(4 * tol_m / EARTH_M)
+    step = math.degrees(8 * tol_m / EARTH_M)
     pad_lat = math.degrees(tol_m / EARTH_M)
     grades = ways.groupBy("way_id").agg(F.max("grade").alias("grade"))
     s = segments(ways.select("way_id", "seq", "lng", "lat"), "way_id").join(grades, "way_id")
@@ -239,7 +239,7 @@ def grade_match(samples: DataFrame, key: str, ways: DataFrame, tol_m: float = 12
     at = lambda c, k: F.col(c) + (F.col(c + "2") - F.col(c)) * (F.col("i") + k) / F.col("pieces")
     span = lambda c, pad: F.explode(F.sequence(F.floor((F.least(at(c, 0), at(c, 1)) - pad) / step), F.floor((F.greatest(at(c, 0), at(c, 1)) + pad) / step)))
     cells = s.withColumn("cx", span("lng", F.col("pad"))).withColumn("cy", span("lat", pad_lat))
-    cells = cells.select("cx", "cy", "grade", F.col("lng").alias("lng1"), F.col("lat").alias("lat1"), "lng2", "lat2").distinct()
+    cells = cells.select("cx", "cy", "grade", F.col("lng").alias("lng1"), F.col("lat").alias("lat1"), "lng2", "lat2")  # pieces may share a cell: the best of a pair is the same twice
     j = asked.withColumn("cx", F.floor(F.col("lng") / step)).withColumn("cy", F.floor(F.col("lat") / step)).join(cells, ["cx", "cy"])
     (ax, ay), (bx, by) = _project(F.col("lng1"), F.col("lat1"), F.col("lng"), F.col("lat")), _project(F.col("lng2"), F.col("lat2"), F.col("lng"), F.col("lat"))
     j = j.select(key, "pos", "heading", "grade", ax.alias("ax"), ay.alias("ay"), (bx - ax).alias("dx"), (by - ay).alias("dy"))
