@@ -19,6 +19,17 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def fresh(df: DataFrame, *wanted: str) -> list[str]:
+    """Names that the table does not have, whatever its case, for columns of an operator's own."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def gapless_slots(df: DataFrame, group: str, order: str, rows: int, name: str) -> DataFrame:
     """Number the rows of each ``group`` from 0 without gaps, and without gathering a group in one task.
 

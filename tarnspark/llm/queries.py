@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnspark.llm.decontaminate import contamination
+from tarnspark.llm.divergence import source_divergence
 from tarnspark.llm.jaccard_join import jaccard_components
 from tarnspark.llm.line_dedup import dedup_lines
 from tarnspark.llm.packing import pack_documents
+from tarnspark.llm.periodic_runs import collapse_runs
+from tarnspark.llm.personal_data import KINDS, find_personal_data
 from tarnspark.llm.quality_classifier import score_documents
-from tarnspark.llm.quality_rules import BASE, RULES, STOP_WORDS, score_quality
+from tarnspark.llm.quality_rules import BASE, GAP, RULES, STOP_WORDS, score_quality
 from tarnspark.llm.sharding import shard_documents
 from tarnspark.scratch import scratch_path
 from tarnspark.llm.substring_dedup import dedup_substrings
@@ -77,6 +80,40 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(docs, 24).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where one text in ten repeats itself from some word on, as its number decides."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    split = F.when(h % 10 == 0, F.filter(F.split(F.col("text"), GAP, -1), lambda w: w != ""))
+    worded = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), split.alias("words"))
+    n, g = F.size("words"), F.col("g")
+    worded = worded.select("doc_id", "text", "words", F.when(n > 0, g % n).cast("int").alias("a"), F.when(n > 0, 1 + F.floor((n - g % n) / (3 + g % 8))).cast("int").alias("p"))
+    at = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    again = F.array_join(F.transform("words", lambda w, i: F.get("words", at(i))), " ")
+    return worded.select("doc_id", F.when(F.col("a").isNotNull(), again).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collapse_runs(with_planted_periods(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    longer = lambda best, r: F.when(r["length"] * best["period"] > best["length"] * r["period"], r).otherwise(best)
+    top = F.aggregate("runs", F.get("runs", F.lit(0)), longer)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), top.alias("top"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"))
+    share = F.call_function("div", F.col("top.length") * 1000, F.col("top.period"))
+    return found.select("doc_id", "n_runs", "top.start", "top.length", "top.period", share.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -88,6 +125,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_store": op9_token_store,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_sharding": op10_sharding,
+    "op11_personal_data": op11_personal_data,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 LINE_ORACLE = r"""
@@ -178,7 +218,41 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM split LEFT JOIN kept USING (doc_id)
 """
 
+DIVERGENCE_ORACLE = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), per_doc AS (
+  SELECT d, lang, source, term, count(*) AS n FROM (SELECT d, lang, source, unnest(w) AS term FROM docs) GROUP BY ALL
+), kept AS (
+  SELECT lang, term, CAST(sum(n) AS HUGEINT) AS whole FROM per_doc GROUP BY ALL HAVING count(*) >= 10
+), cells AS (
+  SELECT lang, source, term, CAST(sum(n) AS HUGEINT) AS n FROM per_doc JOIN kept USING (lang, term) GROUP BY ALL
+), langs AS (
+  SELECT lang, count(*) AS v, sum(whole) AS total FROM kept GROUP BY lang
+), groups AS (
+  SELECT lang, source, coalesce(v, 0) AS v, coalesce(langs.total, 0) AS lang_total, coalesce(own.total, 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN langs USING (lang) LEFT JOIN (SELECT lang, source, sum(n) AS total FROM cells GROUP BY ALL) own USING (lang, source)
+), shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (g.total + 2 * g.v) AS p, 1 + (1000000000::HUGEINT * (k.whole + 2)) // (g.lang_total + 2 * g.v) AS q
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), sums AS (
+  SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS value
+  FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+), scored AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(sums.value, 0) AS value
+  FROM groups x JOIN groups y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN sums ON sums.lang = x.lang AND sums.source = x.source AND sums.item = y.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM scored
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
 
 ORACLES: dict[str, str] = {
+    "op12_source_divergence": DIVERGENCE_ORACLE,
     "op2_ngram_jaccard_join": JACCARD_ORACLE, "op3_line_dedup": LINE_ORACLE, "op4_quality_rules": quality_sql(), "op8_substring_dedup": SUBSTRING_ORACLE,
 }
