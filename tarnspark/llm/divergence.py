@@ -121,37 +121,40 @@ def walk(a: QuadTree, b: QuadTree, zero_a: np.ndarray, zero_b: np.ndarray, same:
 _TILES = "lang string, a long, b long, value long, met long"
 
 
-def _price(tile: pa.Table) -> pa.Table:
-    """Pairs of sources (by slot) of two tiles of the same terms, with what the terms that either has add up to."""
-    i, j, block = (tile.column(k)[0].as_py() for k in ("i", "j", "block"))
-    slot, p = tile.column("slot").to_numpy(), tile.column("p").to_numpy()
-    codes = tile.column("term").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy().astype(np.int64)
-    head = codes < 0
-    # Common terms and full sources come first, so that zeros lie together.
-    held = np.bincount(codes[~head], minlength=1)
-    rank = np.empty(len(held), dtype=np.int64)
-    rank[np.argsort(-held, kind="stable")] = np.arange(len(held))
-    sides = []
-    for side in dict.fromkeys((i, j)):
-        mine = slot // TILE_SOURCES == side
-        slots, full = np.unique(slot[mine], return_counts=True)
-        slots = slots[np.argsort(-full, kind="stable")]
-        row_of = np.empty(TILE_SOURCES, dtype=np.int64)
-        row_of[slots % TILE_SOURCES] = np.arange(len(slots))
-        zero = np.empty(len(slots), dtype=np.int64)
-        zero[row_of[slot[mine & head] % TILE_SOURCES]] = p[mine & head]
-        cells = mine & ~head
-        sides.append((slots, zero, row_of[slot[cells] % TILE_SOURCES], rank[codes[cells]], p[cells]))
-    height = int(max(len(held), *(len(s[0]) for s in sides)) - 1).bit_length()
-    trees = [QuadTree(rows, columns, height, values) for _, _, rows, columns, values in sides]
-    a, b = sides[0], sides[-1]
-    value, met = walk(trees[0], trees[-1], a[1], b[1], i == j)
-    x, y = np.nonzero(np.triu(np.ones_like(met), 1) if i == j else np.ones_like(met))
-    if block:
-        seen = met[x, y] > 0
-        x, y = x[seen], y[seen]
-    lang, one, two = pa.array([tile.column("lang")[0].as_py()] * len(x), pa.string()), a[0][x].astype(np.int64), b[0][y].astype(np.int64)
-    return pa.table({"lang": lang, "a": np.minimum(one, two), "b": np.maximum(one, two), "value": value[x, y], "met": met[x, y]})
+def _price(wide: int):
+    def price(tile: pa.Table) -> pa.Table:
+        """Pairs of sources (by slot) of two tiles of the same terms, with what the terms that either has add up to."""
+        i, j, block = (tile.column(k)[0].as_py() for k in ("i", "j", "block"))
+        slot, p = tile.column("slot").to_numpy(), tile.column("p").to_numpy()
+        codes = tile.column("term").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy().astype(np.int64)
+        head = codes < 0
+        # Common terms and full sources come first, so that zeros lie together.
+        held = np.bincount(codes[~head], minlength=1)
+        rank = np.empty(len(held), dtype=np.int64)
+        rank[np.argsort(-held, kind="stable")] = np.arange(len(held))
+        sides = []
+        for side in dict.fromkeys((i, j)):
+            mine = slot // wide == side
+            slots, full = np.unique(slot[mine], return_counts=True)
+            slots = slots[np.argsort(-full, kind="stable")]
+            row_of = np.empty(wide, dtype=np.int64)
+            row_of[slots % wide] = np.arange(len(slots))
+            zero = np.empty(len(slots), dtype=np.int64)
+            zero[row_of[slot[mine & head] % wide]] = p[mine & head]
+            cells = mine & ~head
+            sides.append((slots, zero, row_of[slot[cells] % wide], rank[codes[cells]], p[cells]))
+        height = int(max(len(held), *(len(s[0]) for s in sides)) - 1).bit_length()
+        trees = [QuadTree(rows, columns, height, values) for _, _, rows, columns, values in sides]
+        a, b = sides[0], sides[-1]
+        value, met = walk(trees[0], trees[-1], a[1], b[1], i == j)
+        x, y = np.nonzero(np.triu(np.ones_like(met), 1) if i == j else np.ones_like(met))
+        if block:
+            seen = met[x, y] > 0
+            x, y = x[seen], y[seen]
+        lang, one, two = pa.array([tile.column("lang")[0].as_py()] * len(x), pa.string()), a[0][x].astype(np.int64), b[0][y].astype(np.int64)
+        return pa.table({"lang": lang, "a": np.minimum(one, two), "b": np.maximum(one, two), "value": value[x, y], "met": met[x, y]})
+
+    return price
 
 
 def source_divergence(
@@ -187,7 +190,7 @@ def source_divergence(
     mine = F.floor(F.col("slot") / TILE_SOURCES).cast("long")
     tiles = heads.unionByName(filled).withColumn("other", F.explode(F.sequence(nothing, F.col("last"))))
     tiles = tiles.select("lang", "block", F.least(mine, "other").alias("i"), F.greatest(mine, "other").alias("j"), "slot", "term", F.coalesce("p", nothing + 1).alias("p"))
-    priced = tiles.groupBy("lang", "block", "i", "j").applyInArrow(_price, _TILES).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"), F.sum("met").alias("met"))
+    priced = tiles.groupBy("lang", "block", "i", "j").applyInArrow(_price(TILE_SOURCES), _TILES).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"), F.sum("met").alias("met"))
     named = lambda s: groups.select("lang", F.col("slot").alias(s), F.col("source").alias(f"{s}_source"), "kept" if s == "a" else F.lit(0).alias("none"), smoothed(nothing, F.col("total"), F.col("kept")).alias(f"{s}_zero"))
     both = priced.join(named("a"), ["lang", "a"]).join(named("b"), ["lang", "b"])
     value = F.when(F.col("kept") > 0, F.col("value") + (F.col("kept") - F.col("met")) * gap(F.col("a_zero"), F.col("b_zero"))).otherwise(0).cast("long")

@@ -181,7 +181,7 @@ def reliabilities(rows: Column) -> Column:
     def table(label: Column, true: bool) -> Column:
         weight = lambda r, i: r["n"] * (F.get(label, i) if true else 1 - F.get(label, i))
         held = lambda c: _sum(rows, lambda r, i: F.when(F.get(r["v"], F.floor(c / 3).cast("int")) == c % 3, weight(r, i)).otherwise(0.0))
-        belief = F.array(*[F.lit(b) for b in BELIEF[not true]])
+        belief = F.array(*[F.lit(b) for b in BELIEF[true]])
         return let(_sum(rows, weight), lambda all_: F.concat(F.array(F.log(all_ + 1.0)), F.transform(F.sequence(F.lit(0), F.lit(3 * VOTES - 1)), lambda c: F.log((held(c) + F.get(belief, c % 3)) / (all_ + sum(BELIEF[True]))))))
 
     def again(label: Column, _: Column) -> Column:
