@@ -87,3 +87,44 @@ def quality_checks(data: DataFrame, rules: list[tuple[str, Column, str, float]])
         for i, (name, _, rel, bound) in enumerate(rules)
     ]
     return row.select(F.explode(F.array(*checks)).alias("c")).select("c.*")
+
+
+def name_checks(data: DataFrame, rules: DataFrame, name: str = "name", value: str = "value", order: str = "src_ord", prefix: bool = True, pick: str = "first") -> DataFrame:
+    """rule, status, value and expected: known things found by name, held against what is known of them.
+
+    ``rules`` has rule, name, expected and tolerance. A row answers every rule whose name its own begins with, or equals if not
+    ``prefix``; rows without a value answer none. Of a rule's answers the first by ``order`` counts, or with ``pick="max"`` the
+    greatest. ``status`` is ``ok`` within the tolerance, ``fail`` beyond it, and ``skip`` where nothing answers. Names are cut at
+    the lengths that occur among the rules and joined on equal text, so a name meets only rules that it answers.
+    """
+    known = rules.select("rule", F.col("name").alias("__name"), "expected", "tolerance")
+    held = data.where(F.col(value).isNotNull() & F.col(name).isNotNull()).select(F.col(name).alias("__full"), F.col(value).cast("double").alias("__value"), F.col(order).alias("__at"))
+    if prefix:
+        lengths = known.agg(F.sort_array(F.collect_set(F.length("__name"))).alias("__lengths"))  # one row, no longer than a name
+        cut = F.transform(F.filter("__lengths", lambda n: n <= F.length("__full")), lambda n: F.left("__full", n))
+        held = held.crossJoin(F.broadcast(lengths)).select(F.explode(cut).alias("__name"), "__value", "__at")
+    else:
+        held = held.withColumnRenamed("__full", "__name")
+    best = F.max("__value") if pick == "max" else F.min_by("__value", "__at")
+    found = held.join(known.select("rule", "__name"), "__name").groupBy("rule").agg(best.alias("value"))
+    near = F.abs(F.col("value") - F.col("expected")) <= F.col("tolerance")
+    status = F.when(F.col("value").isNull(), "skip").when(near, "ok").otherwise("fail")
+    return known.join(found, "rule", "left").select("rule", status.alias("status"), "value", F.col("expected").cast("double").alias("expected"))
+
+
+def kind_checks(data: DataFrame, rules: DataFrame, kind: str = "kind", shape: str = "geom_type") -> DataFrame:
+    """rule, status and n, the rows of the rule's kind: enough of them, or just as many, and all of the shape asked for.
+
+    ``rules`` has rule, kind, least, exactly and shape; a null asks for nothing, a null kind means all rows. Where ``exactly``
+    is asked for and there is no row at all, the rule is skipped: the extract does not hold the kind.
+    """
+    per = data.groupBy(F.col(kind).alias("kind"), F.col(shape).alias("__shape")).agg(F.count(F.lit(1)).alias("__n"))
+    per = per.withColumn("kind", F.explode(F.array(F.col("kind"), F.lit(None)))).where("kind is not null or __n > 0")
+    asked = rules.select("rule", F.col("kind").alias("__kind"), "least", "exactly", "shape")
+    met = asked.join(per, F.col("__kind").eqNullSafe(F.col("kind")), "left")
+    n = met.groupBy("rule", "least", "exactly", "shape").agg(
+        F.coalesce(F.sum("__n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(~F.col("__shape").eqNullSafe(F.col("shape")), F.col("__n"))), F.lit(0)).alias("__other")
+    )
+    fails = (F.col("n") < F.col("least")) | (F.col("n") != F.col("exactly")) | (F.col("shape").isNotNull() & (F.col("__other") > 0))
+    status = F.when(F.col("exactly").isNotNull() & (F.col("n") == 0), "skip").when(F.coalesce(fails, F.lit(False)), "fail").otherwise("ok")
+    return n.select("rule", status.alias("status"), "n")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnspark.functions.naming import artifact_kind, region_id_of
+from tarnspark.operators.components import tree_roots
 from tarnspark.operators.ranks import positions
 
 EARLIER = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
@@ -134,37 +135,26 @@ def effective_parent(admin: DataFrame) -> DataFrame:
     return admin.select("id", F.when(path != "", path).otherwise(F.col("parent")).alias("parent"))
 
 
-def top_level(admin: DataFrame, max_depth: int = 32) -> DataFrame:
-    """The root ancestor of every id; a parent that is not in the table ends the walk, and so does a cycle (raises)."""
-    tree = admin.select(F.col("id").alias("__id"), F.col("parent").alias("__up")).where("__up is not null")
-    tree = tree.join(admin.select(F.col("id").alias("__up")), "__up", "left_semi")
-    now = admin.select("id", F.col("id").alias("root"))
-    for _ in range(max_depth):
-        step = now.join(tree, now["root"] == tree["__id"], "left").select("id", F.coalesce("__up", "root").alias("root"), F.col("__up").isNotNull().alias("__moved"))
-        now = step.drop("__moved")
-        if not step.where("__moved").limit(1).count():
-            return now
-    raise RuntimeError("the region tree has a cycle or is too deep")
+def top_level(admin: DataFrame) -> DataFrame:
+    """The root ancestor of every id, however deep the tree; a parent that is not in the table ends the walk, a cycle raises."""
+    tree = admin.select(F.col("id").alias("node"), "parent").where("parent is not null").join(admin.select(F.col("id").alias("parent")), "parent", "left_semi")
+    return admin.select("id").join(tree_roots(tree).select(F.col("node").alias("id"), "root"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
-def admin_walk(admin: DataFrame, cap: int, max_depth: int = 16) -> DataFrame:
-    """Ids to publish: an area over the cap with children gives way to them, level by level.
+def admin_walk(admin: DataFrame, cap: int) -> DataFrame:
+    """Ids to publish: an area over the cap with children gives way to them, at any depth.
 
-    The walk starts at the children of roots; a childless root stands. ``admin`` has id, parent, bytes.
+    The walk starts at the children of roots; a childless root stands. ``admin`` has id, parent, bytes. An area is reached if
+    all areas between it and a root give way, so it looks up the highest of these by pointers; a cycle of such areas raises.
     """
-    kids = admin.where("parent is not null").select(F.col("parent").alias("__p")).distinct()
-    roots = admin.where("parent is null").join(kids, F.col("id") == F.col("__p"), "left")
-    accepted = roots.where("__p is null").select("id")
-    level = admin.join(roots.where("__p is not null").select(F.col("id").alias("__r")), F.col("parent") == F.col("__r")).select(*admin.columns)
-    for _ in range(max_depth):
-        split = (F.col("bytes") > cap) & F.col("__p").isNotNull()
-        judged = level.join(kids, F.col("id") == F.col("__p"), "left")
-        accepted = accepted.unionByName(judged.where(~F.coalesce(split, F.lit(False))).select("id"))
-        over = judged.where(split).select(F.col("id").alias("__o"))
-        level = admin.join(over, F.col("parent") == F.col("__o")).select(*admin.columns)
-        if not level.limit(1).count():
-            return accepted
-    raise RuntimeError("the region tree is too deep")
+    kids = admin.where("parent is not null").select(F.col("parent").alias("id")).distinct()
+    gives_way = admin.where((F.col("bytes") > cap) & F.col("parent").isNotNull()).select("id").join(kids, "id", "left_semi")
+    roots = admin.where("parent is null").select("id")
+    below = admin.select(F.col("id").alias("node"), "parent").join(gives_way.select(F.col("id").alias("parent")), "parent", "left_semi")
+    tops = tree_roots(below.select("node", "parent")).select(F.col("node").alias("id"), F.col("root").alias("top"))
+    started = admin.select(F.col("id").alias("top"), "parent").join(roots.select(F.col("id").alias("parent")), "parent", "left_semi").select("top")
+    left = admin.where("parent is not null").select("id").join(gives_way, "id", "left_anti").join(tops, "id", "left").withColumn("top", F.coalesce("top", "id"))
+    return left.join(started, "top", "left_semi").select("id").unionByName(roots.join(kids, "id", "left_anti"))
 
 
 def region_boxes(parts: DataFrame, gap: float = 5.0) -> DataFrame:

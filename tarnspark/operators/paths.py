@@ -1,14 +1,18 @@
-"""Least-cost legs over the path network, block by block.
-
-The network is cut into square blocks. A leg's search holds one row per node it has reached; a block in which a leg has
-new arrivals is searched to the end in one task, and what leaves the block arrives in the next block in the next round.
-Rounds thus follow the number of blocks that a leg crosses, not its edges. Rows point back to the node before them.
+"""Least-cost legs over the path network.
+
+A leg keeps to a box around its ends. Legs whose boxes lie in one square of the network, of a side that follows the box, are
+searched together in one task that holds the square: one round for all of them. Where a square has too many nodes for that,
+its legs are searched block by block: a leg's search holds one row per node it has reached, a block in which it has new
+arrivals is searched to the end in one task, and what leaves the block arrives in the next block in the next round. Those
+rounds follow the number of blocks that a leg crosses, not its edges; rows point back to the node before them, and legs that
+have settled leave the loop. Ends that no end on the other side is connected with are dropped before any search.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,12 +22,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tarnspark.functions.geo import EARTH_M, haversine_m
 from tarnspark.operators.classify import lookup
+from tarnspark.operators.components import least_roots
 from tarnspark.operators.network import WALKING_COST
 from tarnspark.operators.spatial import line_snap
 from tarnspark.scratch import forget, stored
 
 #: Side of a block in degrees, and legs that are searched in one block by one task.
 BLOCK_DEGREES, LEGS_A_TASK = 0.1, 256
+#: Side of the smallest squares in degrees, nodes that a square may hold, and legs that one task searches in it.
+SQUARE_DEGREES, SQUARE_NODES, SQUARE_LEGS = 0.05, 100_000, 1024
 _REACHED = "leg_id {leg}, node_id {node}, block long, cost double, length double, prev {node}, came boolean"
 
 
@@ -90,7 +97,50 @@ def _walk(schema: pa.Schema):
     return walk
 
 
-def least_cost_path(legs: DataFrame, nodes: DataFrame, edges: DataFrame, snap_m: float = 250.0, snaps: int = 8, pad_m: float = 1200.0, pad_share: float = 0.35) -> DataFrame:
+def _search_square(schema: pa.Schema):
+    """The best way of each leg of a square, by Dijkstra's algorithm from all its starts until no better end can come."""
+
+    def search(legs: pa.Table, arcs: pa.Table) -> pa.Table:
+        ways: dict = {}
+        for a, *arc in _rows(arcs, "a", "b", "w", "length_m", "b_lng", "b_lat"):
+            ways.setdefault(a, []).append(arc)
+        out = []
+        for leg, starts, goals, west, south, east, north in _rows(legs, "leg_id", "starts", "goals", "west", "south", "east", "north"):
+            known, settled, last = {}, set(), {g["node_id"]: g["m"] for g in goals}
+            heap = []
+            for s in starts:
+                known[s["node_id"]] = (s["m"], 0.0, None)
+                heap.append((s["m"], s["node_id"]))
+            heapq.heapify(heap)
+            best = (math.inf, None)
+            while heap:
+                cost, node = heapq.heappop(heap)
+                if cost >= best[0]:
+                    break
+                if node in settled:
+                    continue
+                settled.add(node)
+                if node in last:
+                    best = min(best, (cost + last[node], node))
+                for b, w, m, lng, lat in ways.get(node, ()):
+                    if b not in settled and west <= lng <= east and south <= lat <= north and (b not in known or cost + w < known[b][0]):
+                        known[b] = (cost + w, known[node][1] + m, node)
+                        heapq.heappush(heap, (cost + w, b))
+            if best[1] is not None:
+                way, node = [], best[1]
+                while node is not None:
+                    way.append(node)
+                    node = known[node][2]
+                out.append((leg, best[0], known[best[1]][1], way[::-1]))
+        columns = zip(*out) if out else [[] for _ in schema]
+        return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return search
+
+
+def least_cost_path(
+    legs: DataFrame, nodes: DataFrame, edges: DataFrame, snap_m: float = 250.0, snaps: int = 8, pad_m: float = 1200.0, pad_share: float = 0.35, square_nodes: int = SQUARE_NODES
+) -> DataFrame:
     """For each leg (leg_id, from_lng, from_lat, to_lng, to_lat): cost, length in metres, the nodes in order, and a reason.
 
     Both ends snap to their nearest nodes, and cost is snap, weighted edges, snap. The search keeps to the box of both ends
@@ -98,15 +148,12 @@ def least_cost_path(legs: DataFrame, nodes: DataFrame, edges: DataFrame, snap_m:
     reason ``no_snap`` or ``no_path``; others have no reason. Legs of equal keys are one leg.
     """
     kinds = dict(legs.dtypes)["leg_id"], dict(nodes.dtypes)["node_id"]
-    schema = _REACHED.format(leg=kinds[0], node=kinds[1])
-    form = T.StructType.fromDDL(schema)
-    here = nodes.select("node_id", "lng", "lat", _block("lng", "lat").alias("block"))
+    here = nodes.select("node_id", "lng", "lat")
     weight = F.coalesce(lookup(F.col("kind"), WALKING_COST), F.lit(1.5))
     arcs = edges.select("a", "b", "length_m", (F.col("length_m") * weight).alias("w"))
     arcs = arcs.unionByName(arcs.select(F.col("b").alias("a"), F.col("a").alias("b"), "length_m", "w"))
-    arcs = arcs.join(here.select(F.col("node_id").alias("a"), "block"), "a").join(
-        here.select(F.col("node_id").alias("b"), F.col("lng").alias("b_lng"), F.col("lat").alias("b_lat"), F.col("block").alias("b_block")), "b"
-    )
+    for end in "ab":
+        arcs = arcs.join(here.select(F.col("node_id").alias(end), F.col("lng").alias(f"{end}_lng"), F.col("lat").alias(f"{end}_lat")), end)
     arcs = stored(arcs, "arcs")
     pad = F.greatest(F.lit(float(pad_m)), haversine_m(F.col("from_lng"), F.col("from_lat"), F.col("to_lng"), F.col("to_lat")) * pad_share)
     up = F.degrees(pad / EARTH_M)
@@ -115,12 +162,55 @@ def least_cost_path(legs: DataFrame, nodes: DataFrame, edges: DataFrame, snap_m:
         "leg_id", (F.least("from_lng", "to_lng") - wide).alias("west"), (F.least("from_lat", "to_lat") - up).alias("south"),
         (F.greatest("from_lng", "to_lng") + wide).alias("east"), (F.greatest("from_lat", "to_lat") + up).alias("north"),
     ).dropDuplicates(["leg_id"])
-    end = lambda p: line_snap(legs.select("leg_id", F.col(f"{p}_lng").alias("lng"), F.col(f"{p}_lat").alias("lat")), "leg_id", nodes, snap_m, snaps)
-    goals = stored(end("to").select("leg_id", "node_id", F.col("distance_m").alias("last")), "goals")
-    start = end("from").join(goals.select("leg_id").distinct(), "leg_id", "left_semi").join(here.select("node_id", "block"), "node_id")
-    reached = start.select("leg_id", "node_id", "block", F.col("distance_m").alias("cost"), F.lit(0.0).alias("length"), F.lit(None).cast(kinds[1]).alias("prev"), F.lit(True).alias("came"))
-    reached = stored(reached.dropDuplicates(["leg_id", "node_id"]), "reached")
-    while reached.where("came").limit(1).count():
+    parts = least_roots(edges, "a", "b").select(F.col("node").alias("node_id"), "root")
+    snapped = lambda p: line_snap(legs.select("leg_id", F.col(f"{p}_lng").alias("lng"), F.col(f"{p}_lat").alias("lat")), "leg_id", nodes, snap_m, snaps)
+    end = lambda p: snapped(p).join(parts, "node_id", "left").groupBy("leg_id").agg(F.collect_set(F.struct("node_id", F.col("distance_m").alias("m"), F.coalesce("root", "node_id").alias("part"))).alias(p))
+    ends = stored(end("from").join(end("to"), "leg_id"), "ends")
+    meets = lambda mine, other: F.filter(mine, lambda x: F.exists(other, lambda y: x["part"] == y["part"]))
+    linked = ends.select("leg_id", meets("from", "to").alias("starts"), meets("to", "from").alias("goals")).where(F.size("starts") > 0).join(boxes, "leg_id")
+    # A box is no larger than its square's cells, so two by two of them hold it.
+    level = F.greatest(F.ceil(F.log2(F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south")) / SQUARE_DEGREES)), F.lit(0)).cast("int")
+    cell = lambda c: F.floor(F.col(c) / (SQUARE_DEGREES * F.pow(F.lit(2.0), F.col("level")))).cast("bigint")
+    linked = stored(linked.withColumn("level", level).withColumn("cx", cell("west")).withColumn("cy", cell("south")), "linked")
+    levels = [r[0] for r in linked.select("level").distinct().collect()]
+    if not levels:
+        found = linked.select("leg_id", F.lit(0.0).alias("cost"), F.lit(0.0).alias("length"), F.array().cast(f"array<{kinds[1]}>").alias("way"))
+        return _with_reasons(legs, ends, found)
+    asked = linked.groupBy("level", "cx", "cy").agg(F.ceil(F.count(F.lit(1)) / SQUARE_LEGS).cast("int").alias("tasks"))
+    placed = lambda df, lng, lat: df.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumn("lng", F.col(lng)).withColumn("lat", F.col(lat)).withColumn("cx", cell("lng")).withColumn("cy", cell("lat"))
+    squares = lambda df: df.withColumn("cx", F.explode(F.array(F.col("cx") - 1, F.col("cx")))).withColumn("cy", F.explode(F.array(F.col("cy") - 1, F.col("cy"))))
+    full = squares(placed(here, "lng", "lat").groupBy("level", "cx", "cy").count()).groupBy("level", "cx", "cy").agg(F.sum("count").alias("held"))
+    asked = stored(asked.join(full, ["level", "cx", "cy"], "left").withColumn("near", F.coalesce("held", F.lit(0)) <= square_nodes), "squares")
+    mine = linked.join(asked.where("near"), ["level", "cx", "cy"]).withColumn("task", F.pmod(F.xxhash64("leg_id"), F.col("tasks")).cast("int"))
+    dealt = squares(placed(arcs, "a_lng", "a_lat")).join(asked.where("near"), ["level", "cx", "cy"]).withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
+    dealt = dealt.select("level", "cx", "cy", "task", "a", "b", "w", "length_m", "b_lng", "b_lat")
+    ways = f"leg_id {kinds[0]}, cost double, length double, way array<{kinds[1]}>"
+    key = ("level", "cx", "cy", "task")
+    found = mine.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInArrow(_search_square(to_arrow_schema(T.StructType.fromDDL(ways))), ways)
+    far = stored(linked.join(asked.where("not near"), ["level", "cx", "cy"], "left_semi").select("leg_id", "starts", "goals", "west", "south", "east", "north"), "far")
+    if far.limit(1).count():
+        found = found.unionByName(_by_blocks(far, here, arcs, kinds))
+    return _with_reasons(legs, ends, found)
+
+
+def _with_reasons(legs: DataFrame, ends: DataFrame, found: DataFrame) -> DataFrame:
+    seen = ends.select("leg_id", F.lit(True).alias("snapped"))
+    reason = F.when(F.col("way").isNull(), F.when(F.col("snapped"), "no_path").otherwise("no_snap"))
+    return legs.select("leg_id").distinct().join(found, "leg_id", "left").join(seen, "leg_id", "left").withColumn("reason", reason).drop("snapped")
+
+
+def _by_blocks(far: DataFrame, here: DataFrame, arcs: DataFrame, kinds: tuple[str, str]) -> DataFrame:
+    """leg_id, cost, length, way of legs (leg_id, starts, goals, box) whose squares are too full for one task."""
+    schema = _REACHED.format(leg=kinds[0], node=kinds[1])
+    form = T.StructType.fromDDL(schema)
+    here = here.select("node_id", _block("lng", "lat").alias("block"))
+    arcs = stored(arcs.withColumn("block", _block("a_lng", "a_lat")).withColumn("b_block", _block("b_lng", "b_lat")), "arcs")
+    boxes = far.select("leg_id", "west", "south", "east", "north")
+    goals = stored(far.select("leg_id", F.explode("goals").alias("g")).select("leg_id", "g.node_id", F.col("g.m").alias("last")), "goals")
+    start = far.select("leg_id", F.explode("starts").alias("s")).select("leg_id", "s.node_id", F.col("s.m").alias("cost")).join(here, "node_id")
+    reached = start.select("leg_id", "node_id", "block", "cost", F.lit(0.0).alias("length"), F.lit(None).cast(kinds[1]).alias("prev"), F.lit(True).alias("came"))
+    reached, settled = stored(reached.dropDuplicates(["leg_id", "node_id"]), "reached"), []
+    while reached.limit(1).count():
         at = reached.where("came").select("leg_id", "block").distinct()
         parts = at.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / LEGS_A_TASK).cast("int").alias("parts"))
         asked = reached.join(at, ["leg_id", "block"], "left_semi").join(boxes, "leg_id").join(parts, "block").withColumn("part", F.pmod(F.xxhash64("leg_id"), F.col("parts")).cast("int")).drop("parts")
@@ -131,7 +221,12 @@ def least_cost_path(legs: DataFrame, nodes: DataFrame, edges: DataFrame, snap_m:
         best = both.groupBy("leg_id", "node_id").agg(F.min_by(F.struct("block", "cost", "length", "prev", "came"), F.struct("cost", "came", "prev")).alias("r")).select("leg_id", "node_id", "r.*")
         bound = best.join(goals, ["leg_id", "node_id"]).groupBy("leg_id").agg(F.min(F.col("cost") + F.col("last")).alias("bound"))
         best = best.join(bound, "leg_id", "left").withColumn("came", F.col("came") & (F.col("bound").isNull() | (F.col("cost") < F.col("bound")))).drop("bound")
-        reached = stored(best, "reached", after=(reached,))
+        # Legs on which nothing new has come are done; their rows are not carried on.
+        best = stored(best, "best", after=(reached,))
+        going = best.where("came").select("leg_id").distinct()
+        settled.append(stored(best.join(going, "leg_id", "left_anti"), "settled"))
+        reached = stored(best.join(going, "leg_id", "left_semi"), "reached", after=(best,))
+    reached = reduce(lambda a, b: a.unionByName(b), settled)
     done = goals.join(reached, ["leg_id", "node_id"]).groupBy("leg_id").agg(
         F.min_by(F.struct((F.col("cost") + F.col("last")).alias("cost"), "length", "node_id"), F.struct(F.col("cost") + F.col("last"), "node_id")).alias("r")
     ).select("leg_id", "r.*")
@@ -146,13 +241,6 @@ def least_cost_path(legs: DataFrame, nodes: DataFrame, edges: DataFrame, snap_m:
         forget(walking)
         ways.append(step)
         walking = stored(step.where("at is not null").select("leg_id", "at"), "walking")
-    way = None
-    for step in ways:
-        way = step if way is None else way.unionByName(step)
-    if way is None:
-        way = done.select("leg_id", F.array("node_id").alias("way"), F.lit(0).alias("turn"))
+    way = reduce(lambda a, b: a.unionByName(b), ways, done.select("leg_id", F.array().cast(f"array<{kinds[1]}>").alias("way"), F.lit(None).cast(kinds[1]).alias("at"), F.lit(-1).alias("turn")))
     ordered = F.reverse(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("turn", "way"))), lambda x: x["way"])))
-    found = done.drop("node_id").join(way.groupBy("leg_id").agg(ordered.alias("way")), "leg_id")
-    seen = start.select("leg_id").distinct().withColumn("snapped", F.lit(True))
-    reason = F.when(F.col("way").isNull(), F.when(F.col("snapped"), "no_path").otherwise("no_snap"))
-    return legs.select("leg_id").distinct().join(found, "leg_id", "left").join(seen, "leg_id", "left").withColumn("reason", reason).drop("snapped")
+    return done.drop("node_id").join(way.groupBy("leg_id").agg(ordered.alias("way")), "leg_id").select("leg_id", "cost", "length", "way")

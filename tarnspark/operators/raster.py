@@ -127,6 +127,49 @@ def raster_tile_pack(cells: DataFrame, size: int = 512) -> DataFrame:
     return packed.select("z", "x", "y", F.transform("c", lambda v: v["slope"]).alias("slope"), F.transform("c", lambda v: v["octant"]).alias("octant"))
 
 
+#: The byte of a cell that has no value.
+NO_BYTE = 255
+
+
+def raster_tile_bytes(cells: DataFrame, size: int = 512) -> DataFrame:
+    """Tiles (z, x, y) of ``size`` x ``size`` bytes each for slope and octant, row by row, and ``n``, the cells they hold.
+
+    ``cells`` has level, z, row, col, slope, octant. A cell that is not there or has a null is the byte 255; values beyond 0 to
+    254 raise, and so does a level whose cells lie at more than one zoom, with its name.
+    """
+    zooms = cells.groupBy("level").agg(F.min("z").alias("lo"), F.max("z").alias("hi")).where("lo <> hi")
+    foreign = zooms.agg(F.min(F.struct("level", "lo", "hi")).alias("bad"))  # one row
+    text = F.concat(F.lit("level "), F.col("bad.level").cast("string"), F.lit(" tiles at zooms "), F.col("bad.lo").cast("string"), F.lit(" and "), F.col("bad.hi").cast("string"))
+    told = cells.crossJoin(F.broadcast(foreign)).withColumn("z", F.when(F.col("bad").isNull(), F.col("z")).otherwise(F.raise_error(text).cast("int")))
+
+    def pair(c: str) -> Column:
+        wrong = F.raise_error(F.concat(F.lit(f"{c} is no byte: "), F.col(c).cast("string")))
+        return F.when(F.col(c).isNull(), F.lit("FF")).when(F.col(c).between(0, NO_BYTE - 1), F.lpad(F.hex(F.col(c).cast("bigint")), 2, "0")).otherwise(wrong).alias(c)
+
+    place = (F.pmod("row", F.lit(size)) * size + F.pmod("col", F.lit(size))).cast("int").alias("p")
+    tile = told.groupBy("z", F.floor(F.col("col") / size).alias("x"), F.floor(F.col("row") / size).alias("y"))
+    packed = tile.agg(F.array_sort(F.collect_list(F.struct(place, pair("slope"), pair("octant")))).alias("c"))
+    # Before each cell come the bytes of those that are missing since the last one.
+    missing = lambda i: F.get(F.col("c"), i)["p"] - F.coalesce(F.get(F.col("c"), i - 1)["p"], F.lit(-1)) - 1
+    filled = lambda c: F.array_join(F.transform("c", lambda v, i: F.concat(F.repeat(F.lit("FF"), missing(i)), v[c])), "")
+    whole = lambda c: F.unhex(F.rpad(filled(c), 2 * size * size, "F")).alias(c)
+    return packed.select("z", "x", "y", whole("slope"), whole("octant"), F.size("c").cast("bigint").alias("n"))
+
+
+def raster_tile_cells(tiles: DataFrame, size: int = 512) -> DataFrame:
+    """The cells (z, row, col, slope, octant) of byte tiles; cells without either value go."""
+    at = lambda c: F.transform(F.regexp_extract_all(F.hex(c), F.lit("(..)")), lambda h: F.conv(h, 16, 10).cast("int"))
+    each = tiles.select("z", "x", "y", F.posexplode(F.arrays_zip(at("slope").alias("slope"), at("octant").alias("octant"))).alias("p", "v"))
+    value = lambda c: F.when(F.col(f"v.{c}") != NO_BYTE, F.col(f"v.{c}")).alias(c)
+    row, col = F.col("y") * size + F.floor(F.col("p") / size), F.col("x") * size + F.col("p") % size
+    return each.select("z", row.cast("bigint").alias("row"), col.cast("bigint").alias("col"), value("slope"), value("octant")).where("slope is not null or octant is not null")
+
+
+def raster_tile_totals(tiles: DataFrame) -> DataFrame:
+    """Tiles, cells and bytes of each zoom."""
+    return tiles.groupBy("z").agg(F.count(F.lit(1)).alias("tiles"), F.sum("n").alias("cells"), F.sum(F.octet_length("slope") + F.octet_length("octant")).alias("bytes"))
+
+
 def peak_snap(peaks: DataFrame, key: str, dem: DataFrame, radius: int = 2) -> DataFrame:
     """Each peak (px, py) on the highest cell around it, the first in row-major order: ``key``, row, col, ele.
 

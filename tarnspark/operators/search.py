@@ -12,66 +12,97 @@ from tarnspark.functions.geo import planar_dist2
 from tarnspark.functions.naming import fold_text
 from tarnspark.scratch import stored
 
-#: Prefixes of tokens are joined on at most so many characters, the rest is compared.
-PREFIX = 3
-#: A word that more places hold is asked for in rings of growing reach (in degrees; the last one holds the world).
+#: Prefixes are keys of up to so many characters, what is longer is compared; region names are cut into pieces of up to PIECE.
+PREFIX, PIECE = 8, 3
+#: A key that more places hold is asked for by cells, in rings of growing reach (in degrees; the last one holds the world).
 COMMON, RINGS = 2_000, (0.25, 2.0, 16.0, 400.0)
+#: Degrees along the side of a cell in which the index counts its keys.
+CELL = 0.25
+
+_WORDS = r"(?U)[^\p{Alnum}]+"
+
+
+def words(text: Column) -> Column:
+    """The folded words of a text, in order."""
+    return F.filter(F.split(fold_text(text), _WORDS, -1), lambda t: t != "")
 
 
 def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key``, pos, token: the folded words of a text, in order."""
-    parts = F.filter(F.split(fold_text(F.col(text)), r"(?U)[^\p{Alnum}]+", -1), lambda t: t != "")
-    return df.select(key, F.posexplode(parts).alias("pos", "token"))
+    return df.select(key, F.posexplode(words(F.col(text))).alias("pos", "token"))
 
 
-def _heads(word: Column) -> Column:
-    """The first characters of a word, one to ``PREFIX`` of them."""
-    return F.array_distinct(F.array(*[F.substring(word, 1, i) for i in range(1, PREFIX + 1)]))
+def phrases(text: Column) -> Column:
+    """A query's phrases, each an array of words: what stands between blanks and ``"*()-:^``; ``fillan's`` is two words in a row."""
+    parts = F.split(F.regexp_replace(text, r'["*()\-:^]', " "), r"(?U)\s+", -1)
+    return F.filter(F.transform(parts, words), lambda p: F.size(p) > 0)
 
 
-def place_search(queries: DataFrame, places: DataFrame, k: int = 20) -> DataFrame:
-    """The k best places for each query: all its words occur, the last as a prefix; near ones first, then by rank.
+def place_index(places: DataFrame) -> DataFrame:
+    """The positional index of ``places`` (place_id, name, lat, lon), stored: key, place_id, words, lat, lon, cx, cy.
 
-    ``queries`` has query_id, text, lon, lat; ``places`` has place_id, name, kind, lat, lon, rank. A query without words
-    finds nothing. Only the places that hold the rarest of a query's words meet the query; its other words are looked up in
-    their names. A query whose rarest word over ``COMMON`` places hold asks for it in rings around itself, so it meets only
-    places near it.
+    A place has a row for each of its words, marked with "=", and for each of their first 1 to ``PREFIX`` characters, marked
+    with "^". ``words`` are all its words in order, and cx, cy its cell.
     """
-    asked = tokens(queries, "query_id", "text").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("words"))
-    last, rest = F.element_at("words", -1), F.slice("words", 1, F.size("words") - 1)
-    asked = asked.select("query_id", last.alias("last"), rest.alias("rest"))
-    named = tokens(places, "place_id", "name").groupBy("place_id").agg(F.collect_set("token").alias("words"))
-    # Whole words are marked with "=", first characters with "^".
-    keyed = named.withColumn("key", F.explode(F.array_distinct(F.concat(F.transform("words", lambda w: F.concat(F.lit("="), w)), F.flatten(F.transform("words", lambda w: F.transform(_heads(w), lambda h: F.concat(F.lit("^"), h))))))))
-    keyed = keyed.join(places.select("place_id", "lat", "lon"), "place_id")
-    keys = F.array_append(F.transform("rest", lambda w: F.concat(F.lit("="), w)), F.concat(F.lit("^"), F.substring("last", 1, PREFIX)))
-    wanted = asked.select("query_id", F.explode(keys).alias("key"))
-    held = keyed.join(wanted.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    rarest = wanted.join(held, "key", "left").groupBy("query_id").agg(F.min_by("key", F.struct(F.coalesce("n", F.lit(0)), "key")).alias("key"), F.min(F.coalesce("n", F.lit(0))).alias("n"))
-    at = queries.select("query_id", F.col("lon").alias("qlon"), F.col("lat").alias("qlat"))
-    asked = stored(asked.join(rarest, "query_id").join(at, "query_id").where("n > 0"), "asked")
-    holds = F.size(F.array_except("rest", "words")) == 0
-    begins = F.exists("words", lambda w: w.startswith(F.col("last")))
+    named = places.select("place_id", words(F.col("name")).alias("words"), "lat", "lon", *[F.floor(F.col(c) / CELL).cast("int").alias(n) for c, n in (("lon", "cx"), ("lat", "cy"))])
+    heads = F.flatten(F.transform("words", lambda w: F.transform(F.sequence(F.lit(1), F.least(F.length(w), F.lit(PREFIX))), lambda i: F.concat(F.lit("^"), F.left(w, i)))))
+    keys = F.array_distinct(F.concat(F.transform("words", lambda w: F.concat(F.lit("="), w)), heads))
+    return stored(named.select(F.explode(keys).alias("key"), "place_id", "words", "lat", "lon", "cx", "cy"), "place-index")
+
+
+def _matches(met: DataFrame) -> DataFrame:
+    """Rows of queries and places in whose words all phrases occur, the last one with its last word as a prefix."""
+    at = "sequence(0, size(words) - size(p))"
+    whole = f"forall(rest, p -> size(words) >= size(p) AND exists({at}, i -> slice(words, i + 1, size(p)) = p))"
+    begun = f"""exists(transform(array(last), p -> p), p -> size(words) >= size(p) AND exists({at}, i ->
+      slice(words, i + 1, size(p) - 1) = slice(p, 1, size(p) - 1) AND startswith(get(words, i + size(p) - 1), element_at(p, -1))))"""
     distance2 = planar_dist2(F.col("qlon"), F.col("qlat"), F.col("lon"), F.col("lat"))
-    match = lambda met: met.where(holds & begins).select("query_id", "place_id", distance2.alias("distance2"))
-    few = match(asked.where(F.col("n") <= COMMON).join(keyed, "key"))
-    left, found = asked.where(F.col("n") > COMMON), few
-    near = Window.partitionBy("query_id").orderBy("distance2")
-    for reach in RINGS:
-        if not left.limit(1).count():
-            break
-        # A ring's cells are as wide in scaled degrees as they are high; the poles have one cell all around.
-        scale = F.greatest(F.cos(F.radians(F.least(F.abs("qlat") + reach, F.lit(89.0)))), F.lit(0.02))
-        span = lambda v, r, step: F.explode(F.sequence(F.floor((F.col(v) - r) / step), F.floor((F.col(v) + r) / step)))
-        wide = left.withColumn("cy", span("qlat", F.lit(reach), reach)).withColumn("cx", span("qlon", F.lit(reach) / scale, reach))
-        placed = keyed.withColumn("cy", F.floor(F.col("lat") / reach)).withColumn("cx", F.floor(F.col("lon") / reach))
-        met = stored(match(wide.join(placed, ["key", "cx", "cy"])), "ring")
-        sure = met.where(F.col("distance2") <= reach * reach)
-        ranked = sure.withColumn("r", F.row_number().over(near))
-        full = ranked.where((F.col("r") == k)).select("query_id")
-        done = left.select("query_id") if reach == RINGS[-1] else full
-        found = found.unionByName(met.join(done, "query_id", "left_semi"))
-        left = stored(left.join(done, "query_id", "left_anti"), "left")
+    return met.where(F.expr(begun) & F.expr(whole)).select("query_id", "place_id", distance2.alias("distance2"))
+
+
+def place_search(queries: DataFrame, places: DataFrame, k: int = 20, index: DataFrame | None = None) -> DataFrame:
+    """The k best places for each query: all its phrases occur, the last as a prefix; near ones first, then by rank.
+
+    ``queries`` has query_id, text, lon, lat; ``places`` has place_id, name, kind, lat, lon, rank; ``index`` is their
+    ``place_index``, made here if it is not given. A query without words finds nothing. A query meets the places that hold the
+    rarest of its keys, if these are ``COMMON`` at most. Otherwise it goes out in rings, and in a ring only into cells that
+    hold all its keys, where it meets the holders of the key that is rarest there.
+    """
+    index = place_index(places) if index is None else index
+    asked = queries.select("query_id", phrases(F.col("text")).alias("all"), F.col("lon").alias("qlon"), F.col("lat").alias("qlat")).where(F.size("all") > 0)
+    asked = asked.select("query_id", "qlon", "qlat", F.get("all", F.size("all") - 1).alias("last"), F.slice("all", 1, F.greatest(F.size("all") - 1, F.lit(0))).alias("rest"))
+    exact = F.concat(F.flatten("rest"), F.slice("last", 1, F.greatest(F.size("last") - 1, F.lit(0))))
+    keys = F.array_append(F.transform(exact, lambda w: F.concat(F.lit("="), w)), F.concat(F.lit("^"), F.left(F.get("last", F.size("last") - 1), F.lit(PREFIX))))
+    asked = asked.withColumn("keys", F.array_sort(F.array_distinct(keys)))
+    wanted = asked.select("query_id", F.explode("keys").alias("key"))
+    held = index.join(wanted.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    rarest = wanted.join(held, "key", "left").groupBy("query_id").agg(F.min_by("key", F.struct(F.coalesce("n", F.lit(0)), "key")).alias("key"), F.min(F.coalesce("n", F.lit(0))).alias("n"))
+    asked = stored(asked.join(rarest, "query_id").where("n > 0"), "asked")
+    found = _matches(asked.where(F.col("n") <= COMMON).join(index.drop("cx", "cy"), "key"))
+    left = asked.where(F.col("n") > COMMON).drop("key")
+    if left.limit(1).count():
+        common = left.select(F.explode("keys").alias("key")).distinct()
+        counts = stored(index.join(common, "key", "left_semi").groupBy("key", "cx", "cy").agg(F.count(F.lit(1)).alias("m")), "cells")
+        for reach in RINGS:
+            last = reach == RINGS[-1]
+            near = left.select("query_id", "keys", F.explode("keys").alias("key"), "qlon", "qlat")
+            if last:
+                met = near.join(counts, "key")
+            else:
+                # A ring's cells are as wide in scaled degrees as they are high; the poles have one cell all around.
+                scale, wide = F.greatest(F.cos(F.radians(F.least(F.abs("qlat") + reach, F.lit(89.0)))), F.lit(0.02)), int(reach / CELL)
+                span = lambda v, r, step: F.explode(F.sequence(F.floor((F.col(v) - r) / step).cast("int"), F.floor((F.col(v) + r) / step).cast("int")))
+                near = near.withColumn("ry", span("qlat", F.lit(reach), reach)).withColumn("rx", span("qlon", F.lit(reach) / scale, reach))
+                ringed = counts.withColumn("rx", F.floor(F.col("cx") / wide).cast("int")).withColumn("ry", F.floor(F.col("cy") / wide).cast("int"))
+                met = near.join(ringed, ["key", "rx", "ry"])
+            cells = met.groupBy("query_id", "cx", "cy").agg(F.count(F.lit(1)).alias("has"), F.first(F.size("keys")).alias("of"), F.min_by("key", F.struct("m", "key")).alias("key")).where("has = of")
+            hits = stored(_matches(cells.select("query_id", "cx", "cy", "key").join(left.drop("keys", "n"), "query_id").join(index, ["key", "cx", "cy"])), "ring")
+            full = hits.where(F.col("distance2") <= reach * reach).groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
+            done = left.select("query_id") if last else full
+            found = found.unionByName(hits.join(done, "query_id", "left_semi"))
+            left = stored(left.join(done, "query_id", "left_anti"), "left")
+            if not left.limit(1).count():
+                break
     order = Window.partitionBy("query_id").orderBy("distance2", F.desc("rank"), "place_id")
     full = found.join(places, "place_id")
     return full.withColumn("pos", F.row_number().over(order).cast("bigint")).where(F.col("pos") <= k)
@@ -99,10 +130,10 @@ def region_search(queries: DataFrame, regions: DataFrame, k: int) -> DataFrame:
     ``total`` counts all matches. Case and accents do not matter. Regions meet the texts whose first characters lie somewhere
     in their name or group; an empty text finds nothing.
     """
-    pieces = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.array(*[F.substring(c, i, n) for n in range(1, PREFIX + 1)]))
+    pieces = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.array(*[F.substring(c, i, n) for n in range(1, PIECE + 1)]))
     folded = regions.withColumn("__name", fold_text(F.col("name"))).withColumn("__group", fold_text(F.coalesce("group", F.lit(""))))
     index = folded.select("region_id", "__name", "__group", F.explode(F.array_distinct(F.flatten(F.concat(pieces(F.col("__name")), pieces(F.col("__group")))))).alias("__head"))
-    asked = queries.select("query_id", fold_text(F.col("text")).alias("__text")).where("__text <> ''").withColumn("__head", F.substring("__text", 1, PREFIX))
+    asked = queries.select("query_id", fold_text(F.col("text")).alias("__text")).where("__text <> ''").withColumn("__head", F.substring("__text", 1, PIECE))
     name, group, text = F.col("__name"), F.col("__group"), F.col("__text")
     score = F.when(name.startswith(text), 0).when(name.contains(text), 1).when(group.contains(text), 2)
     met = index.join(asked, "__head").withColumn("score", score).where("score is not null").select("query_id", "region_id", "score")

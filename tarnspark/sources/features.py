@@ -6,23 +6,32 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from tarnspark.scratch import stored
 
-def scan_features(spark: SparkSession, path: str, source_ord: int = 0) -> DataFrame:
-    """source_ord, block, line, props (VARIANT), geom_type and coords (VARIANT) of each feature of a folder or file.
 
-    A leading 0x1e and white space go, blank lines are skipped, and a line that is no JSON object raises with its file.
-    (source_ord, block, line) is the order of the input.
+def scan_features(spark: SparkSession, path: str | list[str], source_ord: int = 0) -> DataFrame:
+    """source_ord, block, line, props (VARIANT), geom_type and coords (VARIANT) of each feature of files or folders.
+
+    A leading 0x1e and white space go, blank lines are skipped, and a line that is no JSON object raises with its file and
+    line. (source_ord, block, line) is the order of the input, however Spark splits it: paths of a list have their place in it
+    added to ``source_ord``, ``block`` numbers the splits of a path from 0 by file name and place, and ``line`` counts the
+    lines of the file from 1, blank ones as well. Lines are counted by a first pass that reads no values.
     """
-    lines = spark.read.text(path).select(
-        F.lit(source_ord).alias("source_ord"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"), F.regexp_replace("value", r"^[\x1e\s]+|\s+$", "").alias("__v"),
-    ).where("__v <> ''")
-    parsed = lines.withColumn("__j", F.try_parse_json("__v"))
-    bad = F.raise_error(F.concat(F.lit("malformed feature in "), F.col("__file"), F.lit(": "), F.substring("__v", 1, 80)))
-    good = parsed.withColumn("__j", F.when(F.col("__j").isNull() | ~F.schema_of_variant("__j").startswith("OBJECT"), F.parse_json(bad.cast("string"))).otherwise(F.col("__j")))
-    get = lambda p, t: F.try_variant_get("__j", p, t)
-    return good.select("source_ord", "block", "line", get("$.properties", "variant").alias("props"), get("$.geometry.type", "string").alias("geom_type"), get("$.geometry.coordinates", "variant").alias("coords"))
+    if not isinstance(path, str):
+        return reduce(lambda a, b: a.unionByName(b), [scan_features(spark, p, source_ord + i) for i, p in enumerate(path)])
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value")
+    splits = read.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    # A row a split, so the one window without a partition sees a millionth of the input.
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = splits.select("file", "start", (before + 1 - F.col("first")).alias("shift"), (F.row_number().over(Window.orderBy("file", "start")) - 1).cast("bigint").alias("block"))
+    lines = read.withColumn("value", F.regexp_replace("value", r"^[\x1e\s]+|\s+$", "")).where("value <> ''").join(stored(numbered, "splits"), ["file", "start"])
+    parsed = lines.select("block", (F.col("at") + F.col("shift")).alias("line"), "file", "value", F.try_parse_json("value").alias("j"))
+    bad = F.raise_error(F.concat(F.lit("malformed feature in "), F.col("file"), F.lit(", line "), F.col("line").cast("string"), F.lit(": "), F.substring("value", 1, 80)))
+    good = parsed.withColumn("j", F.when(F.col("j").isNull() | ~F.schema_of_variant("j").startswith("OBJECT"), F.parse_json(bad.cast("string"))).otherwise(F.col("j")))
+    get = lambda p, t: F.try_variant_get("j", p, t)
+    return good.select(F.lit(source_ord).alias("source_ord"), "block", "line", get("$.properties", "variant").alias("props"), get("$.geometry.type", "string").alias("geom_type"), get("$.geometry.coordinates", "variant").alias("coords"))
 
 
 def concat_sources(sources: list[DataFrame]) -> DataFrame:

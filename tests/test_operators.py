@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnspark.functions import naming, numbers
+from tarnspark.scratch import stored
 from tarnspark.operators import aggregates, catalog, classify, lines, network, paths, prominence, search, spatial, tiles
 from tarnspark.operators.components import least_roots
 from tarnspark.operators.ranks import positions
@@ -94,11 +95,78 @@ def test_a_long_chain_settles_in_few_rounds(spark, monkeypatch):
 
     rounds = []
     kept = components.stored
+    monkeypatch.setattr(components, "ONE_TASK_ROWS", 0)
     monkeypatch.setattr(components, "stored", lambda *a, **k: rounds.append(1) or kept(*a, **k))
     ids = [0, *range(10_000, 0, -1)]
     edges = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")
     roots = least_roots(edges, "a", "b")
-    assert roots.count() == 10_000 and {r["root"] for r in roots.select("root").distinct().collect()} == {0} and len(rounds) <= 24  # all writes: two rounds and their jumps
+    assert roots.count() == 10_000 and {r["root"] for r in roots.select("root").distinct().collect()} == {0} and len(rounds) <= 25  # all writes: two rounds and their jumps
+
+
+def test_components_of_names_and_pointers_that_lead_back(spark, monkeypatch):
+    from tarnspark.operators import components
+
+    edges = spark.createDataFrame([("b", "c"), ("c", "ä"), ("z", "z"), ("x", None), ("y", "b")], "a string, b string")
+    for rows in (1_000_000, 0):
+        monkeypatch.setattr(components, "ONE_TASK_ROWS", rows)
+        assert {r["node"]: r["root"] for r in least_roots(edges, "a", "b").collect()} == {"c": "b", "ä": "b", "y": "b"}
+        for loop in ([(1, 2), (2, 1)], [(1, 2), (2, 3), (3, 1), (7, 8)], [(5, 5)]):
+            with pytest.raises(Exception, match="lead back"):
+                components.tree_roots(spark.createDataFrame(loop, "node long, parent long")).count()
+
+
+def test_region_trees_of_any_depth(spark, monkeypatch):
+    from tarnspark.operators import components
+
+    chain = [(n, n - 1 if n else None, 100 if n < 9_990 else 1) for n in range(10_000)]
+    deep = spark.createDataFrame(chain + [(20_000, 19_999, 5), (30_000, None, 500)], "id long, parent long, bytes long")
+    for rows in (1_000_000, 0):
+        monkeypatch.setattr(components, "ONE_TASK_ROWS", rows)
+        roots = {r["id"]: r["root"] for r in catalog.top_level(deep).collect()}
+        assert roots == {n: 0 for n in range(10_000)} | {20_000: 20_000, 30_000: 30_000}
+        assert sorted(r["id"] for r in catalog.admin_walk(deep, 60).collect()) == [9_990, 30_000]
+        with pytest.raises(Exception, match="lead back"):
+            catalog.top_level(spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "id long, parent long")).count()
+
+
+def test_admin_walk_equals_the_walk(spark):
+    rng = random.Random(6)
+    rows = [(n, rng.choice([None, *range(max(0, n - 6), n)]) if n else None, rng.choice([1, 100, None])) for n in range(300)]
+    kids = {}
+    for n, up, _ in rows:
+        kids.setdefault(up, []).append(n)
+    size, want = {n: b for n, _, b in rows}, [n for n in kids[None] if n not in kids]
+    level = [k for n in kids[None] for k in kids.get(n, ())]
+    while level:
+        over = [n for n in level if (size[n] or 0) > 60 and n in kids]
+        want += sorted(set(level) - set(over))
+        level = [k for n in over for k in kids[n]]
+    got = catalog.admin_walk(spark.createDataFrame(rows, "id long, parent long, bytes long"), 60)
+    assert sorted(r["id"] for r in got.collect()) == sorted(want)
+
+
+def merged_in_order(vertices, tol):
+    """Vertices one by one: the first node in reach, by cell and age, else a node of one's own."""
+    cells, found = {}, {}
+    for n, x, y in sorted(vertices):
+        cx, cy = x // tol, y // tol
+        near = [p for dx in (-1, 0, 1) for dy in (-1, 0, 1) for p in cells.get((cx + dx, cy + dy), ()) if math.hypot(p[1] - x, p[2] - y) <= tol]
+        found[n] = near[0][0] if near else n
+        if not near:
+            cells.setdefault((cx, cy), []).append((n, x, y))
+    return found
+
+
+@pytest.mark.parametrize("side", [5, 16, 1024])
+def test_node_merge_equals_the_order_of_input(spark, side):
+    rng = random.Random(side)
+    line = [(k, 2 * k, 0) for k in range(60)]  # each in reach of the one before
+    shuffled = [(100 + n, x, 40) for n, x in enumerate(rng.sample(range(120), 90))]
+    cloud = [(1000 + n, rng.randrange(40), 60 + rng.randrange(30)) for n in range(700)]
+    rows = line + shuffled + cloud + [(5000 + n, x - 7, y + 300) for n, x, y in cloud[:50]]
+    df = spark.createDataFrame([(n, x, y, "v") for n, x, y in rows], "src_ord long, gx long, gy long, name string").repartition(3)
+    got = {r["src_ord"]: r["node_id"] for r in network.node_merge(df, side=side).collect()}
+    assert got == merged_in_order(rows, 2) and [got[k] for k in range(5)] == [0, 0, 2, 2, 4]
 
 
 def one_by_one(nodes, edges, max_m, k):
@@ -142,15 +210,17 @@ def test_gap_bridge_takes_a_thousand_stubs_at_once(spark):
     assert got == one_by_one(nodes, edges, 20.0, 6) and len(got) == 1003
 
 
-def test_gap_bridge_closes_what_the_sequential_way_closes(spark):
-    rng = random.Random(12)
-    nodes = {n: (rng.randrange(60) * 1e-4, rng.randrange(60) * 1e-4) for n in range(120)}
-    edges = [(n, n + 1) for n in range(0, 120, 2) if nodes[n] != nodes[n + 1]]
-    n = spark.createDataFrame([(k, *v) for k, v in nodes.items()], "node_id long, lng double, lat double")
-    e = spark.createDataFrame([(a, b, 1.0, "path") for a, b in edges], "a long, b long, length_m double, kind string")
-    got = sorted((r["a"], r["b"]) for r in network.gap_bridge(n, e, 40.0).where("kind = 'gap'").collect())
-    want = one_by_one(nodes, edges, 40.0, 6)
-    assert len(set(got) & set(want)) >= 0.8 * len(want) and abs(len(got) - len(want)) <= 0.1 * len(want)
+@pytest.mark.parametrize("settle", [500_000, 40, 0])
+def test_gap_bridge_equals_the_sequential_way(spark, monkeypatch, settle):
+    monkeypatch.setattr(network, "SETTLE_ROWS", settle)
+    for seed, spread in ((12, 60), (13, 25), (14, 90)) if settle else ((12, 40),):
+        rng = random.Random(seed)
+        nodes = {n: (rng.random() * spread * 1e-4, rng.random() * spread * 1e-4) for n in range(120)}
+        edges = [(n, n + 1) for n in range(0, 120, 2)] + [(n, n + 2) for n in range(0, 40, 8)]
+        n = spark.createDataFrame([(k, *v) for k, v in nodes.items()], "node_id long, lng double, lat double")
+        e = spark.createDataFrame([(a, b, 1.0, "path") for a, b in edges], "a long, b long, length_m double, kind string")
+        got = sorted((r["a"], r["b"]) for r in network.gap_bridge(n, e, 40.0).where("kind = 'gap'").collect())
+        assert got == one_by_one(nodes, edges, 40.0, 6)
 
 
 def cheapest(nodes, edges, start, goal):
@@ -170,7 +240,8 @@ def cheapest(nodes, edges, start, goal):
     return min(ends, default=None)
 
 
-def test_least_cost_paths_equal_dijkstra(spark):
+@pytest.mark.parametrize("square_nodes", [100_000, 0])
+def test_least_cost_paths_equal_dijkstra(spark, square_nodes):
     rng = random.Random(21)
     nodes = {n: (rng.random() * 0.2, rng.random() * 0.2) for n in range(250)}
     metres = lambda a, b: 6371008.8 * 2 * math.asin(math.sqrt(math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[0] - a[0]) / 2) ** 2))
@@ -189,7 +260,7 @@ def test_least_cost_paths_equal_dijkstra(spark):
     got = paths.least_cost_path(
         spark.createDataFrame(legs, "leg_id long, from_lng double, from_lat double, to_lng double, to_lat double"),
         spark.createDataFrame([(k, *v) for k, v in nodes.items()], "node_id long, lng double, lat double"),
-        spark.createDataFrame(rows, "a long, b long, length_m double, kind string"), 2500.0, 3, pad_share=100.0,
+        spark.createDataFrame(rows, "a long, b long, length_m double, kind string"), 2500.0, 3, pad_share=100.0, square_nodes=square_nodes,
     ).collect()
     seen = set()
     for r in got:
@@ -205,13 +276,14 @@ def test_least_cost_paths_equal_dijkstra(spark):
     assert seen == {None, "no_path", "no_snap"} and len(got) == len(legs)
 
 
-def test_a_leg_of_two_thousand_hops(spark):
+@pytest.mark.parametrize("square_nodes", [100_000, 0])
+def test_a_leg_of_two_thousand_hops(spark, square_nodes):
     nodes = [(k, k * 2e-4, 0.0) for k in range(2001)]
     legs = [(1, 0.0, 0.0, 0.4, 0.0), (2, 0.4, 0.0, 0.399, 0.0)]
     got = {r["leg_id"]: r["way"] for r in paths.least_cost_path(
         spark.createDataFrame(legs, "leg_id long, from_lng double, from_lat double, to_lng double, to_lat double"),
         spark.createDataFrame(nodes, "node_id long, lng double, lat double"),
-        spark.createDataFrame([(k, k + 1, 22.24, "path") for k in range(2000)], "a long, b long, length_m double, kind string"), 1.0, 1,
+        spark.createDataFrame([(k, k + 1, 22.24, "path") for k in range(2000)], "a long, b long, length_m double, kind string"), 1.0, 1, square_nodes=square_nodes,
     ).collect()}
     assert got == {1: list(range(2001)), 2: list(range(2000, 1994, -1))}
 
@@ -248,7 +320,19 @@ def test_prominence_of_a_long_ridge_and_of_random_terrain(spark):
     for heights, tops, step, floor in ((z, peaks, 20.0, 0.0), (rough, many, 7.0, 20.0)):
         dem = spark.createDataFrame([(r, c, v) for (r, c), v in heights.items()], "row int, col int, z int")
         snapped = spark.createDataFrame([(i, r, c, e) for i, (r, c, e) in tops.items()], "peak_id long, row int, col int, ele double")
-        assert {r["peak_id"]: r["prom"] for r in prominence.prominence(snapped, dem, step, floor).collect()} == naive_prominence(tops, heights, step, floor)
+        for block in (4, 256):
+            assert {r["peak_id"]: r["prom"] for r in prominence.prominence(snapped, dem, step, floor, block).collect()} == naive_prominence(tops, heights, step, floor)
+
+
+def test_prominence_of_a_thousand_peaks_that_wait_for_each_other(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(prominence, "stored", lambda df, name, **more: written.append(name) or stored(df, name, **more))
+    z = [5000 - c if c % 2 == 0 else 1000 + c for c in range(2001)]  # falling peaks, rising saddles
+    dem = spark.createDataFrame([(0, c, v) for c, v in enumerate(z)], "row int, col int, z int")
+    snapped = spark.createDataFrame([(c, 0, c, float(z[c])) for c in range(0, 2001, 2)], "peak_id long, row int, col int, ele double")
+    got = {r["peak_id"]: r["prom"] for r in prominence.prominence(snapped, dem, 1.0, 0.0, 64).collect()}
+    assert got == {c: (5000.0 - 1001 if c == 0 else float(z[c] - z[c - 1])) for c in range(0, 2001, 2)}
+    assert written.count("blocks") == 4  # 64, 256, 1024, 4096 columns
 
 
 def test_tile_untie_moves_ties_only(spark):
@@ -288,6 +372,29 @@ def test_scan_features_refuses_malformed_lines(spark, tmp_path):
         scan_features(spark, f"file://{tmp_path}/g.geojsonl").collect()
 
 
+@pytest.mark.parametrize("split", ["128m", "700"])
+def test_scan_features_keeps_the_order_of_files_and_lines(spark, tmp_path, split):
+    line = lambda n: f'{{"type":"Feature","properties":{{"n":{n}}},"geometry":null}}\n'
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a b.geojsonl").write_text("".join(map(line, range(5))))
+    (tmp_path / "in/b.geojsonl").write_text("\n" + "".join(map(line, range(5, 400))))
+    (tmp_path / "in/c.geojsonl").write_text("")
+    (tmp_path / "z.geojsonl").write_text("".join(map(line, range(900, 903))))
+    bad = tmp_path / "bad.geojsonl"
+    bad.write_text("".join(map(line, range(50))) + "\n[1]\n" + line(3))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        n = F.try_variant_get("props", "$.n", "int").alias("n")
+        got = scan_features(spark, [f"file://{tmp_path}/z.geojsonl", f"file://{tmp_path}/in"]).orderBy("source_ord", "block", "line").select(n, "line").collect()
+        assert [r["n"] for r in got] == [900, 901, 902, *range(400)]
+        assert [r["line"] for r in got] == [1, 2, 3, *range(1, 6), *range(2, 397)]
+        with pytest.raises(Exception, match=r"bad.geojsonl, line 52: \[1\]"):
+            scan_features(spark, f"file://{bad}").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_route_readers(spark):
     gpx = '<g:gpx xmlns:g="x"><g:metadata><g:name>M</g:name></g:metadata><g:rte><g:rtept lat="1" lon="2"/><g:rtept lat="" lon="3"/><g:rtept lat="95" lon="3"/></g:rte><g:wpt lat="5" lon="6"/></g:gpx>'
     row = scan_route_xml(spark.createDataFrame([("f", gpx)], "file string, text string")).first()
@@ -354,6 +461,37 @@ def test_common_words_are_asked_for_in_rings(spark, monkeypatch):
     assert got == sorted(want)
 
 
+def phrase_search(places, asks, k):
+    """Place search word by word, over all places."""
+    import re
+
+    cut = lambda t: re.findall(r"[^\W_]+", t.lower())
+    found = []
+    for qid, text, lon, lat in asks:
+        parts = [p for p in map(cut, re.sub(r'["*()\-:^]', " ", text).split()) if p]
+        held = lambda w, p, last: any(w[i : i + len(p) - 1] == p[:-1] and (w[i + len(p) - 1].startswith(p[-1]) if last else w[i + len(p) - 1] == p[-1]) for i in range(len(w) - len(p) + 1))
+        hits = [r for r in places if parts and all(held(cut(r[1]), p, p is parts[-1]) for p in parts)]
+        near = sorted(hits, key=lambda r: (((r[4] - lon) * math.cos(math.radians(lat))) ** 2 + (r[3] - lat) ** 2, -r[5], r[0]))
+        found += [(qid, i + 1, r[0]) for i, r in enumerate(near[:k])]
+    return sorted(found)
+
+
+@pytest.mark.parametrize("common", [2_000, 3, 0])
+def test_phrases_are_searched_by_cells(spark, monkeypatch, common):
+    monkeypatch.setattr(search, "COMMON", common)
+    rng = random.Random(8)
+    names = ["St Fillan's Bridge", "Bridge Fillan s", "s bridge Fillan", "Fillans", "Ben Nevis", "Nevis Ben", "Ben-Nevis North Top", "Lochbridge-upon-Water", "a.b.c", "Ben"]
+    places = [(n, rng.choice(names) + rng.choice(["", " Hut", " 2"]), "peak", rng.uniform(-60, 70), rng.uniform(-170, 170), n % 4) for n in range(400)]
+    places += [(900 + n, "Ben far Rare", "peak", -89.0, 179.0, 1) for n in range(3)] + [(950, None, "peak", 1.0, 1.0, 1), (951, "", "peak", 1.0, 1.0, 1)]
+    texts = ["fillan's", "bridge fillan's", "fillan's bridge", "ben nevis", "nevis ben", "Ben:Nevis nor", "ben far", "far ben", "lochbridge-up", "a.b", "b.c a.b.c", "'", "ben '", "", "b", "rare", "be ne", "ben hut"]
+    asks = [(i, t, rng.uniform(-180, 180), rng.uniform(-80, 80)) for i, t in enumerate(texts)]
+    q = spark.createDataFrame(asks, "query_id long, text string, lon double, lat double")
+    p = spark.createDataFrame(places, "place_id long, name string, kind string, lat double, lon double, rank long")
+    want = phrase_search([(*r[:1], r[1] or "", *r[2:]) for r in places], asks, 7)
+    assert sorted((r["query_id"], r["pos"], r["place_id"]) for r in search.place_search(q, p, 7).collect()) == want
+    assert {w[0] for w in want} >= {0, 1, 3, 5, 6, 7, 8, 9, 14, 15, 17} and not {w[0] for w in want} & {11, 13}
+
+
 def test_boxes_of_all_sizes(spark):
     rng = random.Random(2)
     boxes = [(f"b{n}", x, y, x + w, y + h) for n in range(60) for x, y, w, h in [(rng.uniform(-9, 9), rng.uniform(-9, 9), 10 ** rng.uniform(-6, 1), 10 ** rng.uniform(-6, 1))]]
