@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnspark.llm.columns import put_aside
 from tarnspark.llm.decontaminate import decontaminate
 from tarnspark.llm.jaccard_join import keep_one_of_each
 from tarnspark.llm.line_dedup import dedup_lines
@@ -18,13 +19,15 @@ from tarnspark.scratch import stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the rules go."""
-    return score_quality(docs).where("kept").select(*docs.columns)
+    """Documents that fail the rules go; the rules' counts do not take the place of columns of their names."""
+    return score_quality(docs.select(F.struct("*").alias("__whole"), "text")).where("kept").select("__whole.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that several documents hold stay in the first of them; n_chars follows the text."""
-    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    renamed, back = put_aside(docs, [c for c in docs.columns if c.lower() in ("n_lines", "n_dropped")])
+    left = dedup_lines(renamed).select(*renamed.columns).withColumnsRenamed(back)
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

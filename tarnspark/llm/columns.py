@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,12 +34,39 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
     return found
 
 
+def put_aside(df: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with the named columns under fresh names, and how to rename them back."""
+    aside = dict(zip(names, fresh(df, *(f"aside_{n}" for n in names))))
+    return df.select(*[F.col(f"`{c}`").alias(aside.get(c, c)) for c in df.columns]), {new: old for old, new in aside.items()}
+
+
+def keeps_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Let an operator name its own columns with two underscores: the caller's columns of such names step aside meanwhile."""
+    signature = inspect.signature(operator)
+
+    @functools.wraps(operator)
+    def run(*args, **more) -> DataFrame:
+        bound = signature.bind(*args, **more)
+        docs, taken = bound.arguments["docs"], [c for c in bound.arguments["docs"].columns if c.startswith("__")]
+        if not taken:
+            return operator(*bound.args, **bound.kwargs)
+        bound.apply_defaults()
+        bound.arguments["docs"], back = put_aside(docs, taken)
+        renamed = {old: new for new, old in back.items()}
+        for name in ("key", "text"):
+            if name in bound.arguments:
+                bound.arguments[name] = renamed.get(bound.arguments[name], bound.arguments[name])
+        return operator(*bound.args, **bound.kwargs).withColumnsRenamed(back)
+
+    return run
+
+
 def gapless_slots(df: DataFrame, group: str, order: str, rows: int, name: str) -> DataFrame:
     """Number the rows of each ``group`` from 0 without gaps, and without gathering a group in one task.
 
     Rows are dealt into chunks by a hash of ``order``; a chunk is ranked on its own and shifted by the rows that
     the group has in earlier chunks. A chunk grows neither with the table nor with a hot group. Rows that share
-    one value of ``order`` share a chunk, so ``order`` should be a key.
+    one value of ``order`` share a chunk, so ``order`` should be a key. The caller keeps columns of two underscores free.
     """
     chunks = max(1, -(-rows // RANK_CHUNK_ROWS))
     df = df.withColumn("__chunk", F.pmod(F.xxhash64(F.col(order)), F.lit(chunks)))

@@ -1,10 +1,13 @@
-"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman scores the pairs.
-
-Items are cut into parts, and every ``gram``-word piece of a part is a row of the seed table. Documents are read once for
-their pieces that may be seeds, which join the seed table, however large it is; what meets names a part and a stretch of
-the document. A second reading aligns those stretches. Frequent seeds are kept, for a choice by rareness would lose edited
-copies beside exact ones: a stretch is ruled out before its alignment only by the words that it shares with the part,
-which bound the score.
+"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman scores the pairs.
+
+Items are cut into parts. Seeds of a part are its ``gram``-word pieces and its pieces of five words without the middle one,
+which also outlast a copy in which every third word is replaced. A seed that few parts hold is rare and joins by itself; a
+part's few rarest seeds do so in any case, so that an item of nothing but common phrases is not lost. A piece that many parts
+hold, such as the opening of a question, joins only together with another such piece a few words on, if few parts hold the
+two. So a phrase that is common among items brings nobody together, and a document's word meets a bounded number of parts.
+Documents are read once for pieces that may be seeds, which join the seed table, however large it is; what meets names a part
+and a stretch of the document. A second reading aligns those stretches, after ruling out by the words that they share with the
+part, which bound the score.
 """
 
 from __future__ import annotations
@@ -16,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tarnspark.llm.columns import sieve
-from tarnspark.llm.kernels import Run, gram_hashes, in_sieve, runs, signed, windows
+from tarnspark.llm.columns import keeps_names, sieve
+from tarnspark.llm.kernels import Run, gram_hashes, in_sieve, mix, runs, signed, windows
 from tarnspark.scratch import stored
 
 #: Items over so many words are compared in parts of this length, each beginning half a part after the one before.
@@ -26,6 +30,8 @@ PART_WORDS = 256
 #: Parts that one row of the second reading may carry, and stretches that are aligned at once (in words).
 PARTS_A_ROW, GRID_WORDS = 256, 1 << 20
 MATCH, MISMATCH, GAP = 2, -1, 1
+#: Parts that may hold a seed that joins by itself, a part's seeds that do so in any case, and words within which commoner ones pair.
+RARE_PARTS, SURE_SEEDS, PAIR_REACH = 8, 4, 8
 
 IS_BREAK = np.ones(256, dtype=bool)
 IS_BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -64,24 +70,60 @@ def _parts(gram: int):
     return parts
 
 
+def spaced_hashes(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the words 0, 1, 3 and 4 from each place on."""
+    return mix(gram_hashes(words, at, 2) * np.uint64(0x9FB21C651E98DF25) + gram_hashes(words, at + 3, 2))
+
+
+def pair_hashes(first: np.ndarray, second: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    return mix(first * np.uint64(0xD1B54A32D192ED03) + mix(second) + apart.astype(np.uint64))
+
+
 def _seeds(gram: int):
+    """All pieces of each part: seed, whether it is whole (not spaced), part, offset and the part's size."""
+
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = np.frombuffer(raw, np.uint64)
-                n = len(words) - gram + 1
-                grams = gram_hashes(words, np.arange(n), gram)
+                at, spaced = np.arange(len(words) - gram + 1), np.arange(max(0, len(words) - 4))
+                n = len(at) + len(spaced)
                 yield pa.record_batch(
-                    [pa.array(signed(grams)), pa.array(np.full(n, part)), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, len(words), dtype=np.int32))],
-                    names=["seed", "part", "offset", "size"],
+                    [
+                        pa.array(signed(np.concatenate((gram_hashes(words, at, gram), spaced_hashes(words, spaced))))), pa.array(np.arange(n) < len(at)),
+                        pa.array(np.full(n, part)), pa.array(np.concatenate((at, spaced)).astype(np.int32)), pa.array(np.full(n, len(words), dtype=np.int32)),
+                    ],
+                    names=["seed", "whole", "part", "offset", "size"],
                 )
 
     return seeds
 
 
+def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of two pieces of a part, named by both and their distance."""
+    for batch in batches:
+        one, two, apart = (batch.column(k).to_numpy() for k in range(3))
+        yield pa.record_batch([pa.array(signed(pair_hashes(one.view(np.uint64), two.view(np.uint64), apart))), *batch.columns[3:]], names=["seed", "part", "offset", "size"])
+
+
+def _chosen(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(seed, part, offset, size) of the seeds that join, and the pieces that do so only in pairs."""
+    held = pieces.groupBy("seed").agg(F.countDistinct("part").alias("parts"))
+    rarest = F.row_number().over(Window.partitionBy("part").orderBy("parts", "seed", "offset"))
+    judged = stored(pieces.join(held, "seed").withColumn("alone", (F.col("parts") <= RARE_PARTS) | (rarest <= SURE_SEEDS)), "pieces")
+    common = judged.where("not alone and whole").select("seed", "part", "offset", "size")
+    one, two = common.alias("one"), common.select(F.col("seed").alias("other"), F.col("part").alias("of"), F.col("offset").alias("at"))
+    apart = F.col("at") - F.col("offset")
+    both = one.join(two, (F.col("part") == F.col("of")) & apart.between(1, PAIR_REACH)).select("seed", "other", apart.cast("int").alias("apart"), "part", "offset", "size")
+    pairs = stored(both.mapInArrow(_pair, "seed long, part long, offset int, size int"), "seed-pairs")
+    few = pairs.groupBy("seed").agg(F.countDistinct("part").alias("parts")).where(F.col("parts") <= RARE_PARTS).select("seed")
+    alone = judged.where("alone").select("seed", "part", "offset", "size")
+    return alone.unionByName(pairs.join(few, "seed", "left_semi").select("seed", "part", "offset", "size")), common.select("seed").distinct()
+
+
 def _hits(sent, gram: int):
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
+        table, common = sent.value
         for batch in batches:
             for at, run in runs(batch.column(2)):
                 words, bounds = plain_words(run)
@@ -89,11 +131,22 @@ def _hits(sent, gram: int):
                 if not len(starts):
                     continue
                 grams = gram_hashes(words, starts, gram)
-                maybe = np.flatnonzero(in_sieve(table, grams))
-                text = np.searchsorted(of, maybe, side="right") - 1
-                rows = pa.array(at + text)
+                text = np.repeat(np.arange(run.n), np.diff(of))
+                spaced, spaced_of = windows(bounds, 5)
+                seeds, places, texts = [grams, spaced_hashes(words, spaced)], [starts, spaced], [text, np.repeat(np.arange(run.n), np.diff(spaced_of))]
+                first = np.flatnonzero(in_sieve(common, grams))
+                for apart in range(1, PAIR_REACH + 1):
+                    one = first[first + apart < len(grams)]
+                    one = one[text[one] == text[np.minimum(one + apart, len(text) - 1)]]
+                    one = one[in_sieve(common, grams[one + apart])]
+                    seeds.append(pair_hashes(grams[one], grams[one + apart], np.full(len(one), apart)))
+                    places.append(starts[one])
+                    texts.append(text[one])
+                seeds, places, texts = (np.concatenate(x) for x in (seeds, places, texts))
+                maybe = np.flatnonzero(in_sieve(table, seeds))
+                rows = pa.array(at + texts[maybe])
                 yield pa.record_batch(
-                    [pa.array(signed(grams[maybe])), batch.column(0).take(rows), batch.column(1).take(rows), pa.array((starts[maybe] - bounds[text]).astype(np.int32))],
+                    [pa.array(signed(seeds[maybe])), batch.column(0).take(rows), batch.column(1).take(rows), pa.array((places[maybe] - bounds[texts[maybe]]).astype(np.int32))],
                     names=["seed", "doc", "tk", "place"],
                 )
 
@@ -193,9 +246,11 @@ def _matches(docs: DataFrame, bench: DataFrame, gram: int, least: float, key: st
     """doc, tk (the text's hash), item, score, end_word for every row of ``docs`` and item that it matches."""
     spark = docs.sparkSession
     items = bench.where(F.col(item_text).isNotNull()).select(F.col(item_key).cast("long").alias("item"), F.col(item_text).alias("body")).distinct()
-    parts = stored(items.mapInArrow(_parts(gram), "item long, words binary").withColumn("part", F.xxhash64("item", "words")), "parts")
-    seeds = stored(parts.select("part", "words").distinct().mapInArrow(_seeds(gram), "seed long, part long, offset int, size int"), "seeds")
-    sent = spark.sparkContext.broadcast(sieve(seeds, "seed"))
+    parts = stored(items.mapInArrow(_parts(gram), "item long, words binary").withColumn("part", F.xxhash64("words")), "parts")
+    pieces = parts.select("part", "words").distinct().mapInArrow(_seeds(gram), "seed long, whole boolean, part long, offset int, size int")
+    seeds, common = _chosen(pieces)
+    seeds = stored(seeds, "seeds")
+    sent = spark.sparkContext.broadcast((sieve(seeds, "seed"), sieve(common, "seed")))
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("tk"), F.col(text).alias("body"))
     hits = rows.mapInArrow(_hits(sent, gram), "seed long, doc long, tk long, place int").join(seeds, "seed")
     step = F.greatest(F.lit(4), F.floor(F.col("size") / 2))
@@ -208,6 +263,7 @@ def _matches(docs: DataFrame, bench: DataFrame, gram: int, least: float, key: st
     return met.mapInArrow(_align(least), "doc long, tk long, item long, score double, end_word long")
 
 
+@keeps_names
 def contamination(
     docs: DataFrame, bench: DataFrame, gram: int = 3, least: float = 0.5,
     key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
@@ -215,9 +271,10 @@ def contamination(
     """One row per document and test item that a passage matches: ``key``, ``item_key``, score, end_word.
 
     The score is the best local alignment of the item's words in the document, as a share of the item's full score;
-    pairs from ``least`` on are returned. Words are runs of letters and digits, A-Z folded. Seeds are all of
-    the item's ``gram``-word pieces, however many documents hold them; a pair without a common one is not aligned, and an item with
-    fewer words matches nothing. An item of over ``PART_WORDS`` words is compared in parts that overlap by half and scores as
+    pairs from ``least`` on are returned. Words are runs of letters and digits, A-Z folded. A pair is aligned if it shares a seed:
+    a ``gram``-word piece, or five words but for the middle one, that at most ``RARE_PARTS`` parts hold or that is among
+    the part's ``SURE_SEEDS`` rarest, or two commoner pieces within ``PAIR_REACH`` words that few parts hold together. How many
+    documents hold a seed does not matter. An item with fewer than ``gram`` words matches nothing. An item of over ``PART_WORDS`` words is compared in parts that overlap by half and scores as
     its best part, so 128 of its words in a row are found wherever they begin. Null texts match nothing; null keys are
     carried. Repeated documents give repeated results, repeated items one. Empty tables give an empty result.
     """
@@ -230,6 +287,7 @@ def contamination(
     return out.select(F.col("doc").alias(key), F.col("item").alias(item_key), F.col("b.score").alias("score"), F.col("b.end_word").alias("end_word"))
 
 
+@keeps_names
 def decontaminate(
     docs: DataFrame, bench: DataFrame, gram: int = 3, least: float = 0.5, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
 ) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarnspark.llm.columns import sieve, without
+from tarnspark.llm.columns import keeps_names, sieve, without
 from tarnspark.llm.kernels import Run, gram_hashes, in_sieve, mix, range_hashes, runs, signed, windows
 from tarnspark.operators.components import least_roots
 from tarnspark.scratch import forget, stored
@@ -395,6 +395,7 @@ def _links(sets: DataFrame, percent: int, many: DataFrame) -> DataFrame:
         level += 1
 
 
+@keeps_names
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, n_shingles and component_id, the least key reachable over links, for every row of ``docs``.
 
@@ -449,8 +450,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, key: s
     )
 
 
+@keeps_names
 def keep_one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that have the least key of their component; rows with a null key stay."""
-    docs = without(docs, "__root", "__keep")
+    """The rows of ``docs``, with all their columns, that have the least key of their component; rows with a null key stay."""
     roots = jaccard_components(docs, size, percent, key, text).where("component_id = " + key).select(F.col(key).alias("__keep")).distinct()
     return docs.join(roots, F.col(key) == F.col("__keep"), "left").where(F.col("__keep").isNotNull() | F.col(key).isNull()).drop("__keep")

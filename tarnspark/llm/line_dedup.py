@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnspark.llm.columns import without
+from tarnspark.llm.columns import keeps_names, without
 from tarnspark.llm.kernels import IS_SPACE, runs, signed
 from tarnspark.scratch import stored
 
@@ -75,6 +75,7 @@ def _reassemble(text: str):
     return rebuild
 
 
+@keeps_names
 def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Drop lines that ``min_docs`` or more documents hold, except in the document with the smallest key.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnspark.llm.columns import without
+from tarnspark.llm.columns import keeps_names, without
 
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -52,8 +52,12 @@ def _repeated_words(words: Column, keyed: Column) -> Column:
     return F.when(keyed.isNull(), F.lit(0)).otherwise(F.size(F.array_distinct(covered)))
 
 
+@keeps_names
 def score_quality(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
-    """Add the base counts, base_failed and kept to every row; columns of these names are replaced.
+    """Add the base counts, base_failed and kept to every row, and what else the rules count.
+
+    The base counts are n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words; the rules also count n_letters,
+    n_shouts, n_capitals, n_stop_words and n_lines (those with a word). Columns of all these names are replaced, others stay.
 
     A null or empty text has no words: every count is 0, base_failed is true and kept is false. Rows are judged
     one by one, so repeated rows get equal verdicts and no shuffle takes place.

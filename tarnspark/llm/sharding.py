@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnspark.llm.columns import gapless_slots, without
+from tarnspark.llm.columns import gapless_slots, keeps_names, without
+
+
+#: Jumps that every key takes without a second look.
+MOST_JUMPS = 64
 
 
 def jump_state(key: Column, shards: int) -> Column:
@@ -24,11 +28,18 @@ def jump_state(key: Column, shards: int) -> Column:
             state["next"] < shards, F.struct(state["next"].alias("at"), beyond.alias("next"))
         ).otherwise(state)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, jump)
+    # Some ln(shards) jumps are needed; the few keys that need more than MOST_JUMPS go on from there.
+    few = F.aggregate(F.sequence(F.lit(1), F.lit(min(shards, MOST_JUMPS))), start, jump)
+    if shards <= MOST_JUMPS:
+        return few
+    more = F.sequence(F.lit(MOST_JUMPS + 1), F.lit(shards))
+    on = lambda s: F.when(s["next"] < shards, F.aggregate(more, s, jump)).otherwise(s)
+    return F.get(F.transform(F.array(few), on), F.lit(0))
 
 
+@keeps_names
 def shard_documents(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Add size, text_crc32, law, shard, slot and grown_shard; columns of these names are replaced.
+    """Add size, text_crc32, law, shard, slot and grown_shard; columns of these names are replaced, and the text is left out.
 
     The key and the shard count alone decide the shard (law ``key``). ``slot`` numbers a shard's rows from 0
     without gaps; ``grown_shard`` is the shard with one more of them. A null text counts as empty. A null key

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnspark.llm.columns import without
+from tarnspark.llm.columns import keeps_names, without
 from tarnspark.llm.kernels import Run, gram_hashes, range_hashes, runs, signed, windows
 from tarnspark.scratch import stored
 
@@ -136,14 +136,20 @@ def _cut(text: str, window: int):
     return cut
 
 
-def dedup_substrings(docs: DataFrame, window: int = 50, gram: int = 25, key: str = "doc_id", text: str = "text") -> DataFrame:
+@keeps_names
+def dedup_substrings(docs: DataFrame, window: int = 50, gram: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Remove every word in a run of ``window`` words that also starts in a document with a smaller key.
 
+    Anchors have ``gram`` words, half a window if not given; one that is longer than the window raises.
+
     Adds n_words and n_removed and replaces the text by its kept words, joined by one space; other columns stay.
     A null or empty text has no words. Rows with a null key keep all words. Rows that share a key never remove
     each other's words. An empty table stays empty. Windows are judged on the input; copies of a whole text are
     settled by the text's hash alone and never reach the window stage.
     """
+    gram = (window + 1) // 2 if gram is None else gram
+    if not 0 < gram <= window:
+        raise ValueError("an anchor has at least one word and no more than a window")
     docs = without(docs, "n_words", "n_removed")
     rows = docs.select(F.col(key).alias("__id"), F.hash(text).alias("__tk"), F.col(text).alias("__text")).where("__id is not null")
     sketches = stored(

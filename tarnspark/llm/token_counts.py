@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnspark.llm.token_ids import encoded
+from tarnspark.scratch import stored
 
 BLOCK_IDS = 1 << 18
+#: Blocks of a file whose numbers one task scans in a row.
+SCAN_BLOCKS = 4096
 _FILES = "file int, block int, width int, ids binary, keys array<long>"
 _ARROW = pa.schema(
     [("file", pa.int32()), ("block", pa.int32()), ("width", pa.int32()), ("ids", pa.binary()), ("keys", pa.list_(pa.int64()))]
@@ -104,15 +107,22 @@ def count_tokens(blocks: DataFrame, end: int = 50256) -> DataFrame:
     two end ids in a row enclose an empty document.
     """
     kind = blocks.schema["file"].dataType.simpleString()
-    found = blocks.select("file", "block", "width", "ids").mapInArrow(_scan(end), f"file {kind}, block int, size long, ends array<long>")
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    placed = found.withColumn("base", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    placed = placed.withColumn("last", F.when(F.size("ends") > 0, F.col("base") + F.element_at("ends", -1)))
-    stitched = placed.select(
-        "file", "base", "ends",
-        F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("earlier"),
-        F.coalesce(F.max("last").over(before), F.lit(-1)).alias("open"),
-    ).where(F.size("ends") > 0)
+    found = stored(blocks.select("file", "block", "width", "ids").mapInArrow(_scan(end), f"file {kind}, block int, size long, ends array<long>"), "ends")
+    # The scan takes three numbers a block: within chunks of blocks, then over a file's chunks.
+    chunk = F.floor(F.col("block") / SCAN_BLOCKS).alias("chunk")
+    sizes = found.select("file", "block", chunk, "size", F.size("ends").alias("n"), F.try_element_at("ends", F.lit(-1)).alias("last"))
+    so_far = lambda w, c: F.coalesce(F.sum(c).over(w), F.lit(0))
+    within = Window.partitionBy("file", "chunk").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    inner = sizes.withColumn("base", so_far(within, "size")).withColumn("earlier", so_far(within, "n")).withColumn("last", F.col("base") + F.col("last")).withColumn("open", F.max("last").over(within))
+    across = Window.partitionBy("file").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = sizes.select("file", "chunk", "block", "size", "n").groupBy("file", "chunk").agg(F.sum("size").alias("size"), F.sum("n").alias("n"))
+    chunks = chunks.join(inner.groupBy("file", "chunk").agg(F.max("last").alias("last")), ["file", "chunk"]).withColumn("gone", so_far(across, "size")).withColumn("told", so_far(across, "n"))
+    chunks = chunks.withColumn("left", F.max(F.col("last") + F.col("gone")).over(across)).select("file", "chunk", "gone", "told", "left")
+    scanned = inner.where("n > 0").join(chunks, ["file", "chunk"]).select(
+        "file", "block", (F.col("base") + F.col("gone")).alias("base"), (F.col("earlier") + F.col("told")).alias("earlier"),
+        F.coalesce(F.col("open") + F.col("gone"), "left", F.lit(-1)).alias("open"),
+    )
+    stitched = found.where(F.size("ends") > 0).join(scanned, ["file", "block"]).select("file", "base", "ends", "earlier", "open")
     spans = stitched.select(
         "file", "earlier",
         F.posexplode(

@@ -22,9 +22,12 @@ from tarnspark.llm.substring_dedup import dedup_substrings
 from tarnspark.llm.token_counts import count_tokens, document_token_counts, read_flat_files
 from tarnspark.llm.token_ids import encoder
 from tarnspark.llm.token_store import frame_ids, read_token_store, write_token_store
+from tarnspark.scratch import stored
 from tests.llm import brute
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
+#: Names of the operators' own columns, and of what they add.
+OWN = "__id __tk __doc __words __jump __dropped __gone_id __gone_key __chunk __rank __offset __keep __root __times __again __starts __copy __text __key __row __first n_lines kept base_failed n_removed slot size law".split()
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, n_words string, kept double, score string, shard string, k string"
 
@@ -221,11 +224,12 @@ def test_decontamination_equals_brute_force(spark):
     want = []
     for key, body, _ in docs:
         w = (body or "").split()
-        grams = {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+        pieces = lambda v: {tuple(v[i : i + 3]) for i in range(len(v) - 2)} | {(*v[i : i + 2], *v[i + 3 : i + 5]) for i in range(len(v) - 4)}
+        grams = pieces(w)
         best = {}
         for item, t in {(i, t) for i, t in bench if t}:
             v = t.split()
-            if any(tuple(v[i : i + 3]) in grams for i in range(len(v) - 2)):
+            if pieces(v) & grams:
                 best[item] = max(best.get(item, 0), smith_waterman(ids(v), ids(w)[None])[0][0] / (2 * len(v)))
         want += [(key, item, round(float(s), 9)) for item, s in best.items() if s >= 0.5]
     df = spark.createDataFrame(docs, "doc_id long, text string, item string").repartition(3)
@@ -248,6 +252,39 @@ def test_decontamination_finds_passages_of_long_items_anywhere(spark):
     assert sorted(r["doc_id"] for r in found.collect()) == starts
 
 
+def test_a_phrase_that_many_items_share_brings_nobody_together(spark, monkeypatch):
+    from tarnspark.llm import decontaminate as module
+
+    kept = {}
+    monkeypatch.setattr(module, "stored", lambda df, name, **more: kept.setdefault(name, stored(df, name, **more)))
+    rng = random.Random(2)
+    own = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    items = [f"which of the following {own(f'i{n}x', 12)}" for n in range(200)]
+    docs = [f"{own(f'd{n}x', 20)} which of the following {own(f'e{n}x', 20)}" for n in range(1000)] + [own("z", 9) + " " + items[7]]
+    same = ["what is the name of the city"] * 30 + [f"what is the name of the {w}" for w in ("river", "hill", "sea", "lake", "bay", "road", "bird", "fish", "tree", "king")]
+    docs.append("they ask what is the name of the city here")
+    bench = spark.createDataFrame(list(enumerate(items + same)), "item_id long, text string")
+    found = contamination(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), bench).collect()
+    assert kept["pairs"].count() < 2000
+    assert {r["item_id"] for r in found if r["doc_id"] == 1000} == {7} and {r["item_id"] for r in found if r["doc_id"] == 1001} >= set(range(200, 230))
+    assert {r["doc_id"] for r in found} == {1000, 1001} and rng
+
+
+@pytest.mark.parametrize("every", [3, 4, 5])
+def test_recall_on_copies_with_replaced_words(spark, every):
+    rng = random.Random(every)
+    vocab = [f"v{int(rng.paretovariate(0.6))}" for _ in range(4000)]  # common words make common pieces
+    items = [[rng.choice(vocab) for _ in range(rng.randint(24, 60))] for _ in range(120)]
+    copies = [[w if (k + n) % every else f"new{k}" for k, w in enumerate(item)] for n, item in enumerate(items)]
+    bodies = [" ".join([rng.choice(vocab) for _ in range(80)] + c + [rng.choice(vocab) for _ in range(80)]) for c in copies]
+    ids = lambda w: np.array([hash(x) for x in w]).astype(np.uint64)
+    true = {n for n in range(120) if smith_waterman(ids(items[n]), ids(bodies[n].split())[None])[0][0] >= len(items[n])}
+    df = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string")
+    found = contamination(df, spark.createDataFrame([(n, " ".join(i)) for n, i in enumerate(items)], "item_id long, text string"))
+    hit = {r["doc_id"] for r in found.collect() if r["doc_id"] == r["item_id"]}
+    assert len(true) >= 40 and len(hit & true) >= 0.9 * len(true)
+
+
 def test_smith_waterman_equals_the_textbook():
     rng = np.random.default_rng(1)
     for _ in range(20):
@@ -440,3 +477,52 @@ def test_null_and_repeated_keys_everywhere(spark, tmp_path):
     assert [a for a, *_ in got] == [sum(n for *_, n in got[:i]) for i in range(len(got))]
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1)], "doc_id long, quality int")
     assert len(score_documents(df, labels).collect()) == len(texts)
+
+
+def test_columns_of_the_operators_own_names_stay(spark):
+    texts = ["a shared line of some length\n" + f"and words of its own {k} " * 20 for k in range(6)] + [None, ""]
+    schema = "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in OWN)
+    df = spark.createDataFrame([(k, t, *(f"{n}:{k}" for n in OWN)) for k, t in enumerate(texts)], schema)
+    bench = spark.createDataFrame([(1, texts[2][40:300])], "item_id long, text string")
+    operators = {
+        "quality": lambda d: score_quality(d), "lines": lambda d: dedup_lines(d), "substrings": lambda d: dedup_substrings(d), "shards": lambda d: shard_documents(d, 7),
+        "one of each": lambda d: keep_one_of_each(d), "decontaminate": lambda d: decontaminate(d, bench),
+        "substrings by name": lambda d: dedup_substrings(d, key="doc_id", text="text"), "small windows": lambda d: dedup_substrings(d, window=10),
+    }
+    for name, operator in operators.items():
+        out = operator(df)
+        assert [c for c in df.columns if c.startswith("__")] == [c for c in out.columns if c.startswith("__")], name
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}:{r['doc_id']}" for r in rows for n in OWN if n.startswith("__")), name
+    for operator in (jaccard_components, lambda d: contamination(d, bench), lambda d: score_documents(d, df.select("doc_id", (df["doc_id"] % 2).alias("quality")))):
+        assert operator(df).count() >= 0
+    renamed = df.withColumnsRenamed({"doc_id": "__n", "text": "__body"})
+    assert dedup_lines(renamed, key="__n", text="__body").columns[:2] == ["__n", "__body"]
+    with pytest.raises(ValueError):
+        dedup_substrings(df, window=10, gram=25)
+
+
+def test_jumps_beyond_the_common_number_are_taken_one_by_one(spark, monkeypatch):
+    from tarnspark.llm import sharding
+
+    df = spark.createDataFrame([(k, "x") for k in range(200)], "doc_id long, text string")
+    want = {r["doc_id"]: r["shard"] for r in shard_documents(df, 1000).collect()}
+    assert want == {k: jump(k, 1000) for k in range(200)}
+    monkeypatch.setattr(sharding, "MOST_JUMPS", 3)
+    assert {r["doc_id"]: r["shard"] for r in shard_documents(df, 1000).collect()} == want
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 4096])
+def test_counts_do_not_depend_on_the_chunks_of_the_scan(spark, monkeypatch, chunk):
+    from tarnspark.llm import token_counts
+
+    monkeypatch.setattr(token_counts, "SCAN_BLOCKS", chunk)
+    rng = random.Random(chunk)
+    ids = {f: [rng.choice([9, 1, 2]) if f else 1 for _ in range(100)] for f in range(3)}
+    rows = [(f, b, 2, np.array(x[b * 4 : b * 4 + 4], "<u2").tobytes()) for f, x in ids.items() for b in range(25)]
+    got = sorted(tuple(r) for r in count_tokens(spark.createDataFrame(rows, "file int, block int, width int, ids binary").repartition(3), 9).select("file", "ordinal", "start", "n_tokens").collect())
+    want = []
+    for f, x in ids.items():
+        ends = [k for k, v in enumerate(x) if v == 9]
+        want += [(f, n, a + 1, b - a - 1) for n, (a, b) in enumerate(zip([-1, *ends], ends))]
+    assert got == want

@@ -55,14 +55,16 @@ def test_run(spark, folder):
 
 def test_stages_take_empty_tables_null_keys_and_repeated_rows(spark, folder):
     path, texts = folder
-    schema = "doc_id long, text string, lang string, source string, n_chars long, item_id string, part string"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, item_id string, part string, kept string, n_words string, n_lines string, __words string, __root string"
+    own = ("k", "w", "l", "o", "r")
     rows = [(None, texts[3], None, None, None, "x", "y")] * 2 + [(7, texts[4], "en", "s", 1, None, None)] * 2 + [(8, texts[4], "en", "s", 1, None, None), (9, None, None, None, None, None, None), (7, texts[37], "en", "s", 1, None, None)]
     want = {"quality_rules": 6, "line_dedup": 7, "ngram_jaccard_join": 6, "benchmark_decontamination": 6, "packing": None}
     for name, stage in corpus_pipeline.STAGES:
         none = stage(spark, spark.createDataFrame([], schema), path)
         assert none.count() == 0
-        out = stage(spark, spark.createDataFrame(rows, schema).repartition(2), path)
+        out = stage(spark, spark.createDataFrame([(*r, *own) for r in rows], schema).repartition(2), path)
         if name == "packing":
             assert {r["doc_id"] for r in out.collect()} == {None, 7, 8, 9}
         else:
             assert out.columns == none.columns == [f.split()[0] for f in schema.split(", ")] and out.count() == want[name]
+            assert {tuple(r)[-5:] for r in out.collect()} == {own}
