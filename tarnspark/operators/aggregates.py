@@ -119,7 +119,7 @@ def kind_checks(data: DataFrame, rules: DataFrame, kind: str = "kind", shape: st
     is asked for and there is no row at all, the rule is skipped: the extract does not hold the kind.
     """
     per = data.groupBy(F.col(kind).alias("kind"), F.col(shape).alias("__shape")).agg(F.count(F.lit(1)).alias("__n"))
-    per = per.withColumn("kind", F.explode(F.array(F.col("kind"), F.lit(None)))).where("kind is not null or __n > 0")
+    per = per.withColumn("kind", F.explode(F.array_distinct(F.array(F.col("kind"), F.lit(None)))))  # null stands for all
     asked = rules.select("rule", F.col("kind").alias("__kind"), "least", "exactly", "shape")
     met = asked.join(per, F.col("__kind").eqNullSafe(F.col("kind")), "left")
     n = met.groupBy("rule", "least", "exactly", "shape").agg(

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from tarnspark.functions.geo import EARTH_M, haversine_m
 from tarnspark.functions.terrain import slope_class
+from tarnspark.scratch import stored
 
 DEGREE_M = EARTH_M * math.pi / 180
 
@@ -218,39 +223,129 @@ def slope_summary(samples: DataFrame, key: str) -> DataFrame:
     return total.join(classes, key, "left").withColumn("coverage", F.when(F.col("total_m") > 0, F.col("covered_m") / F.col("total_m")).otherwise(0.0))
 
 
+#: Side of a task's tile in tolerances, samples of a tile that one task takes, and pairs that are measured at once.
+TILE_TOLERANCES, TILE_SAMPLES, PAIRS_AT_ONCE = 64, 50_000, 1 << 20
+
+
+def _corridors(x1, y1, x2, y2, box, cell_x: float, cell_y: float, pad_x: float, pad_y: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, column, row) of every cell within reach of each segment, inside a box of cells, once each.
+
+    A segment is followed along the axis on which it crosses more cells; in each column it covers a short run of rows.
+    """
+    found = []
+    flat = np.abs(x2 - x1) / cell_x >= np.abs(y2 - y1) / cell_y
+    for mine, (a1, b1, a2, b2), (ca, cb, pa_, pb), (lo_a, lo_b, hi_a, hi_b) in (
+        (flat, (x1, y1, x2, y2), (cell_x, cell_y, pad_x, pad_y), box), (~flat, (y1, x1, y2, x2), (cell_y, cell_x, pad_y, pad_x), (box[1], box[0], box[3], box[2])),
+    ):
+        which = np.flatnonzero(mine)
+        a1, b1, a2, b2 = (v[which] for v in (a1, b1, a2, b2))
+        first = np.maximum(np.floor((np.minimum(a1, a2) - pa_) / ca).astype(np.int64), lo_a)
+        last = np.minimum(np.floor((np.maximum(a1, a2) + pa_) / ca).astype(np.int64), hi_a)
+        n = np.maximum(last - first + 1, 0)
+        k = np.repeat(np.arange(len(which)), n)
+        i = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        length = a2[k] - a1[k]
+        at = lambda edge, k=k, length=length, a1=a1: np.clip(np.divide(edge - a1[k], length, out=np.zeros(len(k)), where=length != 0), 0, 1)
+        s, t = at(i * ca - pa_), at((i + 1) * ca + pa_)
+        t = np.where(length == 0, 1.0, t)
+        u, v = b1[k] + (b2[k] - b1[k]) * s, b1[k] + (b2[k] - b1[k]) * t
+        low = np.maximum(np.floor((np.minimum(u, v) - pb) / cb).astype(np.int64), lo_b)
+        high = np.minimum(np.floor((np.maximum(u, v) + pb) / cb).astype(np.int64), hi_b)
+        m = np.maximum(high - low + 1, 0)
+        j = np.repeat(low - np.cumsum(m) + m, m) + np.arange(m.sum())
+        seg, col = which[np.repeat(k, m)], np.repeat(i, m)
+        found.append((seg, col, j) if mine is flat else (seg, j, col))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _graded(key: str, schema: pa.Schema, tol_m: float, max_deg: float):
+    """The samples of a tile with the grade of the nearest segment that agrees with them."""
+
+    def graded(samples: pa.Table, lines: pa.Table) -> pa.Table:
+        lng, lat, heading = (samples.column(c).to_numpy().astype(float) for c in ("lng", "lat", "heading"))
+        x1, y1, x2, y2 = (lines.column(c).to_numpy().astype(float) for c in ("lng1", "lat1", "lng2", "lat2"))
+        code, names = lines.column("grade").combine_chunks(), samples.select([key, "pos"])
+        if not len(lng):
+            return pa.Table.from_arrays([pa.array([], f.type) for f in schema], schema=schema)
+        grades = np.unique(code.drop_null().to_numpy(zero_copy_only=False))
+        rank = np.searchsorted(grades, code.to_numpy(zero_copy_only=False)) if not code.null_count else np.array([-1 if g is None else np.searchsorted(grades, g) for g in code.to_pylist()])
+        pad_y = math.degrees(tol_m / EARTH_M)
+        pad_x = pad_y / max(math.cos(math.radians(min(np.abs(lat).max() + pad_y, 89.9))), 0.01)
+        cell_x, cell_y = 4 * pad_x, 4 * pad_y
+        col, row = np.floor(lng / cell_x).astype(np.int64), np.floor(lat / cell_y).astype(np.int64)
+        box = col.min(), row.min(), col.max(), row.max()
+        seg, i, j = _corridors(x1, y1, x2, y2, box, cell_x, cell_y, pad_x, pad_y)
+        wide = box[3] - box[1] + 1
+        place = (col - box[0]) * wide + row - box[1]
+        by = np.argsort(place, kind="stable")
+        cells = (i - box[0]) * wide + j - box[1]
+        lo = np.searchsorted(place[by], cells, side="left")
+        n = np.searchsorted(place[by], cells, side="right") - lo
+        some = n > 0
+        seg, lo, n = seg[some], lo[some], n[some]
+        best = (np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=np.int64))
+        cuts = np.unique(np.searchsorted(np.cumsum(n), np.arange(0, n.sum() + PAIRS_AT_ONCE, PAIRS_AT_ONCE)))
+        for a, b in zip(cuts, np.append(cuts[1:], len(n))):
+            m = n[a:b]
+            s = np.repeat(seg[a:b], m)
+            p = by[np.repeat(lo[a:b] - np.cumsum(m) + m, m) + np.arange(m.sum())]
+            scale = np.cos(np.radians(lat[p])) * DEGREE_M
+            ax, ay = (x1[s] - lng[p]) * scale, (y1[s] - lat[p]) * DEGREE_M
+            dx, dy = (x2[s] - lng[p]) * scale - ax, (y2[s] - lat[p]) * DEGREE_M - ay
+            square = dx * dx + dy * dy
+            t = np.clip(np.divide(-(ax * dx + ay * dy), square, out=np.zeros(len(s)), where=square != 0), 0, 1)
+            away = np.hypot(ax + dx * t, ay + dy * t)
+            near = away <= tol_m
+            s, p, away, dx, dy = s[near], p[near], away[near], dx[near], dy[near]
+            turn = np.abs(heading[p] - np.arctan2(dy, dx)) % math.pi
+            agrees = np.isnan(heading[p]) | (np.minimum(turn, math.pi - turn) <= math.radians(max_deg))
+            s, p, away = s[agrees], p[agrees], away[agrees]
+            p, away, g = (np.concatenate(x) for x in zip(best, (p, np.round(away, 6), rank[s])))
+            order = np.lexsort((-g, away, p))
+            p, away, g = p[order], away[order], g[order]
+            first = np.append(True, p[1:] != p[:-1]) if len(p) else np.zeros(0, dtype=bool)
+            best = p[first], away[first], g[first]
+        told = np.full(len(lng), -1)
+        told[best[0]] = best[2]
+        grade = pa.array(grades, schema.field("grade").type).take(pa.array(told, pa.int64(), mask=told < 0))
+        return pa.Table.from_arrays([names.column(0).cast(schema.field(0).type), names.column(1).cast(schema.field(1).type), grade], schema=schema)
+
+    return graded
+
+
 def grade_match(samples: DataFrame, key: str, ways: DataFrame, tol_m: float = 12.0, max_deg: float = 40.0) -> DataFrame:
     """The grade of the nearest graded segment within ``tol_m`` of each sample that runs its way; the harder of equals.
 
     ``samples`` has key, pos, lng, lat and ``ways`` way_id, seq, lng, lat, grade. Distances are in the plane at the sample; a
-    sample without direction takes any segment. Distances are equal if they agree to a thousandth of a millimetre. Segments are cut into grid cells of a few tolerances.
+    sample without direction takes any segment. Distances are equal if they agree to a thousandth of a millimetre. A sample
+    lies in one tile, a segment goes to the tiles that it comes near; a tile's samples are dealt into tasks of
+    ``TILE_SAMPLES``, each of which meets a cell's samples with a segment once.
     """
     w = Window.partitionBy(key).orderBy("pos")
     edge = lambda c, f: F.coalesce(f(c).over(w), F.col(c))
     hx, hy = (edge("lng", F.lead) - edge("lng", F.lag)) * F.cos(F.radians("lat")), edge("lat", F.lead) - edge("lat", F.lag)
     asked = samples.select(key, "pos", "lng", "lat", F.when((hx != 0) | (hy != 0), F.atan2(hy, hx)).alias("heading"))
-    step = math.degrees(8 * tol_m / EARTH_M)
     pad_lat = math.degrees(tol_m / EARTH_M)
+    side = TILE_TOLERANCES * pad_lat
+    tile = lambda c: F.floor(c / side).cast("bigint")
+    asked = asked.withColumn("tx", tile(F.col("lng"))).withColumn("ty", tile(F.col("lat")))
+    parts = stored(asked.groupBy("tx", "ty").agg(F.ceil(F.count(F.lit(1)) / TILE_SAMPLES).cast("int").alias("parts")), "tiles")
+    asked = asked.join(parts, ["tx", "ty"]).withColumn("part", F.pmod(F.xxhash64(key, "pos"), F.col("parts")).cast("int")).drop("parts")
     grades = ways.groupBy("way_id").agg(F.max("grade").alias("grade"))
-    s = segments(ways.select("way_id", "seq", "lng", "lat"), "way_id").join(grades, "way_id")
-    pad_lng = F.lit(pad_lat) / F.greatest(F.cos(F.radians(F.greatest(F.abs("lat"), F.abs("lat2")) + pad_lat)), F.lit(0.01))
-    # Cells are those around pieces of the segment no longer than a cell, so their number follows its length.
-    longer = F.greatest(F.abs(F.col("lng2") - F.col("lng")), F.abs(F.col("lat2") - F.col("lat")))
-    s = s.withColumn("pad", pad_lng).withColumn("pieces", F.greatest(F.ceil(longer / step), F.lit(1))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)))
-    at = lambda c, k: F.col(c) + (F.col(c + "2") - F.col(c)) * (F.col("i") + k) / F.col("pieces")
-    span = lambda c, pad: F.explode(F.sequence(F.floor((F.least(at(c, 0), at(c, 1)) - pad) / step), F.floor((F.greatest(at(c, 0), at(c, 1)) + pad) / step)))
-    cells = s.withColumn("cx", span("lng", F.col("pad"))).withColumn("cy", span("lat", pad_lat))
-    cells = cells.select("cx", "cy", "grade", F.col("lng").alias("lng1"), F.col("lat").alias("lat1"), "lng2", "lat2")  # pieces may share a cell: the best of a pair is the same twice
-    j = asked.withColumn("cx", F.floor(F.col("lng") / step)).withColumn("cy", F.floor(F.col("lat") / step)).join(cells, ["cx", "cy"])
-    (ax, ay), (bx, by) = _project(F.col("lng1"), F.col("lat1"), F.col("lng"), F.col("lat")), _project(F.col("lng2"), F.col("lat2"), F.col("lng"), F.col("lat"))
-    j = j.select(key, "pos", "heading", "grade", ax.alias("ax"), ay.alias("ay"), (bx - ax).alias("dx"), (by - ay).alias("dy"))
-    n = F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")
-    t = F.when(n == 0, 0.0).otherwise(F.least(F.greatest(-(F.col("ax") * F.col("dx") + F.col("ay") * F.col("dy")) / n, F.lit(0.0)), F.lit(1.0)))
-    away = F.hypot(F.col("ax") + F.col("dx") * t, F.col("ay") + F.col("dy") * t)
-    turn = F.pmod(F.abs(F.col("heading") - F.atan2("dy", "dx")), F.lit(math.pi))
-    agrees = F.col("heading").isNull() | (F.least(turn, F.lit(math.pi) - turn) <= math.radians(max_deg))
-    met = j.withColumn("away", away).where((F.col("away") <= tol_m) & agrees)
-    best = met.groupBy(key, "pos").agg(F.max_by("grade", F.struct(-F.round("away", 6), "grade")).alias("grade"))
-    return samples.select(key, "pos").join(best, [key, "pos"], "left")
+    s = segments(ways.select("way_id", "seq", "lng", "lat"), "way_id").join(grades, "way_id").select("grade", F.col("lng").alias("lng1"), F.col("lat").alias("lat1"), "lng2", "lat2")
+    pad_lng = F.lit(pad_lat) / F.greatest(F.cos(F.radians(F.least(F.greatest(F.abs("lat1"), F.abs("lat2")) + pad_lat, F.lit(89.9)))), F.lit(0.01))
+    # Tiles are those around pieces of the segment no longer than a tile, so their number follows its length.
+    pieces = F.greatest(F.ceil(F.greatest(F.abs(F.col("lng2") - F.col("lng1")), F.abs(F.col("lat2") - F.col("lat1"))) / side), F.lit(1))
+    at = lambda c, i: F.col(c + "1") + (F.col(c + "2") - F.col(c + "1")) * i / pieces
+    span = lambda c, i, pad: F.sequence(tile(F.least(at(c, i), at(c, i + 1)) - pad), tile(F.greatest(at(c, i), at(c, i + 1)) + pad))
+    around = lambda i: F.flatten(F.transform(span("lng", i, pad_lng), lambda x: F.transform(span("lat", i, F.lit(pad_lat)), lambda y: F.struct(x.alias("tx"), y.alias("ty")))))
+    near = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0).cast("bigint"), pieces - 1), around)))
+    lines = s.withColumn("t", F.explode(near)).select("*", "t.tx", "t.ty").drop("t").join(parts, ["tx", "ty"])
+    lines = lines.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    kinds = dict(asked.dtypes)
+    out = f"`{key}` {kinds[key]}, pos {kinds['pos']}, grade {dict(ways.dtypes)['grade']}"
+    named = ("tx", "ty", "part")
+    return asked.groupBy(*named).cogroup(lines.groupBy(*named)).applyInArrow(_graded(key, to_arrow_schema(T.StructType.fromDDL(out)), tol_m, max_deg), out)
 
 
 def line_midpoint(vertices: DataFrame, key: str) -> DataFrame:

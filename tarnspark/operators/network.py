@@ -97,12 +97,13 @@ def node_merge(vertices: DataFrame, tol: int = 2, side: int = 1024) -> DataFrame
         open_ = done.where(~F.col("node") | border)
     made = reduce(lambda a, b: a.unionByName(b), nodes)
     cell = lambda c: F.floor(F.col(c) / tol).cast("bigint")
-    offered = made.select(F.col("gx").alias("nx"), F.col("gy").alias("ny"), F.struct(cell("gx").alias("cx"), cell("gy").alias("cy"), F.col("lead").alias("lead")).alias("n"))
-    near = lambda c: F.explode(F.array(F.col(f"n.{c}") - 1, F.col(f"n.{c}"), F.col(f"n.{c}") + 1))
-    offered = offered.withColumn("cx", near("cx")).withColumn("cy", near("cy"))
-    placed = spots.select("gx", "gy", cell("gx").alias("cx"), cell("gy").alias("cy"))
-    met = placed.join(offered, ["cx", "cy"]).where(F.pow(F.col("gx") - F.col("nx"), 2) + F.pow(F.col("gy") - F.col("ny"), 2) <= tol * tol)
-    choices = met.groupBy("gx", "gy").agg(F.sort_array(F.collect_list("n")).alias("choices"))  # few: nodes are farther apart than the tolerance
+    offered = made.select(F.col("gx").alias("nx"), F.col("gy").alias("ny"), cell("gx").alias("cx"), cell("gy").alias("cy"), "lead")
+    near = lambda c: F.explode(F.array(cell(c) - 1, cell(c), cell(c) + 1))
+    # A node's own spot has no other node in reach, so only covered spots look around.
+    covered = spots.select("gx", "gy").join(made.select("gx", "gy"), ["gx", "gy"], "left_anti").withColumn("cx", near("gx")).withColumn("cy", near("gy"))
+    met = covered.join(offered, ["cx", "cy"]).where(F.pow(F.col("gx") - F.col("nx"), 2) + F.pow(F.col("gy") - F.col("ny"), 2) <= tol * tol)
+    choices = met.groupBy("gx", "gy").agg(F.sort_array(F.collect_list(F.struct("cx", "cy", "lead"))).alias("choices"))  # few: nodes are farther apart than the tolerance
+    choices = choices.unionByName(made.select("gx", "gy", F.array(F.struct(cell("gx").alias("cx"), cell("gy").alias("cy"), "lead")).alias("choices")))
     found = vertices.join(choices, ["gx", "gy"])
     return found.withColumn("node_id", F.filter("choices", lambda n: n["lead"] <= F.col("src_ord"))[0]["lead"]).drop("choices")
 

@@ -23,7 +23,7 @@ from tarnspark.scratch import stored
 
 NO_DATA = -1000
 #: Cells along a block's side, and by how many times the side grows from round to round.
-BLOCK, GROWTH = 256, 4
+BLOCK, GROWTH = 128, 4
 NODE, LINK, PEAK, SETTLED = range(4)
 #: Rows of the reduction: a cell (u, t its band), a link (u, v, t), an open peak on a cell (u, peak, ele), a settled one (peak, t).
 _ROWS = "kind int, u long, v long, t double, peak long, ele double"

@@ -73,7 +73,7 @@ def place_search(queries: DataFrame, places: DataFrame, k: int = 20, index: Data
     asked = asked.select("query_id", "qlon", "qlat", F.get("all", F.size("all") - 1).alias("last"), F.slice("all", 1, F.greatest(F.size("all") - 1, F.lit(0))).alias("rest"))
     exact = F.concat(F.flatten("rest"), F.slice("last", 1, F.greatest(F.size("last") - 1, F.lit(0))))
     keys = F.array_append(F.transform(exact, lambda w: F.concat(F.lit("="), w)), F.concat(F.lit("^"), F.left(F.get("last", F.size("last") - 1), F.lit(PREFIX))))
-    asked = asked.withColumn("keys", F.array_sort(F.array_distinct(keys)))
+    asked = stored(asked.withColumn("keys", F.array_sort(F.array_distinct(keys))), "asked")
     wanted = asked.select("query_id", F.explode("keys").alias("key"))
     held = index.join(wanted.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     rarest = wanted.join(held, "key", "left").groupBy("query_id").agg(F.min_by("key", F.struct(F.coalesce("n", F.lit(0)), "key")).alias("key"), F.min(F.coalesce("n", F.lit(0))).alias("n"))

@@ -197,6 +197,32 @@ def _(spark, d):
     return A.quality_checks(view(spark, d, "osm_points"), rules)
 
 
+SUMMITS = """WITH named AS (SELECT src_ord, name, CASE WHEN src_ord % 4 > 0 THEN src_ord % 1400 + 0e0 END AS ele FROM osm_points),
+rules AS (SELECT n_nationkey AS rule, concat('Customer#0000', lpad(CAST(n_nationkey AS VARCHAR(3)), 2, '0'), CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE '0' END) AS prefix, n_nationkey * 55e0 AS expected, 30e0 AS tolerance FROM nation)"""
+
+
+@query("name_checks", P(f"{SUMMITS}, hit AS (SELECT rule, ele, row_number() OVER (PARTITION BY rule ORDER BY src_ord) AS rn FROM named JOIN rules ON starts_with(name, prefix) WHERE ele IS NOT NULL) SELECT rule, CASE WHEN ele IS NULL THEN 'skip' WHEN abs(ele - expected) <= tolerance THEN 'ok' ELSE 'fail' END AS status, ele AS value, expected FROM rules LEFT JOIN (SELECT * FROM hit WHERE rn = 1) h USING (rule)"))
+def _(spark, d):
+    """Heights of known summits, found by the beginning of their names."""
+    v = view(spark, d, "osm_points")
+    named = v.select("src_ord", "name", F.when(F.col("src_ord") % 4 > 0, (F.col("src_ord") % 1400).cast("double")).alias("ele"))
+    k = F.col("n_nationkey")
+    prefix = F.concat(F.lit("Customer#0000"), F.lpad(k.cast("string"), 2, "0"), F.when(k % 2 == 0, "").otherwise("0"))
+    rules = spark.read.parquet(f"{d}/nation.parquet").select(k.alias("rule"), prefix.alias("name"), (k * 55.0).alias("expected"), F.lit(30.0).alias("tolerance"))
+    return A.name_checks(named, rules, value="ele")
+
+
+@query("kind_checks", P("WITH r AS (SELECT n_nationkey AS rule, CASE n_nationkey % 4 WHEN 0 THEN 'peak' WHEN 1 THEN 'volcano' WHEN 2 THEN 'cave' END AS kind, CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey * 40 END AS least, CASE WHEN n_nationkey % 5 = 2 THEN n_nationkey END AS exactly, CASE WHEN n_nationkey % 7 = 1 THEN 'node' END AS shape FROM nation), c AS (SELECT rule, least, exactly, shape, count(src_ord) AS n, count(src_ord) FILTER (shape IS NOT NULL AND osm_type <> shape) AS other FROM r LEFT JOIN osm_points p ON p.tag_natural = r.kind OR r.kind IS NULL GROUP BY ALL) SELECT rule, CASE WHEN exactly IS NOT NULL AND n = 0 THEN 'skip' WHEN coalesce(n < least, FALSE) OR coalesce(n <> exactly, FALSE) OR other > 0 THEN 'fail' ELSE 'ok' END AS status, n FROM c"))
+def _(spark, d):
+    """Enough features of each kind, and of the right shape."""
+    k = F.col("n_nationkey")
+    kind = F.when(k % 4 == 0, "peak").when(k % 4 == 1, "volcano").when(k % 4 == 2, "cave")
+    rules = spark.read.parquet(f"{d}/nation.parquet").select(
+        k.alias("rule"), kind.alias("kind"), F.when(k % 3 == 0, k * 40).alias("least"), F.when(k % 5 == 2, k).alias("exactly"), F.when(k % 7 == 1, "node").alias("shape")
+    )
+    return A.kind_checks(view(spark, d, "osm_points").withColumnRenamed("tag_natural", "kind"), rules, shape="osm_type")
+
+
 @query("latest_record", "SELECT user_id, count(*) AS n, max(ts) AS updated, min(ts) AS created FROM events GROUP BY user_id")
 def _(spark, d):
     log = spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", F.col("ts").alias("updated"), F.col("ts").alias("created"))

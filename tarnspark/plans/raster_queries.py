@@ -91,6 +91,18 @@ def _(spark, d):
     return packed.select("z", "x", "y", F.size("slope").cast("bigint").alias("n"), F.aggregate("slope", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("total"))
 
 
+@query("raster_tile_bytes", D(f'WITH {CELLS} SELECT z, CAST("row" AS BIGINT) AS "row", CAST(col AS BIGINT) AS col, CAST(slope AS INTEGER) AS slope, CAST(octant AS INTEGER) AS octant FROM cells'))
+def _(spark, d):
+    """Cells written as tiles of bytes and read back."""
+    tiles = R.raster_tile_bytes(cells(spark, d).withColumn("level", F.lit("slope")), 32)
+    return R.raster_tile_cells(tiles, 32)
+
+
+@query("raster_tile_totals", D(f'WITH {CELLS} SELECT z, count(DISTINCT (col // 32, "row" // 32)) AS tiles, count(*) AS cells, count(DISTINCT (col // 32, "row" // 32)) * 2048 AS bytes FROM cells GROUP BY z'))
+def _(spark, d):
+    return R.raster_tile_totals(R.raster_tile_bytes(cells(spark, d).withColumn("level", F.lit("slope")), 32))
+
+
 @query("peak_snap", D("WITH high AS (SELECT max(r) + 1 AS h FROM dem_cells), p AS (SELECT event_id, CAST(trunc((event_id * 13 % 1280) / 1e1) AS INTEGER) AS c, CAST(trunc((event_id * 29 % (h * 10)) / 1e1) AS INTEGER) AS r FROM fixes, high) SELECT event_id, r AS \"row\", c AS col, z AS ele FROM (SELECT event_id, d.r, d.c, d.z, row_number() OVER (PARTITION BY event_id ORDER BY d.z DESC, d.r, d.c) AS rn FROM p JOIN dem_cells d ON d.r BETWEEN p.r - 2 AND p.r + 2 AND d.c BETWEEN p.c - 2 AND p.c + 2) WHERE rn = 1", "fixes"))
 def _(spark, d):
     return R.peak_snap(pixel_points(spark, d), "event_id", dem(spark, d))
