@@ -8,29 +8,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Ranges that the rows are dealt into, and rows of the sample that stand for one range.
-RANGES, PER_RANGE = 64, 20
+from tarnspark.scratch import stored
+
+#: Rows of a range, about: a task ranks one range, so the ranges follow the rows.
+RANGE_ROWS = 250_000
 
 
 def positions(rows: DataFrame, order: list[Column], name: str = "pos") -> DataFrame:
     """``rows`` with their position from 1 in ascending ``order``, which has to tell all rows apart; nulls come first.
 
-    A sample by hash bounds the ranges; each is ranked by itself, on from the counts of those before it. The bounds are
-    values, so that the counts hold for the ranks however often ``rows`` is read.
+    Rows are dealt into ranges of the order and stored with the number of their range, so that what is counted holds however
+    often they are read; each range is ranked by itself, on from the counts of those before it.
     """
     spark = rows.sparkSession
     keyed = rows.withColumn("__at", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]))
-    sample = keyed.select("__at").orderBy(F.xxhash64("__at"), "__at").limit(RANGES * PER_RANGE)
-    at = sorted_structs(sample)
-    bounds = spark.createDataFrame([(at[PER_RANGE::PER_RANGE],)], f"__bounds array<{keyed.schema['__at'].dataType.simpleString()}>")
-    dealt = keyed.crossJoin(F.broadcast(bounds)).withColumn("__range", F.size(F.filter("__bounds", lambda b: b <= F.col("__at")))).drop("__bounds")
-    counts = {r["__range"]: r["count"] for r in dealt.groupBy("__range").count().collect()}
-    before = list(accumulate((counts.get(k, 0) for k in range(RANGES)), initial=0))
-    w = Window.partitionBy("__range").orderBy("__at")
-    pos = F.row_number().over(w) + F.element_at(F.array(*[F.lit(n).cast("bigint") for n in before]), F.col("__range") + 1)
-    return dealt.withColumn(name, pos).drop("__at", "__range")
-
-
-def sorted_structs(sample: DataFrame) -> list:
-    """The one column of a small table in Spark's order."""
-    return sample.agg(F.sort_array(F.collect_list(sample.columns[0])).alias("r")).first()["r"]
+    ranges = max(1, -(-rows.count() // RANGE_ROWS))
+    dealt = stored(keyed.repartitionByRange(ranges, "__at").withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = {r["__range"]: r["count"] for r in dealt.groupBy("__range").count().collect()}  # a row a range
+    before = accumulate((counts.get(k, 0) for k in range(ranges)), initial=0)
+    offsets = spark.createDataFrame(list(zip(range(ranges), before)), "__of int, __before bigint")
+    rank = F.row_number().over(Window.partitionBy("__range").orderBy("__at"))
+    ranked = dealt.withColumn("__rank", rank).join(offsets, F.col("__range") == F.col("__of"))
+    return ranked.withColumn(name, F.col("__rank") + F.col("__before")).drop("__at", "__range", "__of", "__before", "__rank")

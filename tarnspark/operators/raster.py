@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnspark.functions.geo import box_area
+from tarnspark.scratch import stored
+
 
 def region_priority(scores: DataFrame, key: str, regions: DataFrame) -> DataFrame:
     """Each peak's value from the largest region around it; of equal areas the later region's."""
@@ -39,7 +41,7 @@ def block_max(dem: DataFrame, factor: int) -> DataFrame:
 def pyramid_max(cells: DataFrame, levels: int) -> DataFrame:
     """``cells`` (z, row, col, slope, octant) and ``levels`` coarser zooms: the steepest of 2 x 2, first of TL, TR, BL, BR.
 
-    A last odd row or column goes.
+    A last odd row or column goes. Each level is stored, so that a coarser one reads the level below and no finer one again.
     """
     out = now = cells
     for _ in range(levels):
@@ -48,6 +50,7 @@ def pyramid_max(cells: DataFrame, levels: int) -> DataFrame:
         place = F.pmod("row", F.lit(2)) * 2 + F.pmod("col", F.lit(2))
         best = F.max_by(F.struct("slope", "octant"), F.struct("slope", -place))
         now = even.groupBy((F.col("z") - 1).alias("z"), F.floor(F.col("row") / 2).cast("int").alias("row"), F.floor(F.col("col") / 2).cast("int").alias("col")).agg(best.alias("b")).select("z", "row", "col", "b.*")
+        now = stored(now, "level")
         out = out.unionByName(now)
     return out
 

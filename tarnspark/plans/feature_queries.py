@@ -96,7 +96,7 @@ def _(spark, d):
     return C.terrain_features_classify(renamed).select("src_ord", "kind", "name")
 
 
-GRADE = "CASE tag_grade WHEN 'T2-T3' THEN 3 WHEN 'hiking;mountain_hiking' THEN 2 WHEN 't 4+' THEN 4 WHEN 'alpine_hiking (T4)' THEN 4 END"
+GRADE = "CASE tag_grade WHEN 'T3-T4' THEN 4 WHEN 'mountain_hiking/T3' THEN 3 WHEN 't 4+' THEN 4 WHEN 'demanding_alpine_hiking!' THEN 5 END"
 TRAIL = f"""trail AS (SELECT src_ord, tag_grade, CASE WHEN tag_grade IS NULL THEN 'untagged' WHEN rn > 1 THEN 'duplicate' WHEN g IS NULL THEN 'unreadable' END AS reason, g
   FROM (SELECT *, {GRADE} AS g, row_number() OVER (PARTITION BY tag_grade IS NOT NULL, osm_id ORDER BY src_ord) AS rn FROM osm_points))"""
 

@@ -11,6 +11,7 @@ from tarnspark.plans.views import view, with_views
 from tarnspark.scratch import scratch_path as scratch
 from tarnspark.scratch import stored
 from tarnspark.sources import features as X
+from tarnspark.sources.artifacts import artifact_audit, sink_files
 from tarnspark.sources import routes as R
 
 V = lambda sql: with_views(sql, "way_vertices")
@@ -160,3 +161,18 @@ def _(spark, d):
     )
     graded = C.trail_grade(C.peaks_normalize(flat))
     return A.first_by_key(graded, ["osm_id"], "src_ord").select("osm_id", "name", "t", "ele")
+
+
+#: A tile archive's header of 127 bytes as hexadecimal text, over n (bytes of payload), lo and hi (zooms).
+LITTLE = "concat(lpad(hex({n} % 256), 2, '0'), lpad(hex(CAST(floor({n} / 256e0) AS BIGINT) % 256), 2, '0'), lpad(hex(CAST(floor({n} / 65536e0) AS BIGINT)), 2, '0'), repeat('0', 10))".format(n="n")
+SECTION = f"concat('7F', repeat('0', 14), {LITTLE})"
+ARCHIVE = f"concat('504D54696C657303', repeat({SECTION}, 4), repeat('0', 56), lpad(hex(lo), 2, '0'), lpad(hex(hi), 2, '0'), repeat('0', 50), repeat('78', CAST(n AS INTEGER)))"
+
+
+@query("artifact_audit", with_views(f"WITH a AS (SELECT filename, min(region_id) AS region_id, min(kind) AS kind, count(*) AS n, CAST(min(maxzoom) AS BIGINT) AS lo, CAST(max(maxzoom) AS BIGINT) AS hi FROM map_artifacts GROUP BY filename) SELECT filename, kind, region_id, 127 + n AS bytes, CAST(lo AS INTEGER) AS minzoom, CAST(hi AS INTEGER) AS maxzoom, sha256(unhex({ARCHIVE})) AS sha256 FROM a", "map_artifacts"))
+def _(spark, d):
+    """Archives written from the artifacts' rows, a byte of payload for each, and audited where they lie."""
+    a = view(spark, d, "map_artifacts").groupBy("filename").agg(F.count("*").alias("n"), F.min("maxzoom").cast("bigint").alias("lo"), F.max("maxzoom").cast("bigint").alias("hi"))
+    path = scratch(spark, "archives")
+    sink_files(a.select("filename", F.unhex(F.expr(ARCHIVE)).alias("content")), path)
+    return artifact_audit(spark, path).select("filename", "kind", "region_id", "bytes", "minzoom", "maxzoom", "sha256")

@@ -22,7 +22,7 @@ SELECT c_custkey AS src_ord,
             WHEN 3 THEN 'unknown' WHEN 4 THEN '99999'
             ELSE CAST(c_custkey % 1400 AS VARCHAR(10)) END AS tag_ele,
        CASE c_custkey % 3 WHEN 0 THEN '12,345' WHEN 1 THEN CAST(c_custkey * 37 AS VARCHAR(12)) ELSE 'many' END AS tag_population,
-       CASE c_custkey % 12 WHEN 0 THEN 'T2-T3' WHEN 1 THEN 'hiking;mountain_hiking' WHEN 2 THEN 'strolling' WHEN 3 THEN 't 4+' WHEN 4 THEN 'alpine_hiking (T4)' ELSE NULL END AS tag_grade,
+       CASE c_custkey % 12 WHEN 0 THEN 'T3-T4' WHEN 1 THEN 'mountain_hiking/T3' WHEN 2 THEN 'unmarked' WHEN 3 THEN 't 4+' WHEN 4 THEN 'demanding_alpine_hiking!' ELSE NULL END AS tag_grade,
        CASE WHEN c_custkey % 11 = 0 THEN 'Q1' ELSE NULL END AS tag_wikidata,
        -6e0 + (c_custkey * 7919 % 40000) / 1e4 AS lon,
        55e0 + (c_custkey * 104729 % 30000) / 1e4 AS lat

@@ -51,6 +51,25 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array([path]), pa.array([digest.hexdigest()])], names=["path", "sha256"])
 
 
+def _store(path: str):
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home, root = FileSystem.from_uri(path)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                with home.open_output_stream(f"{root}/{name}") as out:
+                    out.write(content.as_buffer())
+            yield pa.record_batch([batch.column(0), pa.array([len(c.as_buffer()) for c in batch.column(1)], pa.int64())], names=["filename", "bytes"])
+
+    return store
+
+
+def sink_files(files: DataFrame, path: str) -> int:
+    """Write each row (filename, content) as a file under ``path``, from its own task; how many there are. A task that runs again writes the same."""
+    home, root = FileSystem.from_uri(path)
+    home.create_dir(root, recursive=True)
+    return files.select("filename", "content").mapInArrow(_store(path), "filename string, bytes long").count()
+
+
 def artifact_audit(spark: SparkSession, path: str) -> DataFrame:
     """filename, kind, region_id, bytes, minzoom, maxzoom, sha256 of the tile archives under ``path``; other files go.
 

@@ -3,7 +3,8 @@
 Rows of one device are taken in event-time order within a micro-batch. State is a few numbers per device. On a stream with a
 watermark on the time column it is given up when the watermark has passed the device's last row by ``TTL_MS``; without a
 watermark it stays. On tables routes and headings are windows over the device's
-rows; only the transfer rate, whose every value builds on the one before, folds them in Python.
+rows. A transfer rate builds on the one before, but each sample only takes it to ``a x + b``: a device's rows are cut into
+chunks of time, each chunk is such a map as well, and a scan over the chunks tells each the rate that it starts from.
 """
 
 from __future__ import annotations
@@ -13,23 +14,57 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import TimerValues
 from pyspark.sql.window import Window
 
 from tarnspark.functions.geo import haversine_m
 from tarnspark.operators.lines import DEGREE_M
+from tarnspark.scratch import stored
 
 TTL_MS = 24 * 3600 * 1000
 Core = Callable[[tuple | None, pd.DataFrame], tuple[tuple | None, pd.DataFrame]]
 
 
+class Keyed(StatefulProcessor):
+    """A device's state as a value in the store: rows of a batch go through ``core`` in time order, a timer ends what is idle."""
+
+    def __init__(self, core: Core, state: str, ts: str, expires: bool) -> None:
+        self.core, self.form, self.ts, self.expires, self.ttl = core, state, ts, expires, TTL_MS
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("device", self.form)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(self.ts, kind="stable")
+        after, found = self.core(self.state.get() if self.state.exists() else None, batch)
+        if after is not None:
+            self.state.update(tuple(after))
+            if self.expires:
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
+                last = int(pd.Timestamp(batch[self.ts].iloc[-1]).timestamp() * 1000)
+                self.handle.registerTimer(max(last, timerValues.getCurrentWatermarkInMs()) + self.ttl)
+        yield found
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
 def stateful(df: DataFrame, keys: list[str], core: Core, out: str, state: str, ts: str = "ts") -> DataFrame:
-    """Run ``core(state, rows in time order) -> (state, rows)`` per key, with state kept between micro-batches."""
-    if not df.isStreaming:
-        return df.groupBy(*keys).applyInPandas(lambda pdf: core(None, pdf.sort_values(ts, kind="stable"))[1], out)
+    """Run ``core(state, rows in time order) -> (state, rows)`` per key of a stream, with state kept between micro-batches.
 
-    field = df.schema[ts]
-    expires = "spark.watermarkDelayMs" in (field.metadata or {})
+    Where the session keeps state in RocksDB, as a store of many devices should, state is a value of ``transformWithState``
+    with a timer; another store has it as group state with a timeout.
+    """
+    expires = "spark.watermarkDelayMs" in (df.schema[ts].metadata or {})
+    if "RocksDB" in df.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass", ""):
+        return df.groupBy(*keys).transformWithStateInPandas(Keyed(core, state, ts, expires), out, "Append", "EventTime" if expires else "None")
 
     def step(_: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         if held.hasTimedOut:
@@ -114,11 +149,48 @@ def follow_route(fixes: DataFrame, routes: DataFrame, off_m: float = 60.0, rejoi
     return stateful(flat, ["device", "route_id"], core, out, "off boolean")
 
 
+#: Rows of a key that are folded in one go, about.
+CHUNK_ROWS = 16_384
+
+
+def _rates(progress: DataFrame, alpha: float, settle: int, min_s: float) -> DataFrame:
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = progress.select("key", us.alias("us"), F.col("bytes").cast("bigint").alias("bytes"), F.col("total").cast("bigint").alias("total"), "ts")
+    spans = rows.groupBy(F.col("key").alias("of")).agg(F.min("us").alias("lo"), (F.max("us") - F.min("us") + 1).alias("span"), F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).alias("parts"))
+    chunk = F.floor((F.col("us") - F.col("lo")) / F.col("span") * F.col("parts")).cast("bigint")
+    whole = rows.join(spans, F.col("key").eqNullSafe(F.col("of"))).select("key", chunk.alias("chunk"), F.struct("us", "bytes", "total", "ts").alias("r"))
+    chunks = whole.groupBy("key", "chunk").agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    before = F.lag(F.element_at("rows", -1)).over(Window.partitionBy("key").orderBy("chunk"))
+    seconds = "(r.us - p.us) / 1e6"
+    sample = f"CASE WHEN {seconds} >= {float(min_s)} AND r.bytes > p.bytes THEN (r.bytes - p.bytes) / ({seconds}) END"
+    samples = f"transform(zip_with(rows, concat(array(before), slice(rows, 1, size(rows) - 1)), (r, p) -> struct(r, p)), x -> get(transform(array(x), x -> get(transform(array(x.r), r -> get(transform(array(x.p), p -> {sample}), 0)), 0)), 0))"
+    chunks = stored(chunks.withColumn("before", before).withColumn("samples", F.expr(samples)).drop("before"), "chunks")
+    step = lambda rate: f"CASE WHEN x IS NULL THEN {rate} WHEN {rate} IS NULL THEN x ELSE {alpha} * x + {1 - alpha} * {rate} END"
+    # A chunk takes an unknown rate to ``fresh`` and a known one to a * rate + b.
+    maps = chunks.select("key", "chunk", F.expr(f"""aggregate(samples, named_struct('n', 0L, 'fresh', CAST(NULL AS DOUBLE), 'a', 1D, 'b', 0D), (s, x) -> named_struct(
+      'n', s.n + CASE WHEN x IS NULL THEN 0L ELSE 1L END, 'fresh', {step("s.fresh")},
+      'a', CASE WHEN x IS NULL THEN s.a ELSE s.a * {1 - alpha} END, 'b', CASE WHEN x IS NULL THEN s.b ELSE {alpha} * x + {1 - alpha} * s.b END))""").alias("m"))
+    scanned = maps.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("chunk", "m"))).alias("maps")).select("key", F.explode(F.expr("""aggregate(maps,
+      named_struct('rate', CAST(NULL AS DOUBLE), 'n', 0L, 'out', CAST(array() AS ARRAY<STRUCT<chunk: BIGINT, rate: DOUBLE, n: BIGINT>>)),
+      (s, x) -> named_struct('rate', CASE WHEN s.rate IS NULL THEN x.m.fresh ELSE x.m.a * s.rate + x.m.b END, 'n', s.n + x.m.n, 'out', array_append(s.out, named_struct('chunk', x.chunk, 'rate', s.rate, 'n', s.n)))).out""")).alias("c"))
+    scanned = scanned.select(F.col("key").alias("of"), F.col("c.chunk").alias("at"), F.col("c.rate").alias("rate"), F.col("c.n").alias("n"))
+    told = chunks.join(scanned, F.col("key").eqNullSafe(F.col("of")) & (F.col("chunk") == F.col("at")))
+    values = f"""aggregate(samples, named_struct('rate', rate, 'n', n, 'out', CAST(array() AS ARRAY<DOUBLE>)), (s, x) -> named_struct(
+      'rate', {step("s.rate")}, 'n', s.n + CASE WHEN x IS NULL THEN 0L ELSE 1L END,
+      'out', array_append(s.out, CASE WHEN s.n + CASE WHEN x IS NULL THEN 0L ELSE 1L END >= {int(settle)} THEN {step("s.rate")} END))).out"""
+    each = told.select("key", F.explode(F.arrays_zip("rows", F.expr(values).alias("rate"))).alias("v")).select("key", "v.rows.*", "v.rate")
+    left = F.when((F.col("rate") > 0) & (F.col("total") > F.col("bytes")), (F.col("total") - F.col("bytes")) / F.col("rate"))
+    return each.select("key", "ts", "rate", left.alias("eta"))
+
+
 def transfer_rate(progress: DataFrame, alpha: float = 0.3, settle: int = 3, min_s: float = 0.1) -> DataFrame:
     """Smoothed bytes a second and seconds left for each row (key, ts, bytes, total).
 
-    Samples under ``min_s`` apart or without gain move the baseline only; nothing is told before ``settle`` samples.
+    Samples under ``min_s`` apart or without gain move the baseline only; nothing is told before ``settle`` samples. On tables
+    no Python runs, and a key's rows are dealt over tasks in chunks of about ``CHUNK_ROWS``, of equal times.
     """
+    if not progress.isStreaming:
+        return _rates(progress, alpha, settle, min_s)
 
     def core(state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
         at, had, rate, n = state or (None, 0, None, 0)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tarnspark.functions import naming, numbers
 from tarnspark.scratch import stored
-from tarnspark.operators import aggregates, catalog, classify, lines, network, paths, prominence, search, spatial, tiles
+from tarnspark.operators import aggregates, catalog, classify, lines, network, paths, prominence, raster, search, spatial, tiles
 from tarnspark.operators.components import least_roots
 from tarnspark.operators.ranks import positions
 from tarnspark.sources.artifacts import artifact_audit
@@ -28,10 +28,10 @@ def test_round_exact(spark):
         assert got == [round(v, places) + 0.0 for v in values] + [None]
 
 
-# Notations of grades that occur in map data.
 GRADES = {
-    "T2": 2, "t3+": 3, "T 4": 4, "3": 3, "hiking": 1, "demanding_mountain_hiking": 3, "T2-T3": 3, "T3/T5": 5, "hiking;mountain_hiking": 2, "alpine_hiking (T4)": 4, "t1 to t2": None,  # blanks become underscores first, and those join words
-    "T1\tor\tT6": 6, "(t5)": 5, "T7": None, "strolling": None, "": None, "difficult alpine hiking": 6, "T1–T2": 2, "tor": None,
+    "T1": 1, "t6+": 6, "T 3": 3, "4": 4, "hiking": 1, "demanding_mountain_hiking": 3, "T3-T4": 4, "T2/T6": 6, "mountain_hiking/T3": 3, "demanding_alpine_hiking!": 5,
+    "t2 to t4": None,  # blanks become underscores first, and those join words
+    "T2\tor\tT5": 5, "[t4]": 4, "T8": None, "unmarked": None, "": None, "difficult alpine hiking": 6, "T4–T5": 5, "tor": None,
 }
 
 
@@ -419,7 +419,10 @@ def test_artifact_audit(spark, tmp_path):
         artifact_audit(spark, f"file://{tmp_path}/a").collect()
 
 
-def test_positions_rank_all_rows_in_many_tasks(spark):
+def test_positions_rank_all_rows_in_many_tasks(spark, monkeypatch):
+    from tarnspark.operators import ranks
+
+    monkeypatch.setattr(ranks, "RANGE_ROWS", 500)
     rng = random.Random(9)
     rows = [(n, rng.choice([None, 0.5, 0.5, 0.5, rng.random()])) for n in range(6000)]
     df = spark.createDataFrame(rows, "id long, v double").repartition(7)
@@ -539,7 +542,16 @@ def test_catalogue_report_tells_cells_and_degraded_regions(spark):
     assert got["cells", "x"] == 2 and got["cell_bytes", "x"] == 40 and got["cells", "y"] == 1 and got["degraded", ""] == 2 and got["degraded_zoom", "b"] == 11
 
 
-def test_state_expires_behind_the_watermark(spark, tmp_path, monkeypatch):
+@pytest.fixture(params=["HDFSBackedStateStoreProvider", "RocksDBStateStoreProvider"])
+def store(spark, request):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, f"org.apache.spark.sql.execution.streaming.state.{request.param}")
+    yield request.param
+    spark.conf.set(name, before)
+
+
+def test_state_expires_behind_the_watermark(spark, tmp_path, monkeypatch, store):
     monkeypatch.setattr(devices, "TTL_MS", 1000)
     schema = "device string, ts timestamp, heading double"
     for n, (t, device, heading) in enumerate([(0, "a", 5.0), (1, "a", 5.2), (500, "b", 1.0), (1000, "b", 1.2), (1001, "a", 5.1)]):
@@ -554,7 +566,22 @@ def test_state_expires_behind_the_watermark(spark, tmp_path, monkeypatch):
     assert [d for d, _ in told] == ["a", "a", "b"]  # the second "a" tells its old heading again, for its state was gone
 
 
-def test_follow_route_is_the_same_on_a_stream(spark, tmp_path):
+def test_rates_are_the_same_on_a_stream(spark, tmp_path, store):
+    rows = [(k, n, n * n * 40, 90_000) for k in ("a", "b") for n in range(20)]
+    for part in range(4):  # a file a batch, in the order of time
+        some = spark.createDataFrame([r for r in rows if r[1] // 5 == part], "key string, s long, bytes long, total long").select("key", F.timestamp_seconds("s").alias("ts"), "bytes", "total")
+        some.coalesce(1).write.parquet(str(tmp_path / f"in/{part}"))
+    schema = "key string, ts timestamp, bytes long, total long"
+    feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    q = devices.transfer_rate(feed).writeStream.format("memory").queryName(f"rates_{store}").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    table = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    key = lambda df: sorted((r["key"], r["ts"], r["rate"] and round(r["rate"], 6), r["eta"] and round(r["eta"], 6)) for r in df.collect())
+    assert key(spark.table(f"rates_{store}")) == key(devices.transfer_rate(table)) and len(key(spark.table(f"rates_{store}"))) == 40
+
+
+def test_follow_route_is_the_same_on_a_stream(spark, tmp_path, store):
     rng = random.Random(7)
     rows = [(d, 1, t, 0.0005 * t, rng.uniform(0, 0.001)) for d in ("a", "b") for t in range(15)]
     schema = "device string, route_id long, ts long, lng double, lat double"
@@ -566,3 +593,130 @@ def test_follow_route_is_the_same_on_a_stream(spark, tmp_path):
     q.stop()
     key = lambda df: sorted((r["device"], r["ts"], r["is_off"], r["remaining_m"], r["fraction"]) for r in df.collect())
     assert key(spark.table("follows")) == key(devices.follow_route(table, routes)) and {r["is_off"] for r in spark.table("follows").collect()} == {True, False}
+
+
+def matched_in_order(source, tiled, zoom, reach=4):
+    """Sources one by one, each with the nearest tile of its name that is left; the sources without one."""
+    world = 4096 << zoom
+    place = lambda lng, lat: (math.floor((lng + 180) / 360 * world) % world, math.floor((1 - math.asinh(math.tan(math.radians(lat))) / math.pi) / 2 * world))
+    left, lost = {k: (n, *place(x, y)) for k, n, x, y in tiled}, []
+    for k, n, x, y in sorted(source, key=lambda r: r[0]):
+        gx, gy = place(x, y)
+        away = lambda t: max(min(abs(gx - t[1]), world - abs(gx - t[1])), abs(gy - t[2]))
+        near = min(((away(t), i) for i, t in left.items() if t[0] == n and away(t) <= reach), default=None)
+        if near is None:
+            lost.append(k)
+        else:
+            left.pop(near[1])
+    return sorted(lost)
+
+
+@pytest.mark.parametrize("pairs", [200_000, 30])
+def test_tile_matching_by_clusters_equals_the_order_of_sources(spark, monkeypatch, pairs):
+    monkeypatch.setattr(tiles, "TASK_PAIRS", pairs)
+    rng, pixel = random.Random(4), 360 / (4096 << 14)
+    spot = lambda: (10 + rng.randrange(60) * pixel, 50 + rng.randrange(40) * pixel * 0.6)
+    source = [(n, rng.choice(["a", "b", None]), *spot()) for n in range(150)]
+    tiled = [(n, rng.choice(["a", "b", None]), *spot()) for n in range(130)] + [(500, "edge", 180 - pixel / 2, 1.0)]
+    source.append((900, "edge", -180 + pixel / 2, 1.0))
+    s, t = (spark.createDataFrame(rows, f"{k} long, name string, lng double, lat double") for rows, k in ((source, "src_ord"), (tiled, "tile_id")))
+    got = sorted(r["src_ord"] for r in tiles.tile_coverage_match(s, t, 14).collect())
+    assert got == matched_in_order(source, tiled, 14) and 20 < len(got) < 120 and 900 not in got
+
+
+def test_a_thousand_sources_that_push_each_other_on(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(tiles, "stored", lambda df, name, **more: written.append(name) or stored(df, name, **more))
+    pixel = 360 / (4096 << 14)
+    # Each source is nearest to the tile that the one before it takes.
+    source = [(n, "x", 10 + (3 * n + 0.5) * pixel, 0.0) for n in range(1000)]
+    tiled = [(n, "x", 10 + (3 * n - 0.5 + (1 if n == 0 else 0)) * pixel, 0.0) for n in range(1000)]
+    s, t = (spark.createDataFrame(rows, f"{k} long, name string, lng double, lat double") for rows, k in ((source, "src_ord"), (tiled, "tile_id")))
+    got = sorted(r["src_ord"] for r in tiles.tile_coverage_match(s, t, 14).collect())
+    assert got == matched_in_order(source, tiled, 14) and len(written) <= 5
+
+
+def test_name_and_kind_checks(spark):
+    data = [(1, "Ben Nevis / Nevis", 1344.0, "peak", "Point"), (2, "Ben Nevis", 99.0, "peak", "Point"), (3, "Ben", 5.0, "peak", "Line"), (4, "Zla Kolata", None, "cave", "Point"), (5, None, 7.0, None, None)]
+    df = spark.createDataFrame(data, "src_ord long, name string, value double, kind string, geom_type string")
+    rules = spark.createDataFrame([("a", "Ben Nevis", 1345.0, 2.0), ("b", "Zla", 2535.0, 2.0), ("c", "Ben", 1.0, 2.0), ("d", "", 1344.0, 0.0)], "rule string, name string, expected double, tolerance double")
+    first = lambda **more: {r["rule"]: (r["status"], r["value"]) for r in aggregates.name_checks(df, rules, **more).collect()}
+    assert first() == {"a": ("ok", 1344.0), "b": ("skip", None), "c": ("fail", 1344.0), "d": ("ok", 1344.0)}
+    assert first(prefix=False, pick="max") == {"a": ("fail", 99.0), "b": ("skip", None), "c": ("fail", 5.0), "d": ("skip", None)}
+    kinds = spark.createDataFrame([("a", "peak", 3, None, None), ("b", "peak", 4, None, None), ("c", "peak", None, 3, "Point"), ("d", "munro", None, 282, None), ("e", None, 5, 5, None), ("f", "cave", 1, None, "Point"), ("g", "munro", 1, None, None)], "rule string, kind string, least int, exactly int, shape string")
+    got = {r["rule"]: (r["status"], r["n"]) for r in aggregates.kind_checks(df, kinds).collect()}
+    assert got == {"a": ("ok", 3), "b": ("fail", 3), "c": ("fail", 3), "d": ("skip", 0), "e": ("ok", 5), "f": ("ok", 1), "g": ("fail", 0)}
+
+
+def test_byte_tiles_come_back_and_refuse_foreign_zooms(spark):
+    rng = random.Random(3)
+    cells = [("s", 9, r, c, rng.choice([None, 0, 30, 254]), rng.choice([None, 0, 7])) for r in range(20) for c in range(30) if rng.random() < 0.7]
+    df = spark.createDataFrame(cells, "level string, z int, row int, col int, slope int, octant int")
+    made = raster.raster_tile_bytes(df, 8)
+    assert {(len(r["slope"]), len(r["octant"])) for r in made.collect()} == {(64, 64)}
+    back = {tuple(r) for r in raster.raster_tile_cells(made, 8).collect()}
+    assert back == {(z, r, c, s, o) for _, z, r, c, s, o in cells if s is not None or o is not None}
+    total = raster.raster_tile_totals(made).first()
+    assert (total["z"], total["cells"], total["bytes"]) == (9, len(cells), 128 * total["tiles"])
+    with pytest.raises(Exception, match="level s tiles at zooms 9 and 10"):
+        raster.raster_tile_bytes(df.unionByName(df.limit(1).withColumn("z", F.lit(10))), 8).collect()
+    with pytest.raises(Exception, match="slope is no byte: 255"):
+        raster.raster_tile_bytes(df.limit(1).withColumn("slope", F.lit(255)), 8).collect()
+    assert raster.raster_tile_bytes(df.where("false"), 8).count() == 0
+
+
+def test_grades_of_samples_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(lines, "TILE_SAMPLES", 40)
+    rng = random.Random(6)
+    place = lambda: (rng.uniform(9.99, 10.01), rng.uniform(59.995, 60.005))
+    ways = [(n, k, *place(), n % 6 + 1) for n in range(40) for k in range(3)] + [(90, 0, 9.0, 60.0, 5), (90, 1, 11.0, 60.0005, 5), (91, 0, 10.0, 60.0, None), (91, 1, 10.01, 60.0, None), (92, 0, 10.0, 59.0, 2), (92, 1, 10.0, 61.0, 2)]
+    samples = [(n // 5, n % 5, *place()) for n in range(300)] + [(900, 0, 10.0, 60.0), (901, 0, -170.0, -80.0)]
+    w = spark.createDataFrame(ways, "way_id long, seq long, lng double, lat double, grade int")
+    s = spark.createDataFrame(samples, "track long, pos long, lng double, lat double")
+    got = {(r["track"], r["pos"]): r["grade"] for r in lines.grade_match(s, "track", w, 25.0, 40.0).collect()}
+    at, tracks, by_way = math.radians(1) * 6371008.8, {}, {}
+    for t, p, *q in samples:
+        tracks.setdefault(t, []).append(q)
+    for n, _, x, y, g in ways:
+        by_way.setdefault(n, []).append((x, y, g))
+    want = {}
+    for t, points in tracks.items():
+        for p, (lng, lat) in enumerate(points):
+            flat = lambda q, lng=lng, lat=lat: ((q[0] - lng) * math.cos(math.radians(lat)) * at, (q[1] - lat) * at)
+            (bx, by), (fx, fy) = flat(points[max(p - 1, 0)]), flat(points[min(p + 1, len(points) - 1)])
+            heading, met = (None if (bx, by) == (fx, fy) else math.atan2(fy - by, fx - bx)), []
+            for n, line in by_way.items():
+                for a, b in zip(line, line[1:]):
+                    (ax, ay), (cx, cy) = flat(a), flat(b)
+                    dx, dy = cx - ax, cy - ay
+                    f = min(max(-(ax * dx + ay * dy) / (dx * dx + dy * dy), 0), 1)
+                    turn = 0 if heading is None else abs(heading - math.atan2(dy, dx)) % math.pi
+                    away = math.hypot(ax + dx * f, ay + dy * f)
+                    if away <= 25 and min(turn, math.pi - turn) <= math.radians(40):
+                        met.append((round(away, 6), -(a[2] or -1)))
+            want[t, p] = (None if -min(met)[1] < 0 else -min(met)[1]) if met else None
+    assert got == want and len({v for v in want.values()}) >= 5
+
+
+@pytest.mark.parametrize("chunk", [16_384, 7])
+def test_transfer_rates_equal_the_fold(spark, monkeypatch, chunk):
+    monkeypatch.setattr(devices, "CHUNK_ROWS", chunk)
+    rng, rows, want = random.Random(5), [], {}
+    for key in ("a", "b", None, "one"):
+        at, had, rate, n = None, 0, None, 0
+        now, so_far = 1_700_000_000_000_000, 0
+        for _ in range(1 if key == "one" else 120):
+            now += rng.choice([1, 50_000, 300_000, 2_000_000, 60_000_000])
+            so_far += rng.choice([0, 10, 5000, -20])
+            rows.append((key, now, so_far, 100_000))
+            if at is not None and (now - at) / 1e6 >= 0.1 and so_far > had:
+                s = (so_far - had) / ((now - at) / 1e6)
+                rate, n = (s if rate is None else 0.3 * s + 0.7 * rate), n + 1
+            at, had = now, so_far
+            known = rate if n >= 3 else None
+            want[key, now] = (known, (100_000 - so_far) / known if known and so_far < 100_000 else None)
+    df = spark.createDataFrame(rows, "key string, us long, bytes long, total long").select("key", F.timestamp_micros("us").alias("ts"), "bytes", "total").repartition(3)
+    out = devices.transfer_rate(df)
+    got = {(r["key"], r["us"]): (r["rate"], r["eta"]) for r in out.withColumn("us", F.unix_micros("ts")).collect()}
+    assert set(got) == set(want) and all(got[k] == (w if w[0] is None else (pytest.approx(w[0], rel=1e-12), w[1] and pytest.approx(w[1], rel=1e-9))) for k, w in want.items())
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
