@@ -598,7 +598,7 @@ def test_follow_route_is_the_same_on_a_stream(spark, tmp_path, store):
 def matched_in_order(source, tiled, zoom, reach=4):
     """Sources one by one, each with the nearest tile of its name that is left; the sources without one."""
     world = 4096 << zoom
-    place = lambda lng, lat: (math.floor((lng + 180) / 360 * world) % world, math.floor((1 - math.asinh(math.tan(math.radians(lat))) / math.pi) / 2 * world))
+    place = lambda lng, lat: (math.floor((lng + 180) / 360 * world + 0.5) % world, math.floor((1 - math.asinh(math.tan(math.radians(lat))) / math.pi) / 2 * world + 0.5))
     left, lost = {k: (n, *place(x, y)) for k, n, x, y in tiled}, []
     for k, n, x, y in sorted(source, key=lambda r: r[0]):
         gx, gy = place(x, y)
@@ -615,7 +615,7 @@ def matched_in_order(source, tiled, zoom, reach=4):
 def test_tile_matching_by_clusters_equals_the_order_of_sources(spark, monkeypatch, pairs):
     monkeypatch.setattr(tiles, "TASK_PAIRS", pairs)
     rng, pixel = random.Random(4), 360 / (4096 << 14)
-    spot = lambda: (10 + rng.randrange(60) * pixel, 50 + rng.randrange(40) * pixel * 0.6)
+    spot = lambda: (10 + rng.uniform(0, 60) * pixel, 50 + rng.uniform(0, 40) * pixel * 0.6)
     source = [(n, rng.choice(["a", "b", None]), *spot()) for n in range(150)]
     tiled = [(n, rng.choice(["a", "b", None]), *spot()) for n in range(130)] + [(500, "edge", 180 - pixel / 2, 1.0)]
     source.append((900, "edge", -180 + pixel / 2, 1.0))
