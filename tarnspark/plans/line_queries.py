@@ -42,7 +42,7 @@ def _(spark, d):
     return rounded(L.path_length(vertices(spark, d), "way_id"), 3, "m")
 
 
-NEAR = """WITH ask AS (SELECT event_id, 1 + event_id % 5000 AS way_id, lng AS qlng, lat AS qlat FROM fixes),
+NEAR = """WITH ask AS (SELECT event_id, 1 + event_id % (SELECT max(way_id) FROM way_vertices) AS way_id, lng AS qlng, lat AS qlat FROM fixes),
 e0 AS (SELECT way_id, seq - 1 AS segment, lng, lat, lead(lng) OVER w AS lng2, lead(lat) OVER w AS lat2, count(*) OVER (PARTITION BY way_id) AS n FROM way_vertices WINDOW w AS (PARTITION BY way_id ORDER BY seq)),
 e AS (SELECT way_id, segment, lng, lat, coalesce(lng2, lng) AS lng2, coalesce(lat2, lat) AS lat2 FROM e0 WHERE lng2 IS NOT NULL OR n = 1),
 p AS (SELECT *, 6371008.8 * pi() / 180 AS k, (lng - qlng) * cos(radians(qlat)) * 6371008.8 * pi() / 180 AS ax, (lat - qlat) * 6371008.8 * pi() / 180 AS ay, (lng2 - qlng) * cos(radians(qlat)) * 6371008.8 * pi() / 180 AS bx, (lat2 - qlat) * 6371008.8 * pi() / 180 AS by_ FROM ask JOIN e USING (way_id)),
@@ -52,7 +52,9 @@ s AS (SELECT *, sqrt(pow(ax + dx * t, 2) + pow(ay + dy * t, 2)) AS dist FROM r)"
 
 
 def asked(spark, d):
-    return view(spark, d, "fixes").select("event_id", (1 + F.col("event_id") % 5000).alias("way_id"), F.col("lng").alias("qlng"), F.col("lat").alias("qlat"))
+    """Each fix with one of all ways, which its number decides."""
+    last = view(spark, d, "way_vertices").agg(F.max("way_id").alias("last"))
+    return view(spark, d, "fixes").crossJoin(F.broadcast(last)).select("event_id", (1 + F.col("event_id") % F.col("last")).alias("way_id"), F.col("lng").alias("qlng"), F.col("lat").alias("qlat"))
 
 
 @query("nearest_on_path", V(NEAR + " SELECT event_id, round(dist, 3) AS distance_m, round(along, 2) AS along_m FROM (SELECT event_id, dist, travelled + len * t AS along, row_number() OVER (PARTITION BY event_id ORDER BY dist, segment) AS rn FROM s) WHERE rn = 1", "fixes"))
@@ -61,7 +63,7 @@ def _(spark, d):
     return out.select("event_id", F.round("distance_m", 3).alias("distance_m"), F.round("along_m", 2).alias("along_m"))
 
 
-@query("nearest_leg", V(NEAR.replace("1 + event_id % 5000 AS way_id", "1 + event_id % 500 AS route").replace("way_id, seq - 1", "way_id % 500 + 1 AS route, way_id, seq - 1").replace("e AS (SELECT way_id", "e AS (SELECT route, way_id").replace("USING (way_id)", "USING (route)").replace("PARTITION BY event_id ORDER BY segment ROWS", "PARTITION BY event_id, way_id ORDER BY segment ROWS") + " SELECT event_id, way_id AS leg FROM (SELECT event_id, way_id, row_number() OVER (PARTITION BY event_id ORDER BY dist, way_id) AS rn FROM s) WHERE rn = 1", "fixes"))
+@query("nearest_leg", V(NEAR.replace("1 + event_id % (SELECT max(way_id) FROM way_vertices) AS way_id", "1 + event_id % 500 AS route").replace("way_id, seq - 1", "way_id % 500 + 1 AS route, way_id, seq - 1").replace("e AS (SELECT way_id", "e AS (SELECT route, way_id").replace("USING (way_id)", "USING (route)").replace("PARTITION BY event_id ORDER BY segment ROWS", "PARTITION BY event_id, way_id ORDER BY segment ROWS") + " SELECT event_id, way_id AS leg FROM (SELECT event_id, way_id, row_number() OVER (PARTITION BY event_id ORDER BY dist, way_id) AS rn FROM s) WHERE rn = 1", "fixes"))
 def _(spark, d):
     legs = vertices(spark, d).select((F.col("way_id") % 500 + 1).alias("route"), F.col("way_id").alias("leg"), "seq", "lng", "lat")
     points = view(spark, d, "fixes").select("event_id", (1 + F.col("event_id") % 500).alias("route"), F.col("lng").alias("qlng"), F.col("lat").alias("qlat"))

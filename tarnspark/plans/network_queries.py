@@ -164,7 +164,7 @@ def _(spark, d):
 X = lambda sql, *more: with_views(sql, "fixes", *more)
 
 
-FOLLOW = NEAR.replace("1 + event_id % 5000 AS way_id", "device, epoch_us(CAST(ts AS TIMESTAMP)) + event_id AS us, 1 + device % 60 AS way_id").replace(" OR n = 1", "")
+FOLLOW = NEAR.replace("1 + event_id % (SELECT max(way_id) FROM way_vertices) AS way_id", "device, epoch_us(CAST(ts AS TIMESTAMP)) + event_id AS us, 1 + device * 61 % (SELECT max(way_id) FROM way_vertices) AS way_id").replace(" OR n = 1", "")
 
 
 @query("follow_route", X(FOLLOW + """, n AS (SELECT * FROM (SELECT device, way_id, us, dist, row_number() OVER (PARTITION BY event_id ORDER BY dist, segment) AS rn FROM s) WHERE rn = 1),
@@ -175,7 +175,8 @@ def _(spark, d):
     routes = view(spark, d, "way_vertices").groupBy(F.col("way_id").alias("route_id")).agg(pts.alias("coords"))
     # Times repeat in this feed, so the event number goes into the time.
     ts = (F.unix_micros(F.col("ts").cast("timestamp")) + F.col("event_id")).alias("ts")
-    fixes = view(spark, d, "fixes").select("device", ts, "lng", "lat", (1 + F.col("device") % 60).alias("route_id"))
+    last = view(spark, d, "way_vertices").agg(F.max("way_id").alias("last"))
+    fixes = view(spark, d, "fixes").crossJoin(F.broadcast(last)).select("device", ts, "lng", "lat", (1 + F.col("device") * 61 % F.col("last")).alias("route_id"))
     out = S.follow_route(fixes, routes.where(F.size("coords") > 1), 60_000, 30_000)
     return out.groupBy("device", "route_id").agg(F.count("*").alias("n"), F.sum(F.col("is_off").cast("int")).alias("off"), F.round(F.max("off_m"), 1).alias("farthest_m"))
 
