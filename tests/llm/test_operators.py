@@ -433,6 +433,41 @@ def test_token_counts(spark, docs, none, tmp_path):
         read_flat_files(spark, f"file://{tmp_path}/odd.bin").collect()
 
 
+def test_word_vectors_pooling_and_temperature_equal_plain_loops(spark):
+    from tarnspark.llm import quality_classifier as module
+
+    texts = [None, "", "a b c a b", "x, y! (z) über\tüber", "a b " * 40, "one", "!!?", "b c d\ne f"]
+    cut = lambda t: re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x20\x09-\x0d]+", (t or "").encode())
+
+    def slot(word):
+        run = kernels.Run(np.frombuffer(word, np.uint8), np.array([0, len(word)]))
+        return int(run.hashes(np.array([0]), np.array([len(word)]), lower=False)[0] >> np.uint64(40)) % module.SLOTS
+
+    table = np.zeros((module.SLOTS, module.WIDTH))
+    for text in texts:
+        held = [slot(w) for w in cut(text)]
+        for i, a in enumerate(held):
+            for j, b in enumerate(held):
+                if i != j and abs(i - j) <= 2:
+                    for place, sign in zip(module.INDEX_PLACE[b], module.INDEX_SIGN[b]):
+                        table[a, place] += sign
+    unit = table / np.maximum(np.sqrt((table**2).sum(axis=1, keepdims=True)), 1e-9)
+    got = module.word_vectors(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    assert np.allclose(got, unit, atol=1e-6) and (np.abs(unit).sum(axis=1) > 0).sum() > 8
+    for at, run in kernels.runs(pa.array(texts)):
+        for k, row in enumerate(module.pooled(run, got)):
+            mean = np.mean([got[slot(w)] for w in cut(texts[at + k])] or [np.zeros(module.WIDTH)], axis=0)
+            assert np.allclose(row, [*mean, math.sqrt((mean**2).sum())], atol=1e-6)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 5))
+    y = (x[:, 0] + rng.normal(size=400) > 0).astype(float)
+    net, order = fit(x, y), np.random.default_rng(11).permutation(400)
+    logits = [float(z) for z in net.logits(x[order[40:80]])]
+    loss = lambda t: sum(math.log(1 + math.exp(z / t)) - w * z / t for z, w in zip(logits, y[order[40:80]]))
+    tried = [math.exp(math.log(0.25) + k * (math.log(8) - math.log(0.25)) / 59) for k in range(60)]
+    assert net.temperature == pytest.approx(min(tried, key=loss))
+
+
 def test_quality_classifier(spark, none):
     rng = random.Random(9)
     good, bad = [f"w{k}" for k in range(40)], [f"w{k}%%%" for k in range(40)]

@@ -27,7 +27,7 @@ def folder(spark, tmp_path_factory):
     return path, texts
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op12_source_divergence"}))  # whose rows are sources, not documents
 def test_each_query_returns_every_document(spark, folder, name):
     out = queries.QUERIES[name](spark, folder[0]).collect()
     ids = {r["doc_id"] for r in out}
