@@ -167,8 +167,7 @@ def source_divergence(
     whole numbers of smoothed shares in parts of 10^9; nothing is rounded on the way. Terms are runs of letters and
     non-ASCII characters, A-Z folded. Null is the empty text, language or source; a source without terms still has its rows,
     of value 0 where its language keeps no term. Repeated rows are documents of their own; equal values are ranked by item.
-    Other columns, whatever their names, are not read. An empty table gives no rows. A term is counted in at most some
-    terabytes: counts are 64-bit.
+    Other columns, whatever their names, are not read. An empty table gives no rows. Counts have 64 bits.
     """
     plain = docs.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))])
     counted = plain.mapInArrow(_count_terms, _COUNTS).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
