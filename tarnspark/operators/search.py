@@ -27,11 +27,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(fold_text(text), _WORDS, -1), lambda t: t != "")
 
 
-def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key``, pos, token: the folded words of a text, in order."""
-    return df.select(key, F.posexplode(words(F.col(text))).alias("pos", "token"))
-
-
 def phrases(text: Column) -> Column:
     """A query's phrases, each an array of words: what stands between blanks and ``"*()-:^``; ``fillan's`` is two words in a row."""
     parts = F.split(F.regexp_replace(text, r'["*()\-:^]', " "), r"(?U)\s+", -1)
