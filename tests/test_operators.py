@@ -720,3 +720,10 @@ def test_transfer_rates_equal_the_fold(spark, monkeypatch, chunk):
     got = {(r["key"], r["us"]): (r["rate"], r["eta"]) for r in out.withColumn("us", F.unix_micros("ts")).collect()}
     assert set(got) == set(want) and all(got[k] == (w if w[0] is None else (pytest.approx(w[0], rel=1e-12), w[1] and pytest.approx(w[1], rel=1e-9))) for k, w in want.items())
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_line_clip_tells_a_touch_by_its_share(spark):
+    # Way 1 meets the corner with a share of one rounding step, as the arithmetic has it; way 2 ends on the border.
+    v = spark.createDataFrame([(1, 1, -5.464, 55.49), (1, 2, -5.608, 55.53), (2, 1, -5.75, 56.0), (2, 2, -5.5, 56.0)], "way_id long, seq long, lng double, lat double")
+    got = [(r["way_id"], r["pos"], r["moved"]) for r in lines.line_clip(v, "way_id", -5.5, 55.5, -4.0, 57.0).orderBy("way_id", "pos").collect()]
+    assert got == [(1, 0, False), (1, 1, True)]
