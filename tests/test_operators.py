@@ -727,3 +727,10 @@ def test_line_clip_tells_a_touch_by_its_share(spark):
     v = spark.createDataFrame([(1, 1, -5.464, 55.49), (1, 2, -5.608, 55.53), (2, 1, -5.75, 56.0), (2, 2, -5.5, 56.0)], "way_id long, seq long, lng double, lat double")
     got = [(r["way_id"], r["pos"], r["moved"]) for r in lines.line_clip(v, "way_id", -5.5, 55.5, -4.0, 57.0).orderBy("way_id", "pos").collect()]
     assert got == [(1, 0, False), (1, 1, True)]
+
+
+def test_nearest_on_path_tells_ties_as_a_root_of_squares_does(spark):
+    ways = [[(-5.996, 55.044), (-5.944, 55.074), (-5.958, 55.0), (-5.944, 55.074), (-5.998, 55.042)], [(-5.944, 55.014), (-5.928, 55.036), (-5.982, 55.016), (-5.928, 55.036), (-5.942, 55.01)]]
+    v = spark.createDataFrame([(k, n, *p) for k, way in enumerate(ways) for n, p in enumerate(way)], "way long, seq long, lng double, lat double")
+    p = spark.createDataFrame([(1, 0, -5.952, 55.062), (2, 1, -5.997, 55.046)], "p long, way long, qlng double, qlat double")
+    assert {r["p"]: (r["segment"], round(r["along_m"], 2)) for r in lines.nearest_on_path(v, "way", p, "p").collect()} == {1: (1, 6081.78), 2: (2, 7755.03)}
