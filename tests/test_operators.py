@@ -734,3 +734,28 @@ def test_nearest_on_path_tells_ties_as_a_root_of_squares_does(spark):
     v = spark.createDataFrame([(k, n, *p) for k, way in enumerate(ways) for n, p in enumerate(way)], "way long, seq long, lng double, lat double")
     p = spark.createDataFrame([(1, 0, -5.952, 55.062), (2, 1, -5.997, 55.046)], "p long, way long, qlng double, qlat double")
     assert {r["p"]: (r["segment"], round(r["along_m"], 2)) for r in lines.nearest_on_path(v, "way", p, "p").collect()} == {1: (1, 6081.78), 2: (2, 7755.03)}
+
+
+def test_nearest_leg_equals_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(lines, "ROUTE_POINTS", 20)
+    monkeypatch.setattr(lines, "ROUTE_SEGMENTS", 90)
+    rng = random.Random(31)
+    spot = lambda: (-6 + rng.randrange(12) * 2e-3, 55 + rng.randrange(12) * 2e-3)
+    ways = {(route, leg): [spot() for _ in range(rng.choice([1, 2, 3, 5]))] for route in (1, 2) for leg in range(60)}
+    legs = spark.createDataFrame([(*k, n, *p) for k, way in ways.items() for n, p in enumerate(way)], "route long, leg long, seq long, lng double, lat double")
+    points = [(k, k % 3 + 1, -6 + rng.random() * 0.05, 55 + rng.random() * 0.05) for k in range(150)]
+    got = {r["p"]: r["leg"] for r in lines.nearest_leg(spark.createDataFrame(points, "p long, route long, qlng double, qlat double"), "p", legs).collect()}
+    want = {}
+    for p, route, x, y in points:
+        met = []
+        for (r, leg), way in ways.items():
+            flat = [((a - x) * math.cos(math.radians(y)) * 6371008.8 * math.pi / 180, (b - y) * 6371008.8 * math.pi / 180) for a, b in way]
+            for (ax, ay), (bx, by) in zip(flat, flat[1:] or flat):
+                dx, dy = bx - ax, by - ay
+                n = math.sqrt(dx * dx + dy * dy)
+                t = min(max(-(ax * dx + ay * dy) / (n * n), 0), 1) if n else 0
+                u, w = ax + dx * t, ay + dy * t
+                met += [(math.sqrt(u * u + w * w), leg)] if r == route else []
+        if met:
+            want[p] = min(met)[1]
+    assert got == want and len(got) == 100
