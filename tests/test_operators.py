@@ -759,3 +759,36 @@ def test_nearest_leg_equals_all_pairs(spark, monkeypatch):
         if met:
             want[p] = min(met)[1]
     assert got == want and len(got) == 100
+
+
+def test_line_snap_among_crowds_equals_all_pairs(spark):
+    rng = random.Random(17)
+    spots = [(rng.random() * 0.004, 50 + rng.random() * 0.004) for _ in range(120)] + [(rng.random(), 50 + rng.random()) for _ in range(40)]
+    nodes = [(k, *spots[k % len(spots)]) for k in range(400)] + [(k, 0.001, 50.001) for k in range(400, 500)]
+    frame = spark.createDataFrame(nodes, "node_id long, lng double, lat double")
+    got = {}
+    for r in spatial.line_snap(frame.withColumnRenamed("node_id", "p"), "p", frame, 9000.0, 3).collect():
+        got.setdefault(r["p"], {})[r["pos"]] = r["node_id"]
+    metres = lambda a, b: 0.0 if a == b else 2 * 6371008.8 * math.asin(math.sqrt(math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[0] - a[0]) / 2) ** 2))
+    for p, *at in nodes:
+        near = sorted((m, n) for n, *to in nodes if (m := metres(at, to)) <= 9000)[:3]
+        assert got[p] == {pos + 1: n for pos, (_, n) in enumerate(near)}
+
+
+def test_line_snap_does_not_meet_a_crowd_in_pairs(spark):
+    # 4,000 places in one cell: all pairs would be 16 million.
+    crowd = spark.range(4000).selectExpr("id as node_id", "id % 64 * 1e-3 as lng", "50 + floor(id / 64) * 1e-3 as lat")
+    met = spark.sparkContext.accumulator(0)
+    sound = spatial._snap_within
+
+    def counted(*args):
+        out = sound(*args)
+        met.add(args[0].count() * int(args[1].count() * (args[2] / 9000.0) ** 2))
+        return out
+
+    spatial._snap_within = counted
+    try:
+        assert spatial.line_snap(crowd.withColumnRenamed("node_id", "p"), "p", crowd, 9000.0, 4).where("pos = 1 and p = node_id").count() == 4000
+    finally:
+        spatial._snap_within = sound
+    assert met.value < 1_000_000
