@@ -792,3 +792,35 @@ def test_line_snap_does_not_meet_a_crowd_in_pairs(spark):
     finally:
         spatial._snap_within = sound
     assert met.value < 1_000_000
+
+
+def test_follow_route_on_tables_measures_segments_in_bulk(spark, monkeypatch):
+    monkeypatch.setattr(devices, "VERTICES_AT_ONCE", 16)
+    rng = random.Random(41)
+    lines_ = [(k, [(rng.random() * 0.05, 50 + rng.random() * 0.05) for _ in range(k % 6)]) for k in range(12)]
+    routes = spark.createDataFrame(lines_, "route_id long, coords array<struct<lng: double, lat: double>>")
+    rows = [(k, k % 14, k, rng.random() * 0.05, 50 + rng.random() * 0.05) for k in range(200)] + [(200, 3, 200, None, 50.0)]
+    fixes = spark.createDataFrame(rows, "device long, route_id long, ts long, lng double, lat double")
+    out = devices.follow_route(fixes, routes)
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["ts"]: r for r in out.collect()}
+    want = fixes.join(routes, "route_id").withColumn("n", devices.nearest_expr(F.col("coords"), F.col("lng"), F.col("lat"))).where("n is not null").select("ts", "n.*", devices.length_expr(F.col("coords")).alias("total")).collect()
+    assert len(got) == len(want) and got[200]["off_m"] is None
+    for r in want:
+        if r["distance_m"] is not None:
+            assert got[r["ts"]]["off_m"] == pytest.approx(r["distance_m"], abs=1e-6) and got[r["ts"]]["along_m"] == pytest.approx(min(r["along_m"], r["total"]), abs=1e-5)
+
+
+def test_peak_snap_sends_cells_to_tiles_and_not_to_peaks(spark, monkeypatch):
+    monkeypatch.setattr(raster, "SNAP_TILE", 5)
+    monkeypatch.setattr(raster, "SNAP_PEAKS", 3)
+    rng = random.Random(43)
+    dem = {(r, c): rng.randrange(9) for r in range(17) for c in range(13) if rng.random() < 0.8}
+    peaks = [(k, rng.random() * 16 - 1, rng.random() * 21 - 1) for k in range(300)]
+    out = raster.peak_snap(spark.createDataFrame(peaks, "peak long, px double, py double"), "peak", spark.createDataFrame([(*k, z) for k, z in dem.items()], "row int, col int, z int"))
+    want = {}
+    for k, x, y in peaks:
+        near = [(-dem[p], *p) for dr in range(-2, 3) for dc in range(-2, 3) if (p := (int(y) + dr, int(x) + dc)) in dem]
+        if near:
+            want[k] = (*min(near)[1:], -min(near)[0])
+    assert {r["peak"]: (r["row"], r["col"], r["ele"]) for r in out.collect()} == want and len(want) < 300
