@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from tarnspark.functions.geo import box_area
@@ -173,16 +177,58 @@ def raster_tile_totals(tiles: DataFrame) -> DataFrame:
     return tiles.groupBy("z").agg(F.count(F.lit(1)).alias("tiles"), F.sum("n").alias("cells"), F.sum(F.octet_length("slope") + F.octet_length("octant")).alias("bytes"))
 
 
+#: Cells along the side of a tile in which peaks meet the raster, and peaks of a tile that one task takes.
+SNAP_TILE, SNAP_PEAKS = 128, 100_000
+
+
+def _highest_around(key: str, radius: int, schema: pa.Schema):
+    """The highest cell within the radius of each peak's own; cells of the tile and around it lie in one array."""
+
+    def highest(peaks: pa.Table, cells: pa.Table) -> pa.Table:
+        if not peaks.num_rows or not cells.num_rows:
+            return schema.empty_table()
+        r, c = (peaks.column(n).to_numpy().astype(np.int64) for n in ("r", "c"))
+        row, col = (cells.column(n).to_numpy().astype(np.int64) for n in ("row", "col"))
+        z = cells.column("z").to_numpy().astype(float)  # a cell without a height is below all others
+        top, left = r.min() - radius, c.min() - radius
+        within = (row >= top) & (row <= r.max() + radius) & (col >= left) & (col <= c.max() + radius)
+        row, col, z = row[within] - top, col[within] - left, z[within]
+        shape = (r.max() - r.min() + 2 * radius + 1, c.max() - c.min() + 2 * radius + 1)
+        high, held = np.full(shape, -np.inf), np.zeros(shape, dtype=bool)
+        np.maximum.at(high, (row, col), np.where(np.isnan(z), -np.inf, z))
+        held[row, col] = True
+        best, at_r, at_c = np.full(len(r), -np.inf), np.full(len(r), -1), np.full(len(r), -1)
+        for dr in range(2 * radius + 1):
+            for dc in range(2 * radius + 1):
+                y, x = r - r.min() + dr, c - c.min() + dc
+                better = held[y, x] & ((at_r < 0) | (high[y, x] > best))
+                best, at_r, at_c = np.where(better, high[y, x], best), np.where(better, y, at_r), np.where(better, x, at_c)
+        met = at_r >= 0
+        found = [peaks.column(key).filter(pa.array(met)), pa.array(at_r[met] + top), pa.array(at_c[met] + left), pa.array(best[met], mask=np.isinf(best[met]))]
+        return pa.Table.from_arrays([v.cast(f.type) for v, f in zip(found, schema)], schema=schema)
+
+    return highest
+
+
 def peak_snap(peaks: DataFrame, key: str, dem: DataFrame, radius: int = 2) -> DataFrame:
     """Each peak (px, py) on the highest cell around it, the first in row-major order: ``key``, row, col, ele.
 
-    Positions are cut toward zero.
+    Positions are cut toward zero. Peaks and cells meet in tiles, a cell also in those that it is within the radius of; a
+    tile's peaks are dealt into tasks of ``SNAP_PEAKS``.
     """
-    at = peaks.select(key, F.col("px").cast("int").alias("c"), F.col("py").cast("int").alias("r"))
-    around = [(dr, dc) for dr in range(-radius, radius + 1) for dc in range(-radius, radius + 1)]
-    near = at.select(key, F.explode(F.array(*[F.struct((F.col("r") + dr).alias("row"), (F.col("c") + dc).alias("col")) for dr, dc in around])).alias("p")).select(key, "p.*")
-    met = near.join(dem.select("row", "col", "z"), ["row", "col"])
-    return met.groupBy(key).agg(F.max_by(F.struct("row", "col", F.col("z").alias("ele")), F.struct("z", -F.col("row"), -F.col("col"))).alias("b")).select(key, "b.*")
+    at = peaks.select(key, F.col("px").cast("int").alias("c"), F.col("py").cast("int").alias("r")).where("r is not null and c is not null")
+    tile = lambda c: F.floor(c / SNAP_TILE).cast("int")
+    at = at.withColumn("ty", tile(F.col("r"))).withColumn("tx", tile(F.col("c")))
+    parts = stored(at.groupBy("ty", "tx").agg(F.ceil(F.count(F.lit(1)) / SNAP_PEAKS).cast("int").alias("parts")), "tiles")
+    at = at.join(parts, ["ty", "tx"]).withColumn("part", F.pmod(F.xxhash64(key), F.col("parts")).cast("int")).drop("parts")
+    reached = lambda c: F.explode(F.sequence(tile(F.col(c) - radius), tile(F.col(c) + radius)))
+    cells = dem.select("row", "col", "z").where("row is not null and col is not null").withColumn("ty", reached("row")).withColumn("tx", reached("col"))
+    cells = cells.join(parts, ["ty", "tx"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    kinds = dict(dem.dtypes)
+    out = f"`{key}` {dict(peaks.dtypes)[key]}, row {kinds['row']}, col {kinds['col']}, ele {kinds['z']}"
+    named = ("ty", "tx", "part")
+    found = at.groupBy(*named).cogroup(cells.groupBy(*named)).applyInArrow(_highest_around(key, radius, to_arrow_schema(T.StructType.fromDDL(out))), out)
+    return found.groupBy(key).agg(F.max_by(F.struct("row", "col", "ele"), F.struct("ele", -F.col("row"), -F.col("col"))).alias("b")).select(key, "b.*")  # keys may repeat
 
 
 def contour_segments(dem: DataFrame, interval: int) -> DataFrame:
