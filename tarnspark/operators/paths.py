@@ -14,7 +14,9 @@ import heapq
 import math
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +31,7 @@ from tarnspark.scratch import forget, stored
 
 #: Side of a block in degrees, and legs that are searched in one block by one task.
 BLOCK_DEGREES, LEGS_A_TASK = 0.1, 256
-#: Side of the smallest squares in degrees, nodes that a square may hold, and legs that one task searches in it.
+#: Side of the smallest squares in degrees, nodes that a square may hold, and legs that one task searches in it at least.
 SQUARE_DEGREES, SQUARE_NODES, SQUARE_LEGS = 0.05, 100_000, 1024
 _REACHED = "leg_id {leg}, node_id {node}, block long, cost double, length double, prev {node}, came boolean"
 
@@ -97,35 +99,58 @@ def _walk(schema: pa.Schema):
     return walk
 
 
+def _away(lng: float, lat: float, to_lng: float, to_lat: float) -> float:
+    p, q = math.radians(lat), math.radians(to_lat)
+    h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(to_lng - lng) / 2) ** 2
+    return 2 * EARTH_M * math.asin(min(1.0, math.sqrt(h)))
+
+
 def _search_square(schema: pa.Schema):
-    """The best way of each leg of a square, by Dijkstra's algorithm from all its starts until no better end can come."""
+    """The best way of each leg of a square, from all its starts until no better end can come.
+
+    A node counts with the least that the rest of its way can cost: the metres to the leg's end as the crow flies, by the
+    cheapest metre of the square's arcs. A node that is reached for less later on is searched again.
+    """
 
     def search(legs: pa.Table, arcs: pa.Table) -> pa.Table:
-        ways: dict = {}
-        for a, *arc in _rows(arcs, "a", "b", "w", "length_m", "b_lng", "b_lat"):
-            ways.setdefault(a, []).append(arc)
+        if not legs.num_rows:
+            return schema.empty_table()
+        arcs = arcs.take(pc.sort_indices(arcs, [("a", "ascending"), ("b", "ascending")]))
+        b, w, metres, lngs, lats = (arcs.column(c).to_numpy() for c in ("b", "w", "length_m", "b_lng", "b_lat"))
+        runs = pc.run_end_encode(arcs.column("a").combine_chunks()) if arcs.num_rows else None
+        stops = runs.run_ends.to_pylist() if runs is not None else []
+        ways = dict(zip(runs.values.to_pylist() if runs is not None else (), zip([0, *stops], stops)))
+        rad = lambda c: np.radians(arcs.column(c).to_numpy())
+        p, q = rad("a_lat"), rad("b_lat")
+        straight = 2 * EARTH_M * np.arcsin(np.minimum(1, np.sqrt(np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin((rad("b_lng") - rad("a_lng")) / 2) ** 2)))
+        # A little less than the least, so that rounding never leaves out a way.
+        least = min(1.0, float(np.min(np.divide(w, straight, out=np.ones(len(straight)), where=straight > 0), initial=1.0))) * (1 - 1e-9)
         out = []
-        for leg, starts, goals, west, south, east, north in _rows(legs, "leg_id", "starts", "goals", "west", "south", "east", "north"):
-            known, settled, last = {}, set(), {g["node_id"]: g["m"] for g in goals}
+        for leg, starts, goals, to_lng, to_lat, west, south, east, north in _rows(legs, "leg_id", "starts", "goals", "to_lng", "to_lat", "west", "south", "east", "north"):
+            known, last, rest = {}, {g["node_id"]: g["m"] for g in goals}, {}
             heap = []
             for s in starts:
                 known[s["node_id"]] = (s["m"], 0.0, None)
-                heap.append((s["m"], s["node_id"]))
+                heap.append((s["m"], s["m"], s["node_id"]))
             heapq.heapify(heap)
             best = (math.inf, None)
             while heap:
-                cost, node = heapq.heappop(heap)
-                if cost >= best[0]:
+                bound, cost, node = heapq.heappop(heap)
+                if bound >= best[0]:
                     break
-                if node in settled:
+                if cost > known[node][0]:
                     continue
-                settled.add(node)
                 if node in last:
                     best = min(best, (cost + last[node], node))
-                for b, w, m, lng, lat in ways.get(node, ()):
-                    if b not in settled and west <= lng <= east and south <= lat <= north and (b not in known or cost + w < known[b][0]):
-                        known[b] = (cost + w, known[node][1] + m, node)
-                        heapq.heappush(heap, (cost + w, b))
+                low, high = ways.get(node, (0, 0))
+                far = known[node][1]
+                for to, more, m, lng, lat in zip(*(v[low:high].tolist() for v in (b, w, metres, lngs, lats))):
+                    if west <= lng <= east and south <= lat <= north and (to not in known or cost + more < known[to][0]):
+                        if to not in rest:
+                            rest[to] = _away(lng, lat, to_lng, to_lat) * least - 1e-6
+                        if cost + more + rest[to] < best[0]:
+                            known[to] = (cost + more, far + m, node)
+                            heapq.heappush(heap, (cost + more + rest[to], cost + more, to))
             if best[1] is not None:
                 way, node = [], best[1]
                 while node is not None:
@@ -145,8 +170,23 @@ def least_cost_path(
 
     Both ends snap to their nearest nodes, and cost is snap, weighted edges, snap. The search keeps to the box of both ends
     grown by ``pad_m`` metres or ``pad_share`` of their distance, whichever is more. A leg without a way has nulls and the
-    reason ``no_snap`` or ``no_path``; others have no reason. Legs of equal keys are one leg.
+    reason ``no_snap`` or ``no_path``; others have no reason. Legs of equal keys are one leg. Legs of equal ends are searched
+    once. A task that searches a square has no fewer legs than arcs, unless it has them all, so that what is sent out follows
+    the legs and the arcs and not their product.
     """
+    ends_ = ["from_lng", "from_lat", "to_lng", "to_lat"]
+    legs = legs.dropDuplicates(["leg_id"])
+    asked = stored(legs.groupBy(*ends_).agg(F.min("leg_id").alias("leg_id")), "asked")
+    found = _searched(asked, nodes, edges, snap_m, snaps, pad_m, pad_share, square_nodes)
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in ends_))
+    like = asked.select(F.col("leg_id").alias("__leg"), *[F.col(c).alias(f"__{c}") for c in ends_])
+    every = legs.join(like, same).select("leg_id", "__leg")
+    every = every.join(found.withColumnRenamed("leg_id", "__leg"), "__leg", "left").drop("__leg")
+    return every.withColumn("reason", F.when(F.col("way").isNull(), F.coalesce("reason", F.lit("no_snap"))))
+
+
+def _searched(legs: DataFrame, nodes: DataFrame, edges: DataFrame, snap_m: float, snaps: int, pad_m: float, pad_share: float, square_nodes: int) -> DataFrame:
+    """``least_cost_path`` of legs that all have other ends."""
     kinds = dict(legs.dtypes)["leg_id"], dict(nodes.dtypes)["node_id"]
     here = nodes.select("node_id", "lng", "lat")
     weight = F.coalesce(lookup(F.col("kind"), WALKING_COST), F.lit(1.5))
@@ -159,7 +199,7 @@ def least_cost_path(
     up = F.degrees(pad / EARTH_M)
     wide = up / F.greatest(F.cos(F.radians(F.greatest(F.abs("from_lat"), F.abs("to_lat")))), F.lit(0.01))
     boxes = legs.select(
-        "leg_id", (F.least("from_lng", "to_lng") - wide).alias("west"), (F.least("from_lat", "to_lat") - up).alias("south"),
+        "leg_id", "to_lng", "to_lat", (F.least("from_lng", "to_lng") - wide).alias("west"), (F.least("from_lat", "to_lat") - up).alias("south"),
         (F.greatest("from_lng", "to_lng") + wide).alias("east"), (F.greatest("from_lat", "to_lat") + up).alias("north"),
     ).dropDuplicates(["leg_id"])
     parts = least_roots(edges, "a", "b").select(F.col("node").alias("node_id"), "root")
@@ -176,14 +216,16 @@ def least_cost_path(
     if not levels:
         found = linked.select("leg_id", F.lit(0.0).alias("cost"), F.lit(0.0).alias("length"), F.array().cast(f"array<{kinds[1]}>").alias("way"))
         return _with_reasons(legs, ends, found)
-    asked = linked.groupBy("level", "cx", "cy").agg(F.ceil(F.count(F.lit(1)) / SQUARE_LEGS).cast("int").alias("tasks"))
+    asked = linked.groupBy("level", "cx", "cy").agg(F.count(F.lit(1)).alias("legs"))
     placed = lambda df, lng, lat: df.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumn("lng", F.col(lng)).withColumn("lat", F.col(lat)).withColumn("cx", cell("lng")).withColumn("cy", cell("lat"))
     squares = lambda df: df.withColumn("cx", F.explode(F.array(F.col("cx") - 1, F.col("cx")))).withColumn("cy", F.explode(F.array(F.col("cy") - 1, F.col("cy"))))
     full = squares(placed(here, "lng", "lat").groupBy("level", "cx", "cy").count()).groupBy("level", "cx", "cy").agg(F.sum("count").alias("held"))
-    asked = stored(asked.join(full, ["level", "cx", "cy"], "left").withColumn("near", F.coalesce("held", F.lit(0)) <= square_nodes), "squares")
+    sent = squares(placed(arcs, "a_lng", "a_lat").groupBy("level", "cx", "cy").count()).groupBy("level", "cx", "cy").agg(F.sum("count").alias("arcs"))
+    asked = asked.join(full, ["level", "cx", "cy"], "left").join(sent, ["level", "cx", "cy"], "left").withColumn("near", F.coalesce("held", F.lit(0)) <= square_nodes)
+    asked = stored(asked.withColumn("tasks", F.ceil(F.col("legs") / F.greatest(F.lit(SQUARE_LEGS), F.coalesce("arcs", F.lit(0)))).cast("int")), "squares")
     mine = linked.join(asked.where("near"), ["level", "cx", "cy"]).withColumn("task", F.pmod(F.xxhash64("leg_id"), F.col("tasks")).cast("int"))
     dealt = squares(placed(arcs, "a_lng", "a_lat")).join(asked.where("near"), ["level", "cx", "cy"]).withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
-    dealt = dealt.select("level", "cx", "cy", "task", "a", "b", "w", "length_m", "b_lng", "b_lat")
+    dealt = dealt.select("level", "cx", "cy", "task", "a", "b", "w", "length_m", "a_lng", "a_lat", "b_lng", "b_lat")
     ways = f"leg_id {kinds[0]}, cost double, length double, way array<{kinds[1]}>"
     key = ("level", "cx", "cy", "task")
     found = mine.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInArrow(_search_square(to_arrow_schema(T.StructType.fromDDL(ways))), ways)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tarnspark.operators import lines
+from tarnspark.operators import lines, paths
 
 
 def test_grades_of_a_crowd_are_measured_by_place(spark, monkeypatch):
@@ -42,3 +42,33 @@ def test_grades_of_a_crowd_are_measured_by_place(spark, monkeypatch):
         want = [ways[k][0] if some else None for k, some in zip(first, agrees.any(axis=1))]
         assert got == want
         assert degrees > 40 or len(set(got)) > 2
+
+
+def test_legs_of_equal_ends_are_searched_once_and_arcs_follow_legs(spark, monkeypatch):
+    rng, seen, stored = random.Random(9), {}, paths.stored
+    monkeypatch.setattr(paths, "SQUARE_LEGS", 1)
+    monkeypatch.setattr(paths, "stored", lambda df, name, **more: seen.setdefault(name, stored(df, name, **more)))
+    at = {n: (n % 8 * 1e-3, n // 8 * 1e-3) for n in range(64)}
+    pairs = {tuple(sorted(rng.sample(range(64), 2))) for _ in range(260)}
+    rows = [(a, b, paths._away(*at[a], *at[b]) * rng.uniform(1, 1.3), "path") for a, b in pairs]
+    ends = [(*at[a], *at[b]) for a, b in (rng.sample(range(64), 2) for _ in range(30))]
+    legs = [(k, *ends[k % 30]) for k in range(300)]
+    frame = lambda rows: spark.createDataFrame(rows, "leg_id long, from_lng double, from_lat double, to_lng double, to_lat double")
+    nodes, edges = spark.createDataFrame([(n, *p) for n, p in at.items()], "node_id long, lng double, lat double"), spark.createDataFrame(rows, "a long, b long, length_m double, kind string")
+    got = {r["leg_id"]: r for r in paths.least_cost_path(frame(legs), nodes, edges, 1.0, 1).collect()}
+    assert seen["linked"].count() == len(set(ends)) and len(got) == 300
+    sent = seen["squares"].selectExpr("sum(tasks * arcs) AS sent", "sum(arcs + legs) AS held").first()
+    assert sent["sent"] <= sent["held"]
+    known = {a: {a: 0.0} for a in at}
+    for a in at:  # relaxed until nothing gets cheaper
+        while True:
+            new = {b: c for u, v, m, _ in rows for x, b in ((u, v), (v, u)) if x in known[a] and (c := known[a][x] + m) < known[a].get(b, math.inf) - 1e-9}
+            if not new:
+                break
+            for b, c in new.items():
+                known[a][b] = min(c, known[a].get(b, math.inf))
+    name = {p: n for n, p in at.items()}
+    for k, *p in legs:
+        want = known[name[tuple(p[:2])]].get(name[tuple(p[2:])])
+        assert (got[k]["cost"] is None) == (want is None) and (want is None or abs(got[k]["cost"] - want) < 1e-6)
+        assert want is None or (got[k]["way"][0], got[k]["way"][-1]) == (name[tuple(p[:2])], name[tuple(p[2:])])
