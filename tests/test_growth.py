@@ -72,3 +72,12 @@ def test_legs_of_equal_ends_are_searched_once_and_arcs_follow_legs(spark, monkey
         want = known[name[tuple(p[:2])]].get(name[tuple(p[2:])])
         assert (got[k]["cost"] is None) == (want is None) and (want is None or abs(got[k]["cost"] - want) < 1e-6)
         assert want is None or (got[k]["way"][0], got[k]["way"][-1]) == (name[tuple(p[:2])], name[tuple(p[2:])])
+
+
+def test_segments_sort_their_lines_once(spark):
+    rows = [(w, k, 10 + w * 1e-3 + k * k * 1e-3, 50.0) for w in range(3) for k in range(4)]
+    out = lines.segments(spark.createDataFrame(rows[::-1], "way long, seq long, lng double, lat double"), "way")
+    assert out._jdf.queryExecution().sparkPlan().toString().count("Window") and out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Sort [") == 1
+    for way in range(3):
+        mine = out.where(f"way = {way}").orderBy("seg").collect()
+        assert [r["seg"] for r in mine] == [0, 1, 2] and [r["before"] for r in mine] == [0.0, mine[0]["m"], mine[0]["m"] + mine[1]["m"]]
