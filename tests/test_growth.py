@@ -5,10 +5,12 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tarnspark.operators import lines, paths
+from tarnspark.operators import lines, paths, spatial
+from tarnspark.scratch import stored
 
 
 def test_grades_of_a_crowd_are_measured_by_place(spark, monkeypatch):
@@ -81,3 +83,26 @@ def test_segments_sort_their_lines_once(spark):
     for way in range(3):
         mine = out.where(f"way = {way}").orderBy("seg").collect()
         assert [r["seg"] for r in mine] == [0, 1, 2] and [r["before"] for r in mine] == [0.0, mine[0]["m"], mine[0]["m"] + mine[1]["m"]]
+
+
+def test_regions_of_many_points_are_ranked_in_tasks_of_few(spark, monkeypatch):
+    """Points near regions, some degrees off and far from all get their nearest; a task ranks those of some points only."""
+    rng, held = random.Random(13), []
+
+    def kept(df, name, **more):
+        out = stored(df, name, **more)
+        if name == "found":
+            held.append(max((r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count_distinct("id").alias("n")).collect()), default=0))
+        return out
+
+    monkeypatch.setattr(spatial, "RANK_POINTS", 100)
+    monkeypatch.setattr(spatial, "stored", kept)
+    boxes = [(f"r{n}", w, s, w + 0.3, s + 0.2 + n % 3 * 0.1) for n in range(12) for w, s in [(rng.uniform(-6, -3), rng.uniform(55, 57))]]
+    spots = {n: (rng.uniform(-6, -3), rng.uniform(55, 57)) for n in range(1500)} | {1500: (-12.0, 56.0), 1501: (2.0, 50.0), 1502: (100.0, -40.0)}
+    points = spark.createDataFrame([(n, *p) for n, p in spots.items()] + [(9000, None, 56.0)], "id long, lng double, lat double")
+    regions = spark.createDataFrame(boxes, "region_id string, w double, s double, e double, n double")
+    got = {(r["id"], r["pos"]): r["region_id"] for r in spatial.region_nearest(points, "id", regions, 3).collect()}
+    away = lambda x, y, b: (max(b[1] - x, x - b[3], 0.0) * math.cos(math.radians(y))) ** 2 + max(b[2] - y, y - b[4], 0.0) ** 2
+    near = lambda x, y: sorted(boxes, key=lambda b: (away(x, y, b), (b[3] - b[1]) * (b[4] - b[2]), b[0]))[:3]
+    assert got == {(n, k + 1): b[0] for n, p in spots.items() for k, b in enumerate(near(*p))}
+    assert len(held) == 3 and max(held) < 200
