@@ -112,7 +112,7 @@ def settled(n: int, u: np.ndarray, v: np.ndarray, t: np.ndarray, edge: np.ndarra
     return (a, b, -heights[depth]), done
 
 
-def _reduce(width: int, side: int, last: bool, least: float) -> Callable[[pa.Table], pa.Table]:
+def _reduce(width: int, height: int, side: int, last: bool, least: float) -> Callable[[pa.Table], pa.Table]:
     def reduce(block: pa.Table) -> pa.Table:
         kind, u, v, t, peak, ele = (block.column(n).to_numpy() for n in ("kind", "u", "v", "t", "peak", "ele"))
         at = np.flatnonzero(kind == NODE)
@@ -126,14 +126,16 @@ def _reduce(width: int, side: int, last: bool, least: float) -> Callable[[pa.Tab
             beside = np.minimum(place(cells + step), len(cells) - 1)
             met = (cells[beside] == cells + step) & ((step > 1) | (col < width - 1) | (width == 1))
             links.append((np.flatnonzero(met), beside[met], np.minimum(band[met], band[beside[met]])))
-        a, b, height = (np.concatenate(x) for x in zip(*links))
-        near = height > least
-        edge = np.zeros(len(cells), dtype=bool) if last else (row % side == 0) | (row % side == side - 1) | (col % side == 0) | (col % side == side - 1)
+        a, b, depth = (np.concatenate(x) for x in zip(*links))
+        near = depth > least
+        # A cell on the raster's own border has no neighbour in another block.
+        beyond = lambda at, size: (at % side == 0) & (at > 0) | (at % side == side - 1) & (at < size - 1)
+        edge = beyond(row, height) | beyond(col, width)
         tops = np.flatnonzero(kind == PEAK)
         tops = tops[np.lexsort((-peak[tops], ele[tops]))]
         rank, owner = np.full(len(cells), -1), np.zeros(len(cells), dtype=np.int64)
         rank[place(u[tops])], owner[place(u[tops])] = np.arange(len(tops)), tops
-        (a, b, height), done = settled(len(cells), a[near], b[near], height[near], edge, rank)
+        (a, b, depth), done = settled(len(cells), a[near], b[near], depth[near], edge, rank)
         gone = np.array([k for k, _ in done], dtype=np.int64)
         rank[gone], open_ = -1, np.zeros(0, dtype=np.int64)
         if not last:
@@ -142,12 +144,12 @@ def _reduce(width: int, side: int, last: bool, least: float) -> Callable[[pa.Tab
         sizes = [len(stay), len(a), len(open_), len(gone)]
         none, blank = (lambda m: np.zeros(m, dtype=np.int64)), (lambda m: np.zeros(m))
         if last:
-            a, b, height, sizes[1] = a[:0], b[:0], height[:0], 0
+            a, b, depth, sizes[1] = a[:0], b[:0], depth[:0], 0
         return pa.table({
             "kind": np.repeat(np.arange(4, dtype=np.int32), sizes),
             "u": np.concatenate((cells[stay], cells[a], cells[open_], none(sizes[3]))),
             "v": np.concatenate((none(sizes[0]), cells[b], none(sizes[2] + sizes[3]))),
-            "t": np.concatenate((band[stay], height, blank(sizes[2]), np.array([s for _, s in done]))),
+            "t": np.concatenate((band[stay], depth, blank(sizes[2]), np.array([s for _, s in done]))),
             "peak": np.concatenate((none(sizes[0] + sizes[1]), peak[owner[open_]], peak[owner[gone]])),
             "ele": np.concatenate((blank(sizes[0] + sizes[1]), ele[owner[open_]], blank(sizes[3]))),
         })
@@ -182,7 +184,7 @@ def prominence(snapped: DataFrame, dem: DataFrame, step: float = 20.0, floor: fl
     while True:
         last = side >= max(width, height)
         at = (F.floor(F.floor(F.col("u") / width) / side), F.floor(F.col("u") % width / side))
-        rows = stored(rows.groupBy(at[0].alias("block_row"), at[1].alias("block_col")).applyInArrow(_reduce(width, side, last, least), _ROWS), "blocks")
+        rows = stored(rows.groupBy(at[0].alias("block_row"), at[1].alias("block_col")).applyInArrow(_reduce(width, height, side, last, least), _ROWS), "blocks")
         saddles = saddles.unionByName(rows.where(F.col("kind") == SETTLED).select(F.col("peak").alias("peak_id"), F.col("t").alias("saddle")))
         if last:
             break

@@ -217,6 +217,7 @@ def peak_snap(peaks: DataFrame, key: str, dem: DataFrame, radius: int = 2) -> Da
     tile's peaks are dealt into tasks of ``SNAP_PEAKS``.
     """
     at = peaks.select(key, F.col("px").cast("int").alias("c"), F.col("py").cast("int").alias("r")).where("r is not null and c is not null")
+    at = stored(at, "peaks")  # read twice below
     tile = lambda c: F.floor(c / SNAP_TILE).cast("int")
     at = at.withColumn("ty", tile(F.col("r"))).withColumn("tx", tile(F.col("c")))
     parts = stored(at.groupBy("ty", "tx").agg(F.ceil(F.count(F.lit(1)) / SNAP_PEAKS).cast("int").alias("parts")), "tiles")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tarnspark.operators import lines, paths, spatial
+from tarnspark.operators import lines, paths, prominence, raster, spatial
 from tarnspark.scratch import stored
 
 
@@ -106,3 +106,26 @@ def test_regions_of_many_points_are_ranked_in_tasks_of_few(spark, monkeypatch):
     near = lambda x, y: sorted(boxes, key=lambda b: (away(x, y, b), (b[3] - b[1]) * (b[4] - b[2]), b[0]))[:3]
     assert got == {(n, k + 1): b[0] for n, p in spots.items() for k, b in enumerate(near(*p))}
     assert len(held) == 3 and max(held) < 200
+
+
+def test_merge_trees_keep_no_cell_of_the_rasters_own_border(spark, monkeypatch):
+    """A raster no wider than a block leaves the two rows at a seam, not its whole left side, and reads each peak's place once."""
+    written = {}
+
+    def kept(df, name, **more):
+        out = stored(df, name, **more)
+        written.setdefault(name, []).append(out.where(F.col("kind") == prominence.NODE).count() if name == "blocks" else out.count())
+        return out
+
+    monkeypatch.setattr(prominence, "stored", kept)
+    monkeypatch.setattr(raster, "stored", kept)
+    rng = random.Random(10)
+    dem = spark.createDataFrame([(r, c, rng.randrange(1000)) for r in range(256) for c in range(8)], "row int, col int, z int")
+    peaks = spark.createDataFrame([(n, rng.uniform(0, 8), rng.uniform(0, 256)) for n in range(50)], "peak_id long, px double, py double")
+    snapped = raster.peak_snap(peaks, "peak_id", dem)
+    monkeypatch.setattr(raster, "stored", stored)
+    whole = {r["peak_id"]: r["prom"] for r in prominence.prominence(snapped, dem, 50.0, 0.0, 256).collect()}
+    written["blocks"].clear()
+    assert {r["peak_id"]: r["prom"] for r in prominence.prominence(snapped, dem, 50.0, 0.0, 16).collect()} == whole
+    seams, open_ = 30 * 8, 50
+    assert written["peaks"][0] == 50 and written["blocks"][0] <= seams + open_ and written["blocks"][1] <= 6 * 8 + open_
