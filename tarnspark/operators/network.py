@@ -138,19 +138,24 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def gap_bridge(nodes: DataFrame, edges: DataFrame, max_m: float = 20.0, k: int = 6) -> DataFrame:
-    """Edges and bridges of kind ``gap``: each dead end to its nearest node, of the ``k`` nearest, in another component.
+    """The edges, and the bridges that ``gap_bridges`` finds."""
+    return edges.select("a", "b", "length_m", "kind").unionByName(gap_bridges(nodes, edges, max_m, k))
 
-    The bridges are those of going through the dead ends one by one in the order of their ids, a bridge joining components and
-    ending both its nodes' search. Ends are taken at once where that cannot change what they get: one that is the least of all
+
+def gap_bridges(nodes: DataFrame, edges: DataFrame, max_m: float = 20.0, k: int = 6) -> DataFrame:
+    """Bridges (a, b, length_m) of kind ``gap``: each dead end to its nearest node, of the ``k`` nearest, in another component.
+
+    Nodes and the ends of edges are read once. The bridges are those of going through the dead ends one by one in the order of
+    their ids, a bridge joining components and ending both its nodes' search. Ends are taken at once where that cannot change what they get: one that is the least of all
     that touch its own component or its candidate's, while no lesser end aims at it or is its candidate, meets what it would
     meet in its turn. The others go on in the next round, and what is left is settled in order in one task when it has no more
     rows than ``SETTLE_ROWS``.
     """
-    found = edges.select("a", "b", "length_m", "kind")
-    ends = found.select(F.explode(F.array("a", "b")).alias("node_id")).groupBy("node_id").count().where("count = 1").select("node_id")
+    nodes, links = stored(nodes.select("node_id", "lng", "lat"), "nodes"), stored(edges.select("a", "b"), "links")
+    ends = links.select(F.explode(F.array("a", "b")).alias("node_id")).groupBy("node_id").count().where("count = 1").select("node_id")
     loose = ends.join(nodes, "node_id").select(F.col("node_id").alias("end_id"), "lng", "lat")
     near = stored(line_snap(loose, "end_id", nodes, max_m, k).where("end_id <> node_id"), "near")
-    parts = least_roots(edges, "a", "b")
+    parts = least_roots(links, "a", "b")
     part = lambda c, name: parts.select(F.col("node").alias(c), F.col("root").alias(name))
     near = near.join(part("node_id", "cn"), "node_id", "left").join(part("end_id", "ce"), "end_id", "left")
     near = near.select("end_id", "node_id", "distance_m", "pos", F.coalesce("ce", "end_id").alias("ce"), F.coalesce("cn", "node_id").alias("cn"))
@@ -172,10 +177,9 @@ def gap_bridge(nodes: DataFrame, edges: DataFrame, max_m: float = 20.0, k: int =
         rest = open_.join(done, "end_id", "left_anti").join(root("ce"), "ce", "left").join(root("cn"), "cn", "left")
         rest = rest.select("end_id", "node_id", "distance_m", "pos", F.coalesce("rce", "ce").alias("ce"), F.coalesce("rcn", "cn").alias("cn")).where("cn <> ce")
         open_ = stored(rest, "open", after=(open_,))
-    taken.append(stored(open_.coalesce(1).mapInArrow(_in_order, open_.schema), "bridges", after=(open_, near)))
-    for bridges in taken:
-        found = found.unionByName(bridges.select(F.least("end_id", "node_id").alias("a"), F.greatest("end_id", "node_id").alias("b"), F.col("distance_m").alias("length_m"), F.lit("gap").alias("kind")))
-    return found
+    taken.append(stored(open_.coalesce(1).mapInArrow(_in_order, open_.schema), "bridges", after=(open_, near, nodes, links)))
+    found = reduce(lambda x, y: x.unionByName(y), [bridges.select("end_id", "node_id", "distance_m") for bridges in taken])
+    return found.select(F.least("end_id", "node_id").alias("a"), F.greatest("end_id", "node_id").alias("b"), F.col("distance_m").alias("length_m"), F.lit("gap").alias("kind"))
 
 
 def leg_fallback(legs: DataFrame, paths: DataFrame, covered: DataFrame, max_tiles: int = 1024) -> DataFrame:

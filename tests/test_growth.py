@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tarnspark.operators import lines, paths, prominence, raster, spatial
+from tarnspark.operators import lines, network, paths, prominence, raster, spatial
 from tarnspark.scratch import stored
 
 
@@ -129,3 +129,26 @@ def test_merge_trees_keep_no_cell_of_the_rasters_own_border(spark, monkeypatch):
     assert {r["peak_id"]: r["prom"] for r in prominence.prominence(snapped, dem, 50.0, 0.0, 16).collect()} == whole
     seams, open_ = 30 * 8, 50
     assert written["peaks"][0] == 50 and written["blocks"][0] <= seams + open_ and written["blocks"][1] <= 6 * 8 + open_
+
+
+def test_bridges_read_nodes_and_edges_once(spark):
+    """Dashes in a row get their bridges from one pass through the nodes and one through the edges."""
+    read = {"nodes": spark.sparkContext.accumulator(0), "edges": spark.sparkContext.accumulator(0)}
+
+    def told(df, name):
+        seen = read[name]
+
+        def through(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return df.mapInArrow(through, df.schema)
+
+    nodes = spark.createDataFrame([(n, n // 2 * 1e-3 + n % 2 * 9e-4, 0.0) for n in range(40)], "node_id long, lng double, lat double")
+    edges = spark.createDataFrame([(n, n + 1, 100.0, "path") for n in range(0, 40, 2)], "a long, b long, length_m double, kind string")
+    got = network.gap_bridges(told(nodes, "nodes"), told(edges, "edges")).orderBy("a").collect()
+    assert [(r["a"], r["b"], r["kind"]) for r in got] == [(n, n + 1, "gap") for n in range(1, 39, 2)]
+    assert {k: v.value for k, v in read.items()} == {"nodes": 40, "edges": 20}
+    whole = network.gap_bridge(nodes, edges)
+    assert whole.count() == 39 and whole.where("kind = 'gap'").orderBy("a").collect() == got
