@@ -1,7 +1,9 @@
 """Least-cost legs over the path network.
 
 A leg keeps to a box around its ends. Legs whose boxes lie in one square of the network, of a side that follows the box, are
-searched together in one task that holds the square: one round for all of them. Where a square has too many nodes for that,
+searched together in one task that holds the square, many at a time in NumPy: one round of tasks for all of them. A task gets
+its square's edges, nodes and the nodes near each place that a leg starts or ends at once, so a leg is no more than its ends
+and its box there. Where a square has too many nodes for that,
 its legs are searched block by block: a leg's search holds one row per node it has reached, a block in which it has new
 arrivals is searched to the end in one task, and what leaves the block arrives in the next block in the next round. Those
 rounds follow the number of blocks that a leg crosses, not its edges; rows point back to the node before them, and legs that
@@ -33,6 +35,13 @@ from tarnspark.scratch import forget, stored
 BLOCK_DEGREES, LEGS_A_TASK = 0.1, 256
 #: Side of the smallest squares in degrees, nodes that a square may hold, and legs that one task searches in it at least.
 SQUARE_DEGREES, SQUARE_NODES, SQUARE_LEGS = 0.05, 100_000, 1024
+#: Doublings of that side which small boxes go up where no square is too full for it: an edge then lies in fewer squares.
+RAISED = 2
+#: Legs that a task searches at a time, places that it keeps for legs and nodes together, and the side in degrees by which it sorts legs.
+BATCH_LEGS, BATCH_LABELS, BATCH_DEGREES = 512, 4_000_000, 0.04
+#: Open nodes of a leg are searched on together up to this share of its distance beyond the best of them.
+STEP_SHARE, STEP_LEAST_M = 0.05, 50.0
+_ENDS = ["from_lng", "from_lat", "to_lng", "to_lat"]
 _REACHED = "leg_id {leg}, node_id {node}, block long, cost double, length double, prev {node}, came boolean"
 
 
@@ -105,60 +114,161 @@ def _away(lng: float, lat: float, to_lng: float, to_lat: float) -> float:
     return 2 * EARTH_M * math.asin(min(1.0, math.sqrt(h)))
 
 
+def _space(lng: np.ndarray, lat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in space, in metres. A straight line there is no longer than the way over the ground."""
+    p, q = np.radians(lng), np.radians(lat)
+    return EARTH_M * np.cos(q) * np.cos(p), EARTH_M * np.cos(q) * np.sin(p), EARTH_M * np.sin(q)
+
+
+def _straight(a: tuple, b: tuple) -> np.ndarray:
+    return np.sqrt((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2)
+
+
+def _runs(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all runs of ``count`` that begin at ``first``, and the run that each is of."""
+    of = np.repeat(np.arange(len(count)), count)
+    return np.arange(len(of)) + (first - np.cumsum(count) + count)[of], of
+
+
+def _codes(*columns) -> tuple[pa.Array, list[np.ndarray]]:
+    """The values of like columns in order, and each column as their numbers."""
+    ids = pa.chunked_array([c for column in columns for c in column.chunks], columns[0].type).combine_chunks().dictionary_encode()
+    order = pc.sort_indices(ids.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return ids.dictionary.take(pa.array(order)), np.split(rank[ids.indices.to_numpy()], np.cumsum([len(c) for c in columns])[:-1])
+
+
 def _search_square(schema: pa.Schema):
-    """The best way of each leg of a square, from all its starts until no better end can come.
+    """The best way of each leg of a square, from all its starts until no better end can come; legs that have no snap go.
 
-    A node counts with the least that the rest of its way can cost: the metres to the leg's end as the crow flies, by the
-    cheapest metre of the square's arcs. A node that is reached for less later on is searched again.
+    A node counts with the least that the rest of its way can cost: the straight line to the leg's end, by the cheapest metre
+    of the square's arcs. Each turn searches on from the best open nodes of every leg of a batch, along the arcs that are no
+    heavier than what the best way found so far leaves; a node that is reached for less later on is searched again.
     """
 
-    def search(legs: pa.Table, arcs: pa.Table) -> pa.Table:
-        if not legs.num_rows:
+    def search(legs: pa.Table, given: pa.Table) -> pa.Table:
+        some = lambda name: pc.is_valid(given.column(name))
+        edges, snaps, nodes = given.filter(some("b")), given.filter(some("part")), given.filter(pc.and_not(some("lng"), some("part")))
+        if not legs.num_rows or not snaps.num_rows:
             return schema.empty_table()
-        arcs = arcs.take(pc.sort_indices(arcs, [("a", "ascending"), ("b", "ascending")]))
-        b, w, metres, lngs, lats = (arcs.column(c).to_numpy() for c in ("b", "w", "length_m", "b_lng", "b_lat"))
-        runs = pc.run_end_encode(arcs.column("a").combine_chunks()) if arcs.num_rows else None
-        stops = runs.run_ends.to_pylist() if runs is not None else []
-        ways = dict(zip(runs.values.to_pylist() if runs is not None else (), zip([0, *stops], stops)))
-        rad = lambda c: np.radians(arcs.column(c).to_numpy())
-        p, q = rad("a_lat"), rad("b_lat")
-        straight = 2 * EARTH_M * np.arcsin(np.minimum(1, np.sqrt(np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin((rad("b_lng") - rad("a_lng")) / 2) ** 2)))
+        column = lambda t, *names: [t.column(c).to_numpy() for c in names]
+        spot = lambda lng, lat: lng + 1j * lat
+        snaps = snaps.take(pc.sort_indices(snaps, [("lng", "ascending"), ("lat", "ascending"), ("w", "ascending")]))
+        ids, (a, b, held, snap) = _codes(edges.column("a"), edges.column("b"), nodes.column("a"), snaps.column("a"))
+        _, (part,) = _codes(snaps.column("part"))
+        (snap_m,), parts = column(snaps, "w"), int(part.max()) + 1
+        spots, first, count = np.unique(spot(*column(snaps, "lng", "lat")), return_index=True, return_counts=True)
+
+        def snapped(end: str) -> np.ndarray:
+            asked = spot(*column(legs, f"{end}_lng", f"{end}_lat"))
+            at = np.minimum(np.searchsorted(spots, asked), len(spots) - 1)
+            return np.where(spots[at] == asked, at, -1)
+
+        starts, ends = snapped("from"), snapped("to")
+        both = np.flatnonzero((starts >= 0) & (ends >= 0))
+        legs, starts, ends = legs.take(pa.array(both)), starts[both], ends[both]
+        lng, lat = np.full(len(ids), np.nan), np.full(len(ids), np.nan)
+        lng[held], lat[held] = column(nodes, "lng", "lat")
+        space = _space(lng, lat)
+        come, to = np.concatenate((a, b)), np.concatenate((b, a))
+        w, metres = (np.tile(c, 2) for c in column(edges, "w", "length_m"))
+        order = np.lexsort((w, come))
+        come, to, w, metres = come[order], to[order], w[order], metres[order]
+        out_of = np.searchsorted(come, np.arange(len(ids) + 1))
+        line = _straight([c[come] for c in space], [c[to] for c in space])
         # A little less than the least, so that rounding never leaves out a way.
-        least = min(1.0, float(np.min(np.divide(w, straight, out=np.ones(len(straight)), where=straight > 0), initial=1.0))) * (1 - 1e-9)
-        out = []
-        for leg, starts, goals, to_lng, to_lat, west, south, east, north in _rows(legs, "leg_id", "starts", "goals", "to_lng", "to_lat", "west", "south", "east", "north"):
-            known, last, rest = {}, {g["node_id"]: g["m"] for g in goals}, {}
-            heap = []
-            for s in starts:
-                known[s["node_id"]] = (s["m"], 0.0, None)
-                heap.append((s["m"], s["m"], s["node_id"]))
-            heapq.heapify(heap)
-            best = (math.inf, None)
-            while heap:
-                bound, cost, node = heapq.heappop(heap)
-                if bound >= best[0]:
+        least = min(1.0, float(np.min(np.divide(w, line, out=np.ones(len(line)), where=line > 0), initial=1.0))) * (1 - 1e-9)
+        boxes = column(legs, "west", "south", "east", "north")
+        goals = _space(*column(legs, "to_lng", "to_lat"))
+        steps = np.maximum(STEP_SHARE * _straight(_space(*column(legs, "from_lng", "from_lat")), goals), STEP_LEAST_M)
+        row, col = (np.floor((boxes[k] + boxes[k + 2]) / 2 / BATCH_DEGREES) for k in (1, 0))
+        turn, done = np.lexsort((col, row)), 0
+        costs, lengths, ways = np.full(len(turn), np.inf), np.zeros(len(turn)), []
+        cost = came = np.empty(0)
+        new = np.full(len(ids), -1)
+        while done < len(turn):
+            size = BATCH_LEGS
+            while True:  # nodes in reach of a batch that its labels have room for
+                k = turn[done : done + size]
+                (s, sl), (g, gl) = (_runs(first[c[k]], count[c[k]]) for c in (starts, ends))
+                # Ends that no end on the other side is connected with are left out.
+                from_, to_ = sl * parts + part[s], gl * parts + part[g]
+                linked, also = np.isin(from_, to_), np.isin(to_, from_)
+                s, sl, g, gl = s[linked], sl[linked], g[also], gl[also]
+                west, south, east, north = (c[k] for c in boxes)
+                inside = (lng >= west.min()) & (lng <= east.max()) & (lat >= south.min()) & (lat <= north.max())
+                inside[snap[s]] = inside[snap[g]] = True
+                here = np.flatnonzero(inside)
+                n = len(here)
+                if len(k) == 1 or len(k) * n <= BATCH_LABELS:
                     break
-                if cost > known[node][0]:
-                    continue
-                if node in last:
-                    best = min(best, (cost + last[node], node))
-                low, high = ways.get(node, (0, 0))
-                far = known[node][1]
-                for to, more, m, lng, lat in zip(*(v[low:high].tolist() for v in (b, w, metres, lngs, lats))):
-                    if west <= lng <= east and south <= lat <= north and (to not in known or cost + more < known[to][0]):
-                        if to not in rest:
-                            rest[to] = _away(lng, lat, to_lng, to_lat) * least - 1e-6
-                        if cost + more + rest[to] < best[0]:
-                            known[to] = (cost + more, far + m, node)
-                            heapq.heappush(heap, (cost + more + rest[to], cost + more, to))
-            if best[1] is not None:
-                way, node = [], best[1]
-                while node is not None:
-                    way.append(node)
-                    node = known[node][2]
-                out.append((leg, best[0], known[best[1]][1], way[::-1]))
-        columns = zip(*out) if out else [[] for _ in schema]
-        return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
+                size = max(1, min(size // 2, BATCH_LABELS // n))
+            done += len(k)
+            new[here] = np.arange(n)
+            arc, tail = _runs(out_of[here], out_of[here + 1] - out_of[here])
+            head = new[to[arc]]
+            arc, tail, head = arc[head >= 0], tail[head >= 0], head[head >= 0]
+            weight, stop = w[arc], np.searchsorted(tail, np.arange(n + 1))
+            (x, y, z), (gx, gy, gz), mine, hers = (c[here] for c in space), (c[k] for c in goals), lng[here], lat[here]
+            if len(k) * n > len(cost):
+                cost, came = np.full(len(k) * n, np.inf), np.empty(len(k) * n, np.int64)
+            best, step = np.full(len(k), np.inf), steps[k]
+            leg, label, so_far, goal = sl, sl * n + new[snap[s]], snap_m[s], gl * n + new[snap[g]]
+            bound = so_far + np.nan_to_num(_straight([c[snap[s]] for c in space], [gx[sl], gy[sl], gz[sl]]) * least)
+            cost[label], came[label], touched = so_far, -1, [label]
+            np.minimum.at(best, gl, cost[goal] + snap_m[g])
+            while len(label):
+                low = np.full(len(k), np.inf)
+                np.minimum.at(low, leg, bound)
+                now = bound <= (low + step)[leg]
+                l, at, c = leg[now], label[now], so_far[now]
+                leg, label, so_far, bound = (v[~now] for v in (leg, label, so_far, bound))
+                left, u = best[l] - c, at - l * n
+                low, high = stop[u], stop[u + 1]
+                while (open_ := low < high).any():
+                    middle = (low + high) // 2
+                    light = open_ & (weight[np.where(open_, middle, 0)] < left)
+                    low, high = np.where(light, middle + 1, low), np.where(open_ & ~light, middle, high)
+                e, of = _runs(stop[u], low - stop[u])
+                v, l = head[e], l[of]
+                ahead = np.sqrt((x[v] - gx[l]) ** 2 + (y[v] - gy[l]) ** 2 + (z[v] - gz[l]) ** 2) * least - 1e-3
+                ok = np.flatnonzero(weight[e] + ahead < left[of])
+                e, of, v, l, ahead = e[ok], of[ok], v[ok], l[ok], ahead[ok]
+                at, c = l * n + v, c[of] + weight[e]
+                ok = (c < cost[at]) & (mine[v] >= west[l]) & (mine[v] <= east[l]) & (hers[v] >= south[l]) & (hers[v] <= north[l])
+                e, l, at, c, ahead = e[ok], l[ok], at[ok], c[ok], ahead[ok]
+                order = np.argsort(-c, kind="stable")  # of several arcs to a node the cheapest is the last to be put down
+                cost[at[order]], came[at[order]] = c[order], e[order]
+                won = came[at] == e
+                touched.append(at[won])
+                np.minimum.at(best, gl, cost[goal] + snap_m[g])
+                leg, label, so_far, bound = (np.concatenate(v) for v in ((leg, l[won]), (label, at[won]), (so_far, c[won]), (bound, c[won] + ahead[won])))
+                ok = (bound < best[leg]) & (so_far <= cost[label])
+                leg, label, so_far, bound = leg[ok], label[ok], so_far[ok], bound[ok]
+            costs[k] = best
+            # Back from the best end, of several the least node.
+            last = np.full(len(k), n)
+            ended = np.isfinite(best[gl]) & (cost[goal] + snap_m[g] == best[gl])
+            np.minimum.at(last, gl[ended], new[snap[g[ended]]])
+            l, back = np.flatnonzero(last < n), []
+            u = last[l]
+            while len(l):
+                e = came[l * n + u]
+                back.append((k[l], here[u], np.where(e >= 0, metres[arc[e]] if len(arc) else 0.0, 0.0)))
+                l, u = l[e >= 0], tail[e[e >= 0]]
+            ways += [tuple(np.concatenate(v) for v in zip(*back[::-1]))] if back else []
+            cost[np.concatenate(touched)] = np.inf
+            new[here] = -1
+        of, at, m = (np.concatenate(v) for v in zip(*ways)) if ways else (np.empty(0, np.int64),) * 3
+        np.add.at(lengths, of, m)
+        order = np.argsort(of, kind="stable")
+        offsets = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(turn)))))
+        none = ~np.isfinite(costs)
+        way = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ids.take(pa.array(at[order])), type=schema.field("way").type, mask=pa.array(none))
+        reason = pa.array(np.where(none, "no_path", None), pa.string())
+        answers = [*(legs.column(c) for c in _ENDS), pa.array(costs, mask=none), pa.array(lengths, mask=none), way, reason]
+        return pa.Table.from_arrays(answers, schema=schema)
 
     return search
 
@@ -171,74 +281,86 @@ def least_cost_path(
     Both ends snap to their nearest nodes, and cost is snap, weighted edges, snap. The search keeps to the box of both ends
     grown by ``pad_m`` metres or ``pad_share`` of their distance, whichever is more. A leg without a way has nulls and the
     reason ``no_snap`` or ``no_path``; others have no reason. Legs of equal keys are one leg. Legs of equal ends are searched
-    once. A task that searches a square has no fewer legs than arcs, unless it has them all, so that what is sent out follows
-    the legs and the arcs and not their product.
+    once. A task that searches a square has no fewer legs than edges, unless it has them all, so that what is sent out follows
+    the legs and the edges and not their product.
     """
-    ends_ = ["from_lng", "from_lat", "to_lng", "to_lat"]
-    legs = legs.dropDuplicates(["leg_id"])
-    asked = stored(legs.groupBy(*ends_).agg(F.min("leg_id").alias("leg_id")), "asked")
-    found = _searched(asked, nodes, edges, snap_m, snaps, pad_m, pad_share, square_nodes)
-    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in ends_))
-    like = asked.select(F.col("leg_id").alias("__leg"), *[F.col(c).alias(f"__{c}") for c in ends_])
-    every = legs.join(like, same).select("leg_id", "__leg")
-    every = every.join(found.withColumnRenamed("leg_id", "__leg"), "__leg", "left").drop("__leg")
-    return every.withColumn("reason", F.when(F.col("way").isNull(), F.coalesce("reason", F.lit("no_snap"))))
+    legs = stored(legs.dropDuplicates(["leg_id"]).select("leg_id", *_ENDS), "legs")
+    found = _searched(legs, nodes, edges, snap_m, snaps, pad_m, pad_share, square_nodes)
+    return legs.join(found, _ENDS, "left").select("leg_id", "cost", "length", "way", F.when(F.col("way").isNull(), F.coalesce("reason", F.lit("no_snap"))).alias("reason"))
 
 
 def _searched(legs: DataFrame, nodes: DataFrame, edges: DataFrame, snap_m: float, snaps: int, pad_m: float, pad_share: float, square_nodes: int) -> DataFrame:
-    """``least_cost_path`` of legs that all have other ends."""
+    """Ends, cost, length, way and reason of all pairs of ends that have snaps."""
     kinds = dict(legs.dtypes)["leg_id"], dict(nodes.dtypes)["node_id"]
-    here = nodes.select("node_id", "lng", "lat")
+    here = stored(nodes.select("node_id", "lng", "lat"), "here")
     weight = F.coalesce(lookup(F.col("kind"), WALKING_COST), F.lit(1.5))
     arcs = edges.select("a", "b", "length_m", (F.col("length_m") * weight).alias("w"))
-    arcs = arcs.unionByName(arcs.select(F.col("b").alias("a"), F.col("a").alias("b"), "length_m", "w"))
     for end in "ab":
         arcs = arcs.join(here.select(F.col("node_id").alias(end), F.col("lng").alias(f"{end}_lng"), F.col("lat").alias(f"{end}_lat")), end)
     arcs = stored(arcs, "arcs")
+    parts = least_roots(arcs, "a", "b").select(F.col("node").alias("node_id"), "root")
+    asked = legs.dropna(subset=_ENDS)
+    places = asked.select(F.explode(F.array(*[F.struct(F.col(f"{p}_lng").alias("lng"), F.col(f"{p}_lat").alias("lat")) for p in ("from", "to")])).alias("place")).distinct()
+    near = line_snap(places.select("place", "place.lng", "place.lat"), "place", here, snap_m, snaps).join(parts, "node_id", "left")
+    near = stored(near.select("place.lng", "place.lat", "node_id", F.col("distance_m").alias("m"), F.coalesce("root", "node_id").alias("part")), "near")
     pad = F.greatest(F.lit(float(pad_m)), haversine_m(F.col("from_lng"), F.col("from_lat"), F.col("to_lng"), F.col("to_lat")) * pad_share)
-    up = F.degrees(pad / EARTH_M)
-    wide = up / F.greatest(F.cos(F.radians(F.greatest(F.abs("from_lat"), F.abs("to_lat")))), F.lit(0.01))
-    boxes = legs.select(
-        "leg_id", "to_lng", "to_lat", (F.least("from_lng", "to_lng") - wide).alias("west"), (F.least("from_lat", "to_lat") - up).alias("south"),
-        (F.greatest("from_lng", "to_lng") + wide).alias("east"), (F.greatest("from_lat", "to_lat") + up).alias("north"),
-    ).dropDuplicates(["leg_id"])
-    parts = least_roots(edges, "a", "b").select(F.col("node").alias("node_id"), "root")
-    snapped = lambda p: line_snap(legs.select("leg_id", F.col(f"{p}_lng").alias("lng"), F.col(f"{p}_lat").alias("lat")), "leg_id", nodes, snap_m, snaps)
-    end = lambda p: snapped(p).join(parts, "node_id", "left").groupBy("leg_id").agg(F.collect_set(F.struct("node_id", F.col("distance_m").alias("m"), F.coalesce("root", "node_id").alias("part"))).alias(p))
-    ends = stored(end("from").join(end("to"), "leg_id"), "ends")
-    meets = lambda mine, other: F.filter(mine, lambda x: F.exists(other, lambda y: x["part"] == y["part"]))
-    linked = ends.select("leg_id", meets("from", "to").alias("starts"), meets("to", "from").alias("goals")).where(F.size("starts") > 0).join(boxes, "leg_id")
-    # A box is no larger than its square's cells, so two by two of them hold it.
+    steep = F.greatest(F.cos(F.radians(F.greatest(F.abs("from_lat"), F.abs("to_lat")))), F.lit(0.01))
+
+    def boxed(df: DataFrame, pad) -> DataFrame:
+        up = F.degrees(pad / EARTH_M)
+        return df.select(
+            "*", (F.least("from_lng", "to_lng") - up / steep).alias("west"), (F.least("from_lat", "to_lat") - up).alias("south"),
+            (F.greatest("from_lng", "to_lng") + up / steep).alias("east"), (F.greatest("from_lat", "to_lat") + up).alias("north"),
+        )
+
+    # A square holds a leg's box and its snaps, which may lie outside the box. It is no smaller than its cells, so two by two of them hold it.
+    held = boxed(asked.groupBy(*_ENDS).agg(F.min("leg_id").alias("leg_id")), F.greatest(pad, F.lit(1.01 * snap_m)))
     level = F.greatest(F.ceil(F.log2(F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south")) / SQUARE_DEGREES)), F.lit(0)).cast("int")
+    linked = stored(held.select("leg_id", *_ENDS, level.alias("level"), F.col("west").alias("left"), F.col("south").alias("below")), "linked")
     cell = lambda c: F.floor(F.col(c) / (SQUARE_DEGREES * F.pow(F.lit(2.0), F.col("level")))).cast("bigint")
-    linked = stored(linked.withColumn("level", level).withColumn("cx", cell("west")).withColumn("cy", cell("south")), "linked")
-    levels = [r[0] for r in linked.select("level").distinct().collect()]
-    if not levels:
-        found = linked.select("leg_id", F.lit(0.0).alias("cost"), F.lit(0.0).alias("length"), F.array().cast(f"array<{kinds[1]}>").alias("way"))
-        return _with_reasons(legs, ends, found)
-    asked = linked.groupBy("level", "cx", "cy").agg(F.count(F.lit(1)).alias("legs"))
-    placed = lambda df, lng, lat: df.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumn("lng", F.col(lng)).withColumn("lat", F.col(lat)).withColumn("cx", cell("lng")).withColumn("cy", cell("lat"))
+    square = ["level", "cx", "cy"]
+    levels = {r[0] for r in linked.select("level").distinct().collect()} | set(range(RAISED + 1))
+    placed = lambda df, lng, lat, levels: df.withColumn("level", F.explode(F.array(*map(F.lit, sorted(levels))))).withColumn("cx", cell(lng)).withColumn("cy", cell(lat))
     squares = lambda df: df.withColumn("cx", F.explode(F.array(F.col("cx") - 1, F.col("cx")))).withColumn("cy", F.explode(F.array(F.col("cy") - 1, F.col("cy"))))
-    full = squares(placed(here, "lng", "lat").groupBy("level", "cx", "cy").count()).groupBy("level", "cx", "cy").agg(F.sum("count").alias("held"))
-    sent = squares(placed(arcs, "a_lng", "a_lat").groupBy("level", "cx", "cy").count()).groupBy("level", "cx", "cy").agg(F.sum("count").alias("arcs"))
-    asked = asked.join(full, ["level", "cx", "cy"], "left").join(sent, ["level", "cx", "cy"], "left").withColumn("near", F.coalesce("held", F.lit(0)) <= square_nodes)
-    asked = stored(asked.withColumn("tasks", F.ceil(F.col("legs") / F.greatest(F.lit(SQUARE_LEGS), F.coalesce("arcs", F.lit(0)))).cast("int")), "squares")
-    mine = linked.join(asked.where("near"), ["level", "cx", "cy"]).withColumn("task", F.pmod(F.xxhash64("leg_id"), F.col("tasks")).cast("int"))
-    dealt = squares(placed(arcs, "a_lng", "a_lat")).join(asked.where("near"), ["level", "cx", "cy"]).withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
-    dealt = dealt.select("level", "cx", "cy", "task", "a", "b", "w", "length_m", "a_lng", "a_lat", "b_lng", "b_lat")
-    ways = f"leg_id {kinds[0]}, cost double, length double, way array<{kinds[1]}>"
-    key = ("level", "cx", "cy", "task")
-    found = mine.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInArrow(_search_square(to_arrow_schema(T.StructType.fromDDL(ways))), ways)
-    far = stored(linked.join(asked.where("not near"), ["level", "cx", "cy"], "left_semi").select("leg_id", "starts", "goals", "west", "south", "east", "north"), "far")
+    summed = lambda df, lng, lat, levels, name: squares(placed(df, lng, lat, levels).groupBy(*square).count()).groupBy(*square).agg(F.sum("count").alias(name))
+    full = stored(summed(here, "lng", "lat", levels, "held"), "full")
+    fullest = {r[0]: r[1] for r in full.groupBy("level").agg(F.max("held")).collect()}
+    base = max((k for k in range(RAISED + 1) if fullest.get(k, 0) <= square_nodes), default=0)
+    levels = {max(k, base) for k in levels}
+    linked = linked.withColumn("level", F.greatest("level", F.lit(base))).withColumn("cx", cell("left")).withColumn("cy", cell("below")).drop("left", "below")
+    counted = linked.groupBy(*square).agg(F.count(F.lit(1)).alias("legs")).join(full, square, "left").join(summed(arcs, "a_lng", "a_lat", levels, "arcs"), square, "left")
+    tasks = F.ceil(F.col("legs") / F.greatest(F.lit(SQUARE_LEGS), F.coalesce("arcs", F.lit(0)))).cast("int")
+    counted = stored(counted.select(*square, "legs", "arcs", tasks.alias("tasks"), (F.coalesce("held", F.lit(0)) <= square_nodes).alias("near")), "squares")
+    mine = linked.join(counted.where("near"), square).withColumn("task", F.pmod(F.xxhash64("leg_id"), F.col("tasks")).cast("int"))
+    # One number for a square and a task, as rows sort by it; two of one number would only be searched together.
+    number = (((F.col("level") * 2**16 + F.col("cx") + 2**15) * 2**16 + F.col("cy") + 2**15) * 2**16 + F.col("task")).alias("number")
+    mine = boxed(mine, pad).select(number, *_ENDS, "west", "south", "east", "north")
+    # Of an edge's squares those that hold both its ends.
+    joint = placed(arcs, "a_lng", "a_lat", levels).withColumnsRenamed({"cx": "ax", "cy": "ay"}).withColumn("cx", cell("b_lng")).withColumn("cy", cell("b_lat")).where("abs(ax - cx) <= 1 and abs(ay - cy) <= 1")
+    both = lambda a, b: F.explode(F.sequence(F.greatest(a, b) - 1, F.least(a, b)))
+    joint = joint.withColumn("cx", both("ax", "cx")).withColumn("cy", both("ay", "cy"))
+    each = counted.where("near").select(*square, F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"))
+    dealt = lambda df, *columns: df.join(each, square).select(number, *columns)
+    given = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [
+        dealt(joint, "a", "b", "w", "length_m"), dealt(squares(placed(here, "lng", "lat", levels)), F.col("node_id").alias("a"), "lng", "lat"),
+        dealt(squares(placed(near, "lng", "lat", levels)), "lng", "lat", F.col("node_id").alias("a"), F.col("m").alias("w"), "part"),
+    ])
+    ways = f"from_lng double, from_lat double, to_lng double, to_lat double, cost double, length double, way array<{kinds[1]}>, reason string"
+    shelves = min(4000, 2 * (counted.where("near").agg(F.sum("tasks")).first()[0] or 1))
+    laid = lambda df: df.repartition(shelves, "number").groupBy("number")
+    found = laid(mine).cogroup(laid(given)).applyInArrow(_search_square(to_arrow_schema(T.StructType.fromDDL(ways))), ways)
+    far = linked.join(counted.where("not near"), square, "left_semi").select("leg_id", *_ENDS)
+    ends = near.groupBy("lng", "lat").agg(F.collect_list(F.struct("node_id", "m", "part")).alias("near"))
+    at = lambda p: ends.select(F.col("lng").alias(f"{p}_lng"), F.col("lat").alias(f"{p}_lat"), F.col("near").alias(p))
+    far = stored(far.join(at("from"), [*_ENDS[:2]]).join(at("to"), [*_ENDS[2:]]), "far")
     if far.limit(1).count():
-        found = found.unionByName(_by_blocks(far, here, arcs, kinds))
-    return _with_reasons(legs, ends, found)
-
-
-def _with_reasons(legs: DataFrame, ends: DataFrame, found: DataFrame) -> DataFrame:
-    seen = ends.select("leg_id", F.lit(True).alias("snapped"))
-    reason = F.when(F.col("way").isNull(), F.when(F.col("snapped"), "no_path").otherwise("no_snap"))
-    return legs.select("leg_id").distinct().join(found, "leg_id", "left").join(seen, "leg_id", "left").withColumn("reason", reason).drop("snapped")
+        meets = lambda mine, other: F.filter(mine, lambda x: F.exists(other, lambda y: x["part"] == y["part"]))
+        joined = boxed(far.withColumn("starts", meets("from", "to")).withColumn("goals", meets("to", "from")).where(F.size("starts") > 0), pad)
+        back = arcs.select(F.col("b").alias("a"), F.col("a").alias("b"), "length_m", "w", F.col("b_lng").alias("a_lng"), F.col("b_lat").alias("a_lat"), F.col("a_lng").alias("b_lng"), F.col("a_lat").alias("b_lat"))
+        walked = _by_blocks(joined.select("leg_id", "starts", "goals", "west", "south", "east", "north"), here, arcs.unionByName(back), kinds)
+        walked = far.select("leg_id", *_ENDS).join(walked, "leg_id", "left").withColumn("reason", F.when(F.col("way").isNull(), "no_path"))
+        found = found.unionByName(walked.drop("leg_id"))
+    return found
 
 
 def _by_blocks(far: DataFrame, here: DataFrame, arcs: DataFrame, kinds: tuple[str, str]) -> DataFrame:
@@ -246,7 +368,7 @@ def _by_blocks(far: DataFrame, here: DataFrame, arcs: DataFrame, kinds: tuple[st
     schema = _REACHED.format(leg=kinds[0], node=kinds[1])
     form = T.StructType.fromDDL(schema)
     here = here.select("node_id", _block("lng", "lat").alias("block"))
-    arcs = stored(arcs.withColumn("block", _block("a_lng", "a_lat")).withColumn("b_block", _block("b_lng", "b_lat")), "arcs")
+    arcs = stored(arcs.withColumn("block", _block("a_lng", "a_lat")).withColumn("b_block", _block("b_lng", "b_lat")), "blocks")
     boxes = far.select("leg_id", "west", "south", "east", "north")
     goals = stored(far.select("leg_id", F.explode("goals").alias("g")).select("leg_id", "g.node_id", F.col("g.m").alias("last")), "goals")
     start = far.select("leg_id", F.explode("starts").alias("s")).select("leg_id", "s.node_id", F.col("s.m").alias("cost")).join(here, "node_id")

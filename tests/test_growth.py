@@ -76,6 +76,73 @@ def test_legs_of_equal_ends_are_searched_once_and_arcs_follow_legs(spark, monkey
         assert want is None or (got[k]["way"][0], got[k]["way"][-1]) == (name[tuple(p[:2])], name[tuple(p[2:])])
 
 
+def test_edges_and_snaps_are_sent_once_to_a_square_whatever_boxes_it_has(spark, monkeypatch):
+    """Legs of three lengths need no squares of three sides, and a place's snaps do not come with each of its legs."""
+    sent, search = spark.sparkContext.accumulator(0), paths._search_square
+
+    def counted(schema):
+        found = search(schema)
+
+        def told(legs, given):
+            sent.add(given.num_rows)
+            return found(legs, given)
+
+        return told
+
+    monkeypatch.setattr(paths, "_search_square", counted)
+    at = {r * 26 + c: (c * 0.02, r * 0.02) for r in range(26) for c in range(26)}
+    rows = [(n, m, paths._away(*at[n], *at[m]), "path") for n in at for m in (n + 1, n + 26) if m in at and (m == n + 26 or m % 26)]
+    legs = [(k, r * 26 + c, r * 26 + c + far) for k, (r, c, far) in enumerate((r, c, far) for r in range(26) for c in range(0, 20, 2) for far in (1, 2, 5))]
+    got = {r["leg_id"]: r for r in paths.least_cost_path(
+        spark.createDataFrame([(k, *at[a], *at[b]) for k, a, b in legs], "leg_id long, from_lng double, from_lat double, to_lng double, to_lat double"),
+        spark.createDataFrame([(n, *p) for n, p in at.items()], "node_id long, lng double, lat double"),
+        spark.createDataFrame(rows, "a long, b long, length_m double, kind string"), 1.0, 1,
+    ).collect()}
+    assert all(got[k]["way"] == list(range(a, b + 1)) and abs(got[k]["cost"] - sum(paths._away(*at[n], *at[n + 1]) for n in range(a, b))) < 1e-6 for k, a, b in legs)
+    assert sent.value <= 4 * (len(rows) + len(at) + len({n for _, a, b in legs for n in (a, b)}))
+
+
+def test_batches_of_legs_in_a_dense_square_equal_dijkstra(monkeypatch):
+    """Many arcs to a node, ends of several snaps, boxes that leave ways out; a batch has room for some legs only."""
+    monkeypatch.setattr(paths, "BATCH_LEGS", 40)
+    monkeypatch.setattr(paths, "BATCH_LABELS", 400)
+    rng = random.Random(17)
+    at = {n: (rng.uniform(0, 0.1), rng.uniform(50, 50.1)) for n in range(60)}
+    edges = {(a, b): paths._away(*at[a], *at[b]) for a, b in {tuple(sorted(rng.sample(range(55), 2))) for _ in range(700)}}
+    weights = {e: m * rng.choice((1.0, 1.2, 1.5, 2.2)) for e, m in edges.items()}
+    snaps = {p: [(n, paths._away(*p, *at[n]), 0 if n < 55 else n) for n in rng.sample(range(60), rng.randint(1, 3))] for p in ((rng.uniform(0, 0.1), rng.uniform(50, 50.1)) for _ in range(30))}
+    legs = [(*p, *q, *(rng.choice((lo, mid)) for lo, mid in ((0.0, 0.02), (50.0, 50.02))), *(rng.choice((hi, mid)) for hi, mid in ((0.1, 0.09), (50.1, 50.09)))) for p, q in (rng.sample([*snaps, (99.0, 50.0)], 2) for _ in range(150))]
+    given = [{"a": a, "b": b, "w": weights[a, b], "length_m": edges[a, b]} for a, b in edges] + [{"a": n, "lng": x, "lat": y} for n, (x, y) in at.items()]
+    given += [{"a": n, "w": m, "lng": p[0], "lat": p[1], "part": part} for p, rows in snaps.items() for n, m, part in rows]
+    kinds = [("a", pa.int64()), ("b", pa.int64()), ("w", pa.float64()), ("length_m", pa.float64()), ("lng", pa.float64()), ("lat", pa.float64()), ("part", pa.int64())]
+    schema = pa.schema([*((c, pa.float64()) for c in (*paths._ENDS, "cost", "length")), ("way", pa.list_(pa.int64())), ("reason", pa.string())])
+    asked = pa.table(dict(zip((*paths._ENDS, "west", "south", "east", "north"), map(list, zip(*legs)))))
+    got = {tuple(r[c] for c in paths._ENDS): r for r in paths._search_square(schema)(asked, pa.Table.from_pylist(given, schema=pa.schema(kinds))).to_pylist()}
+    lost = 0
+    for *ends, west, south, east, north in {leg[:4]: leg for leg in legs}.values():
+        if (99.0, 50.0) in (p := tuple(ends[:2]), q := tuple(ends[2:])):
+            assert tuple(ends) not in got
+            continue
+        best = {n: m for n, m, _ in snaps[p]}
+        while True:  # relaxed until nothing gets cheaper
+            new = {v: c for e, w in weights.items() for u, v in (e, e[::-1]) if u in best and west <= at[v][0] <= east and south <= at[v][1] <= north and (c := best[u] + w) < best.get(v, math.inf) - 1e-9}
+            if not new:
+                break
+            for v, c in new.items():
+                best[v] = min(c, best.get(v, math.inf))
+        want = min((best[n] + m for n, m, _ in snaps[q] if n in best), default=None)
+        row = got[tuple(ends)]
+        if want is None:
+            assert (row["cost"], row["way"], row["reason"]) == (None, None, "no_path")
+            lost += 1
+            continue
+        steps = [tuple(sorted(e)) for e in zip(row["way"], row["way"][1:])]
+        first, last = ({n: m for n, m, _ in snaps[x]}[row["way"][k]] for x, k in ((p, 0), (q, -1)))
+        assert row["reason"] is None and abs(row["cost"] - want) < 1e-6 and abs(first + last + sum(weights[e] for e in steps) - want) < 1e-6
+        assert abs(row["length"] - sum(edges[e] for e in steps)) < 1e-6
+    assert 0 < lost < len(got) / 2
+
+
 def test_segments_sort_their_lines_once(spark):
     rows = [(w, k, 10 + w * 1e-3 + k * k * 1e-3, 50.0) for w in range(3) for k in range(4)]
     out = lines.segments(spark.createDataFrame(rows[::-1], "way long, seq long, lng double, lat double"), "way")
