@@ -124,10 +124,16 @@ def _straight(a: tuple, b: tuple) -> np.ndarray:
     return np.sqrt((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2)
 
 
+def _plane(lng: float, lat: float) -> tuple[tuple[float, float, float], tuple[float, float, float]]:
+    """Directions east and north at a place, in space."""
+    p, q = math.radians(lng), math.radians(lat)
+    return (-math.sin(p), math.cos(p), 0.0), (-math.sin(q) * math.cos(p), -math.sin(q) * math.sin(p), math.cos(q))
+
+
 def _runs(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of all runs of ``count`` that begin at ``first``, and the run that each is of."""
     of = np.repeat(np.arange(len(count)), count)
-    return np.arange(len(of)) + (first - np.cumsum(count) + count)[of], of
+    return np.arange(len(of)) + np.repeat(first - np.cumsum(count) + count, count), of
 
 
 def _codes(*columns) -> tuple[pa.Array, list[np.ndarray]]:
@@ -145,20 +151,23 @@ def _search_square(schema: pa.Schema):
     A node counts with the least that the rest of its way can cost: the straight line to the leg's end, by the cheapest metre
     of the square's arcs. Each turn searches on from the best open nodes of every leg of a batch, along the arcs that are no
     heavier than what the best way found so far leaves; a node that is reached for less later on is searched again.
+
+    ``given`` has edges (a, b, x metres, y what a metre costs), nodes (a, x lng, y lat) and snaps (node a, its part b, the
+    place's x lng and y lat, m metres away): few columns, as its rows are many.
     """
 
     def search(legs: pa.Table, given: pa.Table) -> pa.Table:
         some = lambda name: pc.is_valid(given.column(name))
-        edges, snaps, nodes = given.filter(some("b")), given.filter(some("part")), given.filter(pc.and_not(some("lng"), some("part")))
+        edges, snaps, nodes = given.filter(pc.and_not(some("b"), some("m"))), given.filter(some("m")), given.filter(pc.invert(some("b")))
         if not legs.num_rows or not snaps.num_rows:
             return schema.empty_table()
         column = lambda t, *names: [t.column(c).to_numpy() for c in names]
         spot = lambda lng, lat: lng + 1j * lat
-        snaps = snaps.take(pc.sort_indices(snaps, [("lng", "ascending"), ("lat", "ascending"), ("w", "ascending")]))
+        snaps = snaps.take(pc.sort_indices(snaps, [("x", "ascending"), ("y", "ascending"), ("m", "ascending")]))
         ids, (a, b, held, snap) = _codes(edges.column("a"), edges.column("b"), nodes.column("a"), snaps.column("a"))
-        _, (part,) = _codes(snaps.column("part"))
-        (snap_m,), parts = column(snaps, "w"), int(part.max()) + 1
-        spots, first, count = np.unique(spot(*column(snaps, "lng", "lat")), return_index=True, return_counts=True)
+        _, (part,) = _codes(snaps.column("b"))
+        (snap_m,), parts = column(snaps, "m"), int(part.max()) + 1
+        spots, first, count = np.unique(spot(*column(snaps, "x", "y")), return_index=True, return_counts=True)
 
         def snapped(end: str) -> np.ndarray:
             asked = spot(*column(legs, f"{end}_lng", f"{end}_lat"))
@@ -169,10 +178,11 @@ def _search_square(schema: pa.Schema):
         both = np.flatnonzero((starts >= 0) & (ends >= 0))
         legs, starts, ends = legs.take(pa.array(both)), starts[both], ends[both]
         lng, lat = np.full(len(ids), np.nan), np.full(len(ids), np.nan)
-        lng[held], lat[held] = column(nodes, "lng", "lat")
+        lng[held], lat[held] = column(nodes, "x", "y")
         space = _space(lng, lat)
         come, to = np.concatenate((a, b)), np.concatenate((b, a))
-        w, metres = (np.tile(c, 2) for c in column(edges, "w", "length_m"))
+        metres, w = (np.tile(c, 2) for c in column(edges, "x", "y"))
+        w = metres * w
         order = np.lexsort((w, come))
         come, to, w, metres = come[order], to[order], w[order], metres[order]
         out_of = np.searchsorted(come, np.arange(len(ids) + 1))
@@ -210,12 +220,16 @@ def _search_square(schema: pa.Schema):
             head = new[to[arc]]
             arc, tail, head = arc[head >= 0], tail[head >= 0], head[head >= 0]
             weight, stop = w[arc], np.searchsorted(tail, np.arange(n + 1))
-            (x, y, z), (gx, gy, gz), mine, hers = (c[here] for c in space), (c[k] for c in goals), lng[here], lat[here]
+            # Seen on a plane, where no line is longer than in space.
+            goal_at, (east_, north_) = [c[k] for c in goals], _plane(boxes[0][k[0]], boxes[1][k[0]])
+            flat = lambda at: (sum(c * d for c, d in zip(at, east_)), sum(c * d for c, d in zip(at, north_)))
+            (x, y), (gx, gy) = flat([c[here] for c in space]), flat(goal_at)
+            x, y, mine, hers = x[head], y[head], lng[here], lat[here]
             if len(k) * n > len(cost):
                 cost, came = np.full(len(k) * n, np.inf), np.empty(len(k) * n, np.int64)
             best, step = np.full(len(k), np.inf), steps[k]
             leg, label, so_far, goal = sl, sl * n + new[snap[s]], snap_m[s], gl * n + new[snap[g]]
-            bound = so_far + np.nan_to_num(_straight([c[snap[s]] for c in space], [gx[sl], gy[sl], gz[sl]]) * least)
+            bound = so_far + np.nan_to_num(_straight([c[snap[s]] for c in space], [c[sl] for c in goal_at]) * least)
             cost[label], came[label], touched = so_far, -1, [label]
             np.minimum.at(best, gl, cost[goal] + snap_m[g])
             while len(label):
@@ -231,16 +245,28 @@ def _search_square(schema: pa.Schema):
                     light = open_ & (weight[np.where(open_, middle, 0)] < left)
                     low, high = np.where(light, middle + 1, low), np.where(open_ & ~light, middle, high)
                 e, of = _runs(stop[u], low - stop[u])
+                run = low - stop[u]
+                dx, dy = x[e], y[e]
+                dx -= np.repeat(gx[l], run)
+                dy -= np.repeat(gy[l], run)
+                dx *= dx
+                dy *= dy
+                dx += dy
+                ahead = np.sqrt(dx, out=dx)
+                ahead *= least
+                ahead -= 1e-3
+                ok = np.flatnonzero(weight[e] + ahead < np.repeat(left, run))
+                e, of, ahead = e[ok], of[ok], ahead[ok]
                 v, l = head[e], l[of]
-                ahead = np.sqrt((x[v] - gx[l]) ** 2 + (y[v] - gy[l]) ** 2 + (z[v] - gz[l]) ** 2) * least - 1e-3
-                ok = np.flatnonzero(weight[e] + ahead < left[of])
-                e, of, v, l, ahead = e[ok], of[ok], v[ok], l[ok], ahead[ok]
                 at, c = l * n + v, c[of] + weight[e]
-                ok = (c < cost[at]) & (mine[v] >= west[l]) & (mine[v] <= east[l]) & (hers[v] >= south[l]) & (hers[v] <= north[l])
+                ok = np.flatnonzero(c < cost[at])
+                v, of = v[ok], l[ok]
+                ok = ok[(mine[v] >= west[of]) & (mine[v] <= east[of]) & (hers[v] >= south[of]) & (hers[v] <= north[of])]
                 e, l, at, c, ahead = e[ok], l[ok], at[ok], c[ok], ahead[ok]
-                order = np.argsort(-c, kind="stable")  # of several arcs to a node the cheapest is the last to be put down
-                cost[at[order]], came[at[order]] = c[order], e[order]
-                won = came[at] == e
+                np.minimum.at(cost, at, c)
+                won = np.flatnonzero(c == cost[at])
+                came[at[won]] = e[won]
+                won = won[came[at[won]] == e[won]]
                 touched.append(at[won])
                 np.minimum.at(best, gl, cost[goal] + snap_m[g])
                 leg, label, so_far, bound = (np.concatenate(v) for v in ((leg, l[won]), (label, at[won]), (so_far, c[won]), (bound, c[won] + ahead[won])))
@@ -294,7 +320,7 @@ def _searched(legs: DataFrame, nodes: DataFrame, edges: DataFrame, snap_m: float
     kinds = dict(legs.dtypes)["leg_id"], dict(nodes.dtypes)["node_id"]
     here = stored(nodes.select("node_id", "lng", "lat"), "here")
     weight = F.coalesce(lookup(F.col("kind"), WALKING_COST), F.lit(1.5))
-    arcs = edges.select("a", "b", "length_m", (F.col("length_m") * weight).alias("w"))
+    arcs = edges.select("a", "b", "length_m", weight.alias("rate"))
     for end in "ab":
         arcs = arcs.join(here.select(F.col("node_id").alias(end), F.col("lng").alias(f"{end}_lng"), F.col("lat").alias(f"{end}_lat")), end)
     arcs = stored(arcs, "arcs")
@@ -342,8 +368,9 @@ def _searched(legs: DataFrame, nodes: DataFrame, edges: DataFrame, snap_m: float
     each = counted.where("near").select(*square, F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"))
     dealt = lambda df, *columns: df.join(each, square).select(number, *columns)
     given = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [
-        dealt(joint, "a", "b", "w", "length_m"), dealt(squares(placed(here, "lng", "lat", levels)), F.col("node_id").alias("a"), "lng", "lat"),
-        dealt(squares(placed(near, "lng", "lat", levels)), "lng", "lat", F.col("node_id").alias("a"), F.col("m").alias("w"), "part"),
+        dealt(joint, "a", "b", F.col("length_m").alias("x"), F.col("rate").alias("y")),
+        dealt(squares(placed(here, "lng", "lat", levels)), F.col("node_id").alias("a"), F.col("lng").alias("x"), F.col("lat").alias("y")),
+        dealt(squares(placed(near, "lng", "lat", levels)), F.col("node_id").alias("a"), F.col("part").alias("b"), F.col("lng").alias("x"), F.col("lat").alias("y"), "m"),
     ])
     ways = f"from_lng double, from_lat double, to_lng double, to_lat double, cost double, length double, way array<{kinds[1]}>, reason string"
     shelves = min(4000, 2 * (counted.where("near").agg(F.sum("tasks")).first()[0] or 1))
@@ -356,6 +383,7 @@ def _searched(legs: DataFrame, nodes: DataFrame, edges: DataFrame, snap_m: float
     if far.limit(1).count():
         meets = lambda mine, other: F.filter(mine, lambda x: F.exists(other, lambda y: x["part"] == y["part"]))
         joined = boxed(far.withColumn("starts", meets("from", "to")).withColumn("goals", meets("to", "from")).where(F.size("starts") > 0), pad)
+        arcs = arcs.withColumn("w", F.col("length_m") * F.col("rate")).drop("rate")
         back = arcs.select(F.col("b").alias("a"), F.col("a").alias("b"), "length_m", "w", F.col("b_lng").alias("a_lng"), F.col("b_lat").alias("a_lat"), F.col("a_lng").alias("b_lng"), F.col("a_lat").alias("b_lat"))
         walked = _by_blocks(joined.select("leg_id", "starts", "goals", "west", "south", "east", "north"), here, arcs.unionByName(back), kinds)
         walked = far.select("leg_id", *_ENDS).join(walked, "leg_id", "left").withColumn("reason", F.when(F.col("way").isNull(), "no_path"))

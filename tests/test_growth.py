@@ -109,12 +109,13 @@ def test_batches_of_legs_in_a_dense_square_equal_dijkstra(monkeypatch):
     rng = random.Random(17)
     at = {n: (rng.uniform(0, 0.1), rng.uniform(50, 50.1)) for n in range(60)}
     edges = {(a, b): paths._away(*at[a], *at[b]) for a, b in {tuple(sorted(rng.sample(range(55), 2))) for _ in range(700)}}
-    weights = {e: m * rng.choice((1.0, 1.2, 1.5, 2.2)) for e, m in edges.items()}
+    rates = {e: rng.choice((1.0, 1.2, 1.5, 2.2)) for e in edges}
+    weights = {e: m * rates[e] for e, m in edges.items()}
     snaps = {p: [(n, paths._away(*p, *at[n]), 0 if n < 55 else n) for n in rng.sample(range(60), rng.randint(1, 3))] for p in ((rng.uniform(0, 0.1), rng.uniform(50, 50.1)) for _ in range(30))}
     legs = [(*p, *q, *(rng.choice((lo, mid)) for lo, mid in ((0.0, 0.02), (50.0, 50.02))), *(rng.choice((hi, mid)) for hi, mid in ((0.1, 0.09), (50.1, 50.09)))) for p, q in (rng.sample([*snaps, (99.0, 50.0)], 2) for _ in range(150))]
-    given = [{"a": a, "b": b, "w": weights[a, b], "length_m": edges[a, b]} for a, b in edges] + [{"a": n, "lng": x, "lat": y} for n, (x, y) in at.items()]
-    given += [{"a": n, "w": m, "lng": p[0], "lat": p[1], "part": part} for p, rows in snaps.items() for n, m, part in rows]
-    kinds = [("a", pa.int64()), ("b", pa.int64()), ("w", pa.float64()), ("length_m", pa.float64()), ("lng", pa.float64()), ("lat", pa.float64()), ("part", pa.int64())]
+    given = [{"a": a, "b": b, "x": edges[a, b], "y": rates[a, b]} for a, b in edges] + [{"a": n, "x": x, "y": y} for n, (x, y) in at.items()]
+    given += [{"a": n, "b": part, "x": p[0], "y": p[1], "m": m} for p, rows in snaps.items() for n, m, part in rows]
+    kinds = [("a", pa.int64()), ("b", pa.int64()), ("x", pa.float64()), ("y", pa.float64()), ("m", pa.float64())]
     schema = pa.schema([*((c, pa.float64()) for c in (*paths._ENDS, "cost", "length")), ("way", pa.list_(pa.int64())), ("reason", pa.string())])
     asked = pa.table(dict(zip((*paths._ENDS, "west", "south", "east", "north"), map(list, zip(*legs)))))
     got = {tuple(r[c] for c in paths._ENDS): r for r in paths._search_square(schema)(asked, pa.Table.from_pylist(given, schema=pa.schema(kinds))).to_pylist()}
